@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .debruijn import op10_debruijn_dedup
 from .suffix_dedup import op1_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op10_debruijn_dedup": op10_debruijn_dedup,
 }
 ORACLES: dict[str, str] = {}
