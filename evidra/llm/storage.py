@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Limits Arrow batches by bytes, so that long texts don't fill a Python worker; an own setting is left alone."""
+    if not spark.conf.get(_BATCH, None):
+        spark.conf.set(_BATCH, str(4 << 20))
+    return spark
+
+
 class Workspace:
     """Parquet tables of one operator call, under a folder of its own in the shared folder.
 
@@ -32,7 +40,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/evidra/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

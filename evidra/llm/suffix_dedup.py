@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import Workspace
-from .superwindows import Tokens, prepared, repeated_windows
+from .superwindows import Tokens, by_key, find, one_by_one, prepared
 from .textops import text_blocks
 
 WIDTH, GRAM = 400, 32
@@ -77,8 +77,8 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], width: int, least:
                 yield before, length, members
 
 
-def compare(rows: list[tuple], width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
-    """Repeated windows of each content: (key, cls, first, last window), by maximal repeats."""
+def compare(rows: list[tuple], width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int, int]]:
+    """Repeated windows of each content: (key, cls, first, last window, 0), by maximal repeats."""
     rows.sort(key=lambda r: (r[0], r[4][r[2] :]))
     for _, group in itertools.groupby(rows, key=lambda r: r[0]):
         own = list(group)
@@ -95,7 +95,7 @@ def compare(rows: list[tuple], width: int = WIDTH, gram: int = GRAM) -> Iterator
             end = -1
             for lo, hi in sorted(ranges):
                 if hi > end:
-                    yield key, cls, max(lo, end + 1), hi
+                    yield key, cls, max(lo, end + 1), hi, 0
                     end = hi
 
 
@@ -107,6 +107,22 @@ def covered(size: int, lows: np.ndarray, highs: np.ndarray, width: int) -> np.nd
     return np.cumsum(steps[:-1]) > 0
 
 
+def repeated_ranges(spark: SparkSession, docs: DataFrame, work: Workspace, width: int, gram: int, hot: int) -> DataFrame:
+    """docs: id, rid, text. Ranges of windows that also start elsewhere: id, rid, lo, hi, both included."""
+    tokens = Tokens(words=False)
+    found = find(spark, docs, work, tokens, width, gram, hot)
+    ranges = found.kept.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("last") - F.col("first")).alias("hi")).where("n > 1").select("key", "cls", F.lit(0).alias("lo"), "hi")
+    if found.hot is not None:
+        windows = one_by_one(found.hot, tokens, width)
+        twice = windows.groupBy("key", "node").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key", "node")
+        ranges = ranges.unionByName(windows.join(twice, ["key", "node"]).select("key", "cls", "lo", "hi").distinct())
+    if found.mild is not None:
+        ranges = ranges.unionByName(by_key(found.mild, lambda rows: compare(rows, width, gram), found.partitions).drop("node"))
+    ranges = work.save(ranges, "ranges")
+    work.drop("keys", "contents")
+    return found.kept.join(ranges, ["key", "cls"]).select("id", "rid", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, carry: tuple[str, ...] = (), hot: int = 4096) -> DataFrame:
     """Removes each byte covered by a `width`-byte string that also starts anywhere else in the table.
 
@@ -119,7 +135,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         raise ValueError("gram must be less than width")
     work = Workspace(spark, "suffix-dedup")
     own = prepared(docs, id_col, text_col)
-    found = repeated_windows(spark, own, work, Tokens(words=False), width, gram, lambda rows: compare(rows, width, gram), hot)
+    found = repeated_ranges(spark, own, work, width, gram, hot)
     spans = found.distinct().groupBy("id", "rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     rest = F.struct(*[docs[c] for c in carry]) if carry else F.lit(0)
     whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"), rest.alias("rest"))

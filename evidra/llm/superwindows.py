@@ -7,7 +7,7 @@ have the same anchor gram, so
 
 1. `scan` writes one row for each super-window: document, place, anchor gram hash (`key`) and content hash (`cls`);
 2. super-windows whose (key, cls) occurs twice hold repeated windows only;
-3. of keys with several contents, one copy of each content goes, by key, to `compare`, which looks inside: the caller
+3. of keys with several contents, one copy of each content goes, by key, to a task that looks inside: the caller
    compares contents there by its own method. Keys with more than `hot` super-windows, which could overfill a task,
    are split further: their windows are counted one by one by hash, with partial sums before the shuffle.
 
@@ -16,6 +16,7 @@ Nothing is sampled or capped: each window is decided by exactly one of these thr
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from .textops import byte_gram_hashes, gram_hashes, text_blocks, window_minima,
 _PLACE = np.uint64((1 << 32) - 1)
 RUN_SCHEMA = "id bigint, rid bigint, first int, last int, key bigint, cls bigint"
 CLASS_SCHEMA = "key bigint, cls bigint, anchor int, windows int, content binary"
-RANGE_SCHEMA = "key bigint, cls bigint, lo int, hi int"
+RANGE_SCHEMA = "key bigint, cls bigint, lo int, hi int, node bigint"
 
 
 @dataclass(frozen=True)
@@ -116,7 +117,7 @@ def contents(docs: DataFrame, tokens: Tokens, width: int, gram: int, keys) -> Da
         seen: set[int] = set()
         for batch in batches:
             for _, first, last, anchor, key, cls, parts in _runs(batch.column("text"), tokens, width, gram, keys.value):
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 new = [i for i, c in enumerate(cls.tolist()) if c not in seen and not seen.add(c)]
                 if new:
@@ -133,35 +134,37 @@ def _filtered(runs: DataFrame, keys) -> DataFrame:
     return runs.mapInArrow(run, RUN_SCHEMA)
 
 
-def by_key(rows: DataFrame, compare: Callable[[list[tuple]], Iterator[tuple[int, int, int, int]]], partitions: int) -> DataFrame:
-    """Runs `compare` over the contents of some keys, all of a key together: yields (key, cls, first, last window)."""
+def by_key(rows: DataFrame, compare: Callable[[list[tuple]], Iterator[tuple[int, int, int, int, int]]], partitions: int) -> DataFrame:
+    """Runs `compare` over the contents of some keys, all of a key together: it yields rows of RANGE_SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[tuple[int, int], tuple] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own.setdefault(row[:2], row)
-        found = list(compare(list(own.values())))
-        for at in range(0, len(found), 100_000):
-            columns = zip(*found[at : at + 100_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "cls", "lo", "hi"])
+        found = compare(list(own.values()))
+        while part := list(itertools.islice(found, 50_000)):
+            yield _ranges(*zip(*part, strict=True))
 
     return rows.repartition(partitions, "key").mapInArrow(run, RANGE_SCHEMA)
 
 
+def _ranges(*columns) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "cls", "lo", "hi", "node"])
+
+
 def one_by_one(rows: DataFrame, tokens: Tokens, width: int) -> DataFrame:
-    """The same for keys with very many contents: windows are counted by hash, with partial sums before the shuffle."""
+    """The windows of keys with very many contents, each as a range of its own; node is the window's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, cls, _, _, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes = tokens.windows(content, width).view(np.int64)
-                n = len(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, cls)), pa.array(np.arange(n, dtype=np.int32)), pa.array(hashes)], names=["key", "cls", "at", "hash"])
+                at = np.arange(len(hashes), dtype=np.int32)
+                yield _ranges(np.full(len(at), key), np.full(len(at), cls), at, at, hashes)
 
-    windows = rows.mapInArrow(run, "key bigint, cls bigint, at int, hash bigint")
-    twice = windows.groupBy("key", "hash").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key", "hash")
-    return windows.join(twice, ["key", "hash"]).select("key", "cls", F.col("at").alias("lo"), F.col("at").alias("hi")).distinct()
+    return rows.mapInArrow(run, RANGE_SCHEMA)
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,26 +173,30 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(id_col).cast("bigint"), text).alias("rid"), text.alias("text"))
 
 
-def repeated_windows(spark: SparkSession, docs: DataFrame, work: Workspace, tokens: Tokens, width: int, gram: int, compare: Callable, hot: int = 4096) -> DataFrame:
-    """docs: id, rid, text. Ranges of windows that also start elsewhere: id, rid, lo, hi (both included), cls, key."""
+@dataclass
+class Found:
+    """Super-windows whose key occurs twice (`kept`), and the contents of keys with several."""
+
+    kept: DataFrame
+    mild: DataFrame | None
+    hot: DataFrame | None
+    partitions: int
+
+
+def find(spark: SparkSession, docs: DataFrame, work: Workspace, tokens: Tokens, width: int, gram: int, hot: int) -> Found:
+    """docs: id, rid, text. Super-windows that can hold repeated windows; see the module's description."""
     runs = work.save(scan(docs, tokens, width, gram), "runs")
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("cls") != F.max("cls")).alias("several")).where("n > 1")
     keys = work.save(keys, "keys")
     n_keys, n_several, n_rows, n_hot = keys.agg(F.count(F.lit(1)), F.count_if("several"), F.sum(F.when(F.col("several"), F.col("n"))), F.count_if(F.col("several") & (F.col("n") > hot))).first()
     context = spark.sparkContext
-    repeated = context.broadcast(KeyFilter.build(keys.select("key"), n_keys))
-    kept = work.save(_filtered(runs, repeated), "kept")
+    kept = work.save(_filtered(runs, context.broadcast(KeyFilter.build(keys.select("key"), n_keys))), "kept")
     work.drop("runs")
-    ranges = kept.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("last") - F.col("first")).alias("hi")).where("n > 1").select("key", "cls", F.lit(0).alias("lo"), "hi")
-    if n_several:
-        several = context.broadcast(KeyFilter.build(keys.where("several").select("key"), n_several))
-        rows = contents(docs, tokens, width, gram, several)
-        mild = rows if not n_hot else work.save(rows.join(keys.where("several").select("key", "n"), "key"), "contents")
-        if n_hot:
-            ranges = ranges.unionByName(work.save(one_by_one(mild.where(f"n > {hot}").drop("n").repartition(partitions_for(spark, 1, 1)), tokens, width), "hot"))
-            mild = mild.where(f"n <= {hot}").drop("n")
-        ranges = ranges.unionByName(by_key(mild, compare, partitions_for(spark, n_rows, 60_000)))
-    ranges = work.save(ranges, "ranges")
-    work.drop("keys", "contents", "hot")
-    found = kept.join(ranges, ["key", "cls"]).select("id", "rid", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"), "key", "cls")
-    return found
+    if not n_several:
+        return Found(kept, None, None, 1)
+    rows = contents(docs, tokens, width, gram, context.broadcast(KeyFilter.build(keys.where("several").select("key"), n_several)))
+    partitions = partitions_for(spark, n_rows, 30_000)
+    if not n_hot:
+        return Found(kept, rows, None, partitions)
+    rows = work.save(rows.join(keys.where("several").select("key", "n"), "key"), "contents")
+    return Found(kept, rows.where(f"n <= {hot}").drop("n"), rows.where(f"n > {hot}").drop("n").repartition(partitions), partitions)
