@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .debruijn import op10_debruijn_dedup
+from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .suffix_dedup import op1_suffix_array_dedup
+from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_exact_dedup": op3_exact_dedup,
     "op10_debruijn_dedup": op10_debruijn_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL}
