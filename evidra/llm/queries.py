@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .debruijn import op10_debruijn_dedup
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .ngram_join import op9_ngram_jaccard_join
 from .suffix_dedup import op1_suffix_array_dedup
 from .url_filter import OP2_SQL, op2_url_filter
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_debruijn_dedup": op10_debruijn_dedup,
 }
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL}
