@@ -126,7 +126,7 @@ def _apply(docs: DataFrame, paths: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(run, "id bigint, rid bigint, n_words bigint, n_removed bigint, kept binary, spans array<struct<lo: int, hi: int, path: bigint, digest: binary>>")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = 4096) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = 16_384) -> DataFrame:
     """Removes each word covered by a window of `width` words that also starts anywhere else in the table.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Returns one row for each row of `docs`: id, n_words, n_removed, kept

@@ -123,7 +123,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, work: Workspace, width
     return found.kept.join(ranges, ["key", "cls"]).select("id", "rid", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, carry: tuple[str, ...] = (), hot: int = 4096) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, carry: tuple[str, ...] = (), hot: int = 16_384) -> DataFrame:
     """Removes each byte covered by a `width`-byte string that also starts anywhere else in the table.
 
     Returns one row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept (binary: what is left) and, in the

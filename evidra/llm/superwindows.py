@@ -8,7 +8,7 @@ have the same anchor gram, so
 1. `scan` writes one row for each super-window: document, place, anchor gram hash (`key`) and content hash (`cls`);
 2. super-windows whose (key, cls) occurs twice hold repeated windows only;
 3. of keys with several contents, one copy of each content goes, by key, to a task that looks inside: the caller
-   compares contents there by its own method. Keys with more than `hot` super-windows, which could overfill a task,
+   compares contents there by its own method. Keys with more than `hot` contents, which could overfill a task,
    are split further: their windows are counted one by one by hash, with partial sums before the shuffle.
 
 Nothing is sampled or capped: each window is decided by exactly one of these three ways.
@@ -196,7 +196,11 @@ def find(spark: SparkSession, docs: DataFrame, work: Workspace, tokens: Tokens,
         return Found(kept, None, None, 1)
     rows = contents(docs, tokens, width, gram, context.broadcast(KeyFilter.build(keys.where("several").select("key"), n_several)))
     partitions = partitions_for(spark, n_rows, 30_000)
+    if n_hot:  # of those with many super-windows, the keys with many contents
+        many = kept.join(keys.where(F.col("several") & (F.col("n") > hot)).select("key"), "key").groupBy("key", "cls").agg(F.lit(1)).groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(f"many > {hot}")
+        many = work.save(many, "many")
+        n_hot = many.count()
     if not n_hot:
         return Found(kept, rows, None, partitions)
-    rows = work.save(rows.join(keys.where("several").select("key", "n"), "key"), "contents")
-    return Found(kept, rows.where(f"n <= {hot}").drop("n"), rows.where(f"n > {hot}").drop("n").repartition(partitions), partitions)
+    rows = work.save(rows.join(many, "key", "left"), "contents")
+    return Found(kept, rows.where("many is null").drop("many"), rows.where("many is not null").drop("many").repartition(partitions), partitions)
