@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op6_byte_bpe
 from .debruijn import op10_debruijn_dedup
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .ngram_join import op9_ngram_jaccard_join
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_debruijn_dedup": op10_debruijn_dedup,
 }
