@@ -10,6 +10,7 @@ from .byte_bpe import op6_byte_bpe
 from .debruijn import op10_debruijn_dedup
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .ngram_join import op9_ngram_jaccard_join
+from .packing import op7_packing
 from .suffix_dedup import op1_suffix_array_dedup
 from .url_filter import OP2_SQL, op2_url_filter
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_packing": op7_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_debruijn_dedup": op10_debruijn_dedup,
 }
