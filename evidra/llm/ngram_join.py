@@ -14,6 +14,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +31,9 @@ from .storage import KeyFilter, Workspace, partitions_for
 from .textops import gram_hashes, lower_ascii, mix, text_blocks, word_hashes, word_spans
 
 SHINGLE, PERCENT = 4, 85
-#: Parts beyond those that linked sets can differ in; documents with more empty parts also emit those.
-_SPARE = 2
+#: Parts with fewer shingles are common among unlinked sets. They are left out by a set that has few of them: there are
+#: more parts than sets can differ in by the spare ones. A set with more small parts than those emits all its parts.
+_FEW, _DIFFER = 2, 6
 
 
 @dataclass(frozen=True)
@@ -38,17 +42,27 @@ class Sizes:
 
     percent: int
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each range starts, its number of parts, and in how many of them linked sets can differ at most."""
+    @functools.lru_cache(maxsize=8)  # noqa: B019
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each range: its start, its number of parts, how many can differ at most, how many shingles are few."""
         starts, parts, differ = [1], [], []
         while starts[-1] < 1 << 40:
             low = starts[-1]
             starts.append(max(low + 1, (low - 1) * 100 // self.percent + 1))
-        for end in starts[1:]:
+        for low, end in itertools.pairwise(starts):
             most = end - 1 + (end - 1) * 100 // self.percent
             differ.append(most * (100 - self.percent) // (100 + self.percent))
-            parts.append(differ[-1] + 1 + (_SPARE if differ[-1] else 0))
-        return np.array(starts[:-1]), np.array(parts), np.array(differ)
+            spare = min(differ[-1], 1)
+            if differ[-1] >= _DIFFER:
+                while spare < differ[-1]:
+                    parts_now = differ[-1] + 1 + spare
+                    mean = low / parts_now
+                    share = math.exp(-mean) * (1 + mean)  # of parts with less than two shingles
+                    if parts_now * share + 3.5 * math.sqrt(parts_now * share) < spare:
+                        break
+                    spare += max(1, spare // 50)
+            parts.append(differ[-1] + 1 + spare)
+        return np.array(starts[:-1]), np.array(parts), np.array(differ), np.where(np.array(differ) < _DIFFER, 1, _FEW)
 
 
 def required(x: np.ndarray | int, y: np.ndarray | int, percent: int):
@@ -94,7 +108,7 @@ def short_ids(ids: list[bytes]) -> np.ndarray:
 
 def signatures(offsets: np.ndarray, values: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each part of each set, for the set's size range and the one below it."""
-    starts, parts, differ = Sizes(percent).table()
+    starts, parts, differ, few = Sizes(percent).table()
     n = np.diff(offsets)
     rows = np.repeat(np.arange(len(n)), n)
     own = np.searchsorted(starts, n, "right") - 1
@@ -104,15 +118,20 @@ def signatures(offsets: np.ndarray, values: np.ndarray, percent: int) -> tuple[n
         m = np.where(ok, parts[level], 0)
         held = ok[rows]
         r, v = rows[held], values[held]
-        part = ((v >> np.uint64(32)) * m[r].astype(np.uint64)) >> np.uint64(32)
         if not len(r):
             continue
+        part = ((v >> np.uint64(32)) * m[r].astype(np.uint64)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (part[1:] != part[:-1])]))
-        label = level[r[first]].astype(np.uint64) * np.uint64(1 << 32) + part[first]
-        found.append(mix(np.add.reduceat(mix(v.copy()), first) + mix(label + np.uint64(1))))
-        found_rows.append(r[first])
-        full = np.bincount(r[first], minlength=len(n))
-        for i in np.flatnonzero(ok & (m - full > m - differ[level] - 1) & (full < m)).tolist():
+        owner, size = r[first], np.diff(np.append(first, len(r)))
+        large = size >= np.minimum(few[level[owner]], n[owner])
+        enough = np.bincount(owner[large], minlength=len(n)) > differ[level]
+        sums = np.add.reduceat(mix(v.copy()), first)
+        label = level[owner].astype(np.uint64) * np.uint64(1 << 32) + part[first]
+        sent = large | ~enough[owner]
+        found.append(mix(sums[sent] + mix(label[sent] + np.uint64(1))))
+        found_rows.append(owner[sent])
+        full = np.bincount(owner, minlength=len(n))
+        for i in np.flatnonzero(ok & ~enough & (full < m)).tolist():
             empty = np.setdiff1d(np.arange(m[i]), part[r == i])
             found.append(mix(mix(np.uint64(level[i]) * np.uint64(1 << 32) + empty.astype(np.uint64) + np.uint64(1))))
             found_rows.append(np.full(len(empty), i))
@@ -301,13 +320,15 @@ def _large_blocks(members: DataFrame, work: Workspace, percent: int, chunk: int)
     partitions = partitions_for(work.spark, 1, 1) * 2
     links = work.save(_search(first.withColumn("block", F.xxhash64("block", "chunk")).repartition(partitions, "block"), percent), "pivot-links")
     roots = connected(links, work, "pivot-components")
-    labelled = work.save(dealt.join(roots.withColumnRenamed("node", "cls"), "cls", "left"), "labelled")
+    labelled = dealt.select("block", "cls", "chunk", "chunks").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    labelled = work.save(labelled, "labelled")
     main = labelled.where("root is not null").groupBy("block", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("block").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    apart = labelled.join(main, "block", "left").where("root is null or root <> main").drop("root", "main")
-    left = apart.groupBy("block").agg(F.count(F.lit(1)).alias("left"))
-    rest = labelled.drop("root").join(left, "block").withColumn("groups", F.ceil(F.col("left") / chunk).cast("int"))
-    index = rest.withColumn("group", F.explode(F.expr("sequence(0, groups - 1)"))).withColumns({"query": F.lit(False), "index": F.lit(True)})
-    query = apart.join(left, "block").withColumn("groups", F.ceil(F.col("left") / chunk).cast("int")).withColumn("group", F.expr("pmod(xxhash64(cls, 2), groups)").cast("int")).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumns({"query": F.lit(True), "index": F.lit(False)})
+    apart = work.save(labelled.join(main, "block", "left").where("root is null or root <> main").drop("root", "main"), "apart")
+    groups = apart.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("groups"))
+    index = dealt.join(groups, "block").withColumn("group", F.explode(F.expr("sequence(0, groups - 1)"))).withColumns({"query": F.lit(False), "index": F.lit(True)})
+    asking = apart.join(groups, "block").select("cls", F.expr("pmod(xxhash64(cls, 2), groups)").cast("int").alias("group"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
+    query = dealt.drop("chunk").join(asking, "cls").withColumns({"query": F.lit(True), "index": F.lit(False)})
+    index = index.select("block", "cls", "tokens", "chunk", "group", "query", "index")
     second = index.unionByName(query.select(*index.columns)).withColumn("block", F.xxhash64("block", "chunk", "group"))
     return links.unionByName(_search(second.repartition(partitions, "block"), percent))
 
@@ -340,7 +361,7 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     members = _shipped_sets(texts, wanted, size).join(known, "short").drop("short")
     large = counts.where(f"n > {block_limit}").count()
     if large:
-        members = work.save(members.dropDuplicates(["cls"]), "sets")
+        members = work.save(members, "sets")
     small = members.where(f"n <= {block_limit}").withColumns({"query": F.lit(True), "index": F.lit(True)})
     exact = _search(small.repartition(partitions_for(spark, n_members, 4_000), "block"), percent)
     if large:
