@@ -9,6 +9,8 @@ are ranked by document, and ranges of ranks belong to patterns.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,13 +24,14 @@ from .storage import Workspace, bounded_batches
 
 ROOM, END = 4096, 2
 #: Encoded words that a worker remembers at most.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that never looks across ASCII white space: each distinct word is encoded once."""
 
     def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -48,11 +51,11 @@ class WordEncoder:
         if len(self.number) + len(new) > MEMORY:
             self.clear()
             new = words
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         base = len(self.number)
         self.number.update(zip(new, range(base, base + len(new)), strict=True))
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for own in got for i in own), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(lengths.sum()))
         used = int(self.ends[-1])
         while used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
