@@ -11,6 +11,8 @@ from .debruijn import op10_debruijn_dedup
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .ngram_join import op9_ngram_jaccard_join
 from .packing import op7_packing
+from .topk_search import OP8_SQL, op8_exact_topk
+from .toxicity import op4_toxicity
 from .suffix_dedup import op1_suffix_array_dedup
 from .url_filter import OP2_SQL, op2_url_filter
 
@@ -18,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
+    "op8_exact_topk": op8_exact_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_debruijn_dedup": op10_debruijn_dedup,
 }
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_exact_topk": OP8_SQL}
