@@ -18,6 +18,9 @@ from .storage import Workspace
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A stream keeps the number of its state stores for good, so it follows the number of rows, not the session's
+#: shuffle partitions; each store has some MB of files of its own, however few its keys.
+_STATES, ROWS_PER_STATE = "spark.sql.streaming.internal.stateStore.partitions", 1_000_000
 #: A digest filter of at most so many words (16 MiB) is broadcast; a fuller one lets more rows through, loses none.
 _FILTER_WORDS = 1 << 20
 
@@ -44,8 +47,10 @@ def _digest(bits: int) -> F.Column:
 
 def stream_state(spark: SparkSession, log: DataFrame, log_path: str, work: Workspace, bytes_per_batch: int) -> DataFrame:
     """Runs the stream over the whole log: digest, keep (id, file, row), n: the last update of each digest."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    wanted = {_PROVIDER: _ROCKSDB, _STATES: str(max(8, -(-log.count() // ROWS_PER_STATE)))}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     updates = work.path("updates")
     try:
         state = (
@@ -64,7 +69,8 @@ def stream_state(spark: SparkSession, log: DataFrame, log_path: str, work: Works
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     written = spark.read.schema(state.schema.add("batch", "long")).parquet(updates)
     return written.groupBy("digest").agg(F.max_by(F.struct("keep", "n"), "batch").alias("last")).select("digest", "last.*")
 
