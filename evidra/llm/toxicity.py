@@ -81,6 +81,8 @@ def fit_chain(features: np.ndarray, labels: np.ndarray, words: np.ndarray, folds
         y = labels[:, k : k + 1].astype(np.float32)
         weights, bias = fit_logistic(x, y)
         models.append((weights[:, 0], float(bias[0])))
+        if k == labels.shape[1] - 1:
+            break
         held = np.zeros(len(x), np.float32)
         for f in range(folds):
             w, b = fit_logistic(x[fold != f], y[fold != f])
