@@ -23,6 +23,8 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 _STATES, ROWS_PER_STATE = "spark.sql.streaming.internal.stateStore.partitions", 1_000_000
 #: A digest filter of at most so many words (16 MiB) is broadcast; a fuller one lets more rows through, loses none.
 _FILTER_WORDS = 1 << 20
+#: Places of rows to drop, 24 bytes each, are broadcast up to so many; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def normalised(text: str) -> F.Column:
@@ -30,14 +32,22 @@ def normalised(text: str) -> F.Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)
 
 
+_PLACE = (F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+
+
+def in_files(docs: DataFrame, work: Workspace) -> DataFrame:
+    """`docs` itself if its rows have places in files, else a table of them."""
+    try:
+        docs.select(*_PLACE)
+        return docs
+    except AnalysisException:
+        return work.save(docs, "source")
+
+
 def located(docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> DataFrame:
     """id, file, row, text. Files name the content's place; tables that are no files are written first."""
     own = [F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")]
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    try:
-        return docs.select(*own, *place)
-    except AnalysisException:
-        return work.save(docs.select(*own), "source").select("id", "text", *place)
+    return in_files(docs, work).select(*own, _PLACE[0].alias("file"), _PLACE[1].alias("row"))
 
 
 def _digest(bits: int) -> F.Column:
@@ -115,6 +125,16 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     return result
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with the rows only that stay, see `dedup`. Places to drop are broadcast up to BROADCAST_ROWS of them."""
+    work = Workspace(spark, "drop-copies")
+    docs = in_files(docs, work)
+    place = F.struct(F.xxhash64("file"), F.xxhash64("file", "row"), F.col("row"))
+    gone = work.save(dedup(spark, docs, id_col, text_col).where("not kept").select(place.alias("place")), "gone")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), _PLACE[0].alias("file"), _PLACE[1].alias("row")).select("doc", place.alias("place"))
+    return whole.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "place", "left_anti").select("doc.*")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op6_byte_bpe
 from .debruijn import op10_debruijn_dedup
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .language_id import op5_language_id
 from .ngram_join import op9_ngram_jaccard_join
 from .packing import op7_packing
 from .topk_search import OP8_SQL, op8_exact_topk
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
     "op8_exact_topk": op8_exact_topk,

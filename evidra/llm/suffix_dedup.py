@@ -123,11 +123,11 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, work: Workspace, width
     return found.kept.join(ranges, ["key", "cls"]).select("id", "rid", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, carry: tuple[str, ...] = (), hot: int = 16_384) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, carry: tuple[str, ...] = (), hot: int = 16_384, whole_characters: bool = False) -> DataFrame:
     """Removes each byte covered by a `width`-byte string that also starts anywhere else in the table.
 
     Returns one row for each row of `docs`: id, n_bytes, n_removed, n_spans, kept (binary: what is left) and, in the
-    struct `rest`, the columns named in `carry`. A null text counts as empty. Overlapping occurrences in one document
+    struct `rest`, the columns named in `carry`. With `whole_characters`, bytes that are left of a cut character go too. A null text counts as empty. Overlapping occurrences in one document
     count, matches never cross documents, equal rows count as occurrences of each other. An empty table gives an
     empty result; texts shorter than `width` stay whole. Other columns, whatever their names, are not read.
     """
@@ -156,7 +156,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                     else:
                         removed.append(0)
                         spans.append(0)
-                    kept.append(own.tobytes())
+                    left = own.tobytes()
+                    kept.append(left.decode("utf-8", "ignore").encode() if whole_characters and removed[-1] else left)
                 rows = slice(begin, begin + len(kept))
                 yield pa.RecordBatch.from_arrays([batch.column("id")[rows], pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), batch.column("rest")[rows]], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 

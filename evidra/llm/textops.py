@@ -39,8 +39,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_blocks(column: pa.Array, target: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Splits a text column into runs of rows of about `target` bytes: (first row, offsets of n + 1, UTF-8 bytes).
+def text_blocks(column: pa.Array, target: int = 1 << 17, most: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Splits a text column into runs of at most `most` rows and about `target` bytes: (first row, offsets of n + 1, UTF-8 bytes).
 
     Nulls are empty. A single longer row makes a block of its own.
     """
@@ -55,7 +55,7 @@ def text_blocks(column: pa.Array, target: int = 1 << 17) -> Iterator[tuple[int,
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + target, "right")) - 1)
-        last = min(last, len(column))
+        last = min(last, len(column), first + most)
         own = offsets[first : last + 1]
         yield first, own - own[0], data[own[0] : own[-1]]
         first = last
