@@ -1,14 +1,61 @@
-"""The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, suffix-array dedup, packing."""
+"""The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, suffix-array dedup, packing.
+
+Each stage reads all that its predecessor kept. All but the last return the columns of `documents`; the last returns
+the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidra.llm import exact_dedup, ngram_join, packing, suffix_dedup, toxicity
+from evidra.llm.storage import Workspace
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a chain trained on `labels` rejects; without labels all stay."""
+    chain = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(spark, docs, chain).where("not rejected").select("doc.*")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents equal but for the case of A-Z, the one with the largest id stays."""
+    return exact_dedup.drop_copies(spark, docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by their shingles, the one with the least id stays."""
+    return ngram_join.drop_near_copies(spark, docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes bytes of repeated 400-byte strings out of the texts; n_chars follows, null texts stay null."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "n_chars"))
+    got = suffix_dedup.remove_repeats(spark, docs, carry=rest, whole_characters=True)
+    text = F.when(F.col("rest.text").isNotNull(), F.col("kept").cast("string"))
+    new = {"doc_id": F.col("id"), "text": text, "n_chars": F.length(text).cast("bigint")}
+    return got.select(*[new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("toxicity", reject_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies), ("suffix-array dedup", cut_repeats), ("packing", pack)]
+#: A trained model and a tokenizer are no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies STAGES to documents, one after the other."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies STAGES to documents; what each stage keeps is written and read again by the next."""
+    work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = work.save(docs, f"stage-{k}")
     return docs
