@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from evidra.plans import evidence_queries
 
 FLAGSHIP = "evidence"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = dict(evidence_queries.QUERIES)
+ORACLES = dict(evidence_queries.ORACLES)
