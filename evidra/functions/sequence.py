@@ -122,7 +122,7 @@ def is_fragment(s: Column | str, least: int) -> Column:
 
 def member_set(s: Column | str, separator: str = ";") -> Column:
     """Distinct trimmed members, sorted by bytes."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(_c(s), separator), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(_c(s), separator), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def member_set_key(s: Column | str, separator: str = ";") -> Column:
@@ -141,7 +141,7 @@ def classify_group(members: Column, is_host) -> Column:
 
 def functional_values(s: Column | str) -> Column:
     """Parts between `;` and `,`, trimmed, without the signs for nothing."""
-    parts = F.transform(F.split(_c(s), "[;,]"), F.trim)
+    parts = F.transform(F.split(_c(s), "[;,]"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(parts, lambda x: ~x.isin("", "-", "NA", "N/A", "None", "nan")))
 
 

@@ -45,7 +45,7 @@ def mass_vote_join(queries: DataFrame, targets: DataFrame, k: int = 5, width: fl
     """
     def mers(df: DataFrame, name: str) -> DataFrame:
         masses = F.transform(characters(F.col("sequence")), lambda x: F.try_element_at(F.create_map(*[F.lit(v) for pair in RESIDUE_MASS.items() for v in pair]), x))
-        at = F.when(F.size(masses) >= k, F.sequence(F.lit(0), F.size(masses) - k)).otherwise(F.array().cast("array<int>"))
+        at = F.when(F.size("m") >= k, F.sequence(F.lit(0), F.size("m") - k)).otherwise(F.array().cast("array<int>"))
         made = df.select(name, masses.alias("m")).select(name, "m", F.explode(at).alias("offset"))
         total = F.aggregate(F.slice("m", F.col("offset") + 1, F.lit(k)), F.lit(0.0), lambda a, x: a + x)
         return made.select(name, "offset", F.round(total / width).cast("bigint").alias("bin")).where("bin is not null")
