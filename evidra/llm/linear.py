@@ -9,7 +9,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-5, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of logistic models, one for each column of `labels` (0 or 1), by accelerated gradient steps."""
     n, width = features.shape
     weights = np.zeros((width + 1, labels.shape[1]), np.float32)

@@ -21,9 +21,11 @@ from .textops import lower_ascii, mix, text_blocks, word_hashes
 
 #: Labelled rows and words that a fit reads at most. The bounds do not depend on the table.
 MAX_ROWS, MAX_WORDS = 8_000, 2_048
+#: Words of a lesser chi-square say nothing about any category.
+LEAST_CHI2 = 20.0
 #: The order of the chain: category, column of `labels`, value that makes it positive.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
-FOLDS, REJECT = 3, 0.5
+FOLDS, REJECT = 3, 0.3
 STEMS = (4, 5, 6)
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -127,7 +129,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN,
         share = (total[k + 1] or 0) / total[0]
         spread = F.col("n") * F.lit(share * (1 - share)) * (1 - F.col("n") / F.lit(total[0] + 1.0)) + 0.5
         scores.append(F.pow(F.col(y) - F.col("n") * F.lit(share), 2) / spread)
-    top = counted.where("n >= 3").withColumn("score", F.greatest(*scores) if len(scores) > 1 else scores[0]).orderBy(F.desc("score"), "word").limit(max_words).select("word").toArrow()
+    top = counted.where("n >= 3").withColumn("score", F.greatest(*scores) if len(scores) > 1 else scores[0]).where(F.col("score") >= LEAST_CHI2).orderBy(F.desc("score"), "word").limit(max_words).select("word").toArrow()
     known = np.sort(top["word"].to_numpy().view(np.uint64))
     shipped = spark.sparkContext.broadcast(known)
 

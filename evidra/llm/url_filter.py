@@ -16,14 +16,12 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BROADCAST_RULES = 100_000
 
 
-def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds host and path to `pages` as the struct `parts`; both are empty for null and for urls without `://`."""
+def url_parts(url_col: str) -> tuple[F.Column, F.Column]:
+    """Host and path of a url; both are empty for null and for urls without `://`."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
-    host = F.translate(F.regexp_extract(rest, r"(?s)^[^/?#]*", 0), _UPPER, _LOWER)
-    path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    return pages.withColumn("parts", F.struct(host.alias("host"), path.alias("path")))
+    return F.translate(F.regexp_extract(rest, r"(?s)^[^/?#]*", 0), _UPPER, _LOWER), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
 def _digest(host: F.Column, path: F.Column) -> F.Column:
@@ -57,23 +55,21 @@ def match(spark: SparkSession, urls: DataFrame, rules: DataFrame, n_rules: int)
 
 
 def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """Adds host, path, rule and verdict to `pages` (as the struct `found`); `default` is for urls that no rule fits.
+    """All columns of `pages` in the struct `doc`, and host, path, rule, verdict; `default` is for urls that no rule fits.
 
     Null urls and urls without `://` have an empty host and path and no rule. Equal urls are judged once, so that a
-    frequent one is one row before the shuffle; an empty table gives an empty result; other columns are kept.
+    frequent one is one row before the shuffle; repeated rows stay; an empty table gives an empty result.
     """
-    own = with_parts(pages, url_col)
-    distinct = own.select("parts.host", "parts.path").distinct()
-    best = match(spark, distinct, rules, rules.count()).withColumnsRenamed({"host": "h", "path": "p"})
-    joined = own.join(best, (F.col("parts.host") == F.col("h")) & (F.col("parts.path") == F.col("p")), "left")
-    found = F.struct(F.col("parts.host").alias("host"), F.col("parts.path").alias("path"), F.col("rule").alias("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict"))
-    return joined.withColumn("found", found).drop("parts", "h", "p", "rule", "verdict")
+    host, path = url_parts(url_col)
+    own = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("doc"), host.alias("host"), path.alias("path"))
+    best = match(spark, own.select("host", "path").distinct(), rules, rules.count())
+    return own.join(best, ["host", "path"], "left").select("doc", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES) + " AS t(action, host, path)")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return filter_urls(spark, pages, rules).select("page_id", "found.*")
+    return filter_urls(spark, pages, rules).select("doc.page_id", "host", "path", "rule", "verdict")
 
 
 OP2_SQL = """

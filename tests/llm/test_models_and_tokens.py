@@ -31,7 +31,7 @@ def test_urls(spark):
     urls = ["https://A.Example.NET/en/x?y", "http://example.net/de", "http://badexample.com/de/", "http://x.example.com/de/a#b", "http://a.org", "http://a.org/fr/", "nothing", None, "://?q", "ftp://net/", "http://net", "a://b://net/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 AS host", "2 AS rule", "3 AS h")
     rules = spark.createDataFrame(url_filter.RULES, "action string, host string, path string")
-    got = {r.page_id: (r.found.rule, r.found.verdict) for r in url_filter.filter_urls(spark, df, rules).collect()}
+    got = {r.doc.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(spark, df, rules).collect()}
     want = {0: ("example.net/en/", "allow"), 1: ("net/", "block"), 3: ("example.com/de/", "block"), 5: ("org/fr/", "allow"), 9: ("net/", "block")}
     assert got == {i: want.get(i, (None, "allow")) for i in range(len(urls))}
     assert url_filter.filter_urls(spark, df.limit(0), rules).count() == 0
@@ -141,12 +141,12 @@ def test_codewords_are_apart():
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     chain = toxicity.train(spark, docs, labels.where("doc_id % 4 <> 0"))
     got = toxicity.score(spark, docs, chain).select(F.col("doc.doc_id").alias("doc_id"), "rejected").join(labels.where("doc_id % 4 = 0"), "doc_id")
     hit, false = got.agg(F.avg(F.when(F.col("toxic") == 1, F.col("rejected").cast("int"))), F.avg(F.when(F.col("toxic") == 0, F.col("rejected").cast("int")))).first()
-    assert hit > 0.5 and false < 0.03
+    assert hit > 0.9 and false < 0.01
     odd = spark.createDataFrame([(None, None, 1), (1, "", 2)], "doc_id long, text string, p int")
     assert [r.rejected for r in toxicity.score(spark, odd, chain).collect()] == [False, False]
     assert toxicity.train(spark, docs, labels.limit(0)) is None
