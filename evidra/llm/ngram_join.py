@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .storage import KeyFilter, Workspace, partitions_for
+from .storage import KeyFilter, Workspace, partitions_for, release
 from .textops import gram_hashes, lower_ascii, mix, text_blocks, word_hashes, word_spans
 
 SHINGLE, PERCENT = 4, 85
@@ -186,6 +186,7 @@ def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, fl
                     yield from done()
                     held = 0
         yield from done()
+        release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -196,6 +197,8 @@ def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, fl
         _, _, x, y = star(a[kind == 0], b[kind == 0])
         links = np.unique(np.stack([np.concatenate([x, a[kind == 1]]), np.concatenate([y, b[kind == 1]])], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+        del parts, table, kind, a, b, x, y, links
+        release()
 
     return docs.mapInArrow(emit, "kind tinyint, a bigint, b bigint").repartition(partitions, "a").mapInArrow(gather, "a bigint, b bigint")
 
@@ -308,6 +311,7 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
                 links = list(divide_skip(sets, queries, indexed, percent, Forest(len(names))))
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.binary()), pa.array([names[j] for _, j in links], pa.binary())], names=["a", "b"])
+        release()
 
     return rows.select("block", "cls", "tokens", "query", "index").mapInArrow(run, "a binary, b binary")
 
@@ -353,7 +357,7 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     sized = work.save(own.mapInArrow(sizes, "id bigint, n bigint, cls binary"), "sizes")
     total = sized.agg(F.sum("n")).first()[0] or 0
     texts = own.select("text")
-    links = blocking_links(texts, partitions_for(spark, int(total * 0.4), 2_000_000), size, percent)
+    links = blocking_links(texts, partitions_for(spark, int(total * 0.4), 500_000), size, percent)
     blocks = work.save(connected(links, work, "blocks"), "members")
     n_members = blocks.count()
     wanted = spark.sparkContext.broadcast(KeyFilter.build(blocks.select("node"), n_members))

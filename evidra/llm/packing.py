@@ -20,11 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace, bounded_batches
+from .storage import Workspace, bounded_batches, release
 
 ROOM, END = 4096, 2
 #: Encoded words that a worker remembers at most.
-MEMORY = 1_000_000
+MEMORY = 500_000
 
 
 class WordEncoder:
@@ -111,6 +111,7 @@ def token_pieces(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_c
                         wholes.append(len(whole))
                 at = pa.array(owners, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("rid").take(at), *(pa.array(c, pa.int64()) for c in (starts, lengths, sums, wholes))], names=["id", "rid", "start", "length", "ids_crc32", "doc_tokens"])
+        release()
 
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, "id bigint, rid bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import KeyFilter, Workspace, partitions_for
+from .storage import KeyFilter, Workspace, partitions_for, release
 from .textops import byte_gram_hashes, gram_hashes, text_blocks, window_minima, word_hashes, word_spans
 
 _PLACE = np.uint64((1 << 32) - 1)
@@ -122,6 +122,7 @@ def contents(docs: DataFrame, tokens: Tokens, width: int, gram: int, keys) -> Da
                 new = [i for i, c in enumerate(cls.tolist()) if c not in seen and not seen.add(c)]
                 if new:
                     yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(cls[new]), pa.array(anchor[new].astype(np.int32)), pa.array((last - first + 1)[new].astype(np.int32)), pa.array([bytes(parts[i]) for i in new], pa.binary())], names=["key", "cls", "anchor", "windows", "content"])
+        release()
 
     return docs.select("text").mapInArrow(run, CLASS_SCHEMA)
 
@@ -145,6 +146,8 @@ def by_key(rows: DataFrame, compare: Callable[[list[tuple]], Iterator[tuple[int,
         found = compare(list(own.values()))
         while part := list(itertools.islice(found, 50_000)):
             yield _ranges(*zip(*part, strict=True))
+        del own, found
+        release()
 
     return rows.repartition(partitions, "key").mapInArrow(run, RANGE_SCHEMA)
 
