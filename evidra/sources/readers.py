@@ -11,8 +11,8 @@ from evidra.functions import sequence as S
 
 #: Columns of prediction tables: those that tell a dialect, its sequence and its score.
 DIALECTS = {
-    "alphanovo": ("peptide_prediction_detokenized_unmodified", "score"),
-    "dianovo": ("pred_seq", "pred_prob"),
+    "detokenized": ("peptide_prediction_detokenized_unmodified", "score"),
+    "vector": ("pred_seq", "pred_prob"),
     "generic": ("sequence", "score"),
 }
 LFQ_FIXED = {"peptide", "charge", "proteins", "q_value", "score", "spectral_angle"}
@@ -50,7 +50,7 @@ def fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     return counted.withColumn("sequence", F.when(F.col("n") > 1, fail("two records of ")).otherwise(F.col("sequence"))).select("header", "accession", "sequence")
 
 
-def dianovo(sequence: Column, probabilities: Column) -> Column:
+def vector_prediction(sequence: Column, probabilities: Column) -> Column:
     """Peptide and mean probability of a vector of residue probabilities; null if they do not fit.
 
     Comma lists, with or without brackets, and space lists; the latter may begin with one 0 for the path.
@@ -80,8 +80,8 @@ def predictions(spark: SparkSession, path: str, low: int = 7, high: int = 30) ->
     else:
         raise ValueError(f"{path}: no known prediction columns among {', '.join(df.columns)}")
     sample = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", "")
-    if name == "dianovo":
-        parsed = df.select(sample.alias("sample"), dianovo(F.col(seq), F.col(score)).alias("p")).where("p is not null").select("sample", "p.*")
+    if name == "vector":
+        parsed = df.select(sample.alias("sample"), vector_prediction(F.col(seq), F.col(score)).alias("p")).where("p is not null").select("sample", "p.*")
     else:
         parsed = df.select(sample.alias("sample"), F.col(seq).alias("peptide"), F.col(score).try_cast("double").alias("score"))
     parsed = parsed.withColumn("peptide", F.regexp_replace("peptide", "[^A-Z]", ""))
@@ -129,7 +129,7 @@ def abundances(spark: SparkSession, path: str, gene: str = "gene_id") -> DataFra
     return merged.withColumn("gene", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two rows of "), "gene")).cast("string")).otherwise(F.col("gene"))).drop("n")
 
 
-def eggnog(spark: SparkSession, path: str) -> DataFrame:
+def annotations(spark: SparkSession, path: str) -> DataFrame:
     """An annotation table whose header is the comment line that begins with #query; that line is a small read."""
     lines = spark.read.text(path)
     head = lines.where(F.startswith("value", F.lit("#query"))).first()

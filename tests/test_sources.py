@@ -21,7 +21,7 @@ def test_predictions_and_vectors(spark, tmp_path):
     assert [(r["sample"], r.peptide, r.score) for r in readers.predictions(spark, str(tmp_path)).orderBy("score").collect()] == [("s1", "ACDEFGHIK", 0.5), ("s1", "ACDEFGHIK", 0.7)]
     rows = [("PEP", "[0.5, 1, 0]", ("PEP", 0.5)), ("P E P", "0 0.5 0.5 0.5", ("PEP", 0.5)), ("PEP", "0.5,0.5", None), ("PEP", "1 1 2", None)]
     df = spark.createDataFrame([(i, s, p) for i, (s, p, _) in enumerate(rows)], "i int, s string, p string")
-    got = [r[0] for r in df.orderBy("i").select(readers.dianovo(F.col("s"), F.col("p"))).collect()]
+    got = [r[0] for r in df.orderBy("i").select(readers.vector_prediction(F.col("s"), F.col("p"))).collect()]
     assert [tuple(g) if g else None for g in got] == [w for _, _, w in rows]
 
 
@@ -35,7 +35,7 @@ def test_tables(spark, tmp_path):
     with pytest.raises(ValueError, match="missing columns"):
         readers.table(spark, str(tmp_path / "psm.tsv"), ["nothing"])
     (tmp_path / "egg.tsv").write_text("## made\n#query\tEC\tGOs\nq1\t1.1.1.1\t-\n## end\n")
-    assert [tuple(x) for x in readers.eggnog(spark, str(tmp_path / "egg.tsv")).collect()] == [("q1", "1.1.1.1", "-")]
+    assert [tuple(x) for x in readers.annotations(spark, str(tmp_path / "egg.tsv")).collect()] == [("q1", "1.1.1.1", "-")]
     assert readers.source_spec("UP:3:/data:*.fasta") == ("UP", 3, "/data/*.fasta")
 
 
