@@ -431,7 +431,7 @@ def picked_protein(spark, sf):
     return control.picked(table(spark, sf, "lineitem").select("l_partkey", "l_extendedprice", "l_orderkey"), "l_partkey", "l_extendedprice", "l_orderkey")
 
 
-GRID = ", ".join(f"({q})" for q in control.Q_GRID)
+GRID = ", ".join(f"({q}::DOUBLE)" for q in control.Q_GRID)
 
 
 @query("calibration", f"""
