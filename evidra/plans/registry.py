@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evidra.plans import evidence_queries
+from evidra.plans import evidence_queries, sample_queries
 
 FLAGSHIP = "evidence"
-QUERIES = dict(evidence_queries.QUERIES)
-ORACLES = dict(evidence_queries.ORACLES)
+QUERIES = evidence_queries.QUERIES | sample_queries.QUERIES
+ORACLES = evidence_queries.ORACLES | sample_queries.ORACLES
