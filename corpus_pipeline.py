@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by their shingles, the one with the least id stays."""
-    return ngram_join.drop_near_copies(spark, docs)
+    """Of each group of documents linked by their 5-word shingles at a similarity of 0.8, the one with the least id stays."""
+    return ngram_join.drop_near_copies(spark, docs, size=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ from .storage import KeyFilter, Workspace, partitions_for, release
 from .textops import gram_hashes, lower_ascii, mix, text_blocks, word_hashes, word_spans
 
 SHINGLE, PERCENT = 4, 85
+#: Of the stage that drops near copies: five words, similarity of 0.8.
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 BROADCAST_ROWS = 4_000_000
 #: Parts with fewer shingles are common among unlinked sets. They are left out by a set that has few of them: there are
 #: more parts than sets can differ in by the spare ones. A set with more small parts than those emits all its parts.
@@ -379,18 +381,18 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     return tagged.join(least, "root", "left").select("id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
     """`docs` with the row of the least id of each group of linked rows; rows without words or without an id stay.
 
     Ids to drop are broadcast up to BROADCAST_ROWS of them; more are joined by a shuffle.
     """
     work = Workspace(spark, "drop-near-copies")
-    gone = work.save(join(spark, docs, id_col, text_col).where("id <> component_id").select("id").distinct(), "gone")
+    gone = work.save(join(spark, docs, id_col, text_col, size, percent).where("id <> component_id").select("id").distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(id_col).cast("bigint").alias("id"))
     return whole.join(gone, "id", "left_anti").select("doc.*")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = join(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = join(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), size=SHINGLE, percent=PERCENT)
     return got.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -130,6 +130,25 @@ def test_ngram_join_equals_brute_force(spark, limit):
     assert got == brute_groups(rows)
 
 
+def test_near_copy_stage_takes_five_words_and_eighty_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 5, 9, 30, 100, 250]))] for _ in range(30)]
+    base[0] = [f"x{k}" for k in range(100)]
+    rows = [(0, " ".join(base[0])), (1, " ".join(base[0] + [f"y{k}" for k in range(22)])), (2, None), (3, " ")]
+    for k in range(4, 160):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = f"z{k}"
+        rows.append((k, " ".join(w + [f"t{k}-{i}" for i in range(int(len(w) * rng.choice([0, 0.1, 0.2, 0.24, 0.27])))])))
+    groups, old = brute_groups(rows, 5, 80), brute_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert got == {i for i, _ in rows if groups[i][1] == i} and 1 not in got
+    assert got != {i for i, _ in rows if old[i][1] == i}
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for n in (1, 5, 6, 7, 8, 12, 20, 40, 80, 150, 400, 1000) * 12:
