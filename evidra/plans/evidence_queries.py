@@ -123,6 +123,23 @@ def low_complexity(spark, sf):
     return pieces.select("doc_id", "k", S.is_low_complexity("p").alias("low"))
 
 
+@query("sequence_folded_whole", f"""
+WITH {SEQ} SELECT doc_id, length(sequence) AS length, sha256(translate(sequence, 'I', 'L')) AS folded_hash FROM s""")
+def sequence_folded_whole(spark, sf):
+    """The fold of sequence_scalars over whole sequences."""
+    return sequences(spark, sf).select("doc_id", F.length("sequence").cast("bigint").alias("length"), F.sha2(S.normalize_il("sequence"), 256).alias("folded_hash"))
+
+
+@query("low_complexity_whole", f"""
+WITH {SEQ}, w AS (SELECT doc_id, CAST(k AS INTEGER) AS k, substr(sequence, 1 + 12 * k, 12) AS p FROM (SELECT doc_id, sequence, unnest(range(0, (length(sequence) + 11) // 12)) AS k FROM s)),
+c AS (SELECT doc_id, k, p, max(f) AS most, count(*) AS letters FROM (SELECT doc_id, k, p, ch, count(*) AS f FROM (SELECT *, unnest(string_split(p, '')) AS ch FROM w) WHERE ch <> '' GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, k, most > 0.6 * length(p) OR (length(p) = 12 AND letters <= 2) OR (length(p) >= 10 AND substr(repeat(substr(p, 1, 2), 6), 1, length(p)) = p) AS low FROM c""")
+def low_complexity_whole(spark, sf):
+    """All windows of each sequence, the shorter last one as well."""
+    pieces = sequences(spark, sf).select("doc_id", F.posexplode(S.windows("sequence", 12)).alias("k", "p"))
+    return pieces.select("doc_id", "k", S.is_low_complexity("p").alias("low"))
+
+
 @query("quality_cascade", f"""
 WITH {SEQ}, r AS (SELECT CASE WHEN length(sequence) = 0 THEN 'empty' WHEN length(regexp_replace(sequence, '[ACDEFGHIKLMNPQRSTVWYUO]', '', 'g')) / length(sequence) > 0.05 THEN 'noncanonical'
   WHEN length(sequence) < 300 THEN 'short' WHEN length(sequence) > 10000 THEN 'long' ELSE 'kept' END AS reason FROM s)

@@ -1,5 +1,6 @@
 """Each registered query with SQL against DuckDB on the smallest tables."""
 
+import hashlib
 import math
 import os
 
@@ -45,3 +46,13 @@ def test_entry_imports():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_sequences_are_judged_and_folded(spark, tmp_path):
+    text = "ACDEFGHIKLMN" * 30 + "A" * 12 + "ACDEFGHIKLMN" + "AAAAI"
+    rows = [(1, "src1", "en", text), (2, "src1", "en", ""), (3, "src2", "en", "AI")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.k): r.low for r in registry.QUERIES["low_complexity_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(1, k): k in (30, 32) for k in range(33)} | {(3, 0): False}
+    folded = {r.doc_id: (r.length, r.folded_hash) for r in registry.QUERIES["sequence_folded_whole"](spark, str(tmp_path)).collect()}
+    assert folded == {i: (len(t), hashlib.sha256(t.replace("I", "L").encode()).hexdigest()) for i, _, _, t in rows}
