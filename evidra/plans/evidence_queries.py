@@ -86,6 +86,50 @@ def include_unmatched(spark, sf):
     return matched.withColumn("included", F.lit(False)).unionByName(extra.withColumn("included", F.lit(True)))
 
 
+def whole_windows(spark, sf, n):
+    """item_id, peptide: consecutive windows of n letters of whole benchmark texts and the last n letters of each."""
+    letters = table(spark, sf, "benchmark").select("item_id", S.normalize_sequence("text").alias("t")).where(F.length("t") >= n)
+    pieces = F.concat(F.filter(S.windows("t", n), lambda p: F.length(p) == n), F.array(F.expr(f"right(t, {n})")))
+    return letters.select("item_id", F.explode(F.array_distinct(pieces)).alias("peptide"))
+
+
+@query("evidence_whole")
+def evidence_whole(spark, sf):
+    """evidence over whole texts; the score is the share of distinct letters, which doesn't follow the place."""
+    predictions = whole_windows(spark, sf, 20).select(F.col("item_id").alias("sample"), "peptide", (F.size(F.array_distinct(S.characters(F.col("peptide")))) / 20.0).alias("score"))
+    kept = ranking.top_fraction(predictions, ["sample"], "score", 0.6)
+    hits = matching.substring_join(kept.select("peptide").distinct(), sequences(spark, sf).select(F.col("doc_id").alias("protein"), "sequence"), seed=20)
+    got = matching.evidence(hits, kept, table(spark, sf, "benchmark").count())
+    return got.select("protein", "n_hits", "n_peptides", "n_samples", *[F.round(c, 6).alias(c) for c in ("mean_score", "max_score", "support")])
+
+
+@query("substring_join_whole")
+def substring_join_whole(spark, sf):
+    return matching.substring_join(whole_windows(spark, sf, 12).select("peptide").distinct(), sequences(spark, sf).select("doc_id", "sequence"), seed=12)
+
+
+@query("include_unmatched_whole")
+def include_unmatched_whole(spark, sf):
+    """All documents: matched ones, and all others as included."""
+    matched = substring_join_whole(spark, sf).select("doc_id").distinct()
+    extra = sequences(spark, sf).select("doc_id").join(matched, "doc_id", "left_anti")
+    return matched.withColumn("included", F.lit(False)).unionByName(extra.withColumn("included", F.lit(True)))
+
+
+@query("unmatched_patterns_whole")
+def unmatched_patterns_whole(spark, sf):
+    patterns = whole_windows(spark, sf, 12).select("peptide").distinct()
+    return patterns.join(substring_join_whole(spark, sf), "peptide", "left_anti")
+
+
+@query("conserved_scan_whole")
+def conserved_scan_whole(spark, sf):
+    forward = whole_windows(spark, sf, 12).select("peptide").distinct()
+    both = forward.withColumn("reversed", F.lit(False)).unionByName(forward.select(F.reverse("peptide").alias("peptide"), F.lit(True).alias("reversed"))).distinct()
+    hits = matching.substring_join(both.select("peptide").distinct(), sequences(spark, sf).select(F.col("doc_id").alias("protein"), "sequence"), seed=12)
+    return control.conserved(both, hits).select("peptide", "reversed", "n_proteins", F.array_join(F.transform("proteins", lambda x: x.cast("string")), ",").alias("proteins"))
+
+
 @query("sequence_scalars", """
 WITH s AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents)
 SELECT doc_id, sha256(sequence) AS seq_hash, length(sequence) AS length, translate(substr(sequence, 1, 30), 'I', 'L') AS folded,
