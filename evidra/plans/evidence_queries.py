@@ -307,7 +307,7 @@ def credit_budget(spark, sf):
 def expectation(spark, sf):
     scores = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("peptide")).agg((F.max("l_quantity") / 50).alias("score"))
     lengths = table(spark, sf, "part").select(F.col("p_partkey").alias("protein"), (F.col("p_size") * 20).alias("length"))
-    return graph.expectation(edges(spark, sf), scores, lengths, rounds=4).select("protein", F.round("abundance", 6).alias("abundance"))
+    return graph.expectation(edges(spark, sf), scores, lengths).select("protein", F.round("abundance", 6).alias("abundance"))
 
 
 def sparse_edges(spark, sf):
@@ -586,6 +586,46 @@ def spearman(spark, sf):
     return compare.spearman(a.withColumnRenamed("v", "x").join(b.withColumnRenamed("v", "y"), "k"), "x", "y").withColumn("spearman", F.round("spearman", 6))
 
 
+def halves(spark, sf):
+    """All of lineitem in two arms: odd suppliers and even ones."""
+    own = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_partkey").alias("k"), "l_extendedprice")
+    return [own.where(F.col("l_suppkey") % 2 == r).groupBy("k").agg(F.sum("l_extendedprice").alias("v")) for r in (1, 0)]
+
+
+def by_halves(name: str) -> str:
+    """The SQL of a comparison with odd and even suppliers as its arms."""
+    return ORACLES[name].replace("l_suppkey % 10 = 1", "l_suppkey % 2 = 1").replace("l_suppkey % 10 = 2", "l_suppkey % 2 = 0")
+
+
+@query("universe_whole", by_halves("universe"))
+def universe_whole(spark, sf):
+    a, b = halves(spark, sf)
+    return compare.universe(a.select("k"), b.select("k"), table(spark, sf, "part").select(F.col("p_partkey").alias("k")), "k")
+
+
+@query("overlap_whole", by_halves("overlap"))
+def overlap_whole(spark, sf):
+    got = compare.overlap(*halves(spark, sf), "k")
+    return got.select("n_left", "n_right", "n_both", *[F.round(c, 8).alias(c) for c in ("gain_percent", "jaccard", "coverage")])
+
+
+@query("log_correlation_whole", by_halves("log_correlation"))
+def log_correlation_whole(spark, sf):
+    return compare.log_correlation(*halves(spark, sf), "k", "v").withColumn("pearson", F.round("pearson", 6))
+
+
+@query("arm_metrics_whole", by_halves("arm_metrics"))
+def arm_metrics_whole(spark, sf):
+    got = compare.arm_metrics(*halves(spark, sf), "k", "v")
+    return got.select("gained", "lost", "retained", F.round("median_log2", 6).alias("median_log2"), F.round("median_abs_log2", 6).alias("median_abs_log2"))
+
+
+@query("spearman_whole", by_halves("spearman"))
+def spearman_whole(spark, sf):
+    a, b = halves(spark, sf)
+    return compare.spearman(a.withColumnRenamed("v", "x").join(b.withColumnRenamed("v", "y"), "k"), "x", "y").withColumn("spearman", F.round("spearman", 6))
+
+
 @query("lost_genes", """
 WITH c AS (SELECT l_partkey AS gene, l_orderkey AS peptide FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT l_partkey AS gene, l_orderkey AS peptide FROM lineitem WHERE l_returnflag = 'R' AND l_discount <= 0.02)
 SELECT c.gene, count(DISTINCT c.peptide) AS n_peptides, count(DISTINCT c.peptide) FILTER (c.peptide IN (SELECT peptide FROM r)) AS n_found_elsewhere FROM c WHERE c.gene NOT IN (SELECT gene FROM r) GROUP BY c.gene""")

@@ -85,3 +85,17 @@ def test_whole_benchmark_texts_are_searched(spark, tmp_path):
         kept |= {p for p in own if len(set(p)) >= len(set(own[math.ceil(0.6 * len(own)) - 1]))} if own else set()
     hits = {i: (sum(d.startswith(p, k) for p in kept for k in range(len(d))), sum(p in d for p in kept)) for i, d in docs.items()}
     assert {r.protein: (r.n_hits, r.n_peptides) for r in run("evidence_whole")} == {i: h for i, h in hits.items() if h[0]} and 7 in {r.protein for r in run("evidence_whole")}
+
+
+def test_expectation_query_runs_the_default_rounds(spark, monkeypatch):
+    from evidra.operators import graph
+
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, f=graph.cut: cuts.append(1) or f(df))
+    got = {r.protein: r.abundance for r in registry.QUERIES["expectation"](spark, SF).collect()}
+    assert len(cuts) == 11 and got and max(got.values()) == 1.0
+
+
+def test_halves_leave_no_sold_part_out(spark, duck):
+    sold = duck.sql("SELECT count(DISTINCT l_partkey) FROM lineitem JOIN part ON p_partkey = l_partkey").fetchall()[0][0]
+    assert registry.QUERIES["universe_whole"](spark, SF).where("status <> 'neither'").count() == sold
