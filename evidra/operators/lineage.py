@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from evidra.session import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of `df` in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        folder = "file://" + tempfile.mkdtemp(prefix="evidra-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    """A checkpoint of `df` in the folder of spark.checkpoint.dir; see `shared_dir` for sessions without one."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
