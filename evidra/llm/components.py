@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from .storage import Workspace
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """edges: a > b, for the step in question keyed by `a`: all neighbours of `a`, and `a`, point to the least."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    return edges.join(least, "a")
+def _star(edges: DataFrame, salts: int) -> DataFrame:
+    """edges: a > b, for the step in question keyed by `a`: adds the least neighbour of `a`.
+
+    Minima are taken by (a, salt of b) and then by a; they come back by (a, salt), so that a hub's edges lie in as
+    many tasks as there are salts.
+    """
+    salted = edges.withColumn("salt", F.expr(f"pmod(xxhash64(b), {salts})").cast("int"))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("low"))
+    least = parts.groupBy("a").agg(F.min("low").alias("least"), F.collect_set("salt").alias("salts"))  # `salts` values at most
+    return salted.join(least.select("a", "least", F.explode("salts").alias("salt")), ["a", "salt"]).drop("salt")
 
 
 def connected(edges: DataFrame, work: Workspace, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -22,11 +28,12 @@ def connected(edges: DataFrame, work: Workspace, name: str = "components", round
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = work.save(now, f"{name}-0")
+    salts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
     before = None
     for k in range(1, rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
-        small = _star(large)
+        large = _star(both, salts).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        small = _star(large, salts)
         nxt = small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(small.select("a", F.col("least").alias("b"))).distinct()
         nxt = work.save(nxt, f"{name}-{k}")
         sign = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -32,13 +32,13 @@ def normalised(text: str) -> F.Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)
 
 
-_PLACE = ("_metadata.file_path AS file", "_metadata.row_index AS row")
+PLACE = ("_metadata.file_path AS file", "_metadata.row_index AS row")
 
 
 def in_files(docs: DataFrame, work: Workspace) -> DataFrame:
     """`docs` itself if its rows have places in files, else a table of them."""
     try:
-        docs.selectExpr(*_PLACE)
+        docs.selectExpr(*PLACE)
         return docs
     except AnalysisException:
         return work.save(docs, "source")
@@ -47,7 +47,7 @@ def in_files(docs: DataFrame, work: Workspace) -> DataFrame:
 def located(docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> DataFrame:
     """id, file, row, text. Files name the content's place; tables that are no files are written first."""
     own = [F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")]
-    return in_files(docs, work).select(*own, *map(F.expr, _PLACE))
+    return in_files(docs, work).select(*own, *map(F.expr, PLACE))
 
 
 def _digest(bits: int) -> F.Column:
@@ -131,7 +131,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     docs = in_files(docs, work)
     place = F.struct(F.xxhash64("file"), F.xxhash64("file", "row"), F.col("row"))
     gone = work.save(dedup(spark, docs, id_col, text_col).where("not kept").select(place.alias("place")), "gone")
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), *map(F.expr, _PLACE)).select("doc", place.alias("place"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), *map(F.expr, PLACE)).select("doc", place.alias("place"))
     return whole.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "place", "left_anti").select("doc.*")
 
 

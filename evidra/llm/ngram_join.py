@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .storage import KeyFilter, Workspace, partitions_for, release
+from .exact_dedup import PLACE, in_files
+from .storage import KeyFilter, Workspace, join_hot, partitions_for, release
 from .textops import gram_hashes, lower_ascii, mix, text_blocks, word_hashes, word_spans
 
 SHINGLE, PERCENT = 4, 85
@@ -340,23 +341,26 @@ def _large_blocks(members: DataFrame, work: Workspace, percent: int, chunk: int)
     return links.unionByName(_search(second.repartition(partitions, "block"), percent))
 
 
-def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block_limit: int = 2000) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block_limit: int = 2000, carry: str | None = None) -> DataFrame:
     """Links documents whose sets of distinct `size`-word shingles have a Jaccard similarity of `percent` / 100 or more.
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; fewer than `size` words make one shingle. Returns one row
     for each row of `docs`: id, n_shingles, cls (16 bytes, the same for equal sets, empty for none), component_id (the
     least id reachable by links; a row without words, null text included, is linked with nothing and has its own id;
-    null ids count only where there is no other). An empty table gives an empty result. Other columns are not read.
+    null ids count only where there is no other). With `carry`, that column comes along as `carried`, and `root` tells
+    the group. An empty table gives an empty result. Other columns are not read.
     """
     work = Workspace(spark, "ngram-join")
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    carried = F.col(carry) if carry else F.lit(0)
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, offsets, values in shingle_sets(batch.column("text"), size):
-                yield pa.RecordBatch.from_arrays([batch.column("id")[begin : begin + len(offsets) - 1], pa.array(np.diff(offsets)), pa.array(class_ids(offsets, values), pa.binary())], names=["id", "n", "cls"])
+                rows = slice(begin, begin + len(offsets) - 1)
+                yield pa.RecordBatch.from_arrays([batch.column("id")[rows], pa.array(np.diff(offsets)), pa.array(class_ids(offsets, values), pa.binary()), batch.column("carried")[rows]], names=["id", "n", "cls", "carried"])
 
-    sized = work.save(own.mapInArrow(sizes, "id bigint, n bigint, cls binary"), "sizes")
+    sized = work.save(own.mapInArrow(sizes, f"id bigint, n bigint, cls binary, carried {own.schema['carried'].dataType.simpleString()}"), "sizes")
     total = sized.agg(F.sum("n")).first()[0] or 0
     texts = own.select("text")
     links = blocking_links(texts, partitions_for(spark, int(total * 0.4), 500_000), size, percent)
@@ -374,23 +378,34 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     if large:
         exact = exact.unionByName(_large_blocks(members.where(f"n > {block_limit}"), work, percent, block_limit // 2))
     roots = connected(exact, work, "links")
-    tagged = sized.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+    counts = work.save(sized.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).join(roots, F.col("cls") == F.col("node")).select("cls", "root", "k"), "class-roots")
+    tagged = join_hot(sized, counts, ["cls"], "k", sized.count(), "left").drop("k").withColumn("root", F.coalesce("root", "cls"))
     tagged = work.save(tagged, "tagged")
-    work.drop("sizes", "sets", "dealt", "pivot-links", "labelled", "apart")
-    least = tagged.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    return tagged.join(least, "root", "left").select("id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    work.drop("sizes", "sets", "dealt", "pivot-links", "labelled", "apart", "class-roots")
+    least = tagged.where("n > 0").groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    joined = join_hot(tagged, least, ["root"], "k", tagged.count(), "left")
+    component = F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.col("least")).otherwise(F.col("id"))
+    return joined.select("id", F.col("n").alias("n_shingles"), "cls", component.alias("component_id"), *(["carried", "root"] if carry else []))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
-    """`docs` with the row of the least id of each group of linked rows; rows without words or without an id stay.
+    """`docs` with one row of each group of linked rows: of those with the least id, the first by file and row.
 
-    Ids to drop are broadcast up to BROADCAST_ROWS of them; more are joined by a shuffle.
+    Rows without words stay. Rows are told apart by their place, not by their id, so that repeated ids and rows lose
+    nothing that isn't linked; null ids come last. Places to drop are broadcast up to BROADCAST_ROWS of them; more are
+    joined by a shuffle.
     """
     work = Workspace(spark, "drop-near-copies")
-    gone = work.save(join(spark, docs, id_col, text_col, size, percent).where("id <> component_id").select("id").distinct(), "gone")
+    docs = in_files(docs, work)
+    place = F.struct(F.xxhash64("file"), F.xxhash64("file", "row"), F.col("row"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *map(F.expr, PLACE)).select("doc", "id", "text", place.alias("place"))
+    linked = work.save(join(spark, whole.select("id", "text", "place"), "id", "text", size, percent, carry="place").where("n_shingles > 0").select("carried", "id", "root"), "linked")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("carried"))
+    first = linked.groupBy("root").agg(F.min_by("carried", order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = join_hot(linked, first, ["root"], "n", linked.count()).where("carried <> first").select(F.col("carried").alias("place"))
+    gone = work.save(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(id_col).cast("bigint").alias("id"))
-    return whole.join(gone, "id", "left_anti").select("doc.*")
+    return whole.select("doc", "place").join(gone, "place", "left_anti").select("doc.*")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,22 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
+from evidra.session import shared_dir
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
-    found = spark.conf.get(_SETTING, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="evidra-")
-        atexit.register(shutil.rmtree, found[7:], True)
-        spark.conf.set(_SETTING, found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """Limits Arrow batches by bytes, so that long texts don't fill a Python worker; an own setting is left alone."""
     if not spark.conf.get(_BATCH, None):
@@ -101,6 +88,23 @@ class KeyFilter:
         return (self.bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", most: int = 4096) -> DataFrame:
+    """`left` joined with `right`, whose keys are unique, without dealing a frequent key's rows to one task.
+
+    weight: a column of `right`, the number of rows of `left` with the key; total: rows of `left`. Keys with more than
+    total / most rows number less than `most`, so they are broadcast whatever the size; the others are shuffled. `how`
+    is inner or left. `left` should be a saved table, as it is read twice.
+    """
+    rest = [c for c in right.columns if c not in keys]
+    frequent = F.col(weight) * most > total
+    hot = F.broadcast(right.where(frequent).select(*keys, F.struct(*rest).alias("__hot")))
+    marked = left.join(hot, keys, "left")
+    columns = [*left.columns, *rest]
+    warm = marked.where("__hot is not null").select(*left.columns, *[F.col("__hot")[c].alias(c) for c in rest])
+    cold = marked.where("__hot is null").drop("__hot").join(right.where(~frequent), keys, how)
+    return warm.select(*columns).unionByName(cold.select(*columns))
+
+
 def release() -> None:
     """Gives memory that a finished task has freed back to the system; workers are used again by other operators."""
     pa.default_memory_pool().release_unused()
