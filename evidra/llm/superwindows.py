@@ -9,7 +9,8 @@ have the same anchor gram, so
 2. super-windows whose (key, cls) occurs twice hold repeated windows only;
 3. of keys with several contents, one copy of each content goes, by key, to a task that looks inside: the caller
    compares contents there by its own method. Keys with more than `hot` contents, which could overfill a task,
-   are split further: their windows are counted one by one by hash, with partial sums before the shuffle.
+   are split further: by a second anchor (`split`), so that the same method works on smaller groups, or, where that
+   does not part them either, by counting their windows one by one by hash, with partial sums before the shuffle.
 
 Nothing is sampled or capped: each window is decided by exactly one of these three ways.
 """
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import KeyFilter, Workspace, partitions_for, release
-from .textops import byte_gram_hashes, gram_hashes, text_blocks, window_minima, word_hashes, word_spans
+from .textops import byte_gram_hashes, gram_hashes, mix, text_blocks, window_minima, word_hashes, word_spans
 
 _PLACE = np.uint64((1 << 32) - 1)
+_SECOND = np.uint64(0x5851F42D4C957F2D)
 RUN_SCHEMA = "id bigint, rid bigint, first int, last int, key bigint, cls bigint"
 CLASS_SCHEMA = "key bigint, cls bigint, anchor int, windows int, content binary"
 RANGE_SCHEMA = "key bigint, cls bigint, lo int, hi int, node bigint"
@@ -152,6 +154,38 @@ def by_key(rows: DataFrame, compare: Callable[[list[tuple]], Iterator[tuple[int,
     return rows.repartition(partitions, "key").mapInArrow(run, RANGE_SCHEMA)
 
 
+SPLIT_SCHEMA = "key bigint, cls bigint, first int, sub_key bigint, sub_cls bigint, anchor int, windows int, content binary"
+
+
+def split(rows: DataFrame, tokens: Tokens, width: int, gram: int) -> DataFrame:
+    """Contents of frequent keys (CLASS_SCHEMA, distinct) cut into super-windows by another order of their grams.
+
+    Windows that are equal have equal second anchors too, so they meet under one sub_key; `first` is the place of the
+    cut in the content it is from.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = tokens.unit
+        for batch in batches:
+            found = []
+            for key, cls, _, _, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                units = np.frombuffer(content, np.uint64 if tokens.words else np.uint8)
+                grams = mix((gram_hashes if tokens.words else byte_gram_hashes)(units, gram) ^ _SECOND)
+                _, first, last, anchor = super_windows(np.array([0, len(units)]), grams, width, gram)
+                for lo, hi, at in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True):
+                    part = content[lo * unit : (hi + width) * unit]
+                    found.append((key, cls, lo, int(mix(grams[at : at + 1] ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)).view(np.int64)[0]), _signed(xxhash.xxh3_64_intdigest(part)), at - lo, hi - lo + 1, part))
+            if found:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=[f.split()[0] for f in SPLIT_SCHEMA.split(", ")])
+
+    return rows.mapInArrow(run, SPLIT_SCHEMA)
+
+
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
 def _ranges(*columns) -> pa.RecordBatch:
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "cls", "lo", "hi", "node"])
