@@ -7,6 +7,7 @@ words of one stem share a beginning.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, sigmoid
-from .storage import Workspace, bounded_batches
+from .storage import Workspace, bounded_batches, release
 from .textops import lower_ascii, mix, text_blocks, word_hashes
 
 #: Labelled rows and words that a fit reads at most. The bounds do not depend on the table.
@@ -65,45 +66,56 @@ def letter_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate([r for r, _ in found]), np.concatenate([h for _, h in found])
 
 
-def _features(rows: np.ndarray, hashes: np.ndarray, n: int, words: np.ndarray) -> np.ndarray:
+def _found(rows: np.ndarray, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place among the known words and log(1 + count) of each known word of each row."""
     if not len(words):
-        return np.zeros((n, 0), np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
     hit = words[at] == hashes
-    counts = np.bincount(rows[hit] * len(words) + at[hit], minlength=n * len(words)).reshape(n, len(words))
-    return np.log1p(counts).astype(np.float32)
+    cells, counts = np.unique(rows[hit] * len(words) + at[hit], return_counts=True)
+    return cells // len(words), cells % len(words), np.log1p(counts).astype(np.float32)
+
+
+def _features(rows: np.ndarray, hashes: np.ndarray, n: int, words: np.ndarray) -> np.ndarray:
+    out = np.zeros((n, len(words)), np.float32)
+    r, at, value = _found(rows, hashes, words)
+    out[r, at] = value
+    return out
 
 
 def fit_chain(features: np.ndarray, labels: np.ndarray, words: np.ndarray, folds: int = FOLDS) -> Chain:
-    """labels: a column for each category, in the chain's order; rows are dealt to folds in turn."""
-    scales = np.ones(len(words), np.float32)
-    x, fold = features, np.arange(len(features)) % folds
+    """labels: a column for each category, in the chain's order; rows are dealt to folds in turn.
+
+    features: float32, a column for each word and, after those, one to be filled for each category but the last.
+    """
+    fold = np.arange(len(features)) % folds
     models = []
     for k in range(labels.shape[1]):
+        x = features[:, : len(words) + k]
         y = labels[:, k : k + 1].astype(np.float32)
         weights, bias = fit_logistic(x, y)
         models.append((weights[:, 0], float(bias[0])))
         if k == labels.shape[1] - 1:
             break
-        held = np.zeros(len(x), np.float32)
         for f in range(folds):
-            w, b = fit_logistic(x[fold != f], y[fold != f])
-            held[fold == f] = sigmoid(x[fold == f] @ w[:, 0] + b[0])
-        x = np.concatenate([x, held[:, None]], 1)
-    return Chain(words, scales, models)
+            w, b = fit_logistic(x, y, held=fold == f)
+            features[fold == f, len(words) + k] = sigmoid(x[fold == f] @ w[:, 0] + b[0])
+    return Chain(words, np.ones(len(words), np.float32), models)
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Chain | None:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
     """Fits a chain on at most `max_rows` labelled documents, those with the least hash of their id, and whole texts.
 
-    Rows without an id or with a null label are left out; of an id's labels the largest count; of documents with one
-    id all count. None if nothing is labelled.
+    `labels` has `id_col` too. Rows without an id or with a null label are left out; of an id's labels the largest
+    count; of documents with one id, the `max_rows` rows with the least hash of id and text. None if nothing is
+    labelled. Other columns are not read.
     """
     work = Workspace(spark, "toxicity")
-    ids = labels.dropna(subset=["doc_id", *(c for _, c, _ in chain)]).groupBy("doc_id").agg(*[F.max((F.col(c) == v).cast("int")).alias(f"y{k}") for k, (_, c, v) in enumerate(chain)])
+    ids = labels.dropna(subset=[id_col, *(c for _, c, _ in chain)]).groupBy(F.col(id_col).alias("doc_id")).agg(*[F.max((F.col(c) == v).cast("int")).alias(f"y{k}") for k, (_, c, v) in enumerate(chain)])
     sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded: may be broadcast
     ys = [f"y{k}" for k in range(len(chain))]
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.orderBy(F.xxhash64("doc_id", "text")).limit(max_rows)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,20 +149,33 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain=CHAIN,
         for batch in batches:
             for begin, offsets, data in text_blocks(batch.column("text")):
                 n = len(offsets) - 1
-                own = _features(*letter_words(offsets, data), n, shipped.value).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin : begin + n], *(batch.column(c)[begin : begin + n] for c in ys), pa.array([r.tobytes() for r in own], pa.binary())], names=["doc_id", *ys, "x"])
+                r, at, value = _found(*letter_words(offsets, data), shipped.value)
+                ends = np.searchsorted(r, np.arange(n + 1))
+                at, value = at.astype("<u2"), value.astype("<f2")
+                rows = [at[a:b].tobytes() + value[a:b].tobytes() for a, b in itertools.pairwise(ends.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin : begin + n], *(batch.column(c)[begin : begin + n] for c in ys), pa.array(rows, pa.binary())], names=["doc_id", *ys, "x"])
 
     got = texts.mapInArrow(features, f"doc_id bigint, {types}, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").toArrow()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(got.num_rows, len(known)).astype(np.float32)
+    x = np.zeros((got.num_rows, len(known) + len(ys) - 1), np.float32)
+    for i, row in enumerate(got["x"]):
+        own = row.as_buffer()
+        half = own.size // 2
+        x[i, np.frombuffer(own, "<u2", half // 2)] = np.frombuffer(own, "<f2", half // 2, half)
+    y = np.stack([got[c].to_numpy() for c in ys], 1)
+    del got
     work.drop("sample")
-    return fit_chain(x, np.stack([got[c].to_numpy() for c in ys], 1), known)
+    chain_made = fit_chain(x, y, known)
+    del x
+    release()
+    return chain_made
 
 
 def score(spark: SparkSession, docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", categories=CHAIN, reject: float = REJECT) -> DataFrame:
     """All columns of `docs` in the struct `doc`, p (a probability for each category) and rejected (the last's >= reject).
 
     Each row of `docs` is scored by its whole text, null as empty; rows without a known word have the probability of
-    the bias. Without a chain nothing is rejected and p is null.
+    the bias; equal texts, ties and repeated rows included, have equal probabilities. Without a chain nothing is
+    rejected and p is null. An empty table gives an empty result; columns of other names are carried and not read.
     """
     bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(chain)
