@@ -9,25 +9,23 @@ flags the document as ambiguous.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic
 from .storage import bounded_batches
 from .textops import lower_ascii, text_blocks
 
-#: Labelled documents that a fit reads at most, and hash buckets of n-grams. The bounds do not depend on the table.
+#: Labelled documents that a fit reads, in equal parts for each language (one at least), and hash buckets of n-grams.
 MAX_ROWS, BUCKETS = 3_000, 4_096
-#: Languages that a model knows at most: the most frequent ones of the sample.
-MAX_LANGUAGES = 200
 AMBIGUOUS = 0.2
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 @dataclass
@@ -57,9 +55,15 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         columns = [c for c in itertools.product((-1, 1), repeat=n) if c[0] == 1 and -1 in c]
         return np.array(columns, np.int8).reshape(-1, n).T
     rng, bits = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n)))
-    tries = [rng.choice(np.array([-1, 1], np.int8), (n, bits)) for _ in range(50)]
+    tries = [rng.choice(np.array([-1, 1], np.int8), (n, bits)) for _ in range(50 if n <= 300 else 3)]
     tries = [t for t in tries if not (np.abs(t.sum(0)) == n).any()] or tries
-    return max(tries, key=lambda t: min((a != b).sum() for a, b in itertools.combinations(t, 2)))
+
+    def closest(t: np.ndarray) -> float:  # the least distance of two codewords, by their inner products
+        alike = t.astype(np.float32) @ t.T.astype(np.float32)
+        np.fill_diagonal(alike, -bits)
+        return -float(alike.max())
+
+    return max(tries, key=closest)
 
 
 def features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -78,18 +82,18 @@ def features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, languages: list[str]) -> Model | None:
+    """x is scaled in place."""
     if not languages:
         return None
-    names, counts = np.unique(np.array(languages, object), return_counts=True)
-    names = sorted(names[np.argsort(-counts, kind="stable")][:MAX_LANGUAGES].tolist())
+    names = sorted(set(languages))
     place = {name: i for i, name in enumerate(names)}
-    kept = np.array([l in place for l in languages])
-    x, y = x[kept], np.array([place[l] for l in languages if l in place])
+    y = np.array([place[l] for l in languages])
     code = codewords(len(names))
     if len(names) == 1:
         return Model(names, code, np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros((1, 0)))
-    weights, bias = fit_logistic(x * 8, (code[y] > 0).astype(np.float32), penalty=1e-4, steps=200)
-    right = (x * 8 @ weights + bias) * code[y] > 0
+    x *= 8
+    weights, bias = fit_logistic(x, (code[y] > 0).astype(np.float32), penalty=1e-4, steps=200)
+    right = (x @ weights + bias) * code[y] > 0
     trust = np.stack([right[y == k].mean(0) for k in range(len(names))])
     trust = np.maximum(trust, 1e-3)
     return Model(names, code, weights * 8, bias, trust / trust.sum(1, keepdims=True))
@@ -100,17 +104,22 @@ def held_out(id_col: str) -> F.Column:
 
 
 def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Model | None:
-    """Learns from text and non-null language of documents that aren't held out: the `max_rows` with the least hash.
+    """Learns from text and non-null language of documents that aren't held out.
 
-    None if there is no such document.
+    Of each language the same number of documents is read, max_rows by the number of languages and one at least: those
+    with the least hash of their id. So no language is left out, however rare, and frequent ones don't fill the
+    sample. Repeated ids and rows count as others do, up to that number. None if there is no such document.
     """
     bounded_batches(spark)
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    key = F.xxhash64(F.col(id_col).cast("bigint"))
-    edge = usable.select(key.alias("key")).orderBy("key").limit(max_rows).agg(F.max("key")).first()[0]
-    if edge is None:
+    own = usable.select(F.xxhash64(F.col(id_col).cast("bigint")).alias("key"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    n_languages = own.agg(F.count_distinct("lang")).first()[0]
+    if not n_languages:
         return None
-    sample = usable.where(key <= edge).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    each = max(1, max_rows // n_languages)
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("key"))  # limited to `each` rows within tasks first
+    edges = own.select("lang", "key").withColumn("n", least).where(F.col("n") <= each).groupBy("lang").agg(F.max("key").alias("edge"))
+    sample = own.join(edges, "lang").where("key <= edge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +127,8 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 n = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays([batch.column("id")[begin : begin + n], batch.column("lang")[begin : begin + n], pa.array([r.astype(np.float16).tobytes() for r in features(offsets, data)], pa.binary())], names=["id", "lang", "x"])
 
-    got = sample.mapInArrow(run, "id bigint, lang string, x binary").orderBy(F.xxhash64("id"), "id", "lang", "x").limit(max_rows).toArrow()
+    made = sample.mapInArrow(run, "id bigint, lang string, x binary").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "x")))
+    got = made.where(F.col("n") <= each).orderBy(F.xxhash64("id"), "id", "lang", "x").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(got.num_rows, BUCKETS).astype(np.float32)
     return fit(x, got["lang"].to_pylist())
 
@@ -126,7 +136,7 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, lang_pred, score (0 to 1), ambiguous of each row of `docs`, by its whole text alone.
 
-    `und` with score 0 where the text is null or has no letter, and everywhere if there is no model. An empty table
+    `und` with score 0 where the text is null or has no letter (\\p{L}), and everywhere if there is no model. An empty table
     gives an empty result; a null id is not held out. Other columns are not read.
     """
     bounded_batches(spark)
