@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import join_hot
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Rules up to this many are broadcast; more are joined by a shuffle on the hash prefix.
@@ -29,21 +31,21 @@ def _digest(host: F.Column, path: F.Column) -> F.Column:
 
 
 def match(spark: SparkSession, urls: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
-    """urls: host, path, distinct. rules: host, path, action. The winning rule of each url that has one.
+    """urls: host, path (distinct), n. rules: host, path, action. The winning rule of each url that has one, with its n.
 
-    A rule fits its host and all subdomains of it, if the path starts with the rule's. Path prefixes are taken at the
-    lengths that rules have. The longest rule wins, by host and path together, then by host; `block` wins a tie.
+    A rule fits its host and all subdomains of it, if the path starts with the rule's. Host suffixes are taken at the
+    numbers of labels that rules have, path prefixes at their lengths, so a long url costs no more than its reading.
+    The longest rule wins, by host and path together, then by host; `block` wins a tie.
     """
-    lengths = rules.agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = lambda host: F.size(F.split(host, r"\.", -1))
+    shapes = rules.agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"), F.sort_array(F.collect_set(labels(F.col("host")))).alias("labels"))
+    suffixes = F.transform(F.filter("labels", lambda n: n <= labels(F.col("host"))), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expanded = (
-        urls.where("host <> ''")
-        .crossJoin(F.broadcast(lengths))  # one row
-        .select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
-        .select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
-        .select("host", "path", _digest(F.col("suffix"), F.col("prefix")).alias("digest"))
+        urls.crossJoin(F.broadcast(shapes))  # one row
+        .select("host", "path", "n", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
+        .select("host", "path", "n", "suffix", F.explode("prefixes").alias("prefix"))
+        .select("host", "path", "n", _digest(F.col("suffix"), F.col("prefix")).alias("digest"))
         .withColumn("short", F.substring("digest", 1, 8))
     )
     keyed = rules.select(F.struct(F.length("host") + F.length("path"), F.length("host"), F.col("action") == "block", F.concat("host", "path"), "action").alias("rule"), _digest(F.col("host"), F.col("path")).alias("full"))
@@ -51,19 +53,25 @@ def match(spark: SparkSession, urls: DataFrame, rules: DataFrame, n_rules: int)
     if n_rules <= BROADCAST_RULES:
         keyed = F.broadcast(keyed)
     hits = expanded.join(keyed, "short").where("digest = full")
-    return hits.groupBy("host", "path").agg(F.max("rule").alias("best")).select("host", "path", F.col("best.col4").alias("rule"), F.col("best.action").alias("verdict"))
+    return hits.groupBy("host", "path").agg(F.max("rule").alias("best"), F.first("n").alias("n")).select("host", "path", "n", F.col("best.col4").alias("rule"), F.col("best.action").alias("verdict"))
 
 
 def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """All columns of `pages` in the struct `doc`, and host, path, rule, verdict; `default` is for urls that no rule fits.
 
-    Null urls and urls without `://` have an empty host and path and no rule. Equal urls are judged once, so that a
-    frequent one is one row before the shuffle; repeated rows stay; an empty table gives an empty result.
+    Null urls and urls without `://` have an empty host and path and no rule; an empty host is joined with nothing.
+    Equal urls are judged once and counted, and the verdicts of frequent ones come back by broadcast, so that no task
+    gets all rows of one url; repeated rows stay; an empty table gives an empty result. Ties of rules see `match`.
     """
     host, path = url_parts(url_col)
     own = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("doc"), host.alias("host"), path.alias("path"))
-    best = match(spark, own.select("host", "path").distinct(), rules, rules.count())
-    return own.join(best, ["host", "path"], "left").select("doc", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    named = own.where("host <> ''")
+    urls = named.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    best = match(spark, urls, rules, rules.count())
+    judged = join_hot(named, best, ["host", "path"], "n", pages.count(), "left").drop("n")
+    none = F.lit(None).cast("string")
+    every = judged.unionByName(own.where("host = ''").select("doc", "host", "path", none.alias("rule"), none.alias("verdict")))
+    return every.select("doc", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
