@@ -6,7 +6,8 @@ can be equal meet in one task. There, non-branching runs of edges become *fragme
 fragment, wherever it occurs. Spark joins then compact the graph: repeated fragments are glued where each occurrence
 of the one is followed by the other and each occurrence of the other preceded by the one. Each occurrence of a glued
 path is a span in source coordinates; at the end the words at those coordinates are read again, and a span counts as
-repeated only where another occurrence of its path has the same words.
+repeated only where another occurrence of its path has the same words. Which words go is settled by the counts of
+fragments; gluing makes the spans that are read again few and long.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, join_hot
 from .suffix_dedup import covered
 from .superwindows import Tokens, by_key, find, one_by_one, prepared
 from .textops import gram_hashes, text_blocks
@@ -74,11 +75,11 @@ def fragments(spark: SparkSession, docs: DataFrame, work: Workspace, width: int,
         inner = inner.withColumn("inner", F.lit(True))
         whole = runs.join(inner, ["key", "cls"], "left").select("id", "rid", (F.col("first") + F.coalesce("lo", F.lit(0))).alias("lo"), F.when(F.col("inner"), F.col("first") + F.col("hi")).otherwise(F.col("last")).alias("hi"), F.coalesce("node", "cls").alias("node"))
     occurrences = work.save(whole, "occurrences")
-    counts = occurrences.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return occurrences.join(counts, "node")
+    counts = work.save(occurrences.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    return join_hot(occurrences, counts, ["node"], "n", occurrences.count())
 
 
-def compact(found: DataFrame) -> DataFrame:
+def compact(found: DataFrame, work: Workspace) -> DataFrame:
     """found: id, rid, lo, hi, node, n. Occurrences of glued paths: id, rid, lo, hi, path.
 
     Successors are those in source coordinates. One aggregation counts links; a link as frequent as both its ends is
@@ -87,9 +88,10 @@ def compact(found: DataFrame) -> DataFrame:
     place = Window.partitionBy("id", "rid").orderBy("lo", "hi")
     follows = F.lead("lo").over(place) == F.col("hi") + 1
     linked = found.withColumns({"next": F.when(follows, F.lead("node").over(place)), "next_n": F.when(follows, F.lead("n").over(place))})
+    linked = work.save(linked, "linked")
     links = linked.where("n = next_n").groupBy("node", "next").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"))
-    glue = links.where("times = n").select("node", "next", F.lit(True).alias("glued"))
-    marked = linked.drop("n", "next_n").join(glue, ["node", "next"], "left")
+    glue = work.save(links.where("times = n").select("node", "next", "times", F.lit(True).alias("glued")), "glue")
+    marked = join_hot(linked.drop("n", "next_n"), glue, ["node", "next"], "times", linked.count(), "left").drop("times")
     start = F.when(F.lag("glued").over(place), 0).otherwise(1)
     parts = marked.withColumn("start", start).withColumn("part", F.sum("start").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     return parts.groupBy("id", "rid", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by("node", "lo").alias("path")).drop("part")
@@ -139,10 +141,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     work = Workspace(spark, "debruijn")
     own = prepared(docs, id_col, text_col)
     found = work.save(fragments(spark, own, work, width, gram, hot), "fragments")
-    work.drop("keys", "contents", "kept", "occurrences")
+    work.drop("keys", "contents", "kept", "occurrences", "counts")
     # equal rows (same id and text) have the same coordinates; one of them stands for all
-    paths = work.save(compact(found.distinct()), "paths")
-    work.drop("fragments")
+    paths = work.save(compact(found.distinct(), work), "paths")
+    work.drop("fragments", "linked", "glue")
     applied = work.save(_apply(own, paths, width), "applied")
     proofs = applied.select("id", "rid", F.explode("spans").alias("s")).select("id", "rid", "s.*")
     mixed = proofs.groupBy("path").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("path")
