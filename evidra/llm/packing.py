@@ -168,11 +168,11 @@ def allocation(patterns: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarr
 def pack(spark: SparkSession, pieces: DataFrame, room: int = ROOM, rows_per_salt: int = 500_000) -> DataFrame:
     """pieces: a table (read again several times) with id, rid, start, length. Adds sequence_id and offset.
 
-    Pieces of one length are ranked by salt, id, rid and start; frequent lengths are dealt out over salts, whose
-    counts give each salt its first rank.
+    Pieces of one length are ranked by salt, id, rid and start; each length is dealt out over salts, as many as there
+    are shuffle partitions or more, whose counts give each salt its first rank.
     """
     total = pieces.count()
-    salts = max(1, -(-total // rows_per_salt))
+    salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_salt))
     salted = pieces.withColumn("salt", F.expr(f"pmod(xxhash64(id, rid, start), {salts})"))
     sums = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `room` rows at most
