@@ -1,10 +1,12 @@
 """N-gram Jaccard self-join of documents by T-occurrence search.
 
 1. `sets` hashes each document's distinct shingles; equal sets are one *class* from here on.
-2. Blocking without loss: for a size range, the universe of shingles is split into more parts than two linked sets
-   can differ in, so that linked sets agree in at least one part that isn't empty. Classes that agree in a part are
-   joined to the least of them, already within a map task; connected components of these links are *blocks*, and
-   linked classes are always in one block.
+2. Blocking without loss: for a size range, the universe of shingles is split into twice as many parts as two linked
+   sets can differ in. Parts have one order for all sets, those with most rare shingles first; by the prefix principle
+   linked sets agree in one of their first d + 1 parts, where d is the greatest difference, so only these are sent.
+   Which shingles are frequent is counted over all documents; it changes the order, never the result. Classes that
+   agree in a part are joined to the least of them, already within a map task; connected components of these links are
+   *blocks*, and linked classes are always in one block.
 3. In a block, T-occurrence search by DivideSkip finds links: a query's short inverted lists are merged, candidates
    seen often enough there are probed by binary search in the long lists, and those that reach the required overlap
    are links. Candidates that are connected with the query already are not probed again, so copies cost no pairs.
@@ -16,7 +18,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +36,8 @@ SHINGLE, PERCENT = 4, 85
 #: Of the stage that drops near copies: five words, similarity of 0.8.
 STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 BROADCAST_ROWS = 4_000_000
-#: Parts with fewer shingles are common among unlinked sets. They are left out by a set that has few of them: there are
-#: more parts than sets can differ in by the spare ones. A set with more small parts than those emits all its parts.
-_FEW, _DIFFER = 2, 6
+#: A shingle of more classes than this is frequent: parts of frequent shingles alone come last.
+FREQUENT = 8
 
 
 @dataclass(frozen=True)
@@ -47,26 +47,16 @@ class Sizes:
     percent: int
 
     @functools.lru_cache(maxsize=8)  # noqa: B019
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each range: its start, its number of parts, how many can differ at most, how many shingles are few."""
-        starts, parts, differ = [1], [], []
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each range: its start, its number of parts, how many of them can differ at most."""
+        starts, differ = [1], []
         while starts[-1] < 1 << 40:
             low = starts[-1]
             starts.append(max(low + 1, (low - 1) * 100 // self.percent + 1))
-        for low, end in itertools.pairwise(starts):
+        for _, end in itertools.pairwise(starts):
             most = end - 1 + (end - 1) * 100 // self.percent
             differ.append(most * (100 - self.percent) // (100 + self.percent))
-            spare = min(differ[-1], 1)
-            if differ[-1] >= _DIFFER:
-                while spare < differ[-1]:
-                    parts_now = differ[-1] + 1 + spare
-                    mean = low / parts_now
-                    share = math.exp(-mean) * (1 + mean)  # of parts with less than two shingles
-                    if parts_now * share + 3.5 * math.sqrt(parts_now * share) < spare:
-                        break
-                    spare += max(1, spare // 50)
-            parts.append(differ[-1] + 1 + spare)
-        return np.array(starts[:-1]), np.array(parts), np.array(differ), np.where(np.array(differ) < _DIFFER, 1, _FEW)
+        return np.array(starts[:-1]), 2 * np.array(differ) + 1, np.array(differ)
 
 
 def required(x: np.ndarray | int, y: np.ndarray | int, percent: int):
@@ -110,11 +100,20 @@ def short_ids(ids: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(i[:8] for i in ids), np.int64)
 
 
-def signatures(offsets: np.ndarray, values: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each part of each set, for the set's size range and the one below it."""
-    starts, parts, differ, few = Sizes(percent).table()
+def df_keys(values: np.ndarray) -> np.ndarray:
+    """Keys by which shingles are counted: 32 bits of the hash, placed for KeyFilter."""
+    return ((values >> np.uint64(32)) << np.uint64(20)).view(np.int64)
+
+
+def signatures(offsets: np.ndarray, values: np.ndarray, percent: int, frequent: KeyFilter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the first parts of each set, for the set's size range and the one below it.
+
+    The order of parts, the same for all sets, is by rare shingles (most first), shingles, hash; empty parts are last.
+    """
+    starts, parts, differ = Sizes(percent).table()
     n = np.diff(offsets)
     rows = np.repeat(np.arange(len(n)), n)
+    rare = np.ones(len(values), np.int64) if frequent is None or not len(values) else (~frequent.hits(df_keys(values))).astype(np.int64)
     own = np.searchsorted(starts, n, "right") - 1
     found_rows, found = [], []
     for level in (own, own - 1):
@@ -127,16 +126,17 @@ def signatures(offsets: np.ndarray, values: np.ndarray, percent: int) -> tuple[n
         part = ((v >> np.uint64(32)) * m[r].astype(np.uint64)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (part[1:] != part[:-1])]))
         owner, size = r[first], np.diff(np.append(first, len(r)))
-        large = size >= np.minimum(few[level[owner]], n[owner])
-        enough = np.bincount(owner[large], minlength=len(n)) > differ[level]
-        sums = np.add.reduceat(mix(v.copy()), first)
         label = level[owner].astype(np.uint64) * np.uint64(1 << 32) + part[first]
-        sent = large | ~enough[owner]
-        found.append(mix(sums[sent] + mix(label[sent] + np.uint64(1))))
-        found_rows.append(owner[sent])
+        content = mix(np.add.reduceat(mix(v.copy()), first) + mix(label + np.uint64(1)))
+        order = np.lexsort((content, -size, -np.add.reduceat(rare[held], first), owner))
+        owner, content = owner[order], content[order]
         full = np.bincount(owner, minlength=len(n))
-        for i in np.flatnonzero(ok & ~enough & (full < m)).tolist():
-            empty = np.setdiff1d(np.arange(m[i]), part[r == i])
+        rank = np.arange(len(owner)) - (np.cumsum(full) - full)[owner]
+        sent = rank <= differ[level[owner]]
+        found.append(content[sent])
+        found_rows.append(owner[sent])
+        for i in np.flatnonzero(ok & (full <= differ[level])).tolist():
+            empty = np.setdiff1d(np.arange(m[i]), part[r == i])[: differ[level[i]] + 1 - full[i]]
             found.append(mix(mix(np.uint64(level[i]) * np.uint64(1 << 32) + empty.astype(np.uint64) + np.uint64(1))))
             found_rows.append(np.full(len(empty), i))
     if not found:
@@ -144,6 +144,46 @@ def signatures(offsets: np.ndarray, values: np.ndarray, percent: int) -> tuple[n
     return np.concatenate(found_rows), np.concatenate(found)
 
 
+def frequent_shingles(docs: DataFrame, partitions: int, size: int, least: int = FREQUENT, flush: int = 2_000_000) -> DataFrame:
+    """docs: text. Keys (see df_keys) of shingles of more than `least` classes, counted over all documents."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held, seen = [], 0, set()
+
+        def done() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(kept), return_counts=True)
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int32))], names=["key", "n"])
+
+        for batch in batches:
+            for _, offsets, values in shingle_sets(batch.column("text"), size):
+                ids = class_ids(offsets, values)
+                new = np.array([bool(i) and i not in seen and not seen.add(i) for i in ids], bool)
+                if len(seen) > 200_000:
+                    seen.clear()
+                kept.append(df_keys(values[np.repeat(new, np.diff(offsets))]))
+                held += len(kept[-1])
+                if held > flush:
+                    yield done()
+                    held = 0
+        if kept:
+            yield done()
+        release()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        keys, place = np.unique(table.column("key").to_numpy(), return_inverse=True)
+        counts = np.bincount(place, weights=table.column("n").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(keys[counts > least])], names=["key"])
+        del parts, table, keys, place, counts
+        release()
+
+    return docs.mapInArrow(emit, "key bigint, n int").repartition(partitions, "key").mapInArrow(gather, "key bigint")
+
+
 def star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows with one key, the least node, and links of all others to it: keys, least nodes, links from, links to."""
     order = np.lexsort((nodes, keys))
@@ -159,8 +199,8 @@ def _batch(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
 
 
-def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, flush: int = 400_000) -> DataFrame:
-    """docs: text. Links a, b between (short ids of) classes that agree in a part."""
+def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, frequent=None, flush: int = 400_000) -> DataFrame:
+    """docs: text. Links a, b between (short ids of) classes that agree in a part; frequent: a broadcast KeyFilter."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held, seen = [], [], 0, set()
@@ -181,7 +221,7 @@ def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, fl
                     seen.clear()
                 n = np.diff(offsets)
                 kept = np.concatenate([[0], np.cumsum(n[new])])
-                rows, sigs = signatures(kept, values[np.repeat(new, n)], percent)
+                rows, sigs = signatures(kept, values[np.repeat(new, n)], percent, frequent and frequent.value)
                 keys.append(sigs)
                 nodes.append(short_ids([i for i, own in zip(ids, new.tolist(), strict=True) if own])[rows])
                 held += len(sigs)
@@ -363,7 +403,9 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     sized = work.save(own.mapInArrow(sizes, f"id bigint, n bigint, cls binary, carried {own.schema['carried'].dataType.simpleString()}"), "sizes")
     total = sized.agg(F.sum("n")).first()[0] or 0
     texts = own.select("text")
-    links = blocking_links(texts, partitions_for(spark, int(total * 0.4), 500_000), size, percent)
+    many = work.save(frequent_shingles(texts, partitions_for(spark, total, 1_000_000), size), "frequent")
+    frequent = spark.sparkContext.broadcast(KeyFilter.build(many, many.count()))
+    links = blocking_links(texts, partitions_for(spark, int(total * 0.4), 500_000), size, percent, frequent)
     blocks = work.save(connected(links, work, "blocks"), "members")
     n_members = blocks.count()
     wanted = spark.sparkContext.broadcast(KeyFilter.build(blocks.select("node"), n_members))
@@ -381,7 +423,7 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     counts = work.save(sized.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).join(roots, F.col("cls") == F.col("node")).select("cls", "root", "k"), "class-roots")
     tagged = join_hot(sized, counts, ["cls"], "k", sized.count(), "left").drop("k").withColumn("root", F.coalesce("root", "cls"))
     tagged = work.save(tagged, "tagged")
-    work.drop("sizes", "sets", "dealt", "pivot-links", "labelled", "apart", "class-roots")
+    work.drop("sizes", "frequent", "sets", "dealt", "pivot-links", "labelled", "apart", "class-roots")
     least = tagged.where("n > 0").groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
     joined = join_hot(tagged, least, ["root"], "k", tagged.count(), "left")
     component = F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.col("least")).otherwise(F.col("id"))

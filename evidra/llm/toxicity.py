@@ -27,6 +27,8 @@ LEAST_CHI2 = 20.0
 #: The order of the chain: category, column of `labels`, value that makes it positive.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 FOLDS, REJECT = 3, 0.3
+#: Steps of the fits that give out-of-fold probabilities.
+FOLD_STEPS = 200
 STEMS = (4, 5, 6)
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -98,7 +100,7 @@ def fit_chain(features: np.ndarray, labels: np.ndarray, words: np.ndarray, folds
         if k == labels.shape[1] - 1:
             break
         for f in range(folds):
-            w, b = fit_logistic(x, y, held=fold == f)
+            w, b = fit_logistic(x, y, steps=FOLD_STEPS, held=fold == f)
             features[fold == f, len(words) + k] = sigmoid(x[fold == f] @ w[:, 0] + b[0])
     return Chain(words, np.ones(len(words), np.float32), models)
 
