@@ -139,17 +139,21 @@ def classify_group(members: Column, is_host) -> Column:
     return F.when(F.size(members) < 1, "Unknown").when(host & other, "Mixed").when(host, "Human").otherwise("Microbial")
 
 
+#: Signs for nothing in annotation tables.
+MISSING_TERMS = ("", "-", "--", "NA", "None", "null", "NULL")
+
+
 def functional_values(s: Column | str) -> Column:
-    """Parts between `;` and `,`, trimmed, without the signs for nothing."""
+    """Parts between `;` and `,`, trimmed, without the signs for nothing; repeated parts stay."""
     parts = F.transform(F.split(_c(s), "[;,]"), lambda x: F.trim(x))
-    return F.array_distinct(F.filter(parts, lambda x: ~x.isin("", "-", "NA", "N/A", "None", "nan")))
+    return F.filter(parts, lambda x: ~x.isin(*MISSING_TERMS))
 
 
 def function_terms(s: Column | str, field: str) -> Column:
     """Validated terms of an annotation field: KO, EC, GO; COG letters count one by one."""
     if field == "COG":
         return F.array_distinct(F.filter(F.split(_c(s), ""), lambda x: x.rlike("^[A-Z]$")))
-    parts = F.transform(functional_values(s), lambda x: F.regexp_replace(x, "^ko:", ""))
+    parts = F.array_distinct(F.transform(functional_values(s), lambda x: F.regexp_replace(x, "^ko:", "")))
     rule = {"KO": r"^K\d{5}$", "EC": r"^\d+(\.(\d+|-)){1,3}$", "GO": r"^GO:\d{7}$"}.get(field)
     return F.array_distinct(F.filter(parts, lambda x: x.rlike(rule))) if rule else parts
 
@@ -264,10 +268,11 @@ def engine_header(accession: Column, gene: Column, description: Column, style: s
 
 
 def catalogue(identifier: Column | str, fallback: str = "smORF") -> Column:
+    """The source catalogue of an identifier by its prefix."""
     x = _c(identifier)
     return (
-        F.when(x.rlike(r"^(sp|tr)\|"), "UniProt").when(x.startswith("MGYG"), "MGYG").when(x.startswith("GMGC"), "GMGC")
-        .when(x.startswith("GMSC"), "GMSC").otherwise(fallback)
+        F.when(x.rlike(r"^(sp|tr)\|"), "Human").when(x.startswith("MGYG"), "UHGG").when(x.startswith("GMGC"), "GMGC")
+        .when(x.startswith("MuPr_Assembly_"), "Assembly").otherwise(fallback)
     )
 
 
@@ -279,8 +284,116 @@ def species_of(identifier: Column | str) -> Column:
 
 
 def is_gene_symbol(s: Column | str) -> Column:
+    """A gene's symbol: not empty, 20 characters at most, no `|`, neither an accession nor an Ensembl identifier."""
     s = _c(s)
-    return s.rlike(r"^[A-Za-z][A-Za-z0-9-]{1,14}$") & ~s.rlike(r"^(ENS\w*\d{6,}|LOC\d+|[OPQ]\d[A-Z0-9]{3}\d)$")
+    wrong = s.contains("|") | (F.length(s) > 20) | s.rlike(r"^[A-Z][0-9][A-Z0-9]{3,}$") | s.rlike("^ENS[PTG]")
+    return F.coalesce((s != "") & ~wrong, F.lit(False))
+
+
+def is_accession_gene(s: Column | str) -> Column:
+    """A gene name that is a protein accession."""
+    return F.coalesce(_c(s).rlike(r"^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2})$"), F.lit(False))
+
+
+def gene_tag(h: Column | str) -> Column:
+    """The first GN= of a header."""
+    return F.nullif(F.regexp_extract(_c(h), r"\bGN=(\S+)", 1), F.lit(""))
+
+
+def with_gene(h: Column | str, gene: Column) -> Column:
+    """The header with its first GN= replaced, or one appended; unchanged where `gene` is null."""
+    h = _c(h)
+    at = F.regexp_instr(h, F.lit(r"\bGN=\S+"))
+    rest = F.regexp_replace(F.substring(h, at, F.length(h)), r"^GN=\S+", "")
+    return F.when(gene.isNull(), h).when(at > 0, F.concat(F.substring(h, F.lit(1), at - 1), F.lit("GN="), gene, rest)).otherwise(F.concat(h, F.lit(" GN="), gene))
+
+
+def protein_name(h: Column | str) -> Column:
+    """What stands between the first word of a header and its first KEY= tag, without qualifiers of fragments and isoforms, in lower case."""
+    rest = F.regexp_replace(F.regexp_extract(_c(h), r"(?s)^\s*\S+\s+(.*)$", 1), r"(?s)\s+[A-Z][A-Za-z]*=.*$", "")
+    return F.nullif(F.lower(F.trim(F.regexp_replace(rest, r"(?i)\s*\((fragment|isoform[^)]*)\)\s*", ""))), F.lit(""))
+
+
+def is_immunoglobulin(h: Column | str) -> Column:
+    return _c(h).rlike(r"(?i)(immunoglobulin|\bIg[- ](?:like|heavy|kappa|lambda|gamma|mu|alpha)|\bIg heavy chain|variable region|\bIG[HKL][VDJ]?\b)")
+
+
+def ladder_source(h: Column | str) -> Column:
+    """The kind of a header by the first pattern that fits."""
+    h = F.trim(_c(h))
+    first = F.regexp_extract(h, r"^(\S+)", 1)
+    field = lambda k: F.try_element_at(F.split(first, r"\|"), F.lit(k))
+    rules = [
+        ("disease_variant", h.startswith("sp|") & first.contains("_VAR")), ("swissprot", h.startswith("sp|")), ("trembl", h.startswith("tr|")),
+        ("gnomad", h.startswith("var-")), ("ensembl_pep", h.rlike("^ENS(MUS)?P") & h.contains(" pep ")), ("gencode", h.startswith("ENSP") & first.contains("|")),
+        ("personal_variant", h.startswith("ens|")), ("ncbi_microbe", F.coalesce(field(2).rlike("^[WYN]P_"), F.lit(False))), ("uhgp", h.startswith("MGYG")),
+        ("gmgc", h.startswith("GMGC")), ("smorf", h.rlike("^(SMORF|smORF)")), ("assembly", h.startswith("MuPr_Assembly")), ("genscan", h.startswith("GENSCAN")),
+        ("prodigal", h.contains(" # ") & h.contains("ID=")), ("sample_ref", first.contains("|REF|")), ("lake_hybrid", h.rlike(r"\[(SWISSPROT|UHGG|GMGC)\]")),
+        ("md5_hash", first.rlike("^[0-9a-f]{32}$")), ("isoform_db", (F.size(F.split(first, r"\|")) >= 3) & F.coalesce(field(2).rlike("^[A-Z][A-Z0-9]{1,14}$"), F.lit(False))),
+    ]
+    return F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules], F.lit("unknown"))
+
+
+def ladder_fields(h: Column | str) -> Column:
+    """accession, gene, description, organism, variant, source of a header of any known kind.
+
+    A header behind a sample prefix, or embedded in a lake header, is read as itself; its accession stays whole.
+    """
+    h = F.trim(_c(h))
+    accession = F.regexp_extract(h, r"^(\S+)", 1)
+    outer = ladder_source(h)
+    embedded = F.regexp_extract(h, r"((?:sp|tr)\|\S+\|\S+\s+.*?)(?:\s+md5=|\s*$)", 1)
+    behind = F.concat(F.regexp_replace(accession, r"^[^|]*\|[^|]*\|", ""), F.substring(h, F.length(accession) + 1, F.length(h)))
+    body = F.when(outer == "sample_ref", behind).when((outer == "lake_hybrid") & (embedded != ""), embedded).otherwise(h)
+    own = F.regexp_extract(body, r"^(\S+)", 1)
+    kind = ladder_source(body)
+    get = lambda text, pattern: F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
+    field = lambda k: F.nullif(F.try_element_at(F.split(own, r"\|"), F.lit(k)), F.lit(""))
+    rest = F.nullif(F.trim(F.substring(body, F.length(own) + 1, F.length(body))), F.lit(""))
+    tag = get(body, r"GN=(\S+)")
+    uniprot = kind.isin("swissprot", "trembl")
+    gene = (
+        F.when(uniprot, tag)
+        .when(kind == "disease_variant", F.coalesce(tag, F.replace(field(3), F.lit("_VAR"), F.lit(""))))
+        .when(kind == "gnomad", F.coalesce(tag, get(field(3), r"^([A-Z][A-Z0-9]+)(?:_|$)")))
+        .when(kind == "ensembl_pep", F.coalesce(get(body, r"gene_symbol:(\S+)"), get(body, r"gene:(\S+)")))
+        .when(kind == "gencode", F.nullif(field(7), F.lit("-")))
+        .when(kind == "personal_variant", F.coalesce(tag, field(3)))
+        .when(kind == "ncbi_microbe", F.coalesce(get(rest, r"gene=(\S+)"), field(3)))
+        .when(kind == "isoform_db", field(2)).when(kind == "genscan", None)
+        .when(kind.isin("lake_hybrid", "unknown"), F.coalesce(tag, own)).otherwise(own)
+    )
+    description = (
+        F.when(uniprot, get(body, r"\|\S+_\S+\s+(.*?)(?:\s+OS=|\s*$)"))
+        .when(kind == "gnomad", F.nullif(F.trim(_gnomad_text(F.coalesce(rest, F.lit("")))), F.lit("")))
+        .when(kind == "ensembl_pep", get(body, r"description:(.+?)(?:\s+\[Source:|\s*$)"))
+        .when(kind == "gencode", F.concat(F.lit("isoform "), field(6)))
+        .when(kind == "ncbi_microbe", F.nullif(F.trim(F.regexp_replace(F.regexp_replace(rest, r"gene=\S+\s*", ""), "OS=.*$", "")), F.lit("")))
+        .when(kind == "genscan", "computational prediction").when(kind == "md5_hash", None).otherwise(rest)
+    )
+    organism = F.when(uniprot | (kind == "gnomad"), get(body, r"OS=(.+?)(?:\s+OX=|\s+GN=|\s+PE=|\s*$)")).when(kind == "ncbi_microbe", get(rest, r"OS=(.+?)\s*$"))
+    variant = (
+        F.when(kind == "disease_variant", get(field(2), "_v(.+)$"))
+        .when(kind == "gnomad", F.coalesce(get(body, r"\[VARIANT:\s*(.*?)\]"), F.concat(F.lit("p."), get(field(3), "^[^_]*_(.+)$"))))
+        .when(kind == "personal_variant", F.concat(F.lit("p."), get(field(2), "^[^_]*_(.+)$")))
+    )
+    source = F.when(outer == "lake_hybrid", outer).otherwise(kind)
+    return F.struct(accession.alias("accession"), gene.alias("gene"), description.alias("description"), organism.alias("organism"), variant.alias("variant"), source.alias("source"))
+
+
+def _gnomad_text(s: Column) -> Column:
+    for pattern in (r"^(?:sp|tr)\|\S+\|\S+_\S+\s+", r"\s*GN=\S+", r"\s*\[VARIANT:.*?\]", r"\s*\[AF_\w+:.*?\]", r"\s*PE=\d+\s*SV=\d+", r"\s*OS=.*?(?=\s+PE=|\s+GN=|\s*$)"):
+        s = F.regexp_replace(s, pattern, "")
+    return s
+
+
+def accession_of(identifier: Column | str) -> Column:
+    """The bare accession of an identifier: behind CON_, rev_ and DECOY_, in sp| or tr|, or plain; else null."""
+    x = F.trim(_c(identifier))
+    for prefix in ("CON_", "rev_", "DECOY_"):
+        x = F.regexp_replace(x, f"^{prefix}", "")
+    tagged = x.rlike(r"^(sp|tr)\|")
+    return F.when(tagged, F.element_at(F.split(x, r"\|"), 2)).when(x.rlike("^[A-Za-z][A-Za-z0-9]{5,9}$"), x)
 
 
 def ion_completeness(b_ions: Column, y_ions: Column, length: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.operators.study import running
+
 
 def universe(left: DataFrame, right: DataFrame, everything: DataFrame | None, key: str) -> DataFrame:
     """Each key as both, left_only, right_only or neither."""
@@ -29,10 +31,9 @@ def log_correlation(left: DataFrame, right: DataFrame, key: str, value: str, lea
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds ranks with ties averaged, from counts of distinct values."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(Window.orderBy(value))
-    return df.join(counts.select(value, (upto - (F.col("__n") - 1) / 2).alias(name)), value)
+    """Adds ranks with ties averaged, from counts of distinct values, summed up by range."""
+    counts = running(df.groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, "__n", "__upto")
+    return df.join(counts.select(value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name)), value)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

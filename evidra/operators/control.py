@@ -35,6 +35,69 @@ def verdict(rate: Column, limit: float) -> Column:
     return F.when(rate.isNull(), "UNDEFINED").when(rate <= limit, "PASS").otherwise("FAIL")
 
 
+def estimates(entrapment: Column, target: Column, shared: Column, db_target: Column, db_entrapment: Column) -> dict[str, Column]:
+    """All estimators from counts of matches and of the searched database. What is not defined is null, never 0."""
+    total = entrapment + target
+    some = F.when(db_entrapment > 0, F.lit(1))
+    ratio = F.when(db_target > 0, F.try_divide(db_entrapment, db_target))
+    scaled = entrapment * F.try_divide(db_target, db_entrapment)
+    return {
+        "r": ratio, "lower_bound": F.try_divide(entrapment, total), "combined_upper": F.try_divide(entrapment * (1 + F.try_divide(F.lit(1), ratio)), total),
+        "elias_gygi": some * F.try_divide(2 * entrapment, total), "sample_method": F.try_divide(entrapment, target), "size_scaled": F.try_divide(scaled, scaled + target),
+        "shared_sensitivity": F.try_divide(entrapment + shared, entrapment + shared + target),
+    }
+
+
+def paired_counts(pairs: DataFrame, cutoff: float) -> DataFrame:
+    """pairs: target_score, entrapment_score, null where not found. The paired estimator and its counts, in one row.
+
+    above: entrapments found whose target is not; between: entrapments found that score higher than their found target.
+    """
+    t, e = F.coalesce(F.col("target_score") >= cutoff, F.lit(False)), F.coalesce(F.col("entrapment_score") >= cutoff, F.lit(False))
+    n = pairs.agg(F.count_if(t).alias("n_target"), F.count_if(e).alias("n_entrapment"), F.count_if(e & ~t).alias("n_target_undiscovered"), F.count_if(e & t & (F.col("entrapment_score") > F.col("target_score"))).alias("n_entrapment_greater"))
+    return n.withColumn("fdp_paired", F.round(paired_fdp(F.col("n_target"), F.col("n_entrapment"), F.col("n_target_undiscovered"), F.col("n_entrapment_greater")), 6))
+
+
+def class_counts(psms: DataFrame, keys: list[str], q: str, threshold: float = 0.01, least: int = 9, prefix: str = "ENTRAP_") -> DataFrame:
+    """psms: peptide, proteins (array), label, q. Counts of target, entrapment, shared and decoy matches and peptides.
+
+    Decoys are counted whatever their q; the others at or under the threshold with `least` residues or more.
+    """
+    bare = F.regexp_replace(F.upper("peptide"), "[^A-Z]", "")
+    kind = F.when(F.col("label") != 1, "decoy").otherwise(psm_class(F.col("proteins"), F.col("label"), prefix, "\u0000"))
+    own = psms.withColumns({"__k": kind, "__p": bare}).where((F.col("__k") == "decoy") | (F.col(q).between(0, threshold) & (F.length("__p") >= least)))
+    return own.groupBy(*keys).agg(*[F.count_if(F.col("__k") == k).alias(f"n_{k}") for k in ("target", "entrap", "shared", "decoy")], *[F.count_distinct(F.when(F.col("__k") == k, F.col("__p"))).alias(f"peptides_{k}") for k in ("target", "entrap", "shared")])
+
+
+def fdp_report(counts: DataFrame, db_target: int, db_entrapment: int, conserved_matches: str | None = None) -> DataFrame:
+    """counts: those of class_counts, and a count of conserved entrapment matches if named. All estimators, a verdict, and
+    those of what is left of the entrapments without the conserved ones."""
+    e, t, s = F.col("n_entrap"), F.col("n_target"), F.col("n_shared")
+    made = counts.withColumns(estimates(e, t, s, F.lit(db_target), F.lit(db_entrapment)))
+    made = made.withColumn("verdict", verdict(F.col("combined_upper"), 0.01))
+    if conserved_matches is None:
+        return made
+    rest = estimates(F.greatest(e - F.col(conserved_matches), F.lit(0)), t, s, F.lit(db_target), F.lit(db_entrapment))
+    return made.withColumns({f"corrected_{k}": rest[k] for k in ("lower_bound", "combined_upper")})
+
+
+def summary(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
+    """n, median, inclusive quartiles (the median for fewer than four) and their distance; nulls and NaN do not count."""
+    own = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    got = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    quartile = lambda k: F.when(F.col("n") >= 4, F.col("q")[k]).otherwise(F.col("q")[1])
+    return got.select(*keys, "n", F.col("q")[1].alias("median"), quartile(0).alias("q1"), quartile(2).alias("q3"), (quartile(2) - quartile(0)).alias("iqr"))
+
+
+def winner(grid: DataFrame, fdp_limit: float = 0.01) -> DataFrame:
+    """Of a tuning grid (n_target, fdp and settings), the row with most targets among those at or under the limit, else
+    the one with the least fdp; with `passed`."""
+    passed = F.coalesce(F.col("fdp") <= fdp_limit, F.lit(False))
+    rest = [c for c in grid.columns]
+    order = F.struct(~passed, F.when(passed, -F.col("n_target").cast("double")).otherwise(F.coalesce("fdp", F.lit(float("inf")))), *[F.col(c) for c in rest if c not in ("n_target", "fdp")])
+    return grid.withColumn("passed", passed).agg(F.min_by(F.struct(*rest, "passed"), order).alias("b")).select("b.*")
+
+
 def psm_class(proteins: Column, label: Column, prefix: str = "ENTRAP_", decoy: str = "rev_") -> Column:
     """decoy, target, entrap or shared, by the prefixes of all proteins."""
     trap = F.exists(proteins, lambda x: x.startswith(prefix))

@@ -105,6 +105,39 @@ def expectation(edges: DataFrame, scores: DataFrame, lengths: DataFrame, rounds:
     return now.where(F.col("a") >= threshold).select("protein", F.col("a").alias("abundance"))
 
 
+def lake_expectation(edges: DataFrame, sightings: DataFrame, lengths: DataFrame, rounds: int = 10, stop: float = 1e-8) -> DataFrame:
+    """Abundances over all samples, scaled by the largest. sightings: sample, peptide, score. lengths: protein, length.
+
+    A unique peptide gives its best score times the root of the number of samples that see it; a shared one deals its
+    score out by the present abundances. Each protein's sum is times the root of its number of samples, by the root of
+    max(length, 50). Every round's table is a checkpoint.
+    """
+    seen = sightings.groupBy("peptide").agg(F.max("score").alias("score"), F.count_distinct("sample").alias("k"))
+    known = cut(degrees(edges).join(seen, "peptide"))
+    samples = edges.join(sightings.select("peptide", "sample").distinct(), "peptide").groupBy("protein").agg(F.count_distinct("sample").alias("samples"))
+    weight = samples.join(lengths, "protein").select("protein", (F.sqrt("samples") / F.sqrt(F.greatest(F.col("length").cast("double"), F.lit(50.0)))).alias("norm"))
+    weight = cut(weight)
+    first = known.groupBy("protein").agg(F.sum(F.col("score") / F.col("degree")).alias("a")).join(weight, "protein").select("protein", (F.col("a") * F.col("norm")).alias("a"))
+    now = cut(_shared_out(first))
+    for _ in range(rounds):
+        joined = known.join(now, "protein")
+        total = joined.where("degree > 1").groupBy("peptide").agg(F.sum("a").alias("total"))
+        spread = joined.join(total, "peptide", "left")
+        part = F.when(F.col("degree") == 1, F.col("score") * F.sqrt("k")).when(F.col("total") > 0, F.col("score") * F.col("a") / F.col("total")).otherwise(F.col("score") / F.col("degree"))
+        raw = spread.groupBy("protein").agg(F.sum(part).alias("b")).join(weight, "protein").select("protein", (F.col("b") * F.col("norm")).alias("a"))
+        new = cut(_shared_out(raw))
+        change = now.join(new.withColumnRenamed("a", "b"), "protein").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] or 0.0
+        now = new
+        if change < stop:
+            break
+    return _scaled(now).select("protein", F.col("a").alias("abundance"))
+
+
+def _shared_out(df: DataFrame) -> DataFrame:
+    total = df.agg(F.sum("a").alias("total"))  # one row
+    return df.crossJoin(F.broadcast(total)).select("protein", F.try_divide("a", "total").alias("a"))
+
+
 def _scaled(df: DataFrame) -> DataFrame:
     most = df.agg(F.max("a").alias("most"))
     return df.crossJoin(F.broadcast(most)).select("protein", F.try_divide("a", "most").alias("a"))
@@ -124,6 +157,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         label = jump
         if not moved:
             break
+    else:
+        raise RuntimeError("components did not converge")
     own = label.where(F.startswith("a", F.lit("e"))).select(F.substring("a", 2, 1 << 20).alias("key"), F.col("root").alias("component"))
     return edges.join(own, F.col("peptide").cast("string") == F.col("key")).drop("key")
 
@@ -149,24 +184,44 @@ def greedy_cover(pairs: Iterator[tuple]) -> list[tuple]:
     return out
 
 
-def set_cover(edges: DataFrame) -> DataFrame:
-    """protein, gain, selection_rank of the greedy cover. Components are covered apart; gain and name give the rank.
+def set_cover(edges: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """protein, gain, selection_rank of the greedy cover: most uncovered peptides first, ties to smaller proteins.
 
-    A component's edges go to one task: the algorithm is sequential there. The plan's other steps are distributed.
+    While more than `limit` edges are uncovered, Spark selects in rounds every protein that is best by (gain, name)
+    among all that share an uncovered peptide with it: no other choice can change its gain, so the sequential algorithm
+    selects it with that gain too. The bounded rest goes to one task, which selects one by one. Gains never rise from
+    one choice to the next, so gain and name give the rank. Results are the same for any limit.
     """
     protein = edges.schema["protein"].dataType.simpleString()
+    left, chosen = cut(edges.select("peptide", "protein").distinct()), None
+    while left.count() > limit:
+        gains = left.groupBy("protein").agg(F.count(F.lit(1)).alias("gain"))
+        ranked = left.join(gains, "protein")
+        best = ranked.groupBy("peptide").agg(F.min_by(F.struct("protein", "gain"), F.struct(-F.col("gain"), "protein")).alias("b")).select("peptide", "b.*")
+        won = best.groupBy("protein", "gain").agg(F.count(F.lit(1)).alias("n")).where("n = gain").select("protein", "gain")
+        won = cut(won)
+        chosen = won if chosen is None else cut(chosen.unionByName(won))
+        left = cut(left.join(left.join(won, "protein", "left_semi").select("peptide").distinct(), "peptide", "left_anti"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(greedy_cover(zip(pdf.peptide, pdf.protein, strict=True)), columns=["protein", "gain"])
 
-    chosen = components(edges).groupBy("component").applyInPandas(run, f"protein {protein}, gain bigint")
-    salt = chosen.withColumn("bucket", -F.col("gain"))
+    rest = left.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, f"protein {protein}, gain bigint")  # `limit` rows at most
+    salt = cut((rest if chosen is None else chosen.unionByName(rest)).withColumn("bucket", -F.col("gain")))
     sizes = salt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each gain
     rank = F.col("base") + F.row_number().over(Window.partitionBy("bucket").orderBy("protein"))
     return salt.join(F.broadcast(base.select("bucket", "base")), "bucket").select("protein", "gain", rank.alias("selection_rank"))
 
 
+def outside(edges: DataFrame, searched: DataFrame) -> DataFrame:
+    """The edges; an error if a protein is not among those searched. searched: protein."""
+    known = searched.select("protein").distinct().withColumn("__in", F.lit(True))
+    joined = edges.join(known, "protein", "left")
+    checked = F.when(F.col("__in"), F.col("protein")).otherwise(F.raise_error(F.concat(F.lit("outside the searched universe: "), F.col("protein").cast("string"))).cast(edges.schema["protein"].dataType))
+    return joined.withColumn("protein", checked).select(*edges.columns)
+
+
 def dictionary(edges: DataFrame, selected: DataFrame) -> DataFrame:
     """peptide, protein: the first selected protein that explains it. selected: protein, selection_rank."""
     return edges.join(selected, "protein").groupBy("peptide").agg(F.min_by("protein", "selection_rank").alias("protein"))

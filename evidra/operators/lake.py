@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Descriptions that say nothing.
-UNINFORMATIVE = r"(?i)hypothetical|uncharacteri[sz]ed|unknown|putative protein$|predicted protein$"
+UNINFORMATIVE = r"(?i)\b(hypothetical|uncharacteri[sz]ed|putative\s+uncharacteri[sz]ed|predicted\s+protein|unknown\s+function|conserved\s+hypothetical|fragment)\b"
 
 
 def dedup(records: DataFrame, seq_hash: str, order: list[str], carry: list[str]) -> DataFrame:
@@ -37,11 +37,12 @@ def merge_annotations(records: DataFrame, seq_hash: str) -> DataFrame:
     order = F.struct("priority", "accession")
     informative = F.col("description").isNotNull() & (F.trim("description") != "") & ~F.col("description").rlike(UNINFORMATIVE)
     long_first = F.struct(-F.length("description"), F.col("priority"), F.col("accession"))
+    some = F.when(F.col("description") != "", long_first)
     made = records.groupBy(seq_hash).agg(
         F.min_by("accession", order).alias("accession"),
         F.min_by("gene", F.when(F.col("gene").isNotNull() & (F.col("gene") != ""), order)).alias("gene"),
-        F.coalesce(F.min_by("description", F.when(informative, long_first)), F.min_by("description", order)).alias("description"),
-        F.count_distinct("organism").alias("n_organisms"), F.min("organism").alias("one"),
+        F.coalesce(F.min_by("description", F.when(informative, long_first)), F.min_by("description", some), F.lit("")).alias("description"),
+        F.count_distinct(F.nullif("organism", F.lit(""))).alias("n_organisms"), F.min(F.nullif("organism", F.lit(""))).alias("one"),
         F.array_sort(F.collect_set("tax_id")).alias("tax_ids"), F.min("evidence").alias("evidence"), F.max("version").alias("version"), F.bool_or("reviewed").alias("reviewed"), F.count(F.lit(1)).alias("n_sources"),
     )
     organism = F.when(F.col("n_organisms") > 1, "ambiguous").otherwise(F.col("one"))
@@ -64,3 +65,22 @@ def consistent(records: DataFrame, accession: str, sequence: str) -> DataFrame:
 def numbered(records: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds the number of each record within its key."""
     return records.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def reassigned(records: DataFrame, seq_hash: str, source: str, header: str, tags: list[str] = (), uniform: str | None = None) -> DataFrame:
+    """Adds `emitted`: the header as it is, `tag_hash` for records of the given source tags, or `uniform_hash` for all.
+
+    A uniform tag overrides the others; an empty one is an error.
+    """
+    if uniform is not None and not uniform.strip():
+        raise ValueError("the uniform tag is empty")
+    own = F.concat(F.col(source), F.lit("_"), F.col(seq_hash))
+    named = F.concat(F.lit((uniform or "").strip() + "_"), F.col(seq_hash)) if uniform else F.when(F.col(source).isin(*tags), own).otherwise(F.col(header)) if tags else F.col(header)
+    return records.withColumn("emitted", named)
+
+
+def conflicts(records: DataFrame, seq_hash: str) -> DataFrame:
+    """Organisms and genes of hashes whose records disagree: seq_hash, organisms, genes (sorted; null where they agree)."""
+    sets = records.groupBy(seq_hash).agg(*[F.array_sort(F.collect_set(F.nullif(c, F.lit("")))).alias(c) for c in ("organism", "gene")])
+    several = lambda c: F.when(F.size(c) > 1, F.col(c))
+    return sets.select(seq_hash, several("organism").alias("organisms"), several("gene").alias("genes")).where("organisms is not null or genes is not null")

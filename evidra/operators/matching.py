@@ -8,33 +8,39 @@ from pyspark.sql import functions as F
 from evidra.functions.sequence import RESIDUE_MASS, characters
 
 
-#: Sequences are cut into overlapping chunks of so many places, as a substring costs time by its distance from the start.
+#: Sequences are cut into overlapping chunks of so many keys, as a substring costs time by its distance from the start.
 CHUNK = 256
 
 
 def substring_join(patterns: DataFrame, sequences: DataFrame, pattern: str = "peptide", sequence: str = "sequence", seed: int = 9) -> DataFrame:
     """All places, overlapping ones too, where a pattern of `seed` characters or more stands in a sequence.
 
-    Seed and verify: patterns meet sequences by an equi-join on their first `seed` characters; what follows is
-    verified. Exploded rows carry a place, the seed and as many characters as the longest pattern needs, not the
-    sequence. Catalyst broadcasts the patterns if they are small; else both sides are shuffled by seed, and AQE
-    splits frequent seeds. Adds `position`, from 0.
+    Seed and verify: about half of `seed` characters make a join key. Texts give keys at every s-th place only, and
+    patterns at s offsets, where s fills up `seed`: of s consecutive places one is met, so nothing is lost and a text
+    makes s times fewer rows. What stands around the key is verified. Catalyst broadcasts the patterns if they are
+    small; else both sides are shuffled by key, and AQE splits frequent ones. Adds `position`, from 0.
     """
+    key = max(1, seed - seed // 2 + 1) if seed > 3 else seed
+    step = seed - key + 1
     long_enough = patterns.where(F.length(pattern) >= seed)
     longest = long_enough.agg(F.max(F.length(pattern))).first()[0] or seed
-    wanted = long_enough.select(F.col(pattern).alias("__p"), F.substring(pattern, 1, seed).alias("__seed")).distinct()
+    wanted = long_enough.select(F.col(pattern).alias("__p")).distinct().select("__p", F.explode(F.sequence(F.lit(0), F.lit(step - 1))).alias("__o"))
+    wanted = wanted.select("__p", "__o", F.substring(F.col("__p"), F.col("__o") + 1, F.lit(key)).alias("__key"))
     rest = [c for c in sequences.columns if c != sequence]
-    chunks = F.when(F.length(sequence) >= seed, F.sequence(F.lit(0), F.length(sequence) - seed, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    width = CHUNK * step
+    chunks = F.when(F.length(sequence) >= seed, F.sequence(F.lit(0), F.length(sequence) - key, F.lit(width))).otherwise(F.array().cast("array<int>"))
     pieces = sequences.select(*rest, F.col(sequence).alias("__s"), F.explode(chunks).alias("__c"))
-    pieces = pieces.select(*rest, "__c", F.substring(F.col("__s"), F.col("__c") + 1, F.lit(CHUNK + longest - 1)).alias("__s"))
-    places = F.sequence(F.lit(0), F.least(F.lit(CHUNK - 1), F.length("__s") - seed))
-    exploded = pieces.select(*rest, "__c", "__s", F.explode(places).alias("__k"))
-    text = F.substring(F.col("__s"), F.col("__k") + 1, F.lit(longest))
-    exploded = exploded.select(*rest, (F.col("__c") + F.col("__k")).alias("position"), F.substring(text, 1, seed).alias("__seed"), *([text.alias("__text")] if longest > seed else []))
-    hits = exploded.join(wanted, "__seed")
-    if longest > seed:
-        hits = hits.where(F.startswith("__text", F.col("__p")))
-    return patterns.join(hits.select(*rest, F.col("__p").alias(pattern), "position"), pattern)
+    base = F.greatest(F.col("__c") - (step - 1), F.lit(0))
+    pieces = pieces.select(*rest, "__c", base.alias("__b"), F.substring(F.col("__s"), base + 1, F.col("__c") - base + width - 1 + longest).alias("__s"))
+    places = F.sequence(F.col("__c"), F.least(F.col("__c") + width - 1, F.col("__b") + F.length("__s") - key), F.lit(step))
+    exploded = pieces.where(F.col("__b") + F.length("__s") - key >= F.col("__c")).select(*rest, "__b", "__s", F.explode(places).alias("__k"))
+    at = F.col("__k") - F.col("__b")
+    start = F.greatest(at - (step - 1), F.lit(0))
+    exploded = exploded.select(*rest, "__k", (start + F.col("__b")).alias("__from"), F.substring(F.col("__s"), at + 1, F.lit(key)).alias("__key"), F.substring(F.col("__s"), start + 1, at - start + longest).alias("__text"))
+    place = F.col("__k") - F.col("__o")
+    found = F.substring(F.col("__text"), place - F.col("__from") + 1, F.length("__p")) == F.col("__p")
+    hits = exploded.join(wanted, "__key").where((place >= F.col("__from")) & found)
+    return patterns.join(hits.select(*rest, F.col("__p").alias(pattern), place.alias("position")), pattern)
 
 
 def mass_vote_join(queries: DataFrame, targets: DataFrame, k: int = 5, width: float = 0.001, least: int = 1, ppm: float = 20.0) -> DataFrame:
@@ -67,9 +73,9 @@ def evidence(hits: DataFrame, scores: DataFrame, samples: int | Column) -> DataF
     Support: min(1, log2(peptides + 1) * sqrt(share of samples) * mean score).
     """
     edges = hits.groupBy("protein", "peptide").agg(F.count(F.lit(1)).alias("n"))
-    per_peptide = scores.groupBy("peptide").agg(F.max("score").alias("score"))
-    seen = edges.select("protein", "peptide").join(scores.select("peptide", "sample").distinct(), "peptide").groupBy("protein").agg(F.count_distinct("sample").alias("n_samples"))
-    own = edges.join(per_peptide, "peptide").groupBy("protein").agg(F.sum("n").alias("n_hits"), F.count(F.lit(1)).alias("n_peptides"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
+    per_peptide = scores.groupBy("peptide").agg(F.max("score").alias("score"), F.collect_set("sample").alias("samples"))
+    joined = edges.join(per_peptide, "peptide")
+    own = joined.groupBy("protein").agg(F.sum("n").alias("n_hits"), F.count(F.lit(1)).alias("n_peptides"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"), F.size(F.array_distinct(F.flatten(F.collect_set("samples")))).cast("bigint").alias("n_samples"))
     total = F.lit(samples) if isinstance(samples, int) else samples
     support = F.least(F.lit(1.0), F.log2(F.col("n_peptides") + 1.0) * F.sqrt(F.col("n_samples") / total) * F.col("mean_score"))
-    return own.join(seen, "protein").withColumn("support", support)
+    return own.withColumn("support", support)

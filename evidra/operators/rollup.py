@@ -48,10 +48,15 @@ def relative(df: DataFrame, sample: str, value: str) -> DataFrame:
 
 
 def diversity(df: DataFrame, sample: str, value: str) -> DataFrame:
-    """Richness, Shannon entropy (natural), its exponential, and Simpson's index of each sample."""
+    """Richness, Shannon entropy (natural), its exponential and Simpson's concentration, the sum of squared shares.
+
+    A sample without signal has NaN for all of them.
+    """
     p = F.col("share")
-    got = relative(df.where(F.col(value) > 0), sample, value).groupBy(sample)
-    return got.agg(F.count(F.lit(1)).alias("richness"), (-F.sum(p * F.ln(p))).alias("shannon"), F.exp(-F.sum(p * F.ln(p))).alias("effective"), (1 - F.sum(p * p)).alias("simpson"))
+    log = F.when(p > 0, p * F.ln(p))
+    got = relative(df, sample, value).groupBy(sample).agg(F.count_if(p > 0).cast("double").alias("r"), (-F.sum(log)).alias("h"), F.sum(p * p).alias("c"))
+    some = lambda c: F.when(F.col("r") > 0, c).otherwise(F.lit(float("nan")))
+    return got.select(sample, some(F.col("r")).alias("richness"), some(F.col("h")).alias("shannon"), some(F.exp("h")).alias("effective"), some(F.col("c")).alias("simpson"))
 
 
 def bray_curtis(df: DataFrame, sample: str, feature: str, value: str) -> DataFrame:
@@ -105,3 +110,61 @@ def lineage_tree(df: DataFrame, lineage: str, weight: str) -> DataFrame:
     prefixes = own.select("w", F.size("l").alias("n"), "l", F.explode(F.sequence(F.lit(1), F.size("l"))).alias("depth"))
     path: Column = F.array_join(F.slice("l", F.lit(1), F.col("depth")), "/")
     return prefixes.groupBy(path.alias("path"), "depth").agg(F.sum("w").alias("count"), F.sum(F.when(F.col("depth") == F.col("n"), F.col("w")).otherwise(0)).alias("self_count"))
+
+
+def resolve_level(groups: DataFrame, annotations: DataFrame, separator: str = ";") -> DataFrame:
+    """groups: protein_group. annotations: accession, value. For each group plurality_value, values, weight.
+
+    A member votes once for each of its distinct values; the most frequent value wins, ties to the lesser. `values` are
+    the distinct values, each with 1 / n of the signal. Groups without a value are named Unannotated_000001 and on, in
+    byte order.
+    """
+    own = groups.select("protein_group").distinct()
+    members = own.select("protein_group", F.explode(F.split("protein_group", separator)).alias("accession"))
+    votes = members.distinct().join(annotations.select("accession", "value").distinct(), "accession").groupBy("protein_group", "value").agg(F.count(F.lit(1)).alias("votes"))
+    known = votes.groupBy("protein_group").agg(F.min_by("value", F.struct(-F.col("votes"), "value")).alias("plurality_value"), F.array_sort(F.collect_set("value")).alias("values"))
+    names = unannotated_names(own.join(known, "protein_group", "left_anti"), "protein_group")
+    rest = names.select("protein_group", F.col("name").alias("plurality_value"), F.array("name").alias("values"))
+    return known.unionByName(rest).withColumn("weight", 1.0 / F.size("values"))
+
+
+def level_map(resolved: DataFrame) -> DataFrame:
+    """protein_group, plurality_value, n_unique_values, split_values as `value:weight` joined by `;`."""
+    parts = F.transform("values", lambda v: F.concat(v, F.lit(":"), F.format_string("%.6f", F.col("weight"))))
+    return resolved.select("protein_group", "plurality_value", F.size("values").alias("n_unique_values"), F.array_join(parts, ";").alias("split_values"))
+
+
+def functional_matrix(values: DataFrame, resolved: DataFrame, keys: list[str], amount: str, mode: str = "plurality") -> DataFrame:
+    """values: protein_group, the keys, an amount. Sums by value and keys; keys may hold the peptide for the finer matrix.
+
+    plurality: a group's whole amount goes to its winner; split: 1 / n of it to each of its values. Missing amounts
+    stay missing: they make no row.
+    """
+    joined = values.where(F.col(amount).isNotNull()).join(resolved, "protein_group")
+    if mode == "plurality":
+        spread = joined.withColumn("value", F.col("plurality_value")).withColumn("__a", F.col(amount))
+    elif mode == "split":
+        spread = joined.withColumn("value", F.explode("values")).withColumn("__a", F.col(amount) * F.col("weight"))
+    else:
+        raise ValueError("mode is plurality or split")
+    return spread.groupBy("value", *keys).agg(F.sum("__a").alias("amount"))
+
+
+def group_metadata(groups: DataFrame, hosts: DataFrame, separator: str = ";") -> DataFrame:
+    """groups: protein_group. hosts: accession, class. protein_group, representative, n_members, classification.
+
+    A member that is listed is host, one that is not is microbial; a listed class Mixed makes the group Mixed.
+    """
+    own = groups.select("protein_group").distinct()
+    listed = own.select("protein_group", F.explode(F.split("protein_group", separator)).alias("accession")).join(hosts.select("accession", "class"), "accession", "left")
+    mixed, host, other = F.bool_or(F.col("class") == "Mixed"), F.bool_or(F.col("class").isNotNull()), F.bool_or(F.col("class").isNull())
+    kind = F.when(F.coalesce(mixed, F.lit(False)) | (host & other), "Mixed").when(host, "Human").otherwise("Microbial")
+    return listed.groupBy("protein_group").agg(F.min("accession").alias("representative"), F.count(F.lit(1)).alias("n_members"), kind.alias("classification"))
+
+
+def term_coverage(values: DataFrame, sample: str, group: str, amount: str, terms: str) -> DataFrame:
+    """Of each sample: observed_signal, measured_groups, unannotated_signal, annotation_fraction (null if empty)."""
+    positive = F.when(F.col(amount) > 0, F.col(amount))
+    bare = F.size(F.coalesce(terms, F.array().cast("array<string>"))) == 0
+    got = values.groupBy(sample).agg(F.coalesce(F.sum(positive), F.lit(0.0)).alias("observed_signal"), F.count_distinct(F.when(F.col(amount) > 0, F.col(group))).alias("measured_groups"), F.coalesce(F.sum(F.when(bare, positive)), F.lit(0.0)).alias("unannotated_signal"))
+    return got.withColumn("annotation_fraction", F.try_divide(F.col("observed_signal") - F.col("unannotated_signal"), F.col("observed_signal")))

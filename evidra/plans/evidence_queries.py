@@ -435,7 +435,7 @@ def relative_signal(spark, sf):
 
 @query("diversity", f"""
 WITH {BY_BRAND}, p AS (SELECT l_suppkey, v / sum(v) OVER (PARTITION BY l_suppkey) AS p FROM b)
-SELECT l_suppkey, count(*) AS richness, round(-sum(p * ln(p)), 6) AS shannon, round(exp(-sum(p * ln(p))), 6) AS effective, round(1 - sum(p * p), 6) AS simpson FROM p GROUP BY l_suppkey""")
+SELECT l_suppkey, CAST(count(*) AS DOUBLE) AS richness, round(-sum(p * ln(p)), 6) AS shannon, round(exp(-sum(p * ln(p))), 6) AS effective, round(sum(p * p), 6) AS simpson FROM p GROUP BY l_suppkey""")
 def diversity(spark, sf):
     got = rollup.diversity(by_brand(spark, sf), "l_suppkey", "v")
     return got.select("l_suppkey", "richness", *[F.round(c, 6).alias(c) for c in ("shannon", "effective", "simpson")])

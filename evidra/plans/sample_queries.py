@@ -99,7 +99,7 @@ def unmatched_patterns(spark, sf):
 
 @query("catalogue_counts", """
 WITH i AS (SELECT CASE page_id % 4 WHEN 0 THEN 'sp|P1|A_HUMAN' WHEN 1 THEN 'MGYG000000001_1' WHEN 2 THEN 'GMGC10.1' ELSE 'other' END AS i FROM pages)
-SELECT CASE WHEN starts_with(i, 'sp|') THEN 'UniProt' WHEN starts_with(i, 'MGYG') THEN 'MGYG' WHEN starts_with(i, 'GMGC') THEN 'GMGC' ELSE 'smORF' END AS catalogue, count(*) AS n FROM i GROUP BY 1""")
+SELECT CASE WHEN starts_with(i, 'sp|') THEN 'Human' WHEN starts_with(i, 'MGYG') THEN 'UHGG' WHEN starts_with(i, 'GMGC') THEN 'GMGC' ELSE 'smORF' END AS catalogue, count(*) AS n FROM i GROUP BY 1""")
 def catalogue_counts(spark, sf):
     k = F.col("page_id") % 4
     made = F.when(k == 0, "sp|P1|A_HUMAN").when(k == 1, "MGYG000000001_1").when(k == 2, "GMGC10.1").otherwise("other")
