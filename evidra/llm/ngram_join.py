@@ -153,7 +153,7 @@ def frequent_shingles(docs: DataFrame, partitions: int, size: int, least: int =
         def done() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(kept), return_counts=True)
             kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int32))], names=["key", "n"])
+            return _packed(0, keys, counts, partitions)
 
         for batch in batches:
             for _, offsets, values in shingle_sets(batch.column("text"), size):
@@ -171,17 +171,15 @@ def frequent_shingles(docs: DataFrame, partitions: int, size: int, least: int =
         release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        keys, place = np.unique(table.column("key").to_numpy(), return_inverse=True)
-        counts = np.bincount(place, weights=table.column("n").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(keys[counts > least])], names=["key"])
-        del parts, table, keys, place, counts
+        held = _unpacked(batches)
+        while held:
+            _, (keys, counts) = held.popitem()
+            keys, place = np.unique(keys, return_inverse=True)
+            total = np.bincount(place, weights=counts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[total > least])], names=["key"])
         release()
 
-    return docs.mapInArrow(emit, "key bigint, n int").repartition(partitions, "key").mapInArrow(gather, "key bigint")
+    return docs.mapInArrow(emit, PACKED_SCHEMA).repartition(partitions, "part").mapInArrow(gather, "key bigint")
 
 
 def star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,8 +193,30 @@ def star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[first], nodes[first], links[:, 0], links[:, 1]
 
 
-def _batch(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
+PACKED_SCHEMA = "part int, kind tinyint, a binary, b binary"
+
+
+def _packed(kind: int, a: np.ndarray, b: np.ndarray, partitions: int) -> pa.RecordBatch:
+    """Pairs as one row for each partition that they belong to by `a`, so that Spark moves few rows."""
+    a, b = a.view(np.int64), b.view(np.int64)
+    part = (mix(a.view(np.uint64).copy()) % np.uint64(partitions)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    a, b, part = a[order], b[order], part[order]
+    names, first = np.unique(part, return_index=True)
+    ends = np.append(first[1:], len(part))[: len(first)]
+    cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), kind, np.int8)), cut(a), cut(b)], names=["part", "kind", "a", "b"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """All pairs by partition and kind."""
+    held: dict[tuple[int, int], tuple[list, list]] = {}
+    for batch in batches:
+        for part, kind, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = held.setdefault((part, kind), ([], []))
+            own[0].append(np.frombuffer(a, np.int64))
+            own[1].append(np.frombuffer(b, np.int64))
+    return {k: (np.concatenate(a), np.concatenate(b)) for k, (a, b) in held.items()}
 
 
 def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, frequent=None, flush: int = 400_000) -> DataFrame:
@@ -208,8 +228,8 @@ def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, fr
         def done() -> Iterator[pa.RecordBatch]:
             if keys:
                 k, n, a, b = star(np.concatenate(keys).view(np.int64), np.concatenate(nodes))
-                yield _batch(0, k, n)
-                yield _batch(1, a, b)
+                yield _packed(0, k, n, partitions)
+                yield _packed(1, a, b, partitions)
                 keys.clear()
                 nodes.clear()
 
@@ -232,18 +252,16 @@ def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, fr
         release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        kind, a, b = (table.column(c).to_numpy() for c in ("kind", "a", "b"))
-        _, _, x, y = star(a[kind == 0], b[kind == 0])
-        links = np.unique(np.stack([np.concatenate([x, a[kind == 1]]), np.concatenate([y, b[kind == 1]])], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
-        del parts, table, kind, a, b, x, y, links
+        held = _unpacked(batches)
+        for part in sorted({p for p, _ in held}):
+            none = np.zeros(0, np.int64)
+            _, _, x, y = star(*held.pop((part, 0), (none, none)))
+            a, b = held.pop((part, 1), (none, none))
+            links = np.unique(np.stack([np.concatenate([x, a]), np.concatenate([y, b])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
         release()
 
-    return docs.mapInArrow(emit, "kind tinyint, a bigint, b bigint").repartition(partitions, "a").mapInArrow(gather, "a bigint, b bigint")
+    return docs.mapInArrow(emit, PACKED_SCHEMA).repartition(partitions, "part").mapInArrow(gather, "a bigint, b bigint")
 
 
 class Forest:
