@@ -117,9 +117,11 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     if not n_languages:
         return None
     each = max(1, max_rows // n_languages)
-    least = F.row_number().over(Window.partitionBy("lang").orderBy("key"))  # limited to `each` rows within tasks first
-    edges = own.select("lang", "key").withColumn("n", least).where(F.col("n") <= each).groupBy("lang").agg(F.max("key").alias("edge"))
-    sample = own.join(edges, "lang").where("key <= edge")
+    salt = F.expr(f"pmod(key, {int(spark.conf.get('spark.sql.shuffle.partitions'))})")
+    first = lambda df, *keys: df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("key"))).where(F.col("n") <= each).drop("n")
+    keys = own.select("lang", "key").withColumn("salt", salt)
+    edges = first(first(keys, "lang", "salt"), "lang").groupBy("lang").agg(F.max("key").alias("edge"))
+    sample = own.join(F.broadcast(edges), "lang").where("key <= edge")  # a row for each language, as in the model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
