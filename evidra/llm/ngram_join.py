@@ -153,7 +153,7 @@ def frequent_shingles(docs: DataFrame, partitions: int, size: int, least: int =
         def done() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(kept), return_counts=True)
             kept.clear()
-            return _packed(0, keys, counts, partitions)
+            return _packed(0, keys, counts, partitions * 4)
 
         for batch in batches:
             for _, offsets, values in shingle_sets(batch.column("text"), size):
@@ -228,8 +228,8 @@ def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, fr
         def done() -> Iterator[pa.RecordBatch]:
             if keys:
                 k, n, a, b = star(np.concatenate(keys).view(np.int64), np.concatenate(nodes))
-                yield _packed(0, k, n, partitions)
-                yield _packed(1, a, b, partitions)
+                yield _packed(0, k, n, partitions * 4)
+                yield _packed(1, a, b, partitions * 4)
                 keys.clear()
                 nodes.clear()
 
