@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evidra.plans import evidence_queries, file_queries, sample_queries, study_queries
+from evidra.plans import evidence_queries, file_queries, naming_queries, sample_queries, study_queries
 
 FLAGSHIP = "evidence"
-QUERIES = evidence_queries.QUERIES | sample_queries.QUERIES | study_queries.QUERIES | file_queries.QUERIES
-ORACLES = evidence_queries.ORACLES | sample_queries.ORACLES | study_queries.ORACLES | file_queries.ORACLES
+QUERIES = evidence_queries.QUERIES | sample_queries.QUERIES | study_queries.QUERIES | file_queries.QUERIES | naming_queries.QUERIES
+ORACLES = evidence_queries.ORACLES | sample_queries.ORACLES | study_queries.ORACLES | file_queries.ORACLES | naming_queries.ORACLES
