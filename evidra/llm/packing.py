@@ -25,6 +25,8 @@ from .storage import Workspace, bounded_batches, release
 ROOM, END = 4096, 2
 #: Encoded words that a worker remembers at most.
 MEMORY = 500_000
+#: A word between words that are encoded in one text, and how many of them are.
+MARK, TOGETHER = "\x01", 256
 
 
 class WordEncoder:
@@ -37,8 +39,28 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.lower = '"Lowercase"' in tokenizer_json
         self.number: dict[str, int] = {}
+        alone = [self._each([w])[0] for w in ("a", MARK, "b")]
+        together = self.tokenizer.encode(f"a {MARK} b", add_special_tokens=False).ids
+        self.mark = alone[1][0] if len(alone[1]) == 1 and together == [i for ids in alone for i in ids] else None
         self.clear()
 
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has: encoded together, with a mark behind each.
+
+        Only a mark gives the mark's id in words that don't hold it; words that do are encoded one by one.
+        """
+        if self.mark is None or any(MARK in w for w in words):
+            got = self._each(words)
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(lengths.sum())), lengths
+        texts = [f" {MARK} ".join([*words[i : i + TOGETHER], ""]) for i in range(0, len(words), TOGETHER)]
+        ids = np.concatenate([np.fromiter(x, np.uint32, len(x)) for x in self._each(texts)])
+        marks = ids == self.mark
+        return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+
     def clear(self) -> None:
         self.number.clear()
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -53,9 +75,7 @@ class WordEncoder:
             new = words
         base = len(self.number)
         self.number.update(zip(new, range(base, base + len(new)), strict=True))
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(lengths.sum()))
+        flat, lengths = self._ids(new)
         used = int(self.ends[-1])
         while used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])

@@ -56,6 +56,22 @@ def test_byte_bpe_equals_tiktoken(spark):
         assert bytes(r.decoded) == text.encode() and r.n_tokens == len(r.ids) // 4
 
 
+def test_words_encoded_together_are_words_encoded_alone():
+    from tokenizers import Tokenizer
+
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    encoder, plain = packing.WordEncoder(text), Tokenizer.from_str(text)
+    assert encoder.mark is not None
+    rng = random.Random(5)
+    parts = ["don't", "42", "e\u0301te\u0301", "\u0301x", "a\u00a0b", "<|endoftext|>", "<|ENDOFTEXT|>x", "\x00", "\x02", "\U0001f600", "--", "\u2028", "\uac00", "\u1100\u1161", "ABC"]
+    for odd in ([], ["\x01", "x\x01y"]):  # the mark itself in a text
+        texts = ["".join(rng.choice(parts + odd + [" ", "\n", " "]) for _ in range(rng.randrange(60))) for _ in range(400)] + ["", " ", "\t\n"]
+        ids, bounds = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
