@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -228,20 +229,32 @@ def dictionary(edges: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def razor_greedy(edges: DataFrame) -> DataFrame:
-    """Razor whose ties go to the protein with most peptides assigned so far; sequential, so component by component."""
+    """Razor whose ties go to the protein with most peptides assigned so far; peptides of most proteins choose first.
+
+    Only proteins that are level by unique and total peptides wait for each other, so all others are left out before
+    components are formed: these hold about one row for each peptide and are joined by ties alone. Within one of them
+    the choice is sequential.
+    """
     types = {f.name: f.dataType.simpleString() for f in edges.schema}
-    ranked = components(degrees(edges)).join(protein_counts(edges), "protein")
+    ranked = degrees(edges).join(protein_counts(edges), "protein").withColumn("rank", F.struct("n_unique", "n_total"))
+    level = ranked.groupBy("peptide").agg(F.max("rank").alias("top"))
+    tied = cut(ranked.join(level, "peptide").where("rank = top").select("peptide", "protein", "degree"))
+    several = tied.groupBy("peptide").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = components(cut(tied.join(several, "peptide", "left_semi"))).select("protein", "component").distinct()
+    alone = F.concat(F.lit("r"), F.col("protein").cast("string"))
+    tied = tied.join(joined, "protein", "left").withColumn("component", F.coalesce("component", alone))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         assigned: dict = {}
-        rows = []
-        for (_, peptide), own in pdf.groupby(["order", "peptide"], sort=True):
-            best = min(((-r.n_unique, -r.n_total, -assigned.get(r.protein, 0), r.protein) for r in own.itertuples()))[3]
+        chosen: dict = {}
+        pdf = pdf.sort_values(["degree", "peptide", "protein"], ascending=[False, True, True])
+        for peptide, own in itertools.groupby(zip(pdf.peptide, pdf.protein, strict=True), key=lambda pair: pair[0]):
+            best = max((protein for _, protein in own), key=lambda protein: assigned.get(protein, 0))
             assigned[best] = assigned.get(best, 0) + 1
-            rows.append((peptide, best))
-        return pd.DataFrame(rows, columns=["peptide", "protein"])
+            chosen[peptide] = best
+        return pd.DataFrame({"peptide": list(chosen), "protein": list(chosen.values())})
 
-    return ranked.withColumn("order", -F.col("degree")).groupBy("component").applyInPandas(run, f"peptide {types['peptide']}, protein {types['protein']}")
+    return tied.groupBy("component").applyInPandas(run, f"peptide {types['peptide']}, protein {types['protein']}")
 
 
 #: The strategies by name: (edges, scores) to a table with the column protein.

@@ -43,47 +43,16 @@ COUNTS = "c AS (SELECT protein, count(*) FILTER (degree = 1) AS n_unique, count(
 SEQ = "s AS (SELECT doc_id, source, lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents)"
 
 
-@query("evidence", f"""
-WITH {SEQ}, p AS (SELECT item_id AS sample, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM benchmark),
-q AS (SELECT sample, substr(t, 1 + 40 * k, 20) AS peptide, 1.0 / (1 + k) AS score FROM p, range(0, 5) r(k) WHERE length(t) >= 40 * k + 20),
-n AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY score DESC) AS rn, count(*) OVER (PARTITION BY sample) AS all_n FROM q),
-cut AS (SELECT sample, min(score) AS edge FROM n WHERE rn <= ceil(0.6 * all_n) GROUP BY sample),
-k AS (SELECT q.* FROM q JOIN cut USING (sample) WHERE score >= edge),
-d AS (SELECT DISTINCT peptide FROM k),
-h AS (SELECT d.peptide, s.doc_id AS protein, CAST(i AS INTEGER) AS position FROM d JOIN s ON contains(s.sequence, d.peptide), range(0, length(s.sequence) - 19) r(i) WHERE substr(s.sequence, i + 1, 20) = d.peptide),
-e AS (SELECT protein, peptide, count(*) AS n FROM h GROUP BY ALL),
-b AS (SELECT peptide, max(score) AS score FROM k GROUP BY peptide),
-x AS (SELECT protein, count(DISTINCT sample) AS n_samples FROM e JOIN k USING (peptide) GROUP BY protein)
-SELECT protein, CAST(sum(n) AS BIGINT) AS n_hits, count(*) AS n_peptides, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, any_value(n_samples) AS n_samples,
-       round(least(1.0, log2(count(*) + 1.0) * sqrt(any_value(n_samples) / (SELECT count(*) FROM benchmark)) * avg(score)), 6) AS support
-FROM e JOIN b USING (peptide) JOIN x USING (protein) GROUP BY protein""")
-def evidence(spark, sf):
-    letters = table(spark, sf, "benchmark").select(F.col("item_id").alias("sample"), S.normalize_sequence("text").alias("t"))
-    made = letters.select("sample", "t", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).where(F.length("t") >= F.col("k") * 40 + 20)
-    predictions = made.select("sample", F.substring(F.col("t"), F.col("k") * 40 + 1, F.lit(20)).alias("peptide"), (1.0 / (1 + F.col("k"))).alias("score"))
-    kept = ranking.top_fraction(predictions, ["sample"], "score", 0.6)
-    hits = matching.substring_join(kept.select("peptide").distinct(), sequences(spark, sf).select(F.col("doc_id").alias("protein"), "sequence"), seed=20)
-    total = table(spark, sf, "benchmark").count()
-    got = matching.evidence(hits, kept, total)
-    return got.select("protein", "n_hits", "n_peptides", "n_samples", *[F.round(c, 6).alias(c) for c in ("mean_score", "max_score", "support")])
+def windows_sql(n: int) -> str:
+    """w(item_id, peptide), as whole_windows gives it."""
+    return f"""b AS (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM benchmark),
+w AS (SELECT item_id, unnest(list_distinct(list_append([substr(t, 1 + {n} * k, {n}) FOR k IN range(0, length(t) // {n})], right(t, {n})))) AS peptide FROM b WHERE length(t) >= {n})"""
 
 
-@query("substring_join", f"""
-WITH {SEQ}, d AS (SELECT DISTINCT substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 12) AS peptide FROM benchmark WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 12)
-SELECT d.peptide, s.doc_id, CAST(i AS INTEGER) AS position FROM d JOIN s ON contains(s.sequence, d.peptide), range(0, length(s.sequence) - 11) r(i) WHERE substr(s.sequence, i + 1, 12) = d.peptide""")
-def substring_join(spark, sf):
-    patterns = table(spark, sf, "benchmark").select(F.substring(S.normalize_sequence("text"), 1, 12).alias("peptide")).where("length(peptide) = 12").distinct()
-    return matching.substring_join(patterns, sequences(spark, sf).select("doc_id", "sequence"), seed=12)
-
-
-@query("include_unmatched", f"""
-WITH {SEQ}, d AS (SELECT DISTINCT substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 12) AS peptide FROM benchmark WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 12),
-m AS (SELECT DISTINCT s.doc_id FROM s JOIN d ON contains(s.sequence, d.peptide))
-SELECT doc_id, false AS included FROM m UNION ALL SELECT doc_id, true FROM s WHERE doc_id % 50 = 0 AND doc_id NOT IN (SELECT doc_id FROM m)""")
-def include_unmatched(spark, sf):
-    matched = substring_join(spark, sf).select("doc_id").distinct()
-    extra = sequences(spark, sf).where("doc_id % 50 = 0").select("doc_id").join(matched, "doc_id", "left_anti")
-    return matched.withColumn("included", F.lit(False)).unionByName(extra.withColumn("included", F.lit(True)))
+def places_sql(n: int) -> str:
+    """x(doc_id, position, peptide): every place of whole sequences with its n letters; in chunks, as substr counts from the start."""
+    return f"""ch AS (SELECT doc_id, 1000 * c AS base, substr(sequence, 1 + 1000 * c, 1000 + {n - 1}) AS piece FROM (SELECT doc_id, sequence, unnest(range(0, (length(sequence) + 999) // 1000)) AS c FROM s)),
+x AS (SELECT doc_id, CAST(base + i AS INTEGER) AS position, substr(piece, 1 + i, {n}) AS peptide FROM (SELECT *, unnest(range(0, least(1000, length(piece) - {n - 1}))) AS i FROM ch))"""
 
 
 def whole_windows(spark, sf, n):
@@ -93,9 +62,21 @@ def whole_windows(spark, sf, n):
     return letters.select("item_id", F.explode(F.array_distinct(pieces)).alias("peptide"))
 
 
-@query("evidence_whole")
-def evidence_whole(spark, sf):
-    """evidence over whole texts; the score is the share of distinct letters, which doesn't follow the place."""
+@query("evidence", f"""
+WITH {SEQ}, {windows_sql(20)}, {places_sql(20)},
+q AS (SELECT item_id AS sample, peptide, len(list_distinct(string_split(peptide, ''))) / 20.0 AS score FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY score DESC) AS rn, count(*) OVER (PARTITION BY sample) AS all_n FROM q),
+cut AS (SELECT sample, min(score) AS edge FROM n WHERE rn <= ceil(0.6::DOUBLE * all_n) GROUP BY sample),
+k AS (SELECT q.* FROM q JOIN cut USING (sample) WHERE score >= edge),
+d AS (SELECT DISTINCT peptide FROM k),
+e AS (SELECT doc_id AS protein, peptide, count(*) AS n FROM x JOIN d USING (peptide) GROUP BY ALL),
+m AS (SELECT peptide, max(score) AS score FROM k GROUP BY peptide),
+y AS (SELECT protein, count(DISTINCT sample) AS n_samples FROM e JOIN k USING (peptide) GROUP BY protein)
+SELECT protein, CAST(sum(n) AS BIGINT) AS n_hits, count(*) AS n_peptides, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, any_value(n_samples) AS n_samples,
+       round(least(1.0, log2(count(*) + 1.0) * sqrt(any_value(n_samples) / (SELECT count(*) FROM benchmark)) * avg(score)), 6) AS support
+FROM e JOIN m USING (peptide) JOIN y USING (protein) GROUP BY protein""")
+def evidence(spark, sf):
+    """Patterns are windows of whole texts; a window's score is its share of distinct letters, wherever it stands."""
     predictions = whole_windows(spark, sf, 20).select(F.col("item_id").alias("sample"), "peptide", (F.size(F.array_distinct(S.characters(F.col("peptide")))) / 20.0).alias("score"))
     kept = ranking.top_fraction(predictions, ["sample"], "score", 0.6)
     hits = matching.substring_join(kept.select("peptide").distinct(), sequences(spark, sf).select(F.col("doc_id").alias("protein"), "sequence"), seed=20)
@@ -103,36 +84,27 @@ def evidence_whole(spark, sf):
     return got.select("protein", "n_hits", "n_peptides", "n_samples", *[F.round(c, 6).alias(c) for c in ("mean_score", "max_score", "support")])
 
 
-@query("substring_join_whole")
-def substring_join_whole(spark, sf):
+PATTERNS = f"{windows_sql(12)}, d AS (SELECT DISTINCT peptide FROM w)"
+
+
+@query("substring_join", f"WITH {SEQ}, {PATTERNS}, {places_sql(12)} SELECT peptide, doc_id, position FROM x JOIN d USING (peptide)")
+def substring_join(spark, sf):
     return matching.substring_join(whole_windows(spark, sf, 12).select("peptide").distinct(), sequences(spark, sf).select("doc_id", "sequence"), seed=12)
 
 
-@query("include_unmatched_whole")
-def include_unmatched_whole(spark, sf):
+@query("include_unmatched", f"""
+WITH {SEQ}, {PATTERNS}, {places_sql(12)}, m AS (SELECT DISTINCT doc_id FROM x JOIN d USING (peptide))
+SELECT DISTINCT doc_id, doc_id NOT IN (SELECT doc_id FROM m) AS included FROM s""")
+def include_unmatched(spark, sf):
     """All documents: matched ones, and all others as included."""
-    matched = substring_join_whole(spark, sf).select("doc_id").distinct()
-    extra = sequences(spark, sf).select("doc_id").join(matched, "doc_id", "left_anti")
+    matched = substring_join(spark, sf).select("doc_id").distinct()
+    extra = sequences(spark, sf).select("doc_id").distinct().join(matched, "doc_id", "left_anti")
     return matched.withColumn("included", F.lit(False)).unionByName(extra.withColumn("included", F.lit(True)))
 
 
-@query("unmatched_patterns_whole")
-def unmatched_patterns_whole(spark, sf):
-    patterns = whole_windows(spark, sf, 12).select("peptide").distinct()
-    return patterns.join(substring_join_whole(spark, sf), "peptide", "left_anti")
-
-
-@query("conserved_scan_whole")
-def conserved_scan_whole(spark, sf):
-    forward = whole_windows(spark, sf, 12).select("peptide").distinct()
-    both = forward.withColumn("reversed", F.lit(False)).unionByName(forward.select(F.reverse("peptide").alias("peptide"), F.lit(True).alias("reversed"))).distinct()
-    hits = matching.substring_join(both.select("peptide").distinct(), sequences(spark, sf).select(F.col("doc_id").alias("protein"), "sequence"), seed=12)
-    return control.conserved(both, hits).select("peptide", "reversed", "n_proteins", F.array_join(F.transform("proteins", lambda x: x.cast("string")), ",").alias("proteins"))
-
-
 @query("sequence_scalars", """
 WITH s AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents)
-SELECT doc_id, sha256(sequence) AS seq_hash, length(sequence) AS length, translate(substr(sequence, 1, 30), 'I', 'L') AS folded,
+SELECT doc_id, sha256(sequence) AS seq_hash, length(sequence) AS length, sha256(translate(sequence, 'I', 'L')) AS folded_hash,
        length(regexp_replace(sequence, '[ACDEFGHIKLMNPQRSTVWYUO]', '', 'g')) / CASE WHEN length(sequence) = 0 THEN NULL ELSE length(sequence) END AS noncanonical,
        regexp_matches(sequence, 'A{3}|B{3}|C{3}|D{3}|E{3}|F{3}|G{3}|H{3}|I{3}|J{3}|K{3}|L{3}|M{3}|N{3}|O{3}|P{3}|Q{3}|R{3}|S{3}|T{3}|U{3}|V{3}|W{3}|X{3}|Y{3}|Z{3}') AS poly,
        length(sequence) = 0 OR (NOT starts_with(sequence, 'M') AND length(sequence) < 200) AS fragment,
@@ -140,7 +112,7 @@ SELECT doc_id, sha256(sequence) AS seq_hash, length(sequence) AS length, transla
 FROM s""")
 def sequence_scalars(spark, sf):
     s = sequences(spark, sf)
-    return s.select("doc_id", F.sha2("sequence", 256).alias("seq_hash"), F.length("sequence").cast("bigint").alias("length"), S.normalize_il(F.substring("sequence", 1, 30)).alias("folded"), S.noncanonical_fraction("sequence").alias("noncanonical"), S.has_poly_run("sequence", 3).alias("poly"), S.is_fragment("sequence", 200).alias("fragment"), S.normalise_residues("sequence").sequence.alias("cleaned"))
+    return s.select("doc_id", F.sha2("sequence", 256).alias("seq_hash"), F.length("sequence").cast("bigint").alias("length"), F.sha2(S.normalize_il("sequence"), 256).alias("folded_hash"), S.noncanonical_fraction("sequence").alias("noncanonical"), S.has_poly_run("sequence", 3).alias("poly"), S.is_fragment("sequence", 200).alias("fragment"), S.normalise_residues("sequence").sequence.alias("cleaned"))
 
 
 @query("peptide_identity", """
@@ -159,26 +131,10 @@ def sequence_entropy(spark, sf):
 
 
 @query("low_complexity", f"""
-WITH {SEQ}, w AS (SELECT doc_id, CAST(k AS INTEGER) AS k, substr(sequence, 1 + 12 * k, 12) AS p FROM s, range(0, 20) r(k) WHERE length(sequence) >= 12 * k + 12),
-c AS (SELECT doc_id, k, p, max(f) AS most, count(*) AS letters FROM (SELECT doc_id, k, p, ch, count(*) AS f FROM (SELECT *, unnest(string_split(p, '')) AS ch FROM w) WHERE ch <> '' GROUP BY ALL) GROUP BY ALL)
-SELECT doc_id, k, most > 0.6 * 12 OR letters <= 2 OR repeat(substr(p, 1, 2), 6) = p AS low FROM c""")
-def low_complexity(spark, sf):
-    pieces = sequences(spark, sf).select("doc_id", F.posexplode(F.slice(S.windows("sequence", 12), 1, 20)).alias("k", "p")).where("length(p) = 12")
-    return pieces.select("doc_id", "k", S.is_low_complexity("p").alias("low"))
-
-
-@query("sequence_folded_whole", f"""
-WITH {SEQ} SELECT doc_id, length(sequence) AS length, sha256(translate(sequence, 'I', 'L')) AS folded_hash FROM s""")
-def sequence_folded_whole(spark, sf):
-    """The fold of sequence_scalars over whole sequences."""
-    return sequences(spark, sf).select("doc_id", F.length("sequence").cast("bigint").alias("length"), F.sha2(S.normalize_il("sequence"), 256).alias("folded_hash"))
-
-
-@query("low_complexity_whole", f"""
 WITH {SEQ}, w AS (SELECT doc_id, CAST(k AS INTEGER) AS k, substr(sequence, 1 + 12 * k, 12) AS p FROM (SELECT doc_id, sequence, unnest(range(0, (length(sequence) + 11) // 12)) AS k FROM s)),
 c AS (SELECT doc_id, k, p, max(f) AS most, count(*) AS letters FROM (SELECT doc_id, k, p, ch, count(*) AS f FROM (SELECT *, unnest(string_split(p, '')) AS ch FROM w) WHERE ch <> '' GROUP BY ALL) GROUP BY ALL)
 SELECT doc_id, k, most > 0.6 * length(p) OR (length(p) = 12 AND letters <= 2) OR (length(p) >= 10 AND substr(repeat(substr(p, 1, 2), 6), 1, length(p)) = p) AS low FROM c""")
-def low_complexity_whole(spark, sf):
+def low_complexity(spark, sf):
     """All windows of each sequence, the shorter last one as well."""
     pieces = sequences(spark, sf).select("doc_id", F.posexplode(S.windows("sequence", 12)).alias("k", "p"))
     return pieces.select("doc_id", "k", S.is_low_complexity("p").alias("low"))
@@ -273,7 +229,7 @@ def razor_scored(spark, sf):
 
 @query("razor_greedy")
 def razor_greedy(spark, sf):
-    return graph.razor_greedy(sparse_edges(spark, sf))
+    return graph.razor_greedy(edges(spark, sf))
 
 
 @query("uniform_2pep", f"WITH {EDGES} SELECT protein, count(*) AS n_peptides FROM e GROUP BY protein HAVING count(*) >= 2")
@@ -310,20 +266,14 @@ def expectation(spark, sf):
     return graph.expectation(edges(spark, sf), scores, lengths).select("protein", F.round("abundance", 6).alias("abundance"))
 
 
-def sparse_edges(spark, sf):
-    """Edges whose components are small: customers are peptides, order priorities within a nation proteins."""
-    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return orders.select(F.col("o_custkey").alias("peptide"), F.concat_ws("-", F.col("c_nationkey").cast("string"), "o_orderpriority").alias("protein")).distinct()
-
-
 @query("set_cover")
 def set_cover(spark, sf):
-    return graph.set_cover(sparse_edges(spark, sf))
+    return graph.set_cover(edges(spark, sf))
 
 
 @query("study_dictionary")
 def study_dictionary(spark, sf):
-    own = sparse_edges(spark, sf)
+    own = edges(spark, sf)
     return graph.dictionary(own, graph.set_cover(own))
 
 
@@ -528,32 +478,32 @@ def tune_grid(spark, sf):
 
 
 @query("conserved_scan", f"""
-WITH {SEQ}, d AS (SELECT DISTINCT substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 12) AS f FROM benchmark WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 12),
-p AS (SELECT f AS peptide, false AS reversed FROM d UNION SELECT reverse(f), true FROM d),
-h AS (SELECT DISTINCT peptide, reversed, doc_id FROM p JOIN s ON contains(sequence, peptide))
+WITH {SEQ}, {PATTERNS}, {places_sql(12)}, p AS (SELECT peptide, false AS reversed FROM d UNION SELECT reverse(peptide), true FROM d),
+h AS (SELECT DISTINCT peptide, reversed, doc_id FROM p JOIN x USING (peptide))
 SELECT peptide, reversed, count(*) AS n_proteins, array_to_string(list_sort(list(doc_id))[1:5], ',') AS proteins FROM h GROUP BY ALL""")
 def conserved_scan(spark, sf):
-    forward = table(spark, sf, "benchmark").select(F.substring(S.normalize_sequence("text"), 1, 12).alias("peptide")).where("length(peptide) = 12").distinct()
+    forward = whole_windows(spark, sf, 12).select("peptide").distinct()
     both = forward.withColumn("reversed", F.lit(False)).unionByName(forward.select(F.reverse("peptide").alias("peptide"), F.lit(True).alias("reversed"))).distinct()
     hits = matching.substring_join(both.select("peptide").distinct(), sequences(spark, sf).select(F.col("doc_id").alias("protein"), "sequence"), seed=12)
     return control.conserved(both, hits).select("peptide", "reversed", "n_proteins", F.array_join(F.transform("proteins", lambda x: x.cast("string")), ",").alias("proteins"))
 
 
 @query("universe", """
-WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey % 10 = 1), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey % 10 = 2)
+WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey % 2 = 1), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_suppkey % 2 = 0)
 SELECT p_partkey AS k, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'left_only' WHEN b.k IS NOT NULL THEN 'right_only' ELSE 'neither' END AS status
 FROM part LEFT JOIN a ON a.k = p_partkey LEFT JOIN b ON b.k = p_partkey""")
 def universe(spark, sf):
-    arm = lambda r: table(spark, sf, "lineitem").where(F.col("l_suppkey") % 10 == r).select(F.col("l_partkey").alias("k"))
-    return compare.universe(arm(1), arm(2), table(spark, sf, "part").select(F.col("p_partkey").alias("k")), "k")
+    odd, even = arms(spark, sf)
+    return compare.universe(odd.select("k"), even.select("k"), table(spark, sf, "part").select(F.col("p_partkey").alias("k")), "k")
 
 
-ARMS = "a AS (SELECT l_partkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE l_suppkey % 10 = 1 GROUP BY 1), b AS (SELECT l_partkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE l_suppkey % 10 = 2 GROUP BY 1)"
+ARMS = "a AS (SELECT l_partkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY 1), b AS (SELECT l_partkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)"
 
 
 def arms(spark, sf):
+    """All of lineitem in two arms: odd suppliers and even ones."""
     own = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_partkey").alias("k"), "l_extendedprice")
-    return [own.where(F.col("l_suppkey") % 10 == r).groupBy("k").agg(F.sum("l_extendedprice").alias("v")) for r in (1, 2)]
+    return [own.where(F.col("l_suppkey") % 2 == r).groupBy("k").agg(F.sum("l_extendedprice").alias("v")) for r in (1, 0)]
 
 
 @query("overlap", f"""
@@ -586,46 +536,6 @@ def spearman(spark, sf):
     return compare.spearman(a.withColumnRenamed("v", "x").join(b.withColumnRenamed("v", "y"), "k"), "x", "y").withColumn("spearman", F.round("spearman", 6))
 
 
-def halves(spark, sf):
-    """All of lineitem in two arms: odd suppliers and even ones."""
-    own = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_partkey").alias("k"), "l_extendedprice")
-    return [own.where(F.col("l_suppkey") % 2 == r).groupBy("k").agg(F.sum("l_extendedprice").alias("v")) for r in (1, 0)]
-
-
-def by_halves(name: str) -> str:
-    """The SQL of a comparison with odd and even suppliers as its arms."""
-    return ORACLES[name].replace("l_suppkey % 10 = 1", "l_suppkey % 2 = 1").replace("l_suppkey % 10 = 2", "l_suppkey % 2 = 0")
-
-
-@query("universe_whole", by_halves("universe"))
-def universe_whole(spark, sf):
-    a, b = halves(spark, sf)
-    return compare.universe(a.select("k"), b.select("k"), table(spark, sf, "part").select(F.col("p_partkey").alias("k")), "k")
-
-
-@query("overlap_whole", by_halves("overlap"))
-def overlap_whole(spark, sf):
-    got = compare.overlap(*halves(spark, sf), "k")
-    return got.select("n_left", "n_right", "n_both", *[F.round(c, 8).alias(c) for c in ("gain_percent", "jaccard", "coverage")])
-
-
-@query("log_correlation_whole", by_halves("log_correlation"))
-def log_correlation_whole(spark, sf):
-    return compare.log_correlation(*halves(spark, sf), "k", "v").withColumn("pearson", F.round("pearson", 6))
-
-
-@query("arm_metrics_whole", by_halves("arm_metrics"))
-def arm_metrics_whole(spark, sf):
-    got = compare.arm_metrics(*halves(spark, sf), "k", "v")
-    return got.select("gained", "lost", "retained", F.round("median_log2", 6).alias("median_log2"), F.round("median_abs_log2", 6).alias("median_abs_log2"))
-
-
-@query("spearman_whole", by_halves("spearman"))
-def spearman_whole(spark, sf):
-    a, b = halves(spark, sf)
-    return compare.spearman(a.withColumnRenamed("v", "x").join(b.withColumnRenamed("v", "y"), "k"), "x", "y").withColumn("spearman", F.round("spearman", 6))
-
-
 @query("lost_genes", """
 WITH c AS (SELECT l_partkey AS gene, l_orderkey AS peptide FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT l_partkey AS gene, l_orderkey AS peptide FROM lineitem WHERE l_returnflag = 'R' AND l_discount <= 0.02)
 SELECT c.gene, count(DISTINCT c.peptide) AS n_peptides, count(DISTINCT c.peptide) FILTER (c.peptide IN (SELECT peptide FROM r)) AS n_found_elsewhere FROM c WHERE c.gene NOT IN (SELECT gene FROM r) GROUP BY c.gene""")

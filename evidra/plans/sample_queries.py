@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import sequence as S
 from evidra.operators import matching, samples
-from evidra.plans.evidence_queries import SEQ, sequences, table
+from evidra.plans.evidence_queries import PATTERNS, SEQ, places_sql, sequences, substring_join, table, whole_windows
 from evidra.sources import sinks
 
 QUERIES, ORACLES = {}, {}
@@ -88,13 +88,10 @@ def match_counts(spark, sf):
     return table(spark, sf, "lineitem").where(F.coalesce("l_discount", F.lit(1.0)) <= 0.05).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("n_peptides"))
 
 
-@query("unmatched_patterns", f"""
-WITH {SEQ}, d AS (SELECT DISTINCT substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 12) AS peptide FROM benchmark WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 12)
-SELECT peptide FROM d WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(sequence, peptide))""")
+@query("unmatched_patterns", f"WITH {SEQ}, {PATTERNS}, {places_sql(12)} SELECT peptide FROM d WHERE peptide NOT IN (SELECT peptide FROM x)")
 def unmatched_patterns(spark, sf):
-    patterns = table(spark, sf, "benchmark").select(F.substring(S.normalize_sequence("text"), 1, 12).alias("peptide")).where("length(peptide) = 12").distinct()
-    hits = matching.substring_join(patterns, sequences(spark, sf).select("doc_id", "sequence"), seed=12)
-    return patterns.join(hits, "peptide", "left_anti")
+    patterns = whole_windows(spark, sf, 12).select("peptide").distinct()
+    return patterns.join(substring_join(spark, sf), "peptide", "left_anti")
 
 
 @query("catalogue_counts", """
@@ -108,8 +105,10 @@ def catalogue_counts(spark, sf):
 
 @query("mass_votes")
 def mass_votes(spark, sf):
+    """Asks with all windows of 12 residues of whole texts."""
     letters = table(spark, sf, "benchmark").select(F.col("item_id").alias("target"), F.regexp_replace(F.upper("text"), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("sequence"))
-    queries = letters.select(F.col("target").alias("query"), F.substring("sequence", 11, 12).alias("sequence")).where("length(sequence) = 12")
+    pieces = letters.select("target", F.posexplode(S.windows("sequence", 12)).alias("k", "sequence")).where("length(sequence) = 12")
+    queries = pieces.select(F.concat_ws("/", F.col("target").cast("string"), F.col("k").cast("string")).alias("query"), "sequence")
     return matching.mass_vote_join(queries.withColumn("mass", S.theoretical_mass("sequence")), letters, least=3)
 
 

@@ -97,11 +97,6 @@ def study_bundle(spark, sf):
     return study.compose(matches(spark, sf), features(spark, sf), searched(spark, sf), 0.05)["study_groups"]
 
 
-@query("set_cover_whole")
-def set_cover_whole(spark, sf):
-    return graph.set_cover(edges(spark, sf))
-
-
 @query("lake_expectation")
 def lake_expectation(spark, sf):
     own = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_orderkey").alias("peptide")).agg((F.max("l_quantity") / 50).alias("score"))

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,6 +97,19 @@ def test_razor_greedy_prefers_the_assigned(spark):
     assert sorted((r.peptide, r.protein) for r in graph.razor_greedy(df).collect()) == [(1, "A"), (2, "A"), (3, "C")]
 
 
+def test_razor_greedy_equals_loop(spark):
+    rng = random.Random(8)
+    pairs = sorted({(rng.randrange(60), f"P{rng.randrange(25):02}") for _ in range(170)})
+    degree, total, unique, assigned, want = Counter(p for p, _ in pairs), Counter(r for _, r in pairs), Counter(), Counter(), {}
+    for p, r in pairs:
+        unique[r] += degree[p] == 1
+    for p in sorted(degree, key=lambda p: (-degree[p], p)):
+        want[p] = min((r for q, r in pairs if q == p), key=lambda r: (-unique[r], -total[r], -assigned[r], r))
+        assigned[want[p]] += 1
+    got = graph.razor_greedy(spark.createDataFrame(pairs, "peptide int, protein string"))
+    assert {r.peptide: r.protein for r in got.collect()} == want
+
+
 def test_razor_ties_by_hash(spark):
     df = spark.createDataFrame([(1, "A"), (1, "B"), (1, "C")], "peptide int, protein string")
     assert graph.razor(df, "hash_acc").first().protein == min("ABC", key=lambda p: fnv(p.encode()))

@@ -53,9 +53,9 @@ def test_whole_sequences_are_judged_and_folded(spark, tmp_path):
     text = "ACDEFGHIKLMN" * 30 + "A" * 12 + "ACDEFGHIKLMN" + "AAAAI"
     rows = [(1, "src1", "en", text), (2, "src1", "en", ""), (3, "src2", "en", "AI")]
     spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_id, r.k): r.low for r in registry.QUERIES["low_complexity_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.k): r.low for r in registry.QUERIES["low_complexity"](spark, str(tmp_path)).collect()}
     assert got == {(1, k): k in (30, 32) for k in range(33)} | {(3, 0): False}
-    folded = {r.doc_id: (r.length, r.folded_hash) for r in registry.QUERIES["sequence_folded_whole"](spark, str(tmp_path)).collect()}
+    folded = {r.doc_id: (r.length, r.folded_hash) for r in registry.QUERIES["sequence_scalars"](spark, str(tmp_path)).collect()}
     assert folded == {i: (len(t), hashlib.sha256(t.replace("I", "L").encode()).hexdigest()) for i, _, _, t in rows}
 
 
@@ -73,18 +73,18 @@ def test_whole_benchmark_texts_are_searched(spark, tmp_path):
 
     patterns = set().union(*[windows(t, 12) for t in texts.values()])
     places = {(p, i, k) for p in patterns for i, d in docs.items() for k in range(len(d)) if d.startswith(p, k)}
-    assert {(r.peptide, r.doc_id, r.position) for r in run("substring_join_whole")} == places and {i for _, i, _ in places} == {7, 50}
-    assert {(r.doc_id, r.included) for r in run("include_unmatched_whole")} == {(i, i not in (7, 50)) for i in docs}
-    assert {r.peptide for r in run("unmatched_patterns_whole")} == patterns - {p for p, _, _ in places}
+    assert {(r.peptide, r.doc_id, r.position) for r in run("substring_join")} == places and {i for _, i, _ in places} == {7, 50}
+    assert {(r.doc_id, r.included) for r in run("include_unmatched")} == {(i, i not in (7, 50)) for i in docs}
+    assert {r.peptide for r in run("unmatched_patterns")} == patterns - {p for p, _, _ in places}
     both = {(p, False) for p in patterns} | {(p[::-1], True) for p in patterns}
     want = {(p, back): [str(i) for i, d in sorted(docs.items()) if p in d] for p, back in both}
-    assert {(r.peptide, r.reversed): r.proteins.split(",") for r in run("conserved_scan_whole")} == {k: v for k, v in want.items() if v}
+    assert {(r.peptide, r.reversed): r.proteins.split(",") for r in run("conserved_scan")} == {k: v for k, v in want.items() if v}
     kept = set()
     for t in texts.values():
         own = sorted(windows(t, 20), key=lambda p: -len(set(p)))
         kept |= {p for p in own if len(set(p)) >= len(set(own[math.ceil(0.6 * len(own)) - 1]))} if own else set()
     hits = {i: (sum(d.startswith(p, k) for p in kept for k in range(len(d))), sum(p in d for p in kept)) for i, d in docs.items()}
-    assert {r.protein: (r.n_hits, r.n_peptides) for r in run("evidence_whole")} == {i: h for i, h in hits.items() if h[0]} and 7 in {r.protein for r in run("evidence_whole")}
+    assert {r.protein: (r.n_hits, r.n_peptides) for r in run("evidence")} == {i: h for i, h in hits.items() if h[0]} and 7 in {r.protein for r in run("evidence")}
 
 
 def test_expectation_query_runs_the_default_rounds(spark, monkeypatch):
@@ -98,4 +98,4 @@ def test_expectation_query_runs_the_default_rounds(spark, monkeypatch):
 
 def test_halves_leave_no_sold_part_out(spark, duck):
     sold = duck.sql("SELECT count(DISTINCT l_partkey) FROM lineitem JOIN part ON p_partkey = l_partkey").fetchall()[0][0]
-    assert registry.QUERIES["universe_whole"](spark, SF).where("status <> 'neither'").count() == sold
+    assert registry.QUERIES["universe"](spark, SF).where("status <> 'neither'").count() == sold
