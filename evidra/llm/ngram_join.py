@@ -144,7 +144,7 @@ def signatures(offsets: np.ndarray, values: np.ndarray, percent: int, frequent:
     return np.concatenate(found_rows), np.concatenate(found)
 
 
-def frequent_shingles(docs: DataFrame, partitions: int, size: int, least: int = FREQUENT, flush: int = 2_000_000) -> DataFrame:
+def frequent_shingles(docs: DataFrame, partitions: int, size: int, least: int = FREQUENT, flush: int = 1_000_000) -> DataFrame:
     """docs: text. Keys (see df_keys) of shingles of more than `least` classes, counted over all documents."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,11 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], tuple[
             own = held.setdefault((part, kind), ([], []))
             own[0].append(np.frombuffer(a, np.int64))
             own[1].append(np.frombuffer(b, np.int64))
-    return {k: (np.concatenate(a), np.concatenate(b)) for k, (a, b) in held.items()}
+    whole = {}
+    while held:  # parts are freed one by one
+        k, (a, b) = held.popitem()
+        whole[k] = np.concatenate(a), np.concatenate(b)
+    return whole
 
 
 def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, frequent=None, flush: int = 400_000) -> DataFrame:
