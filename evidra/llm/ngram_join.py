@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .exact_dedup import PLACE, in_files
+from .sqltext import similarity_sql
 from .storage import KeyFilter, Workspace, join_hot, partitions_for, release
 from .textops import gram_hashes, lower_ascii, mix, text_blocks, word_hashes, word_spans
 
@@ -40,6 +41,10 @@ BROADCAST_ROWS = 4_000_000
 FREQUENT = 8
 
 
+#: From offsets and values of sets: row and 64-bit signature of each signature that a set has.
+Signer = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
 @dataclass(frozen=True)
 class Sizes:
     """Size ranges and numbers of parts. Linked sets are in one range or in neighbouring ones."""
@@ -64,12 +69,12 @@ def required(x: np.ndarray | int, y: np.ndarray | int, percent: int):
     return -((-percent * (x + y)) // (100 + percent))
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, size: int, target: int = 1 << 17, most: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, offsets and sorted distinct shingle hashes of runs of rows.
 
     A row with fewer than `size` words has its whole sequence as one shingle; a row without words has none.
     """
-    for begin, offsets, data in text_blocks(column):
+    for begin, offsets, data in text_blocks(column, target, most):
         data = lower_ascii(data)
         starts, ends, counts = word_spans(offsets, data)
         words = word_hashes(data, starts, ends)
@@ -223,8 +228,13 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], tuple[
     return whole
 
 
-def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, frequent=None, flush: int = 400_000) -> DataFrame:
-    """docs: text. Links a, b between (short ids of) classes that agree in a part; frequent: a broadcast KeyFilter."""
+def part_signatures(percent: int, frequent=None) -> Signer:
+    """The first parts of each set; frequent: a broadcast KeyFilter."""
+    return lambda offsets, values: signatures(offsets, values, percent, frequent and frequent.value)
+
+
+def blocking_links(docs: DataFrame, partitions: int, size: int, sign: Signer, flush: int = 400_000, target: int = 1 << 17) -> DataFrame:
+    """docs: text. Links a, b between (short ids of) classes that agree in a signature of those that `sign` gives."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held, seen = [], [], 0, set()
@@ -238,14 +248,14 @@ def blocking_links(docs: DataFrame, partitions: int, size: int, percent: int, fr
                 nodes.clear()
 
         for batch in batches:
-            for _, offsets, values in shingle_sets(batch.column("text"), size):
+            for _, offsets, values in shingle_sets(batch.column("text"), size, target):
                 ids = class_ids(offsets, values)
                 new = np.array([bool(i) and i not in seen and not seen.add(i) for i in ids], bool)
                 if len(seen) > 200_000:
                     seen.clear()
                 n = np.diff(offsets)
                 kept = np.concatenate([[0], np.cumsum(n[new])])
-                rows, sigs = signatures(kept, values[np.repeat(new, n)], percent, frequent and frequent.value)
+                rows, sigs = sign(kept, values[np.repeat(new, n)])
                 keys.append(sigs)
                 nodes.append(short_ids([i for i, own in zip(ids, new.tolist(), strict=True) if own])[rows])
                 held += len(sigs)
@@ -316,20 +326,25 @@ def divide_skip(sets: list[np.ndarray], queries: list[int], indexed: list[int],
         n_long = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)))
         long, short = at[by_length[:n_long]], at[by_length[n_long:]]
         merged = np.concatenate([owners[b:e] for b, e in zip(begins[short].tolist(), ends[short].tolist(), strict=True)])
-        count = np.bincount(merged, minlength=len(indexed))
-        fit = (count >= least - n_long) & (own_sizes * 100 >= percent * n) & (n * 100 >= percent * own_sizes)
-        if q in position:
-            fit[position[q]] = False
-        candidates = np.flatnonzero(fit)
-        candidates = candidates[np.argsort(-count[candidates], kind="stable")]
+        if len(merged) * 8 < len(indexed):  # few entries against the block: sorted runs are merged
+            candidates, seen = np.unique(merged, return_counts=True)
+        else:
+            seen = np.bincount(merged, minlength=len(indexed))
+            candidates = np.flatnonzero(seen >= least - n_long)
+            seen = seen[candidates]
+        fit = (seen >= least - n_long) & (own_sizes[candidates] * 100 >= percent * n) & (n * 100 >= percent * own_sizes[candidates]) & (candidates != position.get(q, -1))
+        candidates, seen = candidates[fit], seen[fit]
+        order = np.argsort(-seen, kind="stable")
+        candidates, seen = candidates[order], seen[order]
         step = 4
         while len(candidates):
-            now, candidates = candidates[:step], candidates[step:]
-            now = np.array([c for c in now.tolist() if forest.root(indexed[c]) != forest.root(q)], int)
+            now, candidates, count, seen = candidates[:step], candidates[step:], seen[:step], seen[step:]
+            apart = np.array([forest.root(indexed[c]) != forest.root(q) for c in now.tolist()], bool)
+            now, count = now[apart], count[apart]
             if len(now):
                 probes = (long[:, None] * len(indexed) + now[None, :]).ravel()
                 hit = np.searchsorted(place, probes)
-                found = (place[np.minimum(hit, len(place) - 1)] == probes).reshape(len(long), len(now)).sum(0) + count[now]
+                found = (place[np.minimum(hit, len(place) - 1)] == probes).reshape(len(long), len(now)).sum(0) + count
                 for c in now[found >= required(n, own_sizes[now], percent)].tolist():
                     if forest.join(q, indexed[c]):
                         yield q, indexed[c]
@@ -357,101 +372,136 @@ def _shipped_sets(docs: DataFrame, wanted, size: int) -> DataFrame:
     return docs.mapInArrow(run, "short bigint, cls binary, tokens binary")
 
 
-def _search(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: block, cls, tokens, query, index; all of a block in one partition. Links a, b (classes)."""
+def _search(rows: DataFrame, partitions: int, percent: int) -> DataFrame:
+    """rows: block, cls, tokens, query, index. Links a, b (classes).
+
+    A block's rows come one after the other, so that a worker holds one block at a time.
+    """
+
+    def links(own: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
+        names = sorted(own)
+        sets = [np.frombuffer(own[c][0], np.uint64) for c in names]
+        queries, indexed = ([i for i, c in enumerate(names) if own[c][k]] for k in (1, 2))
+        if queries and indexed and len(names) > 1:
+            found = list(divide_skip(sets, queries, indexed, percent, Forest(len(names))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in found], pa.binary()), pa.array([names[j] for _, j in found], pa.binary())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, dict[bytes, tuple]] = {}
+        own, now = {}, None
         for batch in batches:
-            for block, cls, tokens, query, index in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = blocks.setdefault(block, {})
-                old = own.get(cls, (tokens, False, False))
-                own[cls] = (old[0], old[1] or query, old[2] or index)
-        while blocks:
-            _, own = blocks.popitem()
-            names = sorted(own)
-            sets = [np.frombuffer(own[c][0], np.uint64) for c in names]
-            queries, indexed = ([i for i, c in enumerate(names) if own[c][k]] for k in (1, 2))
-            if queries and indexed and len(names) > 1:
-                links = list(divide_skip(sets, queries, indexed, percent, Forest(len(names))))
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.binary()), pa.array([names[j] for _, j in links], pa.binary())], names=["a", "b"])
+            for block, cls, tokens, query, index in zip(*batch.columns, strict=True):
+                if block.as_py() != now:
+                    yield from links(own)
+                    own, now = {}, block.as_py()
+                name = cls.as_py()
+                old = own.get(name)
+                own[name] = (old[0] if old else tokens.as_py(), query.as_py() or bool(old and old[1]), index.as_py() or bool(old and old[2]))
+        yield from links(own)
         release()
 
-    return rows.select("block", "cls", "tokens", "query", "index").mapInArrow(run, "a binary, b binary")
+    return rows.select("block", "cls", "tokens", "query", "index").repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(run, "a binary, b binary")
+
 
+def _large_blocks(members: DataFrame, work: Workspace, percent: int, chunk: int, chunk_tokens: int) -> DataFrame:
+    """members: block, k, size, cls, tokens of blocks with many classes (k) or many shingles (size).
 
-def _large_blocks(members: DataFrame, work: Workspace, percent: int, chunk: int) -> DataFrame:
-    """members: block, n, cls, tokens of blocks with many classes. Links a, b that connect what is connected there."""
-    dealt = work.save(members.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("chunk", F.expr("pmod(xxhash64(cls), chunks)").cast("int")), "dealt")
-    pivots = dealt.where(F.expr("pmod(xxhash64(cls, 1), greatest(1, n div 16)) = 0"))
+    Links a, b that connect what is connected there.
+    """
+    spark = work.spark
+    chunks = F.greatest(F.ceil(F.col("k") / chunk), F.ceil(F.col("size") / chunk_tokens)).cast("int")
+    dealt = work.save(members.withColumn("chunks", chunks).withColumn("chunk", F.expr("pmod(xxhash64(cls), chunks)").cast("int")), "dealt")
+    pivots = dealt.where(F.expr("pmod(xxhash64(cls, 1), greatest(1, k div 16)) = 0"))
     everywhere = pivots.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
     first = dealt.withColumns({"query": F.lit(True), "index": F.lit(False)}).unionByName(everywhere.withColumns({"query": F.lit(False), "index": F.lit(True)}))
-    partitions = partitions_for(work.spark, 1, 1) * 2
-    links = work.save(_search(first.withColumn("block", F.xxhash64("block", "chunk")).repartition(partitions, "block"), percent), "pivot-links")
+    units = dealt.select("block", "chunks").distinct().agg(F.sum("chunks")).first()[0] or 0
+    links = work.save(_search(first.withColumn("block", F.xxhash64("block", "chunk")), partitions_for(spark, units, 1), percent), "pivot-links")
     roots = connected(links, work, "pivot-components")
     labelled = dealt.select("block", "cls", "chunk", "chunks").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     labelled = work.save(labelled, "labelled")
     main = labelled.where("root is not null").groupBy("block", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("block").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
     apart = work.save(labelled.join(main, "block", "left").where("root is null or root <> main").drop("root", "main"), "apart")
-    groups = apart.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("groups"))
+    groups = work.save(apart.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("groups"), F.first("chunks").alias("chunks")), "groups")
+    units = groups.agg(F.sum(F.expr("groups * chunks"))).first()[0] or 0
+    groups = groups.select("block", "groups")
     index = dealt.join(groups, "block").withColumn("group", F.explode(F.expr("sequence(0, groups - 1)"))).withColumns({"query": F.lit(False), "index": F.lit(True)})
     asking = apart.join(groups, "block").select("cls", F.expr("pmod(xxhash64(cls, 2), groups)").cast("int").alias("group"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
     query = dealt.drop("chunk").join(asking, "cls").withColumns({"query": F.lit(True), "index": F.lit(False)})
     index = index.select("block", "cls", "tokens", "chunk", "group", "query", "index")
     second = index.unionByName(query.select(*index.columns)).withColumn("block", F.xxhash64("block", "chunk", "group"))
-    return links.unionByName(_search(second.repartition(partitions, "block"), percent))
+    return links.unionByName(_search(second, partitions_for(spark, units, 1), percent))
 
 
-def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block_limit: int = 2000, carry: str | None = None) -> DataFrame:
-    """Links documents whose sets of distinct `size`-word shingles have a Jaccard similarity of `percent` / 100 or more.
-
-    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; fewer than `size` words make one shingle. Returns one row
-    for each row of `docs`: id, n_shingles, cls (16 bytes, the same for equal sets, empty for none), component_id (the
-    least id reachable by links; a row without words, null text included, is linked with nothing and has its own id;
-    null ids count only where there is no other). With `carry`, that column comes along as `carried`, and `root` tells
-    the group. An empty table gives an empty result. Other columns are not read.
-    """
-    work = Workspace(spark, "ngram-join")
+def sized_rows(work: Workspace, docs: DataFrame, id_col: str, text_col: str, size: int, carry: str | None) -> tuple[DataFrame, DataFrame]:
+    """`docs` as id, text, carried, and a table of id, n (shingles), cls, short (the class in 64 bits), carried."""
     carried = F.col(carry) if carry else F.lit(0)
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, offsets, values in shingle_sets(batch.column("text"), size):
                 rows = slice(begin, begin + len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays([batch.column("id")[rows], pa.array(np.diff(offsets)), pa.array(class_ids(offsets, values), pa.binary()), batch.column("carried")[rows]], names=["id", "n", "cls", "carried"])
+                ids = class_ids(offsets, values)
+                short = short_ids([i or bytes(8) for i in ids])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[rows], pa.array(np.diff(offsets)), pa.array(ids, pa.binary()), pa.array(short), batch.column("carried")[rows]], names=["id", "n", "cls", "short", "carried"])
 
-    sized = work.save(own.mapInArrow(sizes, f"id bigint, n bigint, cls binary, carried {own.schema['carried'].dataType.simpleString()}"), "sizes")
-    total = sized.agg(F.sum("n")).first()[0] or 0
+    return own, work.save(own.mapInArrow(run, f"id bigint, n bigint, cls binary, short bigint, carried {own.schema['carried'].dataType.simpleString()}"), "sizes")
+
+
+def confirmed(work: Workspace, own: DataFrame, sized: DataFrame, candidates: DataFrame, size: int, percent: int, block_limit: int, block_tokens: int, carry: str | None) -> DataFrame:
+    """Groups of linked rows; candidates: links a, b between short ids of classes, each link of sets being inside a
+    connected component of them. Such components are blocks, searched whole on full sets; see `join` for the rest.
+    """
+    spark = work.spark
     texts = own.select("text")
-    many = work.save(frequent_shingles(texts, partitions_for(spark, total, 1_000_000), size), "frequent")
-    frequent = spark.sparkContext.broadcast(KeyFilter.build(many, many.count()))
-    links = blocking_links(texts, partitions_for(spark, int(total * 0.4), 500_000), size, percent, frequent)
-    blocks = work.save(connected(links, work, "blocks"), "members")
-    n_members = blocks.count()
-    wanted = spark.sparkContext.broadcast(KeyFilter.build(blocks.select("node"), n_members))
-    counts = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    known = blocks.join(counts, "root").select(F.col("node").alias("short"), F.col("root").alias("block"), "n")
+    blocks = work.save(connected(candidates, work, "blocks"), "members")
+    wanted = spark.sparkContext.broadcast(KeyFilter.build(blocks.select("node"), blocks.count()))
+    shingles = sized.where("n > 0").groupBy("short").agg(F.max("n").alias("n"))
+    weighed = work.save(blocks.join(shingles, F.col("node") == F.col("short")).select("short", F.col("root").alias("block"), "n"), "weighed")
+    counts = weighed.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"))
+    is_large = F.expr(f"k > {block_limit} or size > {block_tokens}")
+    counts = work.save(counts.withColumn("large", is_large), "counts")
+    n_small, tokens, large = counts.agg(F.sum(F.expr("if(large, 0, k)")), F.sum(F.expr("if(large, 0, size)")), F.count_if("large")).first()
+    known = weighed.drop("n").join(counts, "block")
     members = _shipped_sets(texts, wanted, size).join(known, "short").drop("short")
-    large = counts.where(f"n > {block_limit}").count()
     if large:
         members = work.save(members, "sets")
-    small = members.where(f"n <= {block_limit}").withColumns({"query": F.lit(True), "index": F.lit(True)})
-    exact = _search(small.repartition(partitions_for(spark, n_members, 4_000), "block"), percent)
+    small = members.where("not large").withColumns({"query": F.lit(True), "index": F.lit(True)})
+    partitions = max(partitions_for(spark, n_small or 0, 4_000), partitions_for(spark, tokens or 0, 2_000_000))
+    exact = _search(small, partitions, percent)
     if large:
-        exact = exact.unionByName(_large_blocks(members.where(f"n > {block_limit}"), work, percent, block_limit // 2))
+        exact = exact.unionByName(_large_blocks(members.where("large").drop("large"), work, percent, max(1, block_limit // 2), max(1, block_tokens // 2)))
     roots = connected(exact, work, "links")
     counts = work.save(sized.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).join(roots, F.col("cls") == F.col("node")).select("cls", "root", "k"), "class-roots")
-    tagged = join_hot(sized, counts, ["cls"], "k", sized.count(), "left").drop("k").withColumn("root", F.coalesce("root", "cls"))
+    tagged = join_hot(sized.drop("short"), counts, ["cls"], "k", sized.count(), "left").drop("k").withColumn("root", F.coalesce("root", "cls"))
     tagged = work.save(tagged, "tagged")
-    work.drop("sizes", "frequent", "sets", "dealt", "pivot-links", "labelled", "apart", "class-roots")
+    work.drop("sizes", "frequent", "sets", "dealt", "pivot-links", "labelled", "apart", "groups", "weighed", "counts", "class-roots")
     least = tagged.where("n > 0").groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
     joined = join_hot(tagged, least, ["root"], "k", tagged.count(), "left")
     component = F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.col("least")).otherwise(F.col("id"))
     return joined.select("id", F.col("n").alias("n_shingles"), "cls", component.alias("component_id"), *(["carried", "root"] if carry else []))
 
 
+def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block_limit: int = 2000, block_tokens: int = 2_000_000, carry: str | None = None) -> DataFrame:
+    """Links documents whose sets of distinct `size`-word shingles have a Jaccard similarity of `percent` / 100 or more.
+
+    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; fewer than `size` words make one shingle. Returns one row
+    for each row of `docs`: id, n_shingles, cls (16 bytes, the same for equal sets, empty for none), component_id (the
+    least id reachable by links; a row without words, null text included, is linked with nothing and has its own id;
+    null ids count only where there is no other). With `carry`, that column comes along as `carried`, and `root` tells
+    the group. An empty table gives an empty result. Very long texts are read whole; a block of more than `block_tokens`
+    shingles is dealt out like one of many classes. Other columns are not read.
+    """
+    work = Workspace(spark, "ngram-join")
+    own, sized = sized_rows(work, docs, id_col, text_col, size, carry)
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    texts = own.select("text")
+    many = work.save(frequent_shingles(texts, partitions_for(spark, total, 1_000_000), size), "frequent")
+    frequent = spark.sparkContext.broadcast(KeyFilter.build(many, many.count()))
+    links = blocking_links(texts, partitions_for(spark, int(total * 0.4), 500_000), size, part_signatures(percent, frequent))
+    return confirmed(work, own, sized, links, size, percent, block_limit, block_tokens, carry)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
     """`docs` with one row of each group of linked rows: of those with the least id, the first by file and row.
 
@@ -475,3 +525,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = join(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), size=SHINGLE, percent=PERCENT)
     return got.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP9_SQL = similarity_sql(SHINGLE, PERCENT)

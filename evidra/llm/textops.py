@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Odd base of the polynomial word hash; its powers and their inverses modulo 2**64 are kept as tables.
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -77,12 +78,26 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever the word stands."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
-    own = (total[ends] - total[starts]) * down[starts]
-    return mix(own ^ ((ends - starts).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
+    """A 64-bit hash of each word, the same wherever the word stands.
+
+    Words of up to 32 bytes are folded eight bytes at a time, each step through the finaliser; longer ones by xxh3.
+    """
+    size = ends - starts
+    found = mix(size.astype(np.uint64) * _BASE)
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    rows = np.flatnonzero(size <= 32)
+    for at in range(0, 32, 8):
+        rows = rows[size[rows] > at]
+        if not len(rows):
+            break
+        lane, rest = lanes[starts[rows] + at], size[rows] - at
+        part = rest < 8
+        lane[part] &= (np.uint64(1) << (rest[part] * 8).astype(np.uint64)) - np.uint64(1)
+        found[rows] = mix(found[rows] ^ lane)
+    memory = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > 32).tolist():
+        found[i] = xxhash.xxh3_64_intdigest(memory[starts[i] : ends[i]])
+    return found
 
 
 def byte_gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
