@@ -52,7 +52,7 @@ def sketches(offsets: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
 
 def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key of each band of each sketch: one row for each sketch."""
-    parts = sketch.reshape(len(sketch), -1, rows)
+    parts = sketch.reshape(len(sketch), sketch.shape[1] // rows, rows)
     keys = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
     for r in range(rows):
         keys = mix(keys * np.uint64(0x9E6C63D0676A9A99) + parts[:, :, r])
