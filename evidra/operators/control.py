@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-import statistics
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,13 +158,3 @@ def shuffle_keeping(sequence: str, seed: str, keep: str = "KR") -> str:
     rng.shuffle(free)
     rest = iter(free)
     return "".join(c if c in keep else next(rest) for c in sequence)
-
-
-def bootstrap_median(values: list[float], rounds: int = 1000, seed: int = 1, level: float = 0.95) -> tuple[float, float] | None:
-    """Seeded percentile interval of the median; none for five values or less."""
-    if len(values) <= 5:
-        return None
-    rng = random.Random(seed)
-    made = sorted(statistics.median(rng.choices(values, k=len(values))) for _ in range(rounds))
-    edge = (1 - level) / 2
-    return made[int(edge * rounds)], made[min(rounds - 1, int((1 - edge) * rounds))]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -228,33 +227,62 @@ def dictionary(edges: DataFrame, selected: DataFrame) -> DataFrame:
     return edges.join(selected, "protein").groupBy("peptide").agg(F.min_by("protein", "selection_rank").alias("protein"))
 
 
-def razor_greedy(edges: DataFrame) -> DataFrame:
+def _before(events: DataFrame, block: int) -> DataFrame:
+    """events: protein, seq, taken (0 or 1). Adds done and open: rows of the protein with a lesser seq, taken or not.
+
+    Running sums are by blocks of `seq` first, so that a protein of many rows is no task of its own.
+    """
+    own = events.withColumn("block", F.expr(f"seq div {block}"))
+    inner = Window.partitionBy("protein", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("protein").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy("protein", "block").agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("k"))
+    sums = sums.select("protein", "block", F.coalesce(F.sum("t").over(outer), F.lit(0)).alias("t0"), F.coalesce(F.sum("k").over(outer), F.lit(0)).alias("k0"))
+    own = own.withColumns({"t1": F.coalesce(F.sum("taken").over(inner), F.lit(0)), "k1": F.coalesce(F.count(F.lit(1)).over(inner), F.lit(0))})
+    own = own.join(sums, ["protein", "block"])
+    done = F.col("t0") + F.col("t1")
+    return own.withColumns({"done": done, "open": F.col("k0") + F.col("k1") - done}).drop("block", "t0", "k0", "t1", "k1")
+
+
+def razor_greedy(edges: DataFrame, block: int = 100_000, rounds: int = 10_000) -> DataFrame:
     """Razor whose ties go to the protein with most peptides assigned so far; peptides of most proteins choose first.
 
-    Only proteins that are level by unique and total peptides wait for each other, so all others are left out before
-    components are formed: these hold about one row for each peptide and are joined by ties alone. Within one of them
-    the choice is sequential.
+    The sequential choice is replayed in rounds. Of each undecided peptide and candidate, the peptides that were
+    assigned to it before are at least those decided so far and at most these and the undecided ones before; where the
+    best candidate's least number beats the greatest number of all others (equal numbers: the lesser name), the choice
+    stands, whatever the undecided ones do. The first undecided peptide always can be decided, and a protein in the lead
+    decides for twice as many each round. No component is gathered in a task.
     """
-    types = {f.name: f.dataType.simpleString() for f in edges.schema}
     ranked = degrees(edges).join(protein_counts(edges), "protein").withColumn("rank", F.struct("n_unique", "n_total"))
-    level = ranked.groupBy("peptide").agg(F.max("rank").alias("top"))
-    tied = cut(ranked.join(level, "peptide").where("rank = top").select("peptide", "protein", "degree"))
-    several = tied.groupBy("peptide").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = components(cut(tied.join(several, "peptide", "left_semi"))).select("protein", "component").distinct()
-    alone = F.concat(F.lit("r"), F.col("protein").cast("string"))
-    tied = tied.join(joined, "protein", "left").withColumn("component", F.coalesce("component", alone))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        assigned: dict = {}
-        chosen: dict = {}
-        pdf = pdf.sort_values(["degree", "peptide", "protein"], ascending=[False, True, True])
-        for peptide, own in itertools.groupby(zip(pdf.peptide, pdf.protein, strict=True), key=lambda pair: pair[0]):
-            best = max((protein for _, protein in own), key=lambda protein: assigned.get(protein, 0))
-            assigned[best] = assigned.get(best, 0) + 1
-            chosen[peptide] = best
-        return pd.DataFrame({"peptide": list(chosen), "protein": list(chosen.values())})
-
-    return tied.groupBy("component").applyInPandas(run, f"peptide {types['peptide']}, protein {types['protein']}")
+    level = ranked.groupBy("peptide").agg(F.max("rank").alias("top"), F.max("degree").alias("degree"))
+    tied = cut(ranked.drop("degree").join(level, "peptide").where("rank = top").select("peptide", "protein", "degree"))
+    order = cut(in_order(tied.select("peptide", "degree").distinct(), [F.desc("degree"), "peptide"], "seq").select("peptide", "seq"))
+    tied = tied.join(order, "peptide").select("peptide", "protein", "seq")
+    single = tied.groupBy("peptide").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("peptide")
+    decided = cut(tied.join(single, "peptide", "left_semi"))
+    left = cut(tied.join(single, "peptide", "left_anti"))
+    for _ in range(rounds):
+        if left.isEmpty():
+            return decided.select("peptide", "protein")
+        events = decided.withColumn("taken", F.lit(1)).unionByName(left.withColumn("taken", F.lit(0)))
+        bounds = cut(_before(events.join(left.select("protein").distinct(), "protein", "left_semi"), block).where("taken = 0"))
+        best = bounds.groupBy("peptide").agg(F.min_by(F.struct("protein", "done"), F.struct(-F.col("done"), "protein")).alias("b"))
+        most = F.col("done") + F.col("open")
+        beaten = (F.col("protein") == F.col("b.protein")) | (most < F.col("b.done")) | ((most == F.col("b.done")) & (F.col("protein") > F.col("b.protein")))
+        won = bounds.join(best, "peptide").groupBy("peptide", "seq").agg(F.bool_and(beaten).alias("sure"), F.first("b.protein").alias("protein")).where("sure")
+        won = cut(won.select("peptide", "protein", "seq"))
+        decided = cut(decided.unionByName(won))
+        left = cut(left.join(won.select("peptide"), "peptide", "left_anti"))
+    raise RuntimeError("choices did not settle")
+
+
+def in_order(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Numbers rows from 0 in a total order: ranges in tasks, places within them, one count for each range."""
+    spark = df.sparkSession
+    placed = cut(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # one row for each range
+    numbered = placed.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(base), "__part")
+    return numbered.withColumn(name, F.expr(f"__base + (__at & {(1 << 33) - 1}L)")).drop("__part", "__base", "__at")
 
 
 #: The strategies by name: (edges, scores) to a table with the column protein.

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions.sequence import RESIDUE_MASS, characters
+from evidra.operators import massindex
 
 
 #: Sequences are cut into overlapping chunks of so many keys, as a substring costs time by its distance from the start.
@@ -43,28 +43,15 @@ def substring_join(patterns: DataFrame, sequences: DataFrame, pattern: str = "pe
     return patterns.join(hits.select(*rest, F.col("__p").alias(pattern), place.alias("position")), pattern)
 
 
-def mass_vote_join(queries: DataFrame, targets: DataFrame, k: int = 5, width: float = 0.001, least: int = 1, ppm: float = 20.0) -> DataFrame:
+def mass_vote_join(queries: DataFrame, targets: DataFrame, k: int = 5, least: int = 1, ppm: float = 20.0) -> DataFrame:
     """Mass-tolerant matches of sequences: k-mer mass bins with a band of one, votes for (target, start), then masses.
 
-    queries: query, sequence, mass. targets: target, sequence. The best start of each query by votes, error, target
-    and start: query, target, start, length, votes, error_ppm.
+    queries: query, sequence (50 residues at most), mass. targets: target, sequence. The best start of each query by
+    votes, error, target and start: query, target, start, length, votes, error_ppm. See `massindex` for an index that
+    is used more than once.
     """
-    def mers(df: DataFrame, name: str) -> DataFrame:
-        masses = F.transform(characters(F.col("sequence")), lambda x: F.try_element_at(F.create_map(*[F.lit(v) for pair in RESIDUE_MASS.items() for v in pair]), x))
-        at = F.when(F.size("m") >= k, F.sequence(F.lit(0), F.size("m") - k)).otherwise(F.array().cast("array<int>"))
-        made = df.select(name, masses.alias("m")).select(name, "m", F.explode(at).alias("offset"))
-        total = F.aggregate(F.slice("m", F.col("offset") + 1, F.lit(k)), F.lit(0.0), lambda a, x: a + x)
-        return made.select(name, "offset", F.round(total / width).cast("bigint").alias("bin")).where("bin is not null")
-
-    left = mers(queries, "query").select("query", "offset", F.explode(F.expr("sequence(bin - 1, bin + 1)")).alias("bin"))
-    right = mers(targets, "target").withColumnRenamed("offset", "place")
-    votes = left.join(right, "bin").where("place >= offset").groupBy("query", "target", (F.col("place") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("votes")).where(F.col("votes") >= least)
-    spans = votes.join(queries.select("query", F.length("sequence").alias("n"), "mass"), "query").join(targets.select("target", F.col("sequence").alias("t")), "target")
-    spans = spans.withColumn("length", F.explode(F.expr("sequence(n - 2, n + 2)"))).where("start + length <= length(t)")
-    inside = F.aggregate(characters(F.substring(F.col("t"), F.col("start") + 1, F.col("length"))), F.lit(18.01056), lambda a, x: a + F.try_element_at(F.create_map(*[F.lit(v) for pair in RESIDUE_MASS.items() for v in pair]), x))
-    checked = spans.withColumn("error_ppm", F.abs(inside - F.col("mass")) / F.col("mass") * 1e6).where(F.col("error_ppm") <= ppm)
-    order = Window.partitionBy("query").orderBy(F.desc("votes"), F.round("error_ppm", 2), "target", "start", "length")
-    return checked.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("query", "target", "start", "length", "votes", "error_ppm")
+    got = massindex.anchored(massindex.write_index(targets, k, "nearest"), queries, least, ppm)
+    return got.select("query", "target", "start", "length", "votes", "error_ppm")
 
 
 def evidence(hits: DataFrame, scores: DataFrame, samples: int | Column) -> DataFrame:

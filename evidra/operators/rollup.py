@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,33 +76,6 @@ def centred_log_ratio(df: DataFrame, sample: str, feature: str, value: str, samp
     return own.join(means, sample).select(sample, feature, (F.col("ln") - F.col("mean")).alias("clr"))
 
 
-def permanova(distances: np.ndarray, labels: np.ndarray, blocks: np.ndarray | None = None, permutations: int = 999, seed: int = 0) -> tuple[float, float]:
-    """Pseudo-F and p-value (1 + at least as large) / (permutations + 1), permuting labels within blocks.
-
-    Takes the square matrix of sample distances, whose size is that of the study, not of the data.
-    """
-    n = len(labels)
-    blocks = np.zeros(n, int) if blocks is None else np.asarray(blocks)
-    _, labels = np.unique(labels, return_inverse=True)
-    k = labels.max() + 1
-    squared = np.asarray(distances, float) ** 2
-    total = squared.sum() / (2 * n)
-
-    def statistic(own: np.ndarray) -> float:
-        hot = np.eye(k)[own]
-        within = (np.einsum("ik,ij,jk->k", hot, squared, hot) / (2 * hot.sum(0))).sum()
-        return ((total - within) / (k - 1)) / (within / (n - k)) if within > 0 and n > k > 1 else float("inf")
-
-    observed, rng, count = statistic(labels), np.random.default_rng(seed), 0
-    for _ in range(permutations):
-        own = labels.copy()
-        for b in np.unique(blocks):
-            at = np.flatnonzero(blocks == b)
-            own[at] = own[rng.permutation(at)]
-        count += statistic(own) >= observed - 1e-12
-    return observed, (1 + count) / (permutations + 1)
-
-
 def lineage_tree(df: DataFrame, lineage: str, weight: str) -> DataFrame:
     """count and self_count of each prefix of a lineage array: path (joined by /), depth."""
     own = df.where(F.size(lineage) > 0).groupBy(F.col(lineage).alias("l")).agg(F.sum(weight).alias("w"))

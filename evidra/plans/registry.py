@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from evidra.plans import evidence_queries, file_queries, naming_queries, sample_queries, study_queries
+from evidra.plans import evidence_queries, file_queries, naming_queries, resampling_queries, rescue_queries, sample_queries, study_queries
 
 FLAGSHIP = "evidence"
-QUERIES = evidence_queries.QUERIES | sample_queries.QUERIES | study_queries.QUERIES | file_queries.QUERIES | naming_queries.QUERIES
-ORACLES = evidence_queries.ORACLES | sample_queries.ORACLES | study_queries.ORACLES | file_queries.ORACLES | naming_queries.ORACLES
+QUERIES, ORACLES = {}, {}
+for plans in (evidence_queries, sample_queries, study_queries, file_queries, naming_queries, rescue_queries, resampling_queries):
+    QUERIES |= plans.QUERIES
+    ORACLES |= plans.ORACLES

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.functions import sequence as S
-from evidra.operators import matching, samples
+from evidra.operators import massindex, matching, samples
+from evidra.plans import rescue_queries
 from evidra.plans.evidence_queries import PATTERNS, SEQ, places_sql, sequences, substring_join, table, whole_windows
 from evidra.sources import sinks
 
@@ -103,13 +104,14 @@ def catalogue_counts(spark, sf):
     return table(spark, sf, "pages").groupBy(S.catalogue(made).alias("catalogue")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mass_votes")
+@query("mass_votes", rescue_queries.window_votes_sql(12, 3))
 def mass_votes(spark, sf):
     """Asks with all windows of 12 residues of whole texts."""
     letters = table(spark, sf, "benchmark").select(F.col("item_id").alias("target"), F.regexp_replace(F.upper("text"), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("sequence"))
     pieces = letters.select("target", F.posexplode(S.windows("sequence", 12)).alias("k", "sequence")).where("length(sequence) = 12")
     queries = pieces.select(F.concat_ws("/", F.col("target").cast("string"), F.col("k").cast("string")).alias("query"), "sequence")
-    return matching.mass_vote_join(queries.withColumn("mass", S.theoretical_mass("sequence")), letters, least=3)
+    got = matching.mass_vote_join(queries.withColumn("mass", S.residue_mass("sequence") + massindex.WATER), letters, least=3)
+    return got.withColumn("error_ppm", F.round("error_ppm", 6))
 
 
 @query("shuffled_copies")
