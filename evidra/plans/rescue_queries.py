@@ -86,7 +86,7 @@ _NEAREST = lambda mass: f"({mass} + 500) // 1000"
 
 def window_votes_sql(length, least):
     """Anchors of all windows of `length` residues of benchmark texts, their other letters left out, among these texts."""
-    return f"""WITH s AS (SELECT item_id AS doc_id, regexp_replace(upper(text), '[^{''.join(S.RESIDUE_MASS)}]', '', 'g') AS sequence FROM benchmark),
+    return f"""WITH s AS (SELECT item_id AS doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{''.join(S.RESIDUE_MASS)}]', '', 'g') AS sequence FROM benchmark),
 qw AS (SELECT doc_id || '/' || k AS query, substr(sequence, 1 + {length} * k, {length}) AS peptide FROM (SELECT *, unnest(range(0, length(sequence) // {length})) AS k FROM s)),
 an AS (SELECT DISTINCT peptide, {mass_sql('peptide', length)} / {massindex.UNIT}.0 + {massindex.WATER} AS mass FROM qw), {_votes_sql('an', _NEAREST, least)},
 sp AS (SELECT peptide, doc_id, start, votes, mass, n, substr(sequence, start + 1, n) AS w FROM (SELECT v.*, mass, unnest(range({length - 2}, {length + 3})) AS n FROM v JOIN an USING (peptide)) JOIN s USING (doc_id) WHERE start + n <= length(sequence)),

@@ -107,7 +107,7 @@ def catalogue_counts(spark, sf):
 @query("mass_votes", rescue_queries.window_votes_sql(12, 3))
 def mass_votes(spark, sf):
     """Asks with all windows of 12 residues of whole texts."""
-    letters = table(spark, sf, "benchmark").select(F.col("item_id").alias("target"), F.regexp_replace(F.upper("text"), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("sequence"))
+    letters = table(spark, sf, "benchmark").select(F.col("item_id").alias("target"), F.regexp_replace(S.normalize_sequence("text"), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("sequence"))
     pieces = letters.select("target", F.posexplode(S.windows("sequence", 12)).alias("k", "sequence")).where("length(sequence) = 12")
     queries = pieces.select(F.concat_ws("/", F.col("target").cast("string"), F.col("k").cast("string")).alias("query"), "sequence")
     got = matching.mass_vote_join(queries.withColumn("mass", S.residue_mass("sequence") + massindex.WATER), letters, least=3)

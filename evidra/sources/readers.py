@@ -159,6 +159,74 @@ def sidecar(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("sha256_hash").alias("seq_hash"), F.explode(F.split("all_source_headers", r"\|\|\|")).alias("h")).select("seq_hash", F.substring_index("h", " ", 1).alias("tag"), F.regexp_replace("h", r"^\S+\s*", "").alias("header"))
 
 
+#: Ranks of a lineage from the root on.
+RANKS = (
+    "domain", "realm", "kingdom", "subkingdom", "superphylum", "phylum", "subphylum", "superclass", "class", "subclass", "infraclass", "superorder", "order",
+    "suborder", "infraorder", "parvorder", "superfamily", "family", "subfamily", "tribe", "subtribe", "genus", "subgenus", "species_group", "species_subgroup",
+    "species", "subspecies", "strain", "varietas", "forma",
+)
+
+
+def lineage_answers(spark: SparkSession, path: str, peptides: DataFrame, form: str = "json") -> DataFrame:
+    """peptide, status, taxon_id, lineage (array of struct id, name, rank) of a lowest-common-ancestor lookup.
+
+    form: json (a list in each file), lines (an object in each line) or csv. peptides: peptide, those asked for, with
+    I as L; those without an answer get the status not_returned. The other statuses are assigned, lookup_cutoff,
+    cutoff_not_reported and unresolved (no taxon, or the root). Errors, each naming a peptide: one that wasn't asked
+    for or is answered twice, ids that are no whole numbers above 0, ids without names, a rank below that of the
+    ancestor or anything behind it, an ancestor that differs from the lineage at its rank, other flags than true and
+    false. An ancestor at a rank that has no column of its own ends the lineage.
+    """
+    if form == "csv":
+        raw = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+    else:
+        raw = spark.read.option("multiLine", form == "json").option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
+    require_columns(raw, ["peptide", "taxon_id", "taxon_name", "taxon_rank", "genus_id", "species_id", "phylum_id"], path)
+    text = lambda c: F.trim(F.col(c)) if c in raw.columns else F.lit(None).cast("string")
+    none = lambda c: c.isNull() | c.isin("", "0")
+    entries = []
+    for k, rank in enumerate(RANKS):
+        key = "superkingdom" if rank == "domain" and "domain_id" not in raw.columns else rank
+        taxon, name = text(f"{key}_id"), text(f"{key}_name")
+        entries.append(F.when(~none(taxon), F.struct(taxon.alias("id"), name.alias("name"), F.lit(rank).alias("rank"), F.lit(k).alias("k"))))
+    place = F.create_map(*[F.lit(x) for k, rank in enumerate(RANKS) for x in (rank, k)])
+    lca_rank = F.when(text("taxon_rank") == "superkingdom", "domain").otherwise(text("taxon_rank"))
+    cutoff = F.lower(text("cutoff_used"))
+    letters = text("peptide")
+    made = raw.select(
+        F.when(letters.rlike(f"^[{''.join(S.RESIDUE_MASS)}]+$"), F.translate(letters, "I", "L")).alias("peptide"), letters.alias("given"),
+        F.when(~none(text("taxon_id")), text("taxon_id")).alias("lca"), lca_rank.alias("lca_rank"), text("taxon_name").alias("lca_name"), cutoff.alias("cutoff"),
+        F.filter(F.array(*entries), lambda e: e.isNotNull()).alias("e"),
+    )
+    limit = F.try_element_at(place, F.col("lca_rank"))
+    at = F.array_position(F.transform("e", lambda e: e["id"]), F.coalesce("lca", F.lit("")))
+    whole = lambda c: c.rlike(r"^[1-9][0-9]{0,17}$")
+    problem = (
+        F.when(F.col("peptide").isNull(), "not a plain peptide")
+        .when(~F.coalesce(F.col("cutoff").isin("true", "1", "false", "0", ""), F.lit(True)), "unknown flag")
+        .when(~F.coalesce(whole(F.col("lca")), F.lit(True)) | F.exists("e", lambda e: ~whole(e["id"])), "an id is no whole number above 0")
+        .when(F.exists("e", lambda e: F.coalesce(e["name"], F.lit("")) == ""), "an id has no name")
+        .when(((at > 0) & (at < F.size("e"))) | F.exists("e", lambda e: F.coalesce(e["k"] > limit, F.lit(False))), "descendants below the ancestor")
+        .when(F.exists("e", lambda e: (e["rank"] == F.coalesce("lca_rank", F.lit(""))) & (e["id"] != F.coalesce("lca", F.lit("")))), "the ancestor differs from the lineage")
+        .when(F.col("lca").isNotNull() & (F.col("lca") != "1") & (at == 0) & ((F.coalesce("lca_name", F.lit("")) == "") | (F.coalesce("lca_rank", F.lit("")) == "")), "the ancestor has no name or rank")
+    )
+    node = lambda i, n, r: F.struct(i.try_cast("bigint").alias("id"), n.alias("name"), r.alias("rank"))
+    shown = F.transform("e", lambda e: node(e["id"], e["name"], e["rank"]))
+    own_end = F.col("lca").isNotNull() & (F.col("lca") != "1") & (at == 0)
+    lineage = F.when(own_end, F.concat(shown, F.array(node(F.col("lca"), F.col("lca_name"), F.col("lca_rank"))))).otherwise(shown)
+    flag = F.when(F.col("cutoff").isNull(), "cutoff_not_reported").when(F.col("cutoff").isin("true", "1"), "lookup_cutoff").otherwise("assigned")
+    status = F.when((flag == "assigned") & (F.col("lca").isNull() | (F.col("lca") == "1")), "unresolved").otherwise(flag)
+    answers = made.select("peptide", "given", problem.alias("problem"), status.alias("status"), F.col("lca").try_cast("bigint").alias("taxon_id"), lineage.alias("lineage"))
+    asked = peptides.select("peptide").distinct().withColumn("asked", F.lit(True))
+    one = answers.groupBy(F.coalesce("peptide", "given").alias("peptide")).agg(F.count(F.lit(1)).alias("n"), F.max("problem").alias("problem"), F.first(F.struct("status", "taxon_id", "lineage")).alias("a"))
+    joined = one.join(asked, "peptide", "full")
+    problem = F.coalesce("problem", F.when(F.col("n") > 1, "answered twice").when(F.col("asked").isNull(), "not asked for"))
+    kind = one.schema["a"].dataType
+    found = F.when(problem.isNotNull(), F.raise_error(F.concat(problem, F.lit(": "), F.coalesce("peptide", F.lit("null")))).cast(kind)).otherwise(F.col("a"))
+    empty = F.array().cast(kind["lineage"].dataType)
+    return joined.withColumn("a", found).select("peptide", F.coalesce("a.status", F.lit("not_returned")).alias("status"), "a.taxon_id", F.coalesce("a.lineage", empty).alias("lineage"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Acquisitions: unique ids of letters, digits, dot, dash and underscore."""
     df = table(spark, path, ["sample", "predictions"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.sequence import wrap_fasta
@@ -15,6 +15,37 @@ def write_fasta(df: DataFrame, path: str, header: str = "accession", sequence: s
     (lines.coalesce(1) if single else lines).write.mode("errorifexists").text(path)
 
 
+def write_sorted_fasta(df: DataFrame, path: str, accession: str = "accession", header: str | None = None, sequence: str = "sequence", allow_duplicates: bool = False) -> DataFrame:
+    """FASTA in byte order of the accession over all part files, and an index of its records.
+
+    The index is accession, part (name of the file), offset and bytes, as a table beside the parts. Order follows from
+    accessions alone, not from the order or the partitions of the input. A null or repeated accession is an error that
+    names the first one and how many there are; no records at all is one too.
+    """
+    from evidra.operators.lineage import cut
+
+    spark = df.sparkSession
+    own = cut(df.select(F.col(accession).alias("accession"), F.coalesce(F.col(header) if header else F.col(accession), F.col(accession)).alias("header"), F.coalesce(F.col(sequence), F.lit("")).alias("sequence")))
+    names = own.groupBy("accession").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or accession is null")
+    bad = names.agg(F.count(F.lit(1)), F.min("accession"), F.count_if(F.col("accession").isNull())).first()
+    if bad[2] or (bad[0] and not allow_duplicates):
+        raise ValueError(f"{bad[0]} accessions are missing or not unique, the first is {bad[1]!r}")
+    if own.isEmpty():
+        raise ValueError("no records")
+    # equal accessions, where allowed, stay in one range and are told apart by their content
+    order = ["accession", "header", "sequence"]
+    placed = own.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "accession").sortWithinPartitions(*order)
+    lines = placed.select("accession", wrap_fasta(F.col("header"), F.col("sequence")).alias("value"))
+    numbered = cut(lines.withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)))
+    # part files are numbered by the ranges that have rows, so that each range is one file whatever the writer does
+    numbered.repartition(F.col("range")).sortWithinPartitions("range", "at").select("range", "value").write.mode("errorifexists").partitionBy("range").text(f"{path}/parts")
+    width = Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.octet_length("value") + 1
+    index = numbered.select("accession", F.concat(F.lit("range="), F.col("range").cast("string")).alias("part"), F.coalesce(F.sum(size).over(width), F.lit(0)).alias("offset"), size.cast("bigint").alias("bytes"))
+    index.write.mode("errorifexists").parquet(f"{path}/index")
+    return spark.read.schema(index.schema).parquet(f"{path}/index")
+
+
 def write_table(df: DataFrame, path: str, order: list[str] | None = None, decimals: dict[str, int] | None = None, single: bool = False) -> None:
     """A TSV with a header; `decimals` prints columns with that many places."""
     own = df.orderBy(*order) if order else df
