@@ -2,45 +2,128 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.operators import massindex
+from evidra.operators.lineage import cut
+
+
+#: Most bits of the bitmap of pattern keys: 8 MiB are broadcast at most, whatever the number of patterns.
+MOST_BITS = 1 << 26
+#: Characters looked at at once in a task.
+BLOCK = 1 << 20
+#: Patterns of up to so many characters are searched together; longer ones by powers of four, each with its own scan.
+SHORT = 64
+_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _stir(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _STEP
+    return x ^ (x >> np.uint64(29))
+
+
+def window_keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key of each n consecutive code points, by doubling; int64, len(codes) - n + 1 of them."""
+    made, size, whole, done = _stir(codes.astype(np.uint64) + np.uint64(1)), 1, None, 0
+    count = len(codes) - n + 1
+    while done < n:
+        if n & size:
+            whole = made[:count] if whole is None else _stir(whole * _ODD + made[done : done + count])
+            done += size
+        if done < n:
+            made = _stir(made[:-size] * _ODD + made[size:])
+            size <<= 1
+    return whole.view(np.int64)
+
+
+def _blocks(texts: list[str], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, place and key of every window of n characters, some rows at a time."""
+    first = 0
+    while first < len(texts):
+        last, total = first, 0
+        while last < len(texts) and (last == first or total + len(texts[last]) <= BLOCK):
+            total += len(texts[last])
+            last += 1
+        codes = np.frombuffer("".join(texts[first:last]).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.array([len(t) for t in texts[first:last]])
+        begins = np.cumsum(sizes) - sizes
+        if len(codes) >= n:
+            keys = window_keys(codes, n)
+            inside = np.repeat(begins + sizes - n, sizes)[: len(keys)] >= np.arange(len(keys))
+            at = np.flatnonzero(inside)
+            row = np.repeat(np.arange(len(sizes)), sizes)[at]
+            yield row + first, at - begins[row], keys[at]
+        first = last
+
+
+def _keyed(patterns: DataFrame, n: int) -> DataFrame:
+    """patterns: __p, of n characters or more. Adds __key, the key of the first n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.frombuffer("".join(t[:n] for t in batch.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+            keys = window_keys(codes, n)[::n] if len(codes) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys)], names=["__p", "__key"])
+
+    return patterns.select("__p").mapInArrow(run, "__p string, __key bigint")
+
+
+def _candidates(sequences: DataFrame, sequence: str, keyed: DataFrame, n: int, longest: int) -> DataFrame:
+    """The other columns, __key, __at and __text (up to `longest` characters) of places whose key may be a pattern's."""
+    spark, bits = sequences.sparkSession, 1 << 12
+    count = keyed.count()
+    while bits < MOST_BITS and bits < 64 * count:
+        bits <<= 1
+    word = F.expr(f"cast(shiftright(__key, 6) & {(bits >> 6) - 1}L as int)")
+    rows = keyed.groupBy(word.alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(__key & 63 as int)))").alias("b")).toArrow()  # bits / 64 rows at most
+    bitmap = np.zeros(bits >> 6, np.int64)
+    bitmap[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
+    rest = [c for c in sequences.columns if c != sequence]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(sequence).to_pylist()]
+            for row, place, key in _blocks(texts, n):
+                words = bitmap[(key >> 6) & (len(bitmap) - 1)].view(np.uint64)
+                hit = np.flatnonzero((words >> (key & 63).view(np.uint64)) & np.uint64(1))
+                for part in range(0, len(hit), 50_000):
+                    own = hit[part : part + 50_000]
+                    shown = [texts[r][p : p + longest] for r, p in zip(row[own].tolist(), place[own].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[own])) for c in rest), pa.array(key[own]), pa.array(place[own], pa.int32()), pa.array(shown, pa.string())], names=[*rest, "__key", "__at", "__text"])
 
-#: Sequences are cut into overlapping chunks of so many keys, as a substring costs time by its distance from the start.
-CHUNK = 256
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in sequences.schema if f.name != sequence)
+    return sequences.select(*rest, sequence).mapInArrow(run, f"{kinds}__key bigint, __at int, __text string")
 
 
 def substring_join(patterns: DataFrame, sequences: DataFrame, pattern: str = "peptide", sequence: str = "sequence", seed: int = 9) -> DataFrame:
     """All places, overlapping ones too, where a pattern of `seed` characters or more stands in a sequence.
 
-    Seed and verify: about half of `seed` characters make a join key. Texts give keys at every s-th place only, and
-    patterns at s offsets, where s fills up `seed`: of s consecutive places one is met, so nothing is lost and a text
-    makes s times fewer rows. What stands around the key is verified. Catalyst broadcasts the patterns if they are
-    small; else both sides are shuffled by key, and AQE splits frequent ones. Adds `position`, from 0.
+    Tasks key every window of `seed` characters in arrays and test it against a bitmap of the patterns' keys before
+    anything becomes a row; what passes meets the patterns in a join by key and is verified letter by letter. The
+    bitmap's size is fixed: with more patterns it lets more places through to the join and loses none. Places carry no
+    more characters than the longest pattern of their class has, so one long pattern costs a scan of its own only. Null
+    patterns and sequences match nothing. Adds `position`, from 0.
     """
-    key = max(1, seed - seed // 2 + 1) if seed > 3 else seed
-    step = seed - key + 1
-    long_enough = patterns.where(F.length(pattern) >= seed)
-    longest = long_enough.agg(F.max(F.length(pattern))).first()[0] or seed
-    wanted = long_enough.select(F.col(pattern).alias("__p")).distinct().select("__p", F.explode(F.sequence(F.lit(0), F.lit(step - 1))).alias("__o"))
-    wanted = wanted.select("__p", "__o", F.substring(F.col("__p"), F.col("__o") + 1, F.lit(key)).alias("__key"))
+    own = cut(patterns.select(F.col(pattern).alias("__p")).where(F.length("__p") >= seed).distinct())
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.length("__p") / SHORT) / 2)).cast("int")
+    classes = own.groupBy(level.alias("k")).agg(F.max(F.length("__p")).alias("longest")).orderBy("k").collect()  # one for each power of four
     rest = [c for c in sequences.columns if c != sequence]
-    width = CHUNK * step
-    chunks = F.when(F.length(sequence) >= seed, F.sequence(F.lit(0), F.length(sequence) - key, F.lit(width))).otherwise(F.array().cast("array<int>"))
-    pieces = sequences.select(*rest, F.col(sequence).alias("__s"), F.explode(chunks).alias("__c"))
-    base = F.greatest(F.col("__c") - (step - 1), F.lit(0))
-    pieces = pieces.select(*rest, "__c", base.alias("__b"), F.substring(F.col("__s"), base + 1, F.col("__c") - base + width - 1 + longest).alias("__s"))
-    places = F.sequence(F.col("__c"), F.least(F.col("__c") + width - 1, F.col("__b") + F.length("__s") - key), F.lit(step))
-    exploded = pieces.where(F.col("__b") + F.length("__s") - key >= F.col("__c")).select(*rest, "__b", "__s", F.explode(places).alias("__k"))
-    at = F.col("__k") - F.col("__b")
-    start = F.greatest(at - (step - 1), F.lit(0))
-    exploded = exploded.select(*rest, "__k", (start + F.col("__b")).alias("__from"), F.substring(F.col("__s"), at + 1, F.lit(key)).alias("__key"), F.substring(F.col("__s"), start + 1, at - start + longest).alias("__text"))
-    place = F.col("__k") - F.col("__o")
-    found = F.substring(F.col("__text"), place - F.col("__from") + 1, F.length("__p")) == F.col("__p")
-    hits = exploded.join(wanted, "__key").where((place >= F.col("__from")) & found)
-    return patterns.join(hits.select(*rest, F.col("__p").alias(pattern), place.alias("position")), pattern)
+    hits = None
+    for k, longest in classes:
+        keyed = cut(_keyed(own.where(level == k), seed))
+        found = _candidates(sequences, sequence, keyed, seed, longest).join(keyed, "__key").where(F.startswith("__text", "__p"))
+        found = found.select(*rest, F.col("__p").alias(pattern), F.col("__at").alias("position"))
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = sequences.limit(0).select(*rest, F.lit(None).cast("string").alias(pattern), F.lit(0).alias("position"))
+    return patterns.join(hits, pattern)
 
 
 def mass_vote_join(queries: DataFrame, targets: DataFrame, k: int = 5, least: int = 1, ppm: float = 20.0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import sequence as S
+from evidra.operators.lineage import cut
 from evidra.operators import compare, control, graph, lake, matching, network, ranking, rollup, study
 
 QUERIES, ORACLES = {}, {}
@@ -78,7 +79,7 @@ FROM e JOIN m USING (peptide) JOIN y USING (protein) GROUP BY protein""")
 def evidence(spark, sf):
     """Patterns are windows of whole texts; a window's score is its share of distinct letters, wherever it stands."""
     predictions = whole_windows(spark, sf, 20).select(F.col("item_id").alias("sample"), "peptide", (F.size(F.array_distinct(S.characters(F.col("peptide")))) / 20.0).alias("score"))
-    kept = ranking.top_fraction(predictions, ["sample"], "score", 0.6)
+    kept = cut(ranking.top_fraction(predictions, ["sample"], "score", 0.6))
     hits = matching.substring_join(kept.select("peptide").distinct(), sequences(spark, sf).select(F.col("doc_id").alias("protein"), "sequence"), seed=20)
     got = matching.evidence(hits, kept, table(spark, sf, "benchmark").count())
     return got.select("protein", "n_hits", "n_peptides", "n_samples", *[F.round(c, 6).alias(c) for c in ("mean_score", "max_score", "support")])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.functions import sequence as S
-from evidra.operators import arms, graph, matching, pieces, ranking, sampling
+from evidra.operators import arms, graph, inference, matching, pieces, ranking, sampling
 from evidra.plans import evidence_queries
 from evidra.plans.evidence_queries import SEQ, edges, sequences, table, whole_windows
 from evidra.plans.file_queries import place, records
@@ -158,3 +158,34 @@ def arm_counts(spark, sf):
 @query("arm_support", f"WITH {_ARM} SELECT sha256(sequence) AS seq_hash, canonical AS peptide, true AS unique FROM m JOIN r USING (l_partkey) WHERE reason = 'accepted' GROUP BY ALL")
 def arm_support(spark, sf):
     return _arm(spark, sf).support
+
+
+_FOLDED = "translate(peptide, 'I', 'L')"
+_INFERRED = f"""{SEQ}, {evidence_queries.windows_sql(12)}, {evidence_queries.places_sql(12)},
+pe AS (SELECT {_FOLDED} AS peptide, max(len(list_distinct(string_split(peptide, ''))) / 12.0::DOUBLE) AS score FROM w GROUP BY 1),
+e AS (SELECT DISTINCT pe.peptide, doc_id AS protein FROM x JOIN pe ON {_FOLDED.replace('peptide', 'x.peptide')} = pe.peptide),
+g AS (SELECT peptide, count(*) AS degree FROM e GROUP BY peptide),
+c AS (SELECT protein, count(*) FILTER (degree = 1) AS n_unique, count(*) AS n_total FROM e JOIN g USING (peptide) GROUP BY protein),
+z AS (SELECT DISTINCT protein FROM (SELECT protein, row_number() OVER (PARTITION BY peptide ORDER BY n_unique DESC, n_total DESC, protein) AS rn FROM e JOIN c USING (protein)) WHERE rn = 1)"""
+
+
+def _inferred(spark, sf, **options):
+    own = whole_windows(spark, sf, 12).select("peptide", (F.size(F.array_distinct(S.characters(F.col("peptide")))) / 12.0).alias("score"))
+    return inference.infer(own, sequences(spark, sf).select(F.col("doc_id").alias("protein"), "sequence"), **options)
+
+
+@query("inference_run", f"""WITH {_INFERRED} SELECT 'razor' AS strategy, (SELECT count(*) FROM s) AS n_proteins, (SELECT count(*) FROM pe) AS n_peptides, (SELECT count(DISTINCT peptide) FROM e) AS n_matched,
+  (SELECT count(DISTINCT protein) FROM e) AS n_candidates, (SELECT count(*) FROM z) AS n_selected, round((SELECT count(*) FROM s) / (SELECT count(*) FROM z), 8) AS reduction_factor""")
+def inference_run(spark, sf):
+    """Windows of benchmark texts are the sample's peptides, documents its proteins."""
+    return _inferred(spark, sf).stats.drop("n_rescued", "n_rescued_new").withColumn("reduction_factor", F.round("reduction_factor", 8))
+
+
+@query("inference_selected", f"WITH {_INFERRED} SELECT z.protein, sha256(sequence) AS h, n_total AS n_peptides FROM z JOIN s ON doc_id = z.protein JOIN c ON c.protein = z.protein")
+def inference_selected(spark, sf):
+    """Written as files and read back with the provenance."""
+    path = place(spark, "inference")
+    made = _inferred(spark, sf)
+    inference.write(made, path)
+    got = readers.fasta(spark, f"{path}/selected/parts", strict=True).select(F.col("accession").cast("bigint").alias("protein"), F.sha2("sequence", 256).alias("h"))
+    return got.join(spark.read.json(f"{path}/provenance").select("protein", "n_peptides"), "protein")

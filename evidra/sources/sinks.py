@@ -25,7 +25,7 @@ def write_sorted_fasta(df: DataFrame, path: str, accession: str = "accession", h
     from evidra.operators.lineage import cut
 
     spark = df.sparkSession
-    own = cut(df.select(F.col(accession).alias("accession"), F.coalesce(F.col(header) if header else F.col(accession), F.col(accession)).alias("header"), F.coalesce(F.col(sequence), F.lit("")).alias("sequence")))
+    own = cut(df.select(F.col(accession).cast("string").alias("accession"), F.coalesce(F.col(header or accession).cast("string"), F.col(accession).cast("string")).alias("header"), F.coalesce(F.col(sequence), F.lit("")).alias("sequence")))
     names = own.groupBy("accession").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or accession is null")
     bad = names.agg(F.count(F.lit(1)), F.min("accession"), F.count_if(F.col("accession").isNull())).first()
     if bad[2] or (bad[0] and not allow_duplicates):
