@@ -41,6 +41,26 @@ def cross_sample(df: DataFrame, feature: str, value: str, samples: int) -> DataF
     return got.select(feature, "n_samples", (F.col("n_samples") / samples).alias("completeness"), "mean", F.when(F.col("n_samples") >= 2, F.try_divide("sd", "mean")).alias("cv"))
 
 
+def cross_sample_summary(df: DataFrame, sample: str, feature: str, value: str, samples: int | None = None) -> DataFrame:
+    """One row over a matrix in long form: n_samples, n_features, completeness_pct, median_cv_pct, features_in_all_samples,
+    features_in_one_sample.
+
+    Only values above 0 are measured; features without any count as features. The median of the coefficients (n - 1,
+    features of two samples or more) is the upper one of an even number, 0 without any. `samples` counts samples
+    without rows as well. Ranks are by range, so that no task sorts all features.
+    """
+    from evidra.operators.graph import in_order
+    from evidra.operators.lineage import cut
+
+    measured = F.when(F.col(value) > 0, F.col(value))
+    own = cut(df.groupBy(feature).agg(F.count(measured).alias("k"), F.avg(measured).alias("mean"), F.stddev_samp(measured).alias("sd")).withColumn("cv", F.when(F.col("k") >= 2, F.col("sd") / F.col("mean") * 100)))
+    n = samples if samples is not None else df.select(sample).distinct().count()
+    ordered = cut(in_order(own.where("cv is not null").select("cv"), ["cv"], "place"))
+    middle = ordered.where(F.col("place") == ordered.count() // 2).agg(F.coalesce(F.max("cv"), F.lit(0.0)).alias("median_cv_pct"))
+    made = own.agg(F.lit(n).cast("bigint").alias("n_samples"), F.count(F.lit(1)).alias("n_features"), (F.coalesce(F.sum("k"), F.lit(0)) * 100.0 / F.greatest(F.lit(1), F.count(F.lit(1)) * n)).alias("completeness_pct"), F.count_if(F.col("k") == n).alias("features_in_all_samples"), F.count_if(F.col("k") == 1).alias("features_in_one_sample"))
+    return made.crossJoin(F.broadcast(middle)).select("n_samples", "n_features", "completeness_pct", "median_cv_pct", "features_in_all_samples", "features_in_one_sample")  # one row
+
+
 def search_q(psms: DataFrame) -> DataFrame:
     """Least peptide and protein q of each target peptide."""
     return psms.where("label = 1").groupBy("peptide").agg(F.min("peptide_q").alias("peptide_q"), F.min("protein_q").alias("protein_q"))

@@ -167,13 +167,16 @@ def matrix_written(spark, sf):
     return got.select("part", *[F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c).cast("double"))).alias(c) for c in ("A", "N", "R")])
 
 
-@query("bundle_written", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("bundle_written", """
+SELECT c_custkey, n_name, count(o_orderkey) AS n_orders, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
 def bundle_written(spark, sf):
+    """Whole tables written as one bundle, checked against their records and read back."""
     path = place(spark, "bundle")
-    sinks.write_bundle({"nation": table(spark, sf, "nation"), "region": table(spark, sf, "region")}, path)
-    names = {r.name for r in spark.read.json(f"{path}/_bundle").collect()}  # two names
-    nation, region = (spark.read.parquet(f"{path}/{n}") for n in sorted(names))
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    sinks.write_bundle({n: table(spark, sf, n) for n in ("nation", "customer", "orders")}, path, {"source": "tables"})
+    got = readers.bundle(spark, path)
+    sums = got["orders"].groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("t"))
+    own = got["customer"].join(got["nation"], F.col("n_nationkey") == F.col("c_nationkey")).join(sums, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return own.select("c_custkey", "n_name", F.coalesce("n", F.lit(0)).alias("n_orders"), F.round(F.coalesce("t", F.lit(0.0)), 2).alias("total"))
 
 
 @query("engine_headers", """

@@ -227,6 +227,19 @@ def lineage_answers(spark: SparkSession, path: str, peptides: DataFrame, form: s
     return joined.withColumn("a", found).select("peptide", F.coalesce("a.status", F.lit("not_returned")).alias("status"), "a.taxon_id", F.coalesce("a.lineage", empty).alias("lineage"))
 
 
+def bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Tables of a bundle by name; one that is missing or differs from its record is an error."""
+    from evidra.operators.pieces import digest
+    from evidra.sources.sinks import BUNDLE
+
+    found = {}
+    for r in spark.read.schema(BUNDLE).json(f"{path}/_bundle").collect():  # one for each table
+        found[r.name] = spark.read.parquet(f"{path}/{r.name}")
+        if digest(found[r.name]) != (r.rows, r.digest):
+            raise ValueError(f"{path}: {r.name} differs from its record")
+    return found
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Acquisitions: unique ids of letters, digits, dot, dash and underscore."""
     df = table(spark, path, ["sample", "predictions"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.sequence import wrap_fasta
@@ -68,12 +71,39 @@ def write_matrix(df: DataFrame, path: str, row: str, column: str, value: str, co
     return target
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Parquet tables of a study under one folder; the list of tables is written last, as the mark of success."""
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+def write_bundle(tables: dict[str, DataFrame], path: str, settings: dict | None = None) -> None:
+    """Parquet tables of a study under one folder, which appears whole or not at all.
+
+    Everything is written to a folder beside it. The record of the tables, with number of rows and a digest blind to
+    order as they were read back, is written last; then the folder gets its name. `settings` go into each record as
+    text. A folder of that name is an error, before and after the work.
+    """
+    from evidra.operators.pieces import digest
+
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(n,) for n in sorted(tables)], "name string").coalesce(1).write.mode("errorifexists").json(f"{path}/_bundle")
+    hidden = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
+    files = _files(spark, path)
+    if files.exists(_hadoop_path(spark, path)):
+        raise FileExistsError(path)
+    records = []
+    for name, df in sorted(tables.items()):
+        df.write.mode("errorifexists").parquet(f"{hidden}/{name}")
+        rows, total = digest(spark.read.schema(df.schema).parquet(f"{hidden}/{name}"))
+        records.append((name, rows, total, json.dumps(settings or {}, sort_keys=True)))
+    spark.createDataFrame(records, BUNDLE).coalesce(1).write.mode("errorifexists").json(f"{hidden}/_bundle")
+    if files.exists(_hadoop_path(spark, path)) or not files.rename(_hadoop_path(spark, hidden), _hadoop_path(spark, path)):
+        raise FileExistsError(path)
+
+
+BUNDLE = "name string, rows bigint, digest string, settings string"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def hash_table(df: DataFrame, accession: str = "accession", sequence: str = "sequence") -> DataFrame:
