@@ -100,8 +100,11 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_path, stage):
         else:
             assert got.columns == df.columns and got.schema["n_chars"].dataType == df.schema["n_chars"].dataType
         rows = got.collect()
+        if stage == 0 and not labels:
+            assert sorted(map(str, rows)) == sorted(map(str, df.collect()))
         if stage == 1:
-            assert sorted(str(r.text).lower() for r in rows) == sorted(["none", " \n", "same words here", "½ ² ①", "long text " * 300]) or len(rows) == 5
+            # null and empty texts are one; of equal texts the row with the largest id stays
+            assert sorted((str(r.doc_id), r.text or "") for r in rows) == sorted([("1", ""), ("4", "Same words here"), ("None", " \n"), ("None", "½ ² ①"), ("6", "long text " * 300)], key=lambda x: x)
         if stage == 2:
             assert len(rows) == 7 and sum((r.text or "").lower() == "same words here" for r in rows) == 1
         if stage == 3:
