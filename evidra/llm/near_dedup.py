@@ -28,7 +28,8 @@ from .textops import mix
 SHINGLE, PERCENT = 2, 80
 ROWS, BANDS = 8, 80
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-_VALUE = np.uint64(0xFFFFFFFF)
+_VALUE, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
+_SEED = 20240817
 
 
 def sketches(offsets: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
@@ -36,17 +37,28 @@ def sketches(offsets: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
     sizes = np.diff(offsets)
     found = np.full((len(sizes), width), _EMPTY)
     flat = found.reshape(-1)
+    rng = np.random.default_rng(_SEED)
     active = np.flatnonzero(sizes > 0)
+    base = np.repeat(active * width, sizes[active])
     for k in range(2 * width):
-        if not len(active):
-            break
-        own = sizes[active]
-        first = np.cumsum(own) - own
-        at = np.arange(own.sum()) + np.repeat(offsets[active] - first, own)
-        hashed = mix(values[at] ^ mix(np.array([k + 1], np.uint64))[0])
-        place = ((hashed >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64) if k < width else k - width
-        np.minimum.at(flat, np.repeat(active * width, own) + place, (np.uint64(k) << np.uint64(32)) | (hashed & _VALUE))
-        active = active[(found[active] == _EMPTY).any(1)]
+        seed, odd, again = rng.integers(0, 1 << 63, 3, dtype=np.int64).view(np.uint64) | np.uint64(1)
+        hashed = values ^ seed
+        hashed *= odd
+        hashed ^= hashed >> _HALF
+        hashed *= again
+        if k < width:
+            cells = base + (((hashed >> _HALF) * np.uint64(width)) >> _HALF).view(np.int64)
+        else:
+            cells = base + (k - width)
+        np.minimum.at(flat, cells, (np.uint64(k) << _HALF) | (hashed ^ (hashed >> _HALF)) & _VALUE)
+        if k < 2 or k % 4 == 3:  # later rounds never change a full sketch, so it may take part in a few more
+            open_ = (found[active] == _EMPTY).any(1)
+            if not open_.all():
+                values = values[np.repeat(open_, sizes[active])]
+                active = active[open_]
+                base = np.repeat(active * width, sizes[active])
+                if not len(active):
+                    break
     return found
 
 

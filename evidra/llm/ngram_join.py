@@ -80,15 +80,17 @@ def shingle_sets(column: pa.Array, size: int, target: int = 1 << 17, most: int =
         words = word_hashes(data, starts, ends)
         grams = gram_hashes(words, size)
         n = np.diff(counts)
-        long = np.maximum(n - size + 1, 0)
-        at = np.repeat(counts[:-1] - (np.cumsum(long) - long), long) + np.arange(long.sum())
-        rows = np.repeat(np.arange(len(n)), long)
-        values = grams[at] if len(at) else np.zeros(0, np.uint64)
+        own = np.where(n >= size, n - size + 1, n > 0)
+        begins = np.cumsum(own) - own
+        values = np.zeros(int(own.sum()), np.uint64)
+        rows = np.repeat(np.arange(len(n)), own)
+        at = np.arange(len(values)) - begins[rows] + counts[:-1][rows]
+        long = (n >= size)[rows]
+        values[long] = grams[at[long]] if len(grams) else 0
         for i in np.flatnonzero((n > 0) & (n < size)).tolist():
-            values = np.append(values, mix(gram_hashes(words[counts[i] : counts[i + 1]], int(n[i])) + np.uint64(n[i])))
-            rows = np.append(rows, i)
-        order = np.lexsort((values, rows))
-        values, rows = values[order], rows[order]
+            values[begins[i]] = mix(gram_hashes(words[counts[i] : counts[i + 1]], int(n[i])) + np.uint64(n[i]))[0]
+        for i in np.flatnonzero(own > 1).tolist():  # rows are sorted one by one, which is faster than all by two keys
+            values[begins[i] : begins[i] + own[i]].sort()
         new = np.ones(len(values), bool)
         new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
         values, rows = values[new], rows[new]
