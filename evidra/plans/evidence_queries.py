@@ -154,9 +154,9 @@ def quality_cascade(spark, sf):
 @query("digest_saturation", f"""
 WITH {SEQ}, d AS (SELECT DISTINCT unnest(string_split_regex(regexp_replace(regexp_replace(sequence, '([KR])', '\\1|', 'g'), '\\|P', 'P', 'g'), '\\|')) AS p FROM s),
 c AS (SELECT p FROM d WHERE regexp_full_match(p, '[ACDEFGHIKLMNPQRSTVWY]+'))
-SELECT length(p) AS length, count(*) AS n_distinct, pow(20.0, length(p)) AS possible, round(count(*) / pow(20.0, length(p)), 12) AS saturation FROM c WHERE length(p) <= 8 GROUP BY length(p)""")
+SELECT length(p) AS length, count(*) AS n_distinct, pow(20.0, length(p)) AS possible, round(count(*) / pow(20.0, length(p)), 12) AS saturation FROM c WHERE p <> '' GROUP BY length(p)""")
 def digest_saturation(spark, sf):
-    pieces = sequences(spark, sf).select(F.explode(S.tryptic("sequence")).alias("p")).where("length(p) <= 8").distinct()
+    pieces = sequences(spark, sf).select(F.explode(S.tryptic("sequence")).alias("p")).where("p <> ''").distinct()
     possible = F.pow(F.lit(20.0), F.col("length"))
     return pieces.groupBy(F.length("p").cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("n_distinct")).select("length", "n_distinct", possible.alias("possible"), F.round(F.col("n_distinct") / possible, 12).alias("saturation"))
 

@@ -143,10 +143,10 @@ def provenance_read(spark, sf):
     return got.select("seq_hash", F.col("accession").cast("bigint").alias("first_id"), F.size("sources").cast("bigint").alias("n_sources"), tags.alias("tags"))
 
 
-@query("sidecar_read", f"WITH {SEQ} SELECT DISTINCT sha256(sequence) AS seq_hash, source AS tag, lang AS header FROM s WHERE lang IS NOT NULL")
+@query("sidecar_read", f"WITH {SEQ} SELECT DISTINCT sha256(sequence) AS seq_hash, source AS tag, coalesce(lang, '') AS header FROM s")
 def sidecar_read(spark, sf):
     path = place(spark, "sidecar")
-    own = sequences(spark, sf).where("lang is not null").select(F.sha2("sequence", 256).alias("sha256_hash"), F.lit(1).alias("priority"), F.concat_ws(" ", "source", "lang").alias("header"))
+    own = sequences(spark, sf).select(F.sha2("sequence", 256).alias("sha256_hash"), F.lit(1).alias("priority"), F.concat_ws(" ", "source", "lang").alias("header"))
     sinks.write_table(lake.joint_headers(own, "sha256_hash", "priority", "header", track_all=True), path, ["sha256_hash"])
     return readers.sidecar(spark, path)
 

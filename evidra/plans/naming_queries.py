@@ -100,13 +100,13 @@ def selected_union(spark, sf):
 
 
 @query("source_coverage", """
-WITH g AS (SELECT l_partkey AS gene, max(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS dna, max(CASE WHEN l_returnflag = 'R' THEN l_discount END) AS rna FROM lineitem WHERE l_linenumber > 3 GROUP BY 1),
+WITH g AS (SELECT l_partkey AS gene, max(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS dna, max(CASE WHEN l_returnflag = 'R' THEN l_discount END) AS rna FROM lineitem WHERE l_tax > 0.03 GROUP BY 1),
 p AS (SELECT p_partkey AS gene, p_size % 3 = 0 AS k FROM part WHERE p_size > 10), j AS (SELECT g.gene AS a, p.gene AS p, k, dna, rna FROM g FULL JOIN p ON g.gene = p.gene)
 SELECT count(a) AS raw_genes, count(*) FILTER (a IS NOT NULL AND p IS NOT NULL) AS available_genes, count(*) FILTER (a IS NOT NULL AND p IS NULL) AS unavailable_genes, count(*) FILTER (a IS NULL) AS proteins_without_abundance,
 count(*) FILTER (p IS NULL AND dna > 0) AS unavailable_positive_dna, count(*) FILTER (p IS NULL AND rna > 0) AS unavailable_positive_rna, count(*) FILTER (a IS NOT NULL AND p IS NOT NULL AND dna IS NULL) AS missing_dna_in_available,
 count(*) FILTER (a IS NOT NULL AND p IS NOT NULL AND rna IS NULL) AS missing_rna_in_available, count(*) FILTER (a IS NOT NULL AND k) AS available_genes_with_term, (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS positive_compounds FROM j""")
 def source_coverage(spark, sf):
-    own = table(spark, sf, "lineitem").where("l_linenumber > 3").selectExpr("l_partkey AS gene", "CASE WHEN l_returnflag = 'A' THEN l_quantity END AS dna", "CASE WHEN l_returnflag = 'R' THEN l_discount END AS rna")
+    own = table(spark, sf, "lineitem").where("l_tax > 0.03").selectExpr("l_partkey AS gene", "CASE WHEN l_returnflag = 'A' THEN l_quantity END AS dna", "CASE WHEN l_returnflag = 'R' THEN l_discount END AS rna")
     proteins = table(spark, sf, "part").where("p_size > 10")
     terms = proteins.select(F.col("p_partkey").alias("gene"), F.when(F.col("p_size") % 3 == 0, "K00001").otherwise("").alias("term"))
     return targets.source_coverage(own, proteins.select(F.col("p_partkey").alias("gene")), terms, table(spark, sf, "supplier").selectExpr("s_suppkey AS compound", "s_acctbal AS value"))

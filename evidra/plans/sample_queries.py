@@ -60,9 +60,9 @@ def gene_quantities(spark, sf):
 
 @query("lookup_misses", """
 SELECT count(*) AS n, count(*) FILTER (o_orderkey IS NULL) AS no_order, count(*) FILTER (o_orderkey IS NOT NULL AND c_custkey IS NULL) AS no_customer
-FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 12) ON o_custkey = c_custkey""")
+FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'O') ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
 def lookup_misses(spark, sf):
-    orders, customers = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_custkey"), table(spark, sf, "customer").where("c_nationkey < 12").select("c_custkey")
+    orders, customers = table(spark, sf, "orders").where("o_orderstatus <> 'O'").select("o_orderkey", "o_custkey"), table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey")
     joined = table(spark, sf, "lineitem").select("l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
     return samples.hops(joined, ("no_order", F.col("o_orderkey").isNull()), ("no_customer", F.col("o_orderkey").isNotNull() & F.col("c_custkey").isNull()))
 

@@ -5,11 +5,15 @@ Order keys spelt in residues are peptides, suppliers samples, part keys with a P
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidra.functions import sequence as S
 from evidra.operators import contaminants, control, genes, graph, lake, network, refine, rollup, study, taxonomy
-from evidra.plans.evidence_queries import DEGREE, EDGES, SEQ, edges, sequences, table
+from evidra.plans.evidence_queries import DEGREE, EDGES, PATTERNS, SEQ, edges, sequences, table, whole_windows
+from evidra.session import shared_dir
+from evidra.sources import readers
 
 QUERIES, ORACLES = {}, {}
 
@@ -259,22 +263,26 @@ SUBST = "x(residue, target, score) AS (VALUES " + ", ".join(f"('{a}', '{b}', {s}
 
 
 @query("variants", f"""
-WITH {SUBST}, d AS (SELECT n_nationkey AS id, regexp_replace(n_name, '[^A-Z]', '', 'g') AS s FROM nation), k AS (SELECT id, s, unnest(range(0, length(s))) AS position FROM d),
-r AS (SELECT k.*, x.*, row_number() OVER (PARTITION BY id, position ORDER BY score DESC, instr('{refine.ORDER}', target)) AS rn FROM k JOIN x ON residue = substr(s, position + 1, 1) WHERE score >= -1)
-SELECT id, s, CAST(position AS INTEGER) AS position, residue || (position + 1) || target AS notation, substr(s, 1, position) || target || substr(s, position + 2) AS variant, score FROM r WHERE rn <= 3""")
+WITH {SUBST}, {PATTERNS}, k AS (SELECT peptide, unnest(range(0, length(peptide))) AS position FROM d),
+r AS (SELECT k.*, x.*, row_number() OVER (PARTITION BY peptide, position ORDER BY score DESC, instr('{refine.ORDER}', target)) AS rn FROM k JOIN x ON residue = substr(peptide, position + 1, 1) WHERE score >= -1)
+SELECT peptide, CAST(position AS INTEGER) AS position, residue || (position + 1) || target AS notation, substr(peptide, 1, position) || target || substr(peptide, position + 2) AS variant, score FROM r WHERE rn <= 3""")
 def variants(spark, sf):
-    own = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.regexp_replace("n_name", "[^A-Z]", "").alias("s"))
-    return refine.variants(own, refine.confusions(spark), "s")
+    """Of windows of whole texts; the matrix is written as text and read back."""
+    wide = refine.confusions(spark).groupBy("residue").pivot("target", list(refine.ORDER)).agg(F.first("score")).na.fill(0)
+    path = f"{shared_dir(spark)}/evidra/matrix-{uuid.uuid4().hex}"
+    head = spark.createDataFrame([("  " + "  ".join(refine.ORDER),)], "value string")
+    head.unionByName(wide.select(F.concat_ws(" ", "residue", *[F.lpad(F.col(c).cast("string"), 2, " ") for c in refine.ORDER]).alias("value"))).write.text(path)
+    return refine.variants(whole_windows(spark, sf, 12).select("peptide").distinct(), readers.substitution_matrix(spark, path), "peptide")
 
 
-TAXA = """look AS (SELECT c_custkey AS peptide, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 1 ELSE c_nationkey + 2 END AS taxon, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_custkey % 19 = 0 END AS cut, c_nationkey, n_regionkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 5 <> 0),
+TAXA = """look AS (SELECT c_custkey AS peptide, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 1 ELSE c_nationkey + 2 END AS taxon, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_custkey % 19 = 0 END AS cut, c_nationkey, n_regionkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal >= 0),
 obs AS (SELECT o_custkey AS peptide, o_orderpriority AS sample, sum(o_totalprice) AS signal FROM orders GROUP BY 1, 2),
 st AS (SELECT o.*, CASE WHEN l.peptide IS NULL THEN 'not_returned' WHEN cut IS NULL THEN 'cutoff_not_reported' WHEN cut THEN 'lookup_cutoff' WHEN taxon IS NULL OR taxon <= 1 THEN 'unresolved' ELSE 'assigned' END AS status, n_regionkey + 1000 AS a, c_nationkey + 2 AS b, r_name, n_name FROM obs o LEFT JOIN look l USING (peptide))"""
 
 
 def taxa(spark, sf):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    own = table(spark, sf, "customer").where("c_custkey % 5 <> 0").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    own = table(spark, sf, "customer").where("c_acctbal >= 0").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     node = lambda i, name, rank: F.struct(i.cast("bigint").alias("id"), name.alias("name"), F.lit(rank).alias("rank"))
     look = own.select(k.alias("peptide"), F.when(k % 11 == 0, None).when(k % 13 == 0, 1).otherwise(n + 2).alias("taxon_id"), F.when(k % 17 == 0, None).otherwise(k % 19 == 0).alias("cutoff_used"), F.array(node(F.col("n_regionkey") + 1000, F.col("r_name"), "domain"), node(n + 2, F.col("n_name"), "phylum")).alias("lineage"))
     seen = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("peptide"), F.col("o_orderpriority").alias("sample")).agg(F.sum("o_totalprice").alias("signal"))
@@ -307,7 +315,7 @@ def reference_table(spark, sf):
 
 
 @query("admissions", f"""
-WITH {EDGES}, w AS (SELECT l_orderkey AS peptide, max(l_quantity) / 53.0 AS score FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1), sel AS (SELECT p_partkey AS protein FROM part WHERE p_size > 20),
+WITH {EDGES}, w AS (SELECT l_orderkey AS peptide, max(l_quantity) / 53.0 AS score FROM lineitem WHERE l_tax <= 0.05 GROUP BY 1), sel AS (SELECT p_partkey AS protein FROM part WHERE p_size > 20),
 j AS (SELECT sel.protein, e.peptide, coalesce(w.score, 0.5) AS score, row_number() OVER (PARTITION BY sel.protein ORDER BY e.peptide) AS k FROM sel LEFT JOIN e USING (protein) LEFT JOIN w ON w.peptide = e.peptide)
 SELECT protein, count(peptide) AS n_peptides, coalesce(string_agg(CAST(peptide AS VARCHAR), ',' ORDER BY peptide) FILTER (k <= 20 AND peptide IS NOT NULL), '') AS peptides, count(peptide) > 20 AS peptides_truncated, round(avg(score) FILTER (peptide IS NOT NULL), 4) AS mean_score, round(max(score) FILTER (peptide IS NOT NULL), 4) AS best_score,
 'razor' AS strategy, false AS contaminant, CASE WHEN protein % 2 = 0 THEN 'kmer_rescue' ELSE 'exact' END AS admission FROM j GROUP BY protein""")
@@ -317,7 +325,7 @@ def admissions(spark, sf):
 
 
 def admitted(spark, sf):
-    scores = table(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy(F.col("l_orderkey").alias("peptide")).agg((F.max("l_quantity") / 53.0).alias("score"))
+    scores = table(spark, sf, "lineitem").where("l_tax <= 0.05").groupBy(F.col("l_orderkey").alias("peptide")).agg((F.max("l_quantity") / 53.0).alias("score"))
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("protein"), "p_size")
     return network.admissions(part.where("p_size > 20"), edges(spark, sf), scores, contaminants.table(spark), part.where("protein % 2 = 0"))
 

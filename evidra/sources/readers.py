@@ -159,6 +159,23 @@ def sidecar(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("sha256_hash").alias("seq_hash"), F.explode(F.split("all_source_headers", r"\|\|\|")).alias("h")).select("seq_hash", F.substring_index("h", " ", 1).alias("tag"), F.regexp_replace("h", r"^\S+\s*", "").alias("header"))
 
 
+def substitution_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """residue, target, score of a text matrix: a header of residues, a row for each residue, `#` comments; pairs of
+    equal residues are left out. The header is a small read; a row of another length is an error."""
+    lines = spark.read.text(path).select(F.trim("value").alias("v")).where((F.col("v") != "") & ~F.startswith("v", F.lit("#")))
+    # the header holds no number, rows do
+    head = lines.where(~F.col("v").rlike("[0-9]")).first()
+    if head is None:
+        raise ValueError(f"{path}: no header of residues")
+    names = head.v.split()
+    fields = F.split("v", r"\s+")
+    fits = F.when(F.size(fields) == len(names) + 1, fields).otherwise(F.raise_error(F.concat(F.lit("a row does not fit the header: "), "v")).cast("array<string>"))
+    rows = lines.where(F.col("v").rlike("[0-9]")).select(fits.alias("f"))
+    each = rows.select(F.element_at("f", 1).alias("residue"), F.posexplode(F.slice("f", 2, len(names))).alias("k", "score"))
+    target = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1)
+    return each.select("residue", target.alias("target"), F.col("score").cast("int").alias("score")).where("residue <> target")
+
+
 #: Ranks of a lineage from the root on.
 RANKS = (
     "domain", "realm", "kingdom", "subkingdom", "superphylum", "phylum", "subphylum", "superclass", "class", "subclass", "infraclass", "superorder", "order",
