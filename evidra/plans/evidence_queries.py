@@ -44,6 +44,24 @@ COUNTS = "c AS (SELECT protein, count(*) FILTER (degree = 1) AS n_unique, count(
 SEQ = "s AS (SELECT doc_id, source, lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents)"
 
 
+def fnv_sql(text: str) -> str:
+    """The 64-bit FNV-1a hash of the UTF-8 bytes of `text`."""
+    octets = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS HUGEINT))"
+    return f"list_reduce(list_concat([14695981039346656037::HUGEINT], {octets}), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
+
+
+def expectation_sql(rounds: int = 10) -> str:
+    """The rounds of the expectation maximisation, one after the other; early stops change less than is printed."""
+    made = """w AS (SELECT l_orderkey AS peptide, max(l_quantity) / 50 AS score FROM lineitem GROUP BY 1), n AS (SELECT p_partkey AS protein, sqrt(greatest(p_size * 20, 50)::DOUBLE) AS norm FROM part),
+x AS (SELECT e.peptide, e.protein, score FROM e JOIN w USING (peptide)),
+b0 AS (SELECT protein, sum(score / degree) / any_value(norm) AS a FROM x JOIN g USING (peptide) JOIN n USING (protein) GROUP BY protein), a0 AS (SELECT protein, a / (SELECT max(a) FROM b0) AS a FROM b0)"""
+    for k in range(rounds):
+        made += f""",
+s{k} AS (SELECT peptide, sum(a) AS t FROM x JOIN a{k} USING (protein) GROUP BY peptide),
+b{k + 1} AS (SELECT protein, sum(score * a / t) / any_value(norm) AS a FROM x JOIN a{k} USING (protein) JOIN s{k} USING (peptide) JOIN n USING (protein) WHERE t > 0 GROUP BY protein), a{k + 1} AS MATERIALIZED (SELECT protein, a / (SELECT max(a) FROM b{k + 1}) AS a FROM b{k + 1})"""
+    return f"WITH {EDGES}, {DEGREE}, {made} SELECT protein, round(a, 6) AS abundance FROM a{rounds} WHERE a >= 0.01"
+
+
 def windows_sql(n: int) -> str:
     """w(item_id, peptide), as whole_windows gives it."""
     return f"""b AS (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM benchmark),
@@ -213,7 +231,10 @@ def razor(spark, sf):
     return graph.razor(edges(spark, sf))
 
 
-@query("razor_hash")
+@query("razor_hash", f"""
+WITH {EDGES}, {DEGREE}, {COUNTS}, h AS (SELECT protein, {fnv_sql("CAST(protein AS VARCHAR)")} AS h FROM c),
+r AS (SELECT e.*, row_number() OVER (PARTITION BY peptide ORDER BY n_unique DESC, n_total DESC, h, protein) AS rn FROM e JOIN c USING (protein) JOIN h USING (protein))
+SELECT peptide, protein FROM r WHERE rn = 1""")
 def razor_hash(spark, sf):
     return graph.razor(edges(spark, sf), "hash_acc")
 
@@ -254,13 +275,16 @@ def species_budget(spark, sf):
     return graph.species_budget(edges(spark, sf), species)
 
 
-@query("credit_budget")
+@query("credit_budget", f"""
+WITH {EDGES}, {DEGREE}, w AS (SELECT l_orderkey AS peptide, max(l_quantity) / 50 AS score FROM lineitem GROUP BY 1), h AS (SELECT protein, {fnv_sql("CAST(protein AS VARCHAR)")} AS h FROM (SELECT DISTINCT protein FROM e)),
+r AS (SELECT e.*, degree, greatest(1, ceil(least(degree, 10) * score * 12 / 24.0)) AS budget, row_number() OVER (PARTITION BY peptide ORDER BY h, protein) AS rn FROM e JOIN g USING (peptide) JOIN w USING (peptide) JOIN h USING (protein))
+SELECT protein, count(*) AS credits, count(*) FILTER (degree = 1) AS n_unique FROM r WHERE rn <= budget GROUP BY protein""")
 def credit_budget(spark, sf):
     scores = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("peptide")).agg((F.max("l_quantity") / 50).alias("score"))
     return graph.credit_budget(edges(spark, sf), scores, F.lit(18))
 
 
-@query("expectation")
+@query("expectation", expectation_sql())
 def expectation(spark, sf):
     scores = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("peptide")).agg((F.max("l_quantity") / 50).alias("score"))
     lengths = table(spark, sf, "part").select(F.col("p_partkey").alias("protein"), (F.col("p_size") * 20).alias("length"))

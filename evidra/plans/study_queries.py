@@ -101,7 +101,21 @@ def study_bundle(spark, sf):
     return study.compose(matches(spark, sf), features(spark, sf), searched(spark, sf), 0.05)["study_groups"]
 
 
-@query("lake_expectation")
+def lake_expectation_sql(rounds=10):
+    """The rounds one after the other; early stops change less than is printed."""
+    made = """o AS (SELECT l_suppkey AS sample, l_orderkey AS peptide, max(l_quantity) / 50 AS score FROM lineitem GROUP BY 1, 2),
+w AS (SELECT peptide, max(score) AS score, count(DISTINCT sample) AS k FROM o GROUP BY 1), x AS (SELECT e.peptide, e.protein, degree, score, k FROM e JOIN g USING (peptide) JOIN w USING (peptide)),
+n AS (SELECT protein, sqrt(count(DISTINCT sample)::DOUBLE) / sqrt(greatest(any_value(p_size) * 20, 50)::DOUBLE) AS norm FROM e JOIN o USING (peptide) JOIN part ON p_partkey = protein GROUP BY protein),
+b0 AS (SELECT protein, sum(score / degree) * any_value(norm) AS a FROM x JOIN n USING (protein) GROUP BY protein), a0 AS (SELECT protein, a / (SELECT sum(a) FROM b0) AS a FROM b0)"""
+    for k in range(rounds):
+        made += f""",
+s{k} AS (SELECT peptide, sum(a) AS t FROM x JOIN a{k} USING (protein) WHERE degree > 1 GROUP BY peptide),
+b{k + 1} AS (SELECT protein, sum(CASE WHEN degree = 1 THEN score * sqrt(k::DOUBLE) WHEN t > 0 THEN score * a / t ELSE score / degree END) * any_value(norm) AS a FROM x JOIN a{k} USING (protein) LEFT JOIN s{k} USING (peptide) JOIN n USING (protein) GROUP BY protein),
+a{k + 1} AS MATERIALIZED (SELECT protein, a / (SELECT sum(a) FROM b{k + 1}) AS a FROM b{k + 1})"""
+    return f"WITH {EDGES}, {DEGREE}, {made} SELECT protein, round(a / (SELECT max(a) FROM a{rounds}), 6) AS abundance FROM a{rounds}"
+
+
+@query("lake_expectation", lake_expectation_sql())
 def lake_expectation(spark, sf):
     own = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_orderkey").alias("peptide")).agg((F.max("l_quantity") / 50).alias("score"))
     lengths = table(spark, sf, "part").select(F.col("p_partkey").alias("protein"), (F.col("p_size") * 20).alias("length"))
