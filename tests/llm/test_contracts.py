@@ -191,7 +191,8 @@ def test_joins_of_frequent_keys(spark):
         assert sorted(map(str, got.select("k", "v", "n").collect())) == sorted(map(str, left.join(right, "k", how).select("k", "v", "n").collect()))
 
 
-def test_components_of_hubs_and_chains(spark):
+@pytest.mark.parametrize("per_task", [200_000, 60])
+def test_components_of_hubs_and_chains(spark, per_task):
     rng = random.Random(1)
     links = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(200)] + [(rng.randrange(3000, 3200), rng.randrange(3000, 3200)) for _ in range(120)]
     up = {}
@@ -205,7 +206,7 @@ def test_components_of_hubs_and_chains(spark):
         if a != b:
             a, b = root(a), root(b)
             up[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "test")).collect()}
+    got = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "test"), per_task=per_task).collect()}
     assert got == {x: root(x) for x in up}
 
 
