@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from evidra.functions import sequence as S
 from evidra.operators import lake
-from evidra.plans.evidence_queries import SEQ, sequences, table
+from evidra.plans import evidence_queries
+from evidra.plans.evidence_queries import PATTERNS, SEQ, places_sql, sequences, table
 from evidra.session import shared_dir
 from evidra.sources import readers, sinks
 
@@ -185,3 +186,30 @@ def engine_headers(spark, sf):
     accession = F.concat(F.lit("x"), F.col("page_id").cast("string"))
     first = F.concat(S.engine_header(accession, F.lit("G1"), F.lit("text"), "gene_first"), F.lit(" GN=G1"))
     return table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, first).otherwise(S.engine_header(accession, F.lit("G1"), F.lit("text"))).alias("header"))
+
+
+@query("hits_written", f"WITH {SEQ}, {PATTERNS}, {places_sql(12)} SELECT peptide, CAST(doc_id AS VARCHAR) AS protein_id, CAST(position AS VARCHAR) AS position FROM x JOIN d USING (peptide)")
+def hits_written(spark, sf):
+    """All hits, in order of protein, position and peptide, read back as text."""
+    path = place(spark, "hits")
+    sinks.write_hits(evidence_queries.substring_join(spark, sf), path, "doc_id")
+    return readers.table(spark, path, ["peptide", "protein_id", "position"])
+
+
+_EVIDENCE = evidence_queries.ORACLES["evidence"]
+
+
+@query("evidence_written", f"WITH ev AS ({_EVIDENCE}) SELECT CAST(protein AS VARCHAR) AS protein_id, CAST(n_peptides AS VARCHAR) AS n_peptides, CAST(n_samples AS VARCHAR) AS n_samples, printf('%.4f', mean_score) AS mean_score, printf('%.4f', max_score) AS max_score FROM ev")
+def evidence_written(spark, sf):
+    path = place(spark, "evidence")
+    own = evidence_queries.evidence(spark, sf)
+    sinks.write_evidence(own.select(F.col("protein").alias("protein_id"), "n_peptides", F.lit(0).alias("n_unique_peptides"), "n_samples", "mean_score", "max_score", F.col("support").alias("support_score")), path)
+    return readers.table(spark, path, list(sinks.EVIDENCE)).select("protein_id", "n_peptides", "n_samples", "mean_score", "max_score")
+
+
+@query("statistics_written", "SELECT 0.05 AS q, count(*) AS n_rows, count(*) FILTER (l_discount <= 0.05) AS n_kept FROM lineitem")
+def statistics_written(spark, sf):
+    path = place(spark, "statistics")
+    own = table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("l_discount") <= 0.05).alias("n_kept"))
+    sinks.write_statistics(own, path, {"q": 0.05})
+    return spark.read.json(path).select("q", "n_rows", "n_kept")

@@ -57,6 +57,34 @@ def write_table(df: DataFrame, path: str, order: list[str] | None = None, decima
     (own.coalesce(1) if single else own).write.mode("errorifexists").option("header", True).option("sep", "\t").csv(path)
 
 
+def write_hits(hits: DataFrame, path: str, protein: str = "protein", order: str | None = None) -> None:
+    """peptide, protein_id, position as a TSV: by protein (or by the column `order`, its place in a file), position,
+    peptide."""
+    keys = [F.col(order or protein), F.col("position"), F.col("peptide")]
+    hits.orderBy(*keys).select("peptide", F.col(protein).alias("protein_id"), "position").write.mode("errorifexists").option("header", True).option("sep", "\t").csv(path)
+
+
+#: Columns of an evidence file and their decimals.
+EVIDENCE = {"protein_id": None, "n_peptides": None, "n_unique_peptides": None, "n_samples": None, "mean_score": 4, "max_score": 4, "support_score": 4}
+
+
+def write_evidence(evidence: DataFrame, path: str) -> None:
+    """The seven columns of EVIDENCE, ordered by protein; a missing one is an error."""
+    missing = sorted(set(EVIDENCE) - set(evidence.columns))
+    if missing:
+        raise ValueError(f"missing columns {', '.join(missing)}")
+    write_table(evidence.select(*EVIDENCE), path, ["protein_id"], {c: d for c, d in EVIDENCE.items() if d})
+
+
+def write_statistics(df: DataFrame, path: str, settings: dict | None = None) -> None:
+    """One row of figures as a JSON object, with the settings that made it; any other number of rows is an error."""
+    rows = df.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"statistics are one row, not {'none' if not rows else 'several'}")
+    record = df.select(*[F.lit(v).alias(k) for k, v in sorted((settings or {}).items())], *df.columns)
+    record.coalesce(1).write.mode("errorifexists").json(path)
+
+
 def write_json(df: DataFrame, path: str, compression: str | None = None) -> None:
     writer = df.write.mode("errorifexists")
     (writer.option("compression", compression) if compression else writer).json(path)

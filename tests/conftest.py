@@ -13,4 +13,4 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), os.environ.g
 def spark():
     from evidra.session import local_session
 
-    return local_session(4, 4, "4g")
+    return local_session(8, 2, "4g")

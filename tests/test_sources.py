@@ -53,3 +53,30 @@ def test_stream_matches_arrivals(spark, tmp_path):
     lake = spark.createDataFrame([("p", "MMACDEFGHIKMM")], "protein string, sequence string")
     ingest.match_arrivals(spark, str(tmp_path / "in"), lake, str(tmp_path / "hits"), str(tmp_path / "state")).awaitTermination()
     assert [(r.protein, r.position) for r in spark.read.parquet(str(tmp_path / "hits")).collect()] == [("p", 2)]
+
+
+def test_a_matrix_from_text(spark, tmp_path):
+    path = tmp_path / "m.txt"
+    path.write_text("# scores\n   A  R  N\nA  5 -2 -1\nR -2  6  0\nN -1  0  6\n")
+    got = {(r.residue, r.target): r.score for r in readers.substitution_matrix(spark, str(path)).collect()}
+    assert got == {("A", "R"): -2, ("A", "N"): -1, ("R", "A"): -2, ("R", "N"): 0, ("N", "A"): -1, ("N", "R"): 0}
+    path.write_text("A R\nA 1\n")
+    with pytest.raises(Exception, match="does not fit"):
+        readers.substitution_matrix(spark, str(path)).collect()
+
+
+def test_ordered_hits_evidence_and_statistics(spark, tmp_path):
+    hits = spark.createDataFrame([("B", 2, 5, 0), ("A", 2, 5, 0), ("C", 1, 9, 1), ("D", 2, 0, 0)], "peptide string, protein int, position int, k int")
+    sinks.write_hits(hits, str(tmp_path / "hits"), order="k")
+    lines = [x for f in sorted((tmp_path / "hits").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("peptide")]
+    assert lines == ["D\t2\t0", "A\t2\t5", "B\t2\t5", "C\t1\t9"]
+    own = spark.createDataFrame([("P1", 2, 1, 1, 0.5, 0.25, 1.0)], "protein_id string, n_peptides int, n_unique_peptides int, n_samples int, mean_score double, max_score double, support_score double")
+    sinks.write_evidence(own, str(tmp_path / "ev"))
+    assert tuple(readers.table(spark, str(tmp_path / "ev"), list(sinks.EVIDENCE)).first()) == ("P1", "2", "1", "1", "0.5000", "0.2500", "1.0000")
+    with pytest.raises(ValueError, match="missing"):
+        sinks.write_evidence(own.drop("max_score"), str(tmp_path / "ev2"))
+    sinks.write_statistics(own.select("n_peptides"), str(tmp_path / "stats"), {"q": 0.5})
+    row = spark.read.json(str(tmp_path / "stats")).first()
+    assert (row.q, row.n_peptides) == (0.5, 2)
+    with pytest.raises(ValueError, match="several"):
+        sinks.write_statistics(hits, str(tmp_path / "stats2"))
