@@ -199,12 +199,17 @@ def hits_written(spark, sf):
 _EVIDENCE = evidence_queries.ORACLES["evidence"]
 
 
-@query("evidence_written", f"WITH ev AS ({_EVIDENCE}) SELECT CAST(protein AS VARCHAR) AS protein_id, CAST(n_peptides AS VARCHAR) AS n_peptides, CAST(n_samples AS VARCHAR) AS n_samples, printf('%.4f', mean_score) AS mean_score, printf('%.4f', max_score) AS max_score FROM ev")
+@query("evidence_written", f"WITH ev AS ({_EVIDENCE}) SELECT CAST(protein AS VARCHAR) AS protein_id, CAST(n_peptides AS VARCHAR) AS n_peptides, CAST(n_samples AS VARCHAR) AS n_samples, true AS four_places FROM ev")
 def evidence_written(spark, sf):
+    """What is read back has four places and differs from the scores by half of the last one at most."""
     path = place(spark, "evidence")
-    own = evidence_queries.evidence(spark, sf)
-    sinks.write_evidence(own.select(F.col("protein").alias("protein_id"), "n_peptides", F.lit(0).alias("n_unique_peptides"), "n_samples", "mean_score", "max_score", F.col("support").alias("support_score")), path)
-    return readers.table(spark, path, list(sinks.EVIDENCE)).select("protein_id", "n_peptides", "n_samples", "mean_score", "max_score")
+    own = evidence_queries.evidence(spark, sf).select(F.col("protein").alias("protein_id"), "n_peptides", F.lit(0).alias("n_unique_peptides"), "n_samples", "mean_score", "max_score", F.col("support").alias("support_score"))
+    sinks.write_evidence(own, path)
+    got = readers.table(spark, path, list(sinks.EVIDENCE))
+    scores = ("mean_score", "max_score", "support_score")
+    both = got.join(own.select(F.col("protein_id").cast("string").alias("protein_id"), *[F.col(c).alias(f"own_{c}") for c in scores]), "protein_id")
+    close = [F.col(c).rlike(r"^[0-9]+\.[0-9]{4}$") & (F.abs(F.col(c).cast("double") - F.col(f"own_{c}")) <= 0.0000500001) for c in scores]
+    return both.select("protein_id", "n_peptides", "n_samples", (close[0] & close[1] & close[2]).alias("four_places"))
 
 
 @query("statistics_written", "SELECT 0.05 AS q, count(*) AS n_rows, count(*) FILTER (l_discount <= 0.05) AS n_kept FROM lineitem")

@@ -69,11 +69,12 @@ EVIDENCE = {"protein_id": None, "n_peptides": None, "n_unique_peptides": None, "
 
 
 def write_evidence(evidence: DataFrame, path: str) -> None:
-    """The seven columns of EVIDENCE, ordered by protein; a missing one is an error."""
+    """The seven columns of EVIDENCE, ordered by protein, scores rounded half to even; a missing column is an error."""
     missing = sorted(set(EVIDENCE) - set(evidence.columns))
     if missing:
         raise ValueError(f"missing columns {', '.join(missing)}")
-    write_table(evidence.select(*EVIDENCE), path, ["protein_id"], {c: d for c, d in EVIDENCE.items() if d})
+    own = evidence.select(*[F.bround(c, d).alias(c) if d else F.col(c) for c, d in EVIDENCE.items()])
+    write_table(own, path, ["protein_id"], {c: d for c, d in EVIDENCE.items() if d})
 
 
 def write_statistics(df: DataFrame, path: str, settings: dict | None = None) -> None:
