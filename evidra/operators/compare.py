@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.operators.lineage import cut
 from evidra.operators.study import running
 
 
@@ -31,7 +32,11 @@ def log_correlation(left: DataFrame, right: DataFrame, key: str, value: str, lea
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds ranks with ties averaged, from counts of distinct values, summed up by range."""
+    """Adds ranks with ties averaged, from counts of distinct values, summed up by range.
+
+    Rows are joined back by their value, so values are written first: a sum that is formed twice may differ in its last place.
+    """
+    df = cut(df)
     counts = running(df.groupBy(value).agg(F.count(F.lit(1)).alias("__n")), value, "__n", "__upto")
     return df.join(counts.select(value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name)), value)
 

@@ -86,7 +86,9 @@ def running(df: DataFrame, key: str, amount: str, name: str) -> DataFrame:
 
 def step_up(df: DataFrame, p: str) -> DataFrame:
     """Benjamini-Hochberg: adds `adjusted`. Ranks come from counts of distinct values by range; the minimum from the
-    largest value on is taken within ranges, and then over one row for each range."""
+    largest value on is taken within ranges, and then over one row for each range. Rows are joined back by their value, so
+    values are written first: a sum that is formed twice may differ in its last place."""
+    df = cut(df)
     counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("__n"))
     total = df.where(F.col(p).isNotNull()).count()
     ranked = running(counts, p, "__n", "__rank").withColumn("__raw", F.least(F.lit(1.0), F.col(p) * total / F.col("__rank")))

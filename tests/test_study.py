@@ -205,3 +205,11 @@ def test_symbols_and_sentinels(spark):
     cell = spark.createDataFrame([("a; --,a,NA;null,b",)], "x string")
     assert cell.select(S.functional_values("x").alias("v")).first().v == ["a", "a", "b"]
     assert cell.select(F.transform(F.array(*[F.lit(x) for x in ("sp|a", "MGYG1", "GMGC1", "MuPr_Assembly_1", "q")]), lambda x: S.catalogue(x)).alias("v")).first().v == ["Human", "UHGG", "GMGC", "Assembly", "smORF"]
+
+
+def test_values_formed_anew_keep_their_rows(spark):
+    """A value that comes out differently each time it is formed, as sums of floats over a shuffle can, loses no row."""
+    noise = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    df = spark.range(200, numPartitions=4).select("id", noise("id").alias("p"), noise("id").alias("y"))
+    assert study.step_up(df, "p").count() == 200
+    assert compare.spearman(df, "p", "y").first().n == 200
