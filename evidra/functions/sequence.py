@@ -19,6 +19,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is written and computed once, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_il(s: Column | str) -> Column:
     """Folds I to L."""
     return F.translate(_c(s), "I", "L")
@@ -320,8 +325,10 @@ def is_immunoglobulin(h: Column | str) -> Column:
 
 def ladder_source(h: Column | str) -> Column:
     """The kind of a header by the first pattern that fits."""
-    h = F.trim(_c(h))
-    first = F.regexp_extract(h, r"^(\S+)", 1)
+    return _let(F.trim(_c(h)), lambda t: _let(F.regexp_extract(t, r"^(\S+)", 1), lambda first: _ladder_source(t, first)))
+
+
+def _ladder_source(h: Column, first: Column) -> Column:
     field = lambda k: F.try_element_at(F.split(first, r"\|"), F.lit(k))
     rules = [
         ("disease_variant", h.startswith("sp|") & first.contains("_VAR")), ("swissprot", h.startswith("sp|")), ("trembl", h.startswith("tr|")),
@@ -339,17 +346,25 @@ def ladder_fields(h: Column | str) -> Column:
 
     A header behind a sample prefix, or embedded in a lake header, is read as itself; its accession stays whole.
     """
-    h = F.trim(_c(h))
-    accession = F.regexp_extract(h, r"^(\S+)", 1)
-    outer = ladder_source(h)
+    read = lambda t: F.struct(t.alias("h"), F.regexp_extract(t, r"^(\S+)", 1).alias("accession"), ladder_source(t).alias("outer"))
+    return _let(F.trim(_c(h)), lambda t: _let(read(t), lambda whole: _let(_ladder_body(whole), lambda part: _ladder_fields(whole, part))))
+
+
+def _ladder_body(whole: Column) -> Column:
+    """What the header is read as: body, its first word, kind and rest."""
+    h, accession, outer = whole["h"], whole["accession"], whole["outer"]
     embedded = F.regexp_extract(h, r"((?:sp|tr)\|\S+\|\S+\s+.*?)(?:\s+md5=|\s*$)", 1)
     behind = F.concat(F.regexp_replace(accession, r"^[^|]*\|[^|]*\|", ""), F.substring(h, F.length(accession) + 1, F.length(h)))
     body = F.when(outer == "sample_ref", behind).when((outer == "lake_hybrid") & (embedded != ""), embedded).otherwise(h)
-    own = F.regexp_extract(body, r"^(\S+)", 1)
-    kind = ladder_source(body)
+    rest = lambda t, own: F.nullif(F.trim(F.substring(t, F.length(own) + 1, F.length(t))), F.lit(""))
+    parts = lambda t: _let(F.regexp_extract(t, r"^(\S+)", 1), lambda own: F.struct(t.alias("body"), own.alias("own"), ladder_source(t).alias("kind"), rest(t, own).alias("rest")))
+    return _let(body, parts)
+
+
+def _ladder_fields(whole: Column, part: Column) -> Column:
+    accession, outer, body, own, kind, rest = whole["accession"], whole["outer"], part["body"], part["own"], part["kind"], part["rest"]
     get = lambda text, pattern: F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
     field = lambda k: F.nullif(F.try_element_at(F.split(own, r"\|"), F.lit(k)), F.lit(""))
-    rest = F.nullif(F.trim(F.substring(body, F.length(own) + 1, F.length(body))), F.lit(""))
     tag = get(body, r"GN=(\S+)")
     uniprot = kind.isin("swissprot", "trembl")
     gene = (
