@@ -164,21 +164,22 @@ def function_terms(s: Column | str, field: str) -> Column:
 
 
 def fnv1a64(s: Column | str) -> Column:
-    """The 64-bit FNV-1a hash of the UTF-8 bytes, as DECIMAL(20, 0); arithmetic in decimals, as 64 bits would overflow."""
-    whole = F.hex(F.encode(_c(s), "UTF-8"))
-    size = F.length(whole) / 2
-    at = F.when(size > 0, F.sequence(F.lit(0), size.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    octets = F.transform(at, lambda i: F.conv(F.substring(whole, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    two64, prime = F.lit("18446744073709551616").cast("decimal(38,0)"), F.lit("1099511628211").cast("decimal(38,0)")
+    """The 64-bit FNV-1a hash of the UTF-8 bytes, as DECIMAL(20, 0); arithmetic in two halves, as 64 bits would overflow."""
+    octets = F.transform(characters(F.decode(F.encode(_c(s), "UTF-8"), "ISO-8859-1")), lambda x: F.ascii(x).cast("bigint"))
+    octets = F.coalesce(octets, F.array().cast("array<bigint>"))
+    low = F.lit(0xFFFFFFFF).cast("bigint")
 
     def step(h: Column, b: Column) -> Column:
-        low = (h % F.lit(256).cast("decimal(38,0)")).cast("int")
-        mixed = (h - low.cast("decimal(38,0)") + low.bitwiseXOR(b).cast("decimal(38,0)")).cast("decimal(20,0)")
-        # the prime is 2**40 + 435, so that both products stay below 38 digits
-        high = ((mixed % F.lit(16777216).cast("decimal(20,0)")) * F.lit(1099511627776).cast("decimal(15,0)")).cast("decimal(38,0)")
-        return ((high + (mixed * F.lit(435).cast("decimal(5,0)")).cast("decimal(38,0)")) % two64).cast("decimal(38,0)")
-
-    return F.aggregate(octets, F.lit("14695981039346656037").cast("decimal(38,0)"), step).cast("decimal(20,0)")
+        # the prime is 2**40 + 435: the lower half goes times 435 to its place and times 2**8 to the upper half
+        mixed = h["lo"].bitwiseXOR(b)
+        product = mixed * 435
+        upper = h["hi"] * 435 + F.shiftright(product, 32) + mixed * 256
+        return F.struct(upper.bitwiseAND(low).alias("hi"), product.bitwiseAND(low).alias("lo"))
+
+    start = 14695981039346656037
+    first = F.struct(F.lit(start >> 32).cast("bigint").alias("hi"), F.lit(start & 0xFFFFFFFF).cast("bigint").alias("lo"))
+    whole = lambda h: (h["hi"].cast("decimal(10,0)") * F.lit(1 << 32).cast("decimal(10,0)") + h["lo"].cast("decimal(10,0)")).cast("decimal(20,0)")
+    return F.aggregate(octets, first, step, whole)
 
 
 def tryptic(s: Column | str) -> Column:
