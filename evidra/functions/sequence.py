@@ -189,10 +189,11 @@ def tryptic(s: Column | str) -> Column:
 
 def digest_folded(s: Column | str, low: int = 7, high: int = 40) -> Column:
     """Pieces after each K or R with one missed cleavage at most, I for L, of `low` to `high` residues, distinct."""
-    parts = F.filter(F.split(F.translate(_c(s), "L", "I"), "(?<=[KR])"), lambda x: x != "")
-    joined = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))))
-    every = F.concat(parts, F.coalesce(joined, F.array().cast("array<string>")))
-    return F.array_distinct(F.filter(every, lambda x: F.length(x).between(low, high)))
+    cut = F.filter(F.split(F.translate(_c(s), "L", "I"), "(?<=[KR])"), lambda x: x != "")
+    pair = lambda a, b: F.concat(a, b)  # noqa: E731 - null behind the last piece
+    joined = lambda parts: F.filter(F.zip_with(parts, F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), pair), lambda x: x.isNotNull())
+    fits = lambda x: F.length(x).between(low, high)
+    return _let(cut, lambda parts: F.array_distinct(F.filter(F.concat(parts, joined(parts)), fits)))
 
 
 def residue_mass(s: Column | str) -> Column:

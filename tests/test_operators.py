@@ -202,3 +202,34 @@ def test_results_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(list(itertools.product(range(30), range(7))), "peptide int, protein int").where("(peptide * 7 + protein) % 3 = 0")
     once = sorted(map(tuple, graph.razor(df).collect()))
     assert once == sorted(map(tuple, graph.razor(df.repartition(9)).collect()))
+
+
+def written(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_header_ladder_is_written_once(spark):
+    """Nested patterns stand in the plan once, so that it does not grow to megabytes."""
+    df = spark.createDataFrame([("sp|P1|A_HUMAN Alpha OS=Homo sapiens GN=AA1",)], "h string")
+    assert len(written(df.select(S.ladder_fields("h").alias("f")))) < 50_000
+
+
+def test_digest_splits_once(spark):
+    df = spark.createDataFrame([("AAAKCCCRGGGK",), ("K",), ("",), (None,)], "s string")
+    made = df.select(S.digest_folded("s", 1).alias("d"))
+    assert written(made).count("split(") == 1
+    assert [r.d for r in made.collect()] == [["AAAK", "CCCR", "GGGK", "AAAKCCCR", "CCCRGGGK"], ["K"], [], None]
+
+
+def test_fnv_in_longs(spark):
+    texts = ["", "abc", "\u00e9\0x\u6f22", "\U0001d11ez", "12345"]
+    made = spark.createDataFrame([(t,) for t in texts], "s string").select("s", S.fnv1a64("s").alias("h"))
+    assert "decimal(38" not in written(made)
+
+    def fnv(data):
+        h = 14695981039346656037
+        for b in data:
+            h = (h ^ b) * 1099511628211 % (1 << 64)
+        return h
+
+    assert {r.s: int(r.h) for r in made.collect()} == {t: fnv(t.encode()) for t in texts}
