@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,30 +187,86 @@ def greedy_cover(pairs: Iterator[tuple]) -> list[tuple]:
     return out
 
 
+def linked(edges: DataFrame, size: int = 1_000_000) -> DataFrame:
+    """Edges with `component`, a protein of theirs: equal for edges that are connected over peptides and proteins.
+
+    Ranges of some `size` edges by peptide are connected within tasks first. Of what they find, only proteins that
+    several ranges hold connect further, so that what is passed on between tasks is small against the edges.
+    """
+    kinds = {c: edges.schema[c].dataType.simpleString() for c in ("peptide", "protein")}
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if not found:
+            return
+        own = pa.Table.from_batches(found).combine_chunks()
+        peptide, protein = (own.column(c).combine_chunks().dictionary_encode("encode") for c in ("peptide", "protein"))
+        a, b = peptide.indices.to_numpy(), protein.indices.to_numpy()
+        label, before = np.arange(len(protein.dictionary)), None
+        while before is None or (label != before).any():
+            before, least = label.copy(), np.full(len(peptide.dictionary), len(label))
+            np.minimum.at(least, a, label[b])
+            np.minimum.at(label, b, least[a])
+            label = label[label]
+        yield from own.append_column("label", protein.dictionary.take(pa.array(label[b]))).to_batches(65_536)
+
+    ranged = edges.select("peptide", "protein").repartitionByRange(parts, "peptide")
+    local = cut(ranged.mapInArrow(run, f"peptide {kinds['peptide']}, protein {kinds['protein']}, label {kinds['protein']}"))
+    # a label of one range is a label of another where they share a protein; a range's label is one of its proteins
+    held = local.select("protein", "label").distinct()
+    least = held.groupBy("protein").agg(F.min("label").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = held.join(least, "protein").where("label <> least").select("label", "least").distinct()
+    both = cut(links.unionByName(links.select(F.col("least").alias("label"), F.col("label").alias("least"))))
+    root = cut(both.groupBy("label").agg(F.least(F.min("least"), F.col("label")).alias("root")))
+    moved = 1
+    while moved:  # minima passed over links, with pointer jumping
+        near = both.join(root.withColumnRenamed("label", "least"), "least").groupBy("label").agg(F.min("root").alias("near"))
+        new = root.join(near, "label").select("label", F.least("root", "near").alias("root"))
+        jump = cut(new.alias("x").join(new.alias("y"), F.col("x.root") == F.col("y.label")).select(F.col("x.label").alias("label"), F.col("y.root").alias("root")))
+        moved = jump.join(root.withColumnRenamed("root", "old"), "label").where("root <> old").limit(1).count()
+        root = jump
+    return local.join(root, "label", "left").select("peptide", "protein", F.coalesce("root", "label").alias("component"))
+
+
 def set_cover(edges: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """protein, gain, selection_rank of the greedy cover: most uncovered peptides first, ties to smaller proteins.
 
-    While more than `limit` edges are uncovered, Spark selects in rounds every protein that is best by (gain, name)
-    among all that share an uncovered peptide with it: no other choice can change its gain, so the sequential algorithm
-    selects it with that gain too. The bounded rest goes to one task, which selects one by one. Gains never rise from
-    one choice to the next, so gain and name give the rank. Results are the same for any limit.
+    Of more than `limit` edges, connected ones are covered on their own, as no choice changes a gain elsewhere: tasks
+    select one by one in components of at most `limit` edges, small ones some at a time. Larger components get smaller
+    in rounds, in which Spark selects every protein that is best by (gain, name) among all that share an uncovered
+    peptide with it: no other choice can change its gain, so the sequential algorithm selects it with that gain too.
+    Gains never rise from one choice to the next, so gain and name give the rank. Results are the same for any limit.
     """
     protein = edges.schema["protein"].dataType.simpleString()
-    left, chosen = cut(edges.select("peptide", "protein").distinct()), None
+    left, chosen = cut(edges.select("peptide", "protein").distinct()), []
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(greedy_cover(zip(pdf.peptide, pdf.protein, strict=True)), columns=["protein", "gain"])
+
+    def one_by_one(rows: DataFrame, key: str) -> DataFrame:
+        return cut(rows.groupBy(key).applyInPandas(run, f"protein {protein}, gain bigint"))  # `limit` rows at most
+
+    total = left.count()
+    if total > limit:
+        known = cut(linked(left))
+        sizes = cut(known.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+        # components of less than a hundredth of the limit share bins of a tenth of it on average
+        bins = -(-10 * total // max(limit, 10))
+        dealt = F.when(F.col("n") * 100 > limit, F.concat(F.lit("one "), F.col("component").cast("string"))).otherwise(F.concat(F.lit("some "), F.pmod(F.xxhash64("component"), F.lit(bins)).cast("string")))
+        bounded = known.join(sizes.where(F.col("n") <= limit).select("component", dealt.alias("bin")), "component")
+        chosen.append(one_by_one(bounded, "bin"))
+        left = cut(known.join(sizes.where(F.col("n") > limit).select("component"), "component", "left_semi").select("peptide", "protein"))
     while left.count() > limit:
         gains = left.groupBy("protein").agg(F.count(F.lit(1)).alias("gain"))
         ranked = left.join(gains, "protein")
         best = ranked.groupBy("peptide").agg(F.min_by(F.struct("protein", "gain"), F.struct(-F.col("gain"), "protein")).alias("b")).select("peptide", "b.*")
         won = best.groupBy("protein", "gain").agg(F.count(F.lit(1)).alias("n")).where("n = gain").select("protein", "gain")
         won = cut(won)
-        chosen = won if chosen is None else cut(chosen.unionByName(won))
+        chosen.append(won)
         left = cut(left.join(left.join(won, "protein", "left_semi").select("peptide").distinct(), "peptide", "left_anti"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(greedy_cover(zip(pdf.peptide, pdf.protein, strict=True)), columns=["protein", "gain"])
-
-    rest = left.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, f"protein {protein}, gain bigint")  # `limit` rows at most
-    salt = cut((rest if chosen is None else chosen.unionByName(rest)).withColumn("bucket", -F.col("gain")))
+    chosen.append(one_by_one(left.withColumn("one", F.lit(0)), "one"))
+    salt = cut(reduce(DataFrame.unionByName, chosen).withColumn("bucket", -F.col("gain")))
     sizes = salt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each gain
     rank = F.col("base") + F.row_number().over(Window.partitionBy("bucket").orderBy("protein"))
