@@ -213,3 +213,51 @@ def test_values_formed_anew_keep_their_rows(spark):
     df = spark.range(200, numPartitions=4).select("id", noise("id").alias("p"), noise("id").alias("y"))
     assert study.step_up(df, "p").count() == 200
     assert compare.spearman(df, "p", "y").first().n == 200
+
+
+def test_distances_by_tiles(spark, monkeypatch):
+    """Every pair of samples once, across tiles and within them; no shuffle carries a row for each pair."""
+    rng = random.Random(9)
+    v = {(s, f): rng.uniform(0, 5) for s in "abcdefghijk" for f in "wxyz" if rng.random() < 0.6}
+    v |= {("n", "w"): 0.0, ("m", "w"): 0.0}
+    monkeypatch.setattr(rollup, "TILE", 3)
+    monkeypatch.setattr(rollup, "SIDE", 2)
+    made = rollup.bray_curtis(spark.createDataFrame([(*k, x) for k, x in v.items()], "s string, f string, v double"), "s", "f", "v")
+    above, below = made._jdf.queryExecution().executedPlan().toString().split("CartesianProduct", 1)
+    assert "Exchange" not in above and "Exchange" in below
+    got = {(r.sample_a, r.sample_b): r.distance for r in made.collect()}
+    total, names = collections.Counter(), sorted({s for s, _ in v})
+    for (s, _), x in v.items():
+        total[s] += x
+    want = {}
+    for k, a in enumerate(names):
+        for b in names[k + 1 :]:
+            both = sum(min(v[a, f], v[b, f]) for f in "wxyz" if (a, f) in v and (b, f) in v)
+            want[a, b] = 1 - 2 * both / (total[a] + total[b]) if total[a] + total[b] else None
+    assert len(got) == len(want) and {k: x if x is None else round(x, 9) for k, x in got.items()} == {k: x if x is None else round(x, 9) for k, x in want.items()}
+
+
+def test_cover_of_components(spark):
+    """Components within the limit are covered on their own, without a round over all edges; larger ones as before."""
+    rng = random.Random(4)
+    edges = [(f"e{c}-{rng.randrange(12)}", f"p{c}-{rng.randrange(9)}") for c in range(25) for _ in range(30)]
+    edges += [(f"big{rng.randrange(60)}", f"q{rng.randrange(20)}") for _ in range(150)]
+    edges = sorted(set(edges))
+    df = spark.createDataFrame(edges, "peptide string, protein string")
+    for limit in (60, 40, 10_000):
+        got = graph.set_cover(df, limit).orderBy("selection_rank").collect()
+        assert [r.protein for r in got] == [p for p, _ in greedy(edges)], limit
+    made = graph.linked(df, 40).collect()
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for e, p in edges:
+        parent[find(e)] = find(p)
+    roots = collections.defaultdict(set)
+    for r in made:
+        roots[find(r.protein)].add(r.component)
+    assert len(made) == len(edges) and all(len(v) == 1 for v in roots.values()) and len(set().union(*roots.values())) == len(roots)
