@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.sequence import fnv1a64
 from evidra.operators.lineage import cut
 from evidra.operators.ranking import best_per_key
+from evidra.session import shared_dir
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -83,28 +86,70 @@ def species_budget(edges: DataFrame, species: DataFrame, prune: float | None = N
     return chosen.join(kept, "species", "left_semi")
 
 
+def _dealt_out(edges: DataFrame, scores: DataFrame, size: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """Edges with their degree and what `scores` has by peptide, in blocks, and protein, block of what blocks hold.
+
+    A block is a range of peptides, some `size` edges; the first table is bucketed by block, so that a round moves
+    abundances and partial sums of (protein, block) only and no edge.
+    """
+    spark = edges.sparkSession
+    known = cut(degrees(edges).join(scores, "peptide"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // size))
+    name = f"evidra_blocks_{uuid.uuid4().hex}"
+    ranged = known.repartitionByRange(parts, "peptide").withColumn("block", F.spark_partition_id())
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(ranged)
+    ranged.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/evidra/{name}").saveAsTable(name)
+    return spark.table(name), cut(ranged.select("protein", "block").distinct())
+
+
+def _sums(blocks: DataFrame, held: DataFrame, now: DataFrame, part, keep) -> DataFrame:
+    """protein, b: sums of part(columns, a, total) over edges of proteins in `now` (protein, a).
+
+    total is the sum of `a` over a peptide's edges. part: a function of the block's columns as arrays, a and total;
+    keep: likewise which edges count.
+    """
+    kind = blocks.schema["protein"].dataType.simpleString()
+    sent = held.join(now, "protein").select("block", "protein", "a")
+
+    def run(edges: pa.Table, sent: pa.Table) -> pa.Table:
+        sent, edges = sent.combine_chunks(), edges.combine_chunks()
+        at = pc.index_in(edges.column("protein"), value_set=sent.column("protein").combine_chunks()).combine_chunks() if len(sent) else pa.nulls(len(edges), pa.int32())
+        edges, at = edges.filter(at.is_valid()), at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        a = sent.column("a").to_numpy()[at]
+        peptide = edges.column("peptide").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.bincount(peptide, weights=a)[peptide] if len(peptide) else a
+        columns = {c: edges.column(c).to_numpy() for c in edges.column_names if c not in ("peptide", "protein", "block")}
+        kept = keep(columns, a, total)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = part(columns, a, total)[kept]
+        seen = np.bincount(at[kept], minlength=len(sent)) > 0
+        return pa.table({"protein": sent.column("protein"), "b": np.bincount(at[kept], weights=value, minlength=len(sent))}).filter(pa.array(seen))
+
+    made = blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, f"protein {kind}, b double")
+    return made.groupBy("protein").agg(F.sum("b").alias("b"))
+
+
 def expectation(edges: DataFrame, scores: DataFrame, lengths: DataFrame, rounds: int = 10, stop: float = 1e-8, threshold: float = 0.01, delta_before: bool = False) -> DataFrame:
     """Abundances by expectation maximisation, scaled by the largest: protein, abundance at or above the threshold.
 
     Peptides share their score over proteins by abundance; sums are by sqrt(max(length, 50)). The loop ends when the
-    total change is under `stop`, measured before or after scaling. Each round's table is a checkpoint.
+    total change is under `stop`, measured before or after scaling. Edges stay in their blocks, see `_dealt_out`.
     """
-    weighted = edges.join(scores, "peptide").persist()
+    blocks, held = _dealt_out(edges, scores.select("peptide", F.col("score").cast("double").alias("score")).where("score is not null"))
     size = F.sqrt(F.greatest(F.col("length").cast("double"), F.lit(50.0)))
-    norm = lengths.select("protein", size.alias("norm"))
-    now = weighted.join(edges.groupBy("peptide").agg(F.count(F.lit(1)).alias("d")), "peptide").groupBy("protein").agg(F.sum(F.col("score") / F.col("d")).alias("a")).join(norm, "protein").select("protein", (F.col("a") / F.col("norm")).alias("a"))
-    now = cut(_scaled(now))
+    norm = cut(lengths.select("protein", size.alias("norm")))
+    first = blocks.groupBy("protein").agg(F.sum(F.col("score") / F.col("degree")).alias("a"))
+    now = _scaled(cut(first.join(norm, "protein").select("protein", (F.col("a") / F.col("norm")).alias("a"))))
     for _ in range(rounds):
-        shares = weighted.join(now, "protein")
-        total = shares.groupBy("peptide").agg(F.sum("a").alias("total"))
-        raw = shares.join(total, "peptide").where("total > 0").groupBy("protein").agg(F.sum(F.col("score") * F.col("a") / F.col("total")).alias("b")).join(norm, "protein").select("protein", (F.col("b") / F.col("norm")).alias("b"))
-        new = cut(_scaled(raw.withColumnRenamed("b", "a")))
-        other = raw if delta_before else new.withColumnRenamed("a", "b")
+        summed = _sums(blocks, held, now, lambda c, a, total: c["score"] * a / total, lambda c, a, total: total > 0)
+        raw = cut(summed.join(norm, "protein").select("protein", (F.col("b") / F.col("norm")).alias("a")))
+        new = _scaled(raw)
+        other = (raw if delta_before else new).withColumnRenamed("a", "b")
         change = now.join(other, "protein", "full").agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))))).first()[0] or 0.0
         now = new
         if change < stop:
             break
-    weighted.unpersist()
     return now.where(F.col("a") >= threshold).select("protein", F.col("a").alias("abundance"))
 
 
@@ -113,22 +158,24 @@ def lake_expectation(edges: DataFrame, sightings: DataFrame, lengths: DataFrame,
 
     A unique peptide gives its best score times the root of the number of samples that see it; a shared one deals its
     score out by the present abundances. Each protein's sum is times the root of its number of samples, by the root of
-    max(length, 50). Every round's table is a checkpoint.
+    max(length, 50). Edges stay in their blocks, see `_dealt_out`.
     """
-    seen = sightings.groupBy("peptide").agg(F.max("score").alias("score"), F.count_distinct("sample").alias("k"))
-    known = cut(degrees(edges).join(seen, "peptide"))
+    seen = sightings.groupBy("peptide").agg(F.max("score").cast("double").alias("score"), F.count_distinct("sample").alias("k"))
+    blocks, held = _dealt_out(edges, seen.where("score is not null"))
     samples = edges.join(sightings.select("peptide", "sample").distinct(), "peptide").groupBy("protein").agg(F.count_distinct("sample").alias("samples"))
     weight = samples.join(lengths, "protein").select("protein", (F.sqrt("samples") / F.sqrt(F.greatest(F.col("length").cast("double"), F.lit(50.0)))).alias("norm"))
     weight = cut(weight)
-    first = known.groupBy("protein").agg(F.sum(F.col("score") / F.col("degree")).alias("a")).join(weight, "protein").select("protein", (F.col("a") * F.col("norm")).alias("a"))
-    now = cut(_shared_out(first))
+    first = blocks.groupBy("protein").agg(F.sum(F.col("score") / F.col("degree")).alias("a")).join(weight, "protein").select("protein", (F.col("a") * F.col("norm")).alias("a"))
+    now = _shared_out(cut(first))
+
+    def part(c: dict, a: np.ndarray, total: np.ndarray) -> np.ndarray:
+        shared = np.where(total > 0, c["score"] * a / total, c["score"] / c["degree"])
+        return np.where(c["degree"] == 1, c["score"] * np.sqrt(c["k"]), shared)
+
     for _ in range(rounds):
-        joined = known.join(now, "protein")
-        total = joined.where("degree > 1").groupBy("peptide").agg(F.sum("a").alias("total"))
-        spread = joined.join(total, "peptide", "left")
-        part = F.when(F.col("degree") == 1, F.col("score") * F.sqrt("k")).when(F.col("total") > 0, F.col("score") * F.col("a") / F.col("total")).otherwise(F.col("score") / F.col("degree"))
-        raw = spread.groupBy("protein").agg(F.sum(part).alias("b")).join(weight, "protein").select("protein", (F.col("b") * F.col("norm")).alias("a"))
-        new = cut(_shared_out(raw))
+        summed = _sums(blocks, held, now, part, lambda c, a, total: np.ones(len(a), bool))
+        raw = summed.join(weight, "protein").select("protein", (F.col("b") * F.col("norm")).alias("a"))
+        new = _shared_out(cut(raw))
         change = now.join(new.withColumnRenamed("a", "b"), "protein").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] or 0.0
         now = new
         if change < stop:

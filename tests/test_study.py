@@ -261,3 +261,13 @@ def test_cover_of_components(spark):
     for r in made:
         roots[find(r.protein)].add(r.component)
     assert len(made) == len(edges) and all(len(v) == 1 for v in roots.values()) and len(set().union(*roots.values())) == len(roots)
+
+
+def test_rounds_move_no_edges(spark):
+    """Edges are dealt out over blocks once; a round shuffles abundances and partial sums only."""
+    edges = spark.createDataFrame([(i, i * 7 % 10) for i in range(40)], "peptide int, protein int")
+    blocks, held = graph._dealt_out(edges, edges.select("peptide", F.lit(1.0).alias("score")), 8)
+    now = edges.select("protein").distinct().withColumn("a", F.lit(1.0))
+    made = graph._sums(blocks, held, now, lambda c, a, total: c["score"] * a / total, lambda c, a, total: total > 0)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(block") == 1
+    assert sum(r.b for r in made.collect()) == pytest.approx(40)
