@@ -115,8 +115,8 @@ def sequence_entropy(s: Column | str) -> Column:
     s = _c(s)
     n = F.length(s)
     letters = F.array_sort(F.array_distinct(characters(s)))
-    share = lambda x: (n - F.length(F.replace(s, x, F.lit("")))) / n
-    total = F.aggregate(letters, F.lit(0.0), lambda acc, x: acc - share(x) * F.log2(share(x)))
+    shares = F.transform(letters, lambda x: (n - F.length(F.replace(s, x, F.lit("")))) / n)
+    total = F.aggregate(shares, F.lit(0.0), lambda acc, x: acc - x * F.log2(x))
     return F.when(n < 2, 0.0).otherwise(total / F.log2(F.lit(20.0)))
 
 
@@ -211,9 +211,8 @@ def mass_bin(mass: Column | str, width: float = 0.001) -> Column:
 
 
 def windows(s: Column | str, n: int) -> Column:
-    """Consecutive pieces of n characters that cover the string."""
-    s = _c(s)
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.length(s) / n).cast("int") - 1), lambda i: F.substring(s, i * n + 1, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """Consecutive pieces of n characters that cover the string, in one pass over it."""
+    return F.coalesce(F.regexp_extract_all(_c(s), F.lit(f"(?s).{{1,{n}}}"), 0), F.array().cast("array<string>"))
 
 
 def q_value(q: Column | str) -> Column:

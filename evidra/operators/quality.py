@@ -46,7 +46,8 @@ def filtered(df: DataFrame, filters: Filters, sequence: str = "sequence") -> Dat
     if filters.poly_run is not None:
         tests.append((S.has_poly_run("cleaned", filters.poly_run), "poly_run", F.lit(f"poly_run:>={filters.poly_run}")))
     if filters.entropy is not None:
-        entropy = S.sequence_entropy("cleaned")
+        own = own.withColumn("__entropy", S.sequence_entropy("cleaned"))
+        entropy = F.col("__entropy")
         tests.append((entropy < filters.entropy, "low_complexity", F.concat(F.lit("low_complexity:entropy="), F.format_string("%.3f", entropy), F.lit(f"<{filters.entropy}"))))
     if filters.fragment is not None:
         tests.append((S.is_fragment("cleaned", filters.fragment), "fragment", F.concat(F.lit("fragment:no_M_start,len="), n, F.lit(f"<{filters.fragment}"))))
@@ -54,7 +55,7 @@ def filtered(df: DataFrame, filters: Filters, sequence: str = "sequence") -> Dat
     for failed, reason, detail in reversed(tests):  # the first test stands outermost
         verdict = F.when(failed, F.struct(F.lit(reason).alias("reason"), detail.cast("string").alias("detail"))).otherwise(verdict)
     made = own.withColumn("__v", verdict).withColumn("n_replaced", F.when(F.col("__v.reason") == "noncanonical", 0).otherwise(replaced))
-    return made.withColumns({"reason": F.col("__v.reason"), "detail": F.col("__v.detail")}).drop("__raw", "__v")
+    return made.withColumns({"reason": F.col("__v.reason"), "detail": F.col("__v.detail")}).drop("__raw", "__v", "__entropy")
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import sequence as S
-from evidra.operators import compare, control, graph, lake, matching, network, ranking, rollup, study
+from evidra.operators import compare, control, graph, lake, matching, network, quality, ranking, rollup, study
 
 
 def values(spark, items, expression, kind="string"):
@@ -233,3 +233,13 @@ def test_fnv_in_longs(spark):
         return h
 
     assert {r.s: int(r.h) for r in made.collect()} == {t: fnv(t.encode()) for t in texts}
+
+
+def test_windows_in_one_pass(spark):
+    """Windows don't count from the start of the text again; entropy is formed once for its test and its detail."""
+    df = spark.createDataFrame([("ABCDEFG",), ("AB\nD",), ("\U0001d11ezab",), ("",), (None,)], "s string")
+    made = df.select(S.windows("s", 3).alias("w"))
+    assert "substring" not in written(made)
+    assert [r.w for r in made.collect()] == [["ABC", "DEF", "G"], ["AB\n", "D"], ["\U0001d11eza", "b"], [], []]
+    kept = quality.filtered(df.withColumnRenamed("s", "sequence"), quality.Filters(entropy=0.5))
+    assert written(kept).count("LOG2") <= 2 and kept.count() == 5
