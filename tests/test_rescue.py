@@ -1,8 +1,11 @@
 """The mass index, its three phases and anchors against loops over all places."""
 
+import os
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from evidra.functions import sequence as S
@@ -130,3 +133,33 @@ def test_anchored_windows_may_be_longer(spark):
     index = M.write_index(spark.createDataFrame([("t", text), ("u", "GASPGASPGASPGASP")], "target string, sequence string"), rule="nearest", buckets=2)
     row, = M.anchored(index, spark.createDataFrame([("q", query, mass)], "query string, sequence string, mass double"), 1).collect()
     assert (row.target, row.start, row.length) == ("t", text.index("KQRGG"), len(query) + 1) and row.error_ppm < 20
+
+
+def test_a_search_writes_and_hands_on_little(spark):
+    """No k-mer and no place is a row: of texts that are all alike, each query gets one row from a group of pieces."""
+    from evidra.session import shared_dir
+
+    text = "".join(random.Random(8).choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(300))
+    index = M.write_index(spark.createDataFrame([(i, text) for i in range(400)], "target int, sequence string"), rule="nearest", buckets=2)
+    folder = os.path.join(shared_dir(spark).removeprefix("file://"), "evidra", os.path.basename(index.root))
+    assert sorted(os.listdir(folder)) == ["counts", "pieces"] and not spark.catalog.tableExists(index.name)
+    peptides = [text[k : k + 12] for k in range(0, 288, 4)]
+    queries = spark.createDataFrame([(p, p, sum(S.RESIDUE_MASS[r] for r in p) + M.WATER) for p in peptides], "query string, sequence string, mass double")
+    groups = index.pieces.rdd.getNumPartitions()
+    assert len(peptides) <= M._search(index, queries, 4, M.PPM, True).count() <= len(peptides) * groups
+    assert {(r.query, r.target, r.start) for r in M.anchored(index, queries, 4).collect()} == {(p, 0, text.index(p)) for p in peptides}
+
+
+@pytest.mark.parametrize("ppm", [None, 50.0])
+def test_meetings_a_few_at_a_time(monkeypatch, ppm):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("AGNQ") for _ in range(rng.choice([3, 20, 90]))) for _ in range(9)]
+    peptides = [t[2:12] for t in texts if len(t) > 12]
+    block = pa.array([{"query": p, "sequence": p, "mass": sum(MASS[r] for r in p) / M.UNIT + M.WATER, "asked": [0, 3, 5]} for p in peptides])
+    for one in (False, True):
+        runs = []
+        for count in (1, 7, 1 << 20):
+            monkeypatch.setattr(M, "MEETINGS", count)
+            found = M._meet(pa.array(texts), np.zeros(9, int), np.arange(9), block, 10, 5, "nearest", 2, ppm, one)
+            runs.append(sorted(zip(*[c.tolist() for c in found], strict=True)))
+        assert runs[0] == runs[1] == runs[2] and runs[0] and len(set(runs[0])) == len(runs[0])
