@@ -34,7 +34,7 @@ WIDTH, LEAST_MASS, WATER, PROTON, PPM, EXTRA = 0.001, 280.0, 18.010565, 1.007276
 SHORTEST, LONGEST = 8, 50
 PIECE = 1024
 #: Pieces of a group, queries of a block, blocks of a task, meetings looked at at once.
-GROUP, BLOCK, BLOCKS, MEETINGS = 1024, 4096, 32, 1 << 18
+GROUP, BLOCK, BLOCKS, MEETINGS = 256, 4096, 32, 1 << 16
 _MASS = np.zeros(256, np.int64)
 for _residue, _mass in RESIDUE_MASS.items():
     _MASS[ord(_residue)] = round(_mass * UNIT)
@@ -217,6 +217,8 @@ def _meet(residues: pa.Array, numbers: np.ndarray, rank: np.ndarray, block: pa.S
     data, _ = _residues(block.field("sequence"))
     masses = np.concatenate([np.zeros((len(block), 1), np.int64), np.cumsum(_MASS[data].reshape(len(block), n), 1)], 1)
     own = bins(masses[:, k:] - masses[:, :-k], rule).astype(np.int32)
+    # so many k-mers are looked at first that a place without two votes among them can't have `least`
+    columns, early = np.ascontiguousarray(own.T), min(width, max(width - least + 2, 0))
     asked = block.field("asked")
     who = np.repeat(np.arange(len(block)), np.diff(asked.offsets.to_numpy()))
     what = asked.flatten().to_numpy(zero_copy_only=False)
@@ -247,6 +249,11 @@ def _meet(residues: pa.Array, numbers: np.ndarray, rank: np.ndarray, block: pa.S
         here = local[place] - offset
         inside = (here >= 0) & (here < PIECE)
         query, offset, start = query[inside], offset[inside], place[inside] - offset[inside]
+        few = np.zeros(len(query), np.uint8)
+        for c in range(early):
+            few += (made.take(start + c) - columns[c].take(query) + np.int32(1)).view(np.uint32) <= 2
+        some = np.flatnonzero(few >= least - (width - early))
+        query, offset, start = query[some], offset[some], start[some]
         both = np.abs(made[start[:, None] + np.arange(width)] - own[query]) <= 1
         votes = both.sum(1)
         kept = np.flatnonzero(votes >= least)
