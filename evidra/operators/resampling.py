@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.operators import rollup
 from evidra.operators.lineage import cut
 
 #: Samples in a tile of the distance matrix.
@@ -34,13 +35,8 @@ def permutations(design: DataFrame, count: int, seed: int = 0) -> DataFrame:
     return design.select(F.lit(0).alias("permutation"), "sample", "label").unionByName(moved)
 
 
-def permanova_statistics(distances: DataFrame, design: DataFrame, count: int = 999, seed: int = 0, tile: int = TILE) -> DataFrame:
-    """permutation, within, total, samples, groups, pseudo_f; see `permanova`.
-
-    The matrix of squared distances is cut into tiles of `tile` samples squared. A tile meets the labels that its rows
-    and columns have in all permutations and gives one sum for each permutation.
-    """
-    spark = design.sparkSession
+def _groups(design: DataFrame) -> list[tuple]:
+    """Labels and numbers of their samples, after a check of the design."""
     groups = [(r.label, r.n) for r in design.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()]  # the conditions of a study
     n = sum(k for _, k in groups)
     moving = design.groupBy("block").agg(F.count_distinct("label").alias("k")).agg(F.max("k")).first()[0]
@@ -51,6 +47,71 @@ def permanova_statistics(distances: DataFrame, design: DataFrame, count: int = 9
         raise ValueError("at least two groups of at least two samples are needed")
     if moving < 2:
         raise ValueError("no label can move within the blocks")
+    return groups
+
+
+def _codes(design: DataFrame, groups: list[tuple], count: int, seed: int) -> DataFrame:
+    """permutation, sample, label, code (number of the label), share."""
+    code = design.sparkSession.createDataFrame([(label, i, 1.0 / k) for i, (label, k) in enumerate(groups)], design.select("label").schema.add("code", "integer").add("share", "double"))
+    return permutations(design, count, seed).join(F.broadcast(code), "label")
+
+
+def _statistics(within: DataFrame, squares: float, groups: list[tuple]) -> DataFrame:
+    """within: permutation, within."""
+    n, k = sum(size for _, size in groups), len(groups)
+    total = squares / n
+    statistic = F.when(F.col("within") > 0, ((F.lit(total) - F.col("within")) / (k - 1)) / (F.col("within") / (n - k))).otherwise(float("inf"))
+    return within.select("permutation", "within", F.lit(total).alias("total"), F.lit(n).alias("samples"), F.lit(k).alias("groups"), statistic.alias("pseudo_f"))
+
+
+def table_statistics(df: DataFrame, sample: str, feature: str, value: str, design: DataFrame, count: int = 999, seed: int = 0) -> DataFrame:
+    """The columns of `permanova_statistics` for the Bray-Curtis distances of `df`, a row for each sample and feature.
+
+    A task makes the distances of two tiles of samples, meets them with the labels in all permutations, and hands on
+    one sum for each permutation. No pair of samples is a row.
+    """
+    groups = _groups(design)
+    n, shares = sum(k for _, k in groups), [1.0 / k for _, k in groups]
+    moved = _codes(design, groups, count, seed).groupBy(F.col("sample").alias("s")).agg(F.array_sort(F.collect_list(F.struct("permutation", "code"))).alias("c"))  # the permutations of one sample
+    codes = moved.select("s", F.transform("c", lambda r: r["code"].cast("smallint")).alias("codes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        within, squares, pairs, bad = np.zeros(count + 1), 0.0, 0, 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r, rb = batch.column(1)[at], batch.column(3)[at]
+                distance, empty = rollup.tile_distances(r, rb)
+                own = np.ones(distance.shape, bool)
+                if batch.column(0)[at] == batch.column(2)[at]:
+                    own = np.triu(own, 1)
+                wrong = own & (empty | ~(distance >= 0) | np.isinf(distance))
+                pairs, bad = pairs + int(own.sum()), bad + int(wrong.sum())
+                d = np.where(own & ~wrong, distance, 0.0) ** 2
+                squares += float(d.sum())
+                la, lb = (x.values.field("codes").flatten().to_numpy().reshape(-1, count + 1) for x in (r, rb))
+                for g, share in enumerate(shares):
+                    within += share * ((la == g) * (d @ (lb == g).astype(np.float64))).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count + 1), pa.int32()), pa.array(within), *(pa.array([x] * (count + 1), kind) for x, kind in ((squares, pa.float64()), (pairs, pa.int64()), (bad, pa.int64())))], names=["permutation", "within", "squares", "pairs", "bad"])
+
+    tiles = rollup.tile_pairs(df, sample, feature, value, codes)
+    sums = tiles.mapInArrow(run, "permutation int, within double, squares double, pairs bigint, bad bigint").groupBy("permutation")
+    summed = cut(sums.agg(*[F.sum(c).alias(c) for c in ("within", "squares", "pairs", "bad")]))
+    checked = summed.where("permutation = 0").first()
+    if checked is None or checked.pairs != n * (n - 1) // 2 or checked.bad:
+        raise ValueError("distances must be finite, not negative, and one for each pair of samples")
+    if not checked.squares > 0:
+        raise ValueError("all distances are 0")
+    return _statistics(summed.select("permutation", "within"), checked.squares, groups)
+
+
+def permanova_statistics(distances: DataFrame, design: DataFrame, count: int = 999, seed: int = 0, tile: int = TILE) -> DataFrame:
+    """permutation, within, total, samples, groups, pseudo_f; see `permanova`.
+
+    The matrix of squared distances is cut into tiles of `tile` samples squared. A tile meets the labels that its rows
+    and columns have in all permutations and gives one sum for each permutation.
+    """
+    groups = _groups(design)
+    n = sum(k for _, k in groups)
     tiles = -(-n // tile)
     place = design.select("sample", F.expr(f"pmod(xxhash64(sample), {tiles})").cast("int").alias("tile"))
     place = cut(place.withColumn("at", F.row_number().over(Window.partitionBy("tile").orderBy("sample")) - 1))
@@ -61,8 +122,7 @@ def permanova_statistics(distances: DataFrame, design: DataFrame, count: int = 9
         raise ValueError("distances must be finite, not negative, and one for each pair of samples")
     if not checked[4] > 0:
         raise ValueError("all distances are 0")
-    code = spark.createDataFrame([(label, i, 1.0 / k) for i, (label, k) in enumerate(groups)], design.select("label").schema.add("code", "integer").add("share", "double"))
-    moved = permutations(design, count, seed).join(F.broadcast(code), "label").join(place, "sample")
+    moved = _codes(design, groups, count, seed).join(place, "sample")
     # one row for each tile and permutation: codes by place; `tile` samples or some more
     packed = moved.groupBy("tile", "permutation").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda r: r["code"]).alias("codes"))
     packed = packed.groupBy("tile", F.expr("permutation div 128").alias("part")).agg(F.array_sort(F.collect_list(F.struct("permutation", "codes"))).alias("labels"))
@@ -84,9 +144,7 @@ def permanova_statistics(distances: DataFrame, design: DataFrame, count: int = 9
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(within, pa.float64())], names=["permutation", "within"])
 
     summed = rows.select("cells", "la", "lb").mapInArrow(run, "permutation int, within double").groupBy("permutation").agg(F.sum("within").alias("within"))
-    total, k = checked[4] / n, len(groups)
-    statistic = F.when(F.col("within") > 0, ((F.lit(total) - F.col("within")) / (k - 1)) / (F.col("within") / (n - k))).otherwise(float("inf"))
-    return summed.select("permutation", "within", F.lit(total).alias("total"), F.lit(n).alias("samples"), F.lit(k).alias("groups"), statistic.alias("pseudo_f"))
+    return _statistics(summed, checked[4], groups)
 
 
 def permanova(distances: DataFrame, design: DataFrame, count: int = 999, seed: int = 0, tile: int = TILE) -> DataFrame:
@@ -97,7 +155,15 @@ def permanova(distances: DataFrame, design: DataFrame, count: int = 999, seed: i
     is up to 1e-12 of the observed one. Missing labels, groups of one sample, incomplete distances, a sum of 0 and
     labels that can't move are errors.
     """
-    made = cut(permanova_statistics(distances, design, count, seed, tile))
+    return _tested(cut(permanova_statistics(distances, design, count, seed, tile)))
+
+
+def table_permanova(df: DataFrame, sample: str, feature: str, value: str, design: DataFrame, count: int = 999, seed: int = 0) -> DataFrame:
+    """`permanova` of the Bray-Curtis distances of a table, see `table_statistics`."""
+    return _tested(table_statistics(df, sample, feature, value, design, count, seed))
+
+
+def _tested(made: DataFrame) -> DataFrame:
     observed = F.broadcast(made.where("permutation = 0").select(F.col("pseudo_f").alias("f"), ((F.col("total") - F.col("within")) / F.col("total")).alias("r_squared"), "samples", "groups"))
     checked = F.when(F.col("f") == float("inf"), F.raise_error(F.lit("no dispersion within groups")).cast("double")).otherwise(F.col("f"))
     joined = made.where("permutation > 0").select(F.col("pseudo_f").alias("own")).crossJoin(observed)  # one row

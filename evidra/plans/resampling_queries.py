@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidra.operators import control, resampling, rollup
+from evidra.operators import control, resampling
 from evidra.plans.evidence_queries import table
 
 QUERIES, ORACLES = {}, {}
@@ -61,8 +61,7 @@ SELECT round(o.f, 8) AS pseudo_f, round((o.total - o.within) / o.total, 8) AS r_
   {PERMUTATIONS}::BIGINT AS permutations, o.samples, o.groups FROM f o WHERE permutation = 0""")
 def permanova(spark, sf):
     """Do suppliers of high and low accounts sell other brands? Labels move within blocks."""
-    distances = rollup.bray_curtis(brand_sums(spark, sf), "sample", "feature", "value")
-    got = resampling.permanova(distances, design(spark, sf), PERMUTATIONS, SEED)
+    got = resampling.table_permanova(brand_sums(spark, sf), "sample", "feature", "value", design(spark, sf), PERMUTATIONS, SEED)
     return got.select(F.round("pseudo_f", 8).alias("pseudo_f"), F.round("r_squared", 8).alias("r_squared"), "p_value", "permutations", F.col("samples").cast("bigint").alias("samples"), F.col("groups").cast("bigint").alias("groups"))
 
 

@@ -8,8 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from evidra.operators import graph, resampling
+from evidra.operators import graph, resampling, rollup
 
 
 def study(n, seed):
@@ -68,6 +69,24 @@ def test_permanova_refuses(spark):
             resampling.permanova(bad, design, 9)
 
 
+def test_a_table_is_tested_without_a_row_for_a_pair(spark, monkeypatch):
+    """Tiles of 6 samples; the plan has no column of pairs, and its result is that of the distances."""
+    rng = random.Random(6)
+    labels, blocks = ["a"] * 12 + ["b"] * 13, [i % 2 for i in range(25)]
+    cells = [(i, f, rng.random() + (f == 2 and labels[i] == "a")) for i in range(25) for f in range(4) if rng.random() < 0.8 or f == 0]
+    df = spark.createDataFrame(cells, "s int, f int, v double")
+    design = spark.createDataFrame(list(zip(range(25), labels, blocks)), "sample int, label string, block int")
+    monkeypatch.setattr(rollup, "TILE", 6)
+    want, = resampling.permanova(rollup.bray_curtis(df, "s", "f", "v"), design, 19, 4).collect()
+    schemas = []
+    monkeypatch.setattr(resampling, "cut", lambda x, f=resampling.cut: schemas.append(x.columns) or f(x))
+    got, = resampling.table_permanova(df, "s", "f", "v", design, 19, 4).collect()
+    assert got.asDict() == pytest.approx(want.asDict()) and schemas == [["permutation", "within", "squares", "pairs", "bad"]]
+    for bad in (df.where("s > 0"), df.withColumn("v", F.when(F.col("s") > 1, F.col("v")).otherwise(0.0)), df.withColumn("v", F.lit(1.0)).where("f = 0")):
+        with pytest.raises(ValueError):
+            resampling.table_permanova(bad, "s", "f", "v", design, 19, 4)
+
+
 def test_bootstrap_equals_a_loop(spark):
     rng = random.Random(1)
     groups = {"a": [rng.choice([1.0, 2.0, 3.5, rng.random()]) for _ in range(40)], "b": [rng.random() for _ in range(41)], "c": [1.0] * 5, "d": [2.0] * 9}
