@@ -201,6 +201,18 @@ def test_an_arm_keeps_every_row_with_its_reason(spark):
     assert sorted(r.accessions for r in got.aliases.collect()) == [["P1"], ["P2"], ["P3"]]
 
 
+def test_only_rows_of_several_accessions_are_numbered(spark, monkeypatch):
+    numbered = []
+    monkeypatch.setattr(arms, "cut", lambda df, f=arms.cut: (made := f(df), "__id" in df.columns and numbered.append(made.count()))[0])
+    run = "run.mzML"
+    psms = [("AIK", "P1;P2", "1", "0", run), ("CCK", "P1", "1", "0", run), ("CCK", "P2", "-1", "0", run), ("DDK", "P1;P9", "1", "0", run), ("DDK", "P9;rev_P1", "1", "0", run), ("DDK", "P3", "1", "0", run), ("EEK", "P3", "1", "0", run)]
+    got = arm(spark, psms, [("CCK", "2", "P1", "1"), ("AIK", "2", "P1;P3", "1")], records=[("P1", "MAIKCCK"), ("P2", "MALKCCK"), ("P3", "DDKAIK"), ("P3", "EEK"), ("rev_P1", "KCCKIAM")], strict=False)
+    assert numbered == [3, 1]
+    assert sorted((r.peptide, r.proteins, r.reason or "") for r in got.psms.collect()) == sorted((p, n, w) for (p, n, *_), w in zip(psms, ["", "", "not_target", "unknown_accession", "decoy_accession", "not_contained", "not_contained"], strict=True))
+    assert {(r.peptide, r.reason) for r in got.features.collect()} == {("CCK", None), ("AIK", "not_contained")}
+    assert sorted((r.peptide, r.unique) for r in got.support.collect()) == [("ALK", False), ("ALK", False), ("CCK", True)]
+
+
 def test_an_arm_refuses_faults_and_mixed_charges(spark):
     good = ("AIK", "P1", "1", "0", "run.mzML")
     assert arm(spark, [good]).peptides.count() == 1
