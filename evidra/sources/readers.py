@@ -50,22 +50,34 @@ def fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     return counted.withColumn("sequence", F.when(F.col("n") > 1, fail("two records of ")).otherwise(F.col("sequence"))).select("header", "accession", "sequence")
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def vector_prediction(sequence: Column, probabilities: Column) -> Column:
     """Peptide and mean probability of a vector of residue probabilities; null if they do not fit.
 
     Comma lists, with or without brackets, and space lists; the latter may begin with one 0 for the path.
     """
     text = F.trim(F.regexp_replace(probabilities, r"[\[\]]", ""))
-    commas = F.contains(text, F.lit(","))
-    parts = F.when(commas, F.split(text, r"\s*,\s*")).otherwise(F.split(text, r"\s+"))
-    values = F.transform(parts, lambda x: x.try_cast("double"))
     residues = F.filter(F.split(sequence, r"[\s,]*"), lambda x: x != "")
-    n = F.size(residues)
-    marker = ~commas & (F.size(values) == n + 1) & (F.element_at(values, 1) == 0)
-    own = F.when(marker, F.slice(values, F.lit(2), n)).otherwise(values)
-    fits = (n > 0) & (F.size(own) == n) & F.forall(own, lambda v: F.coalesce(v.between(0, 1), F.lit(False)))
-    mean = F.aggregate(own, F.lit(0.0), lambda a, v: a + v) / n
-    return F.when(fits, F.struct(F.array_join(residues, "").alias("peptide"), mean.alias("score")))
+
+    def parts(text: Column) -> Column:
+        commas = F.contains(text, F.lit(","))
+        return F.struct(commas.alias("commas"), F.transform(F.when(commas, F.split(text, r"\s*,\s*")).otherwise(F.split(text, r"\s+")), lambda x: x.try_cast("double")).alias("values"), residues.alias("residues"))
+
+    def marked(p: Column) -> Column:
+        n, values = F.size(p["residues"]), p["values"]
+        marker = ~p["commas"] & (F.size(values) == n + 1) & (F.element_at(values, 1) == 0)
+        return F.struct(p["residues"].alias("residues"), n.alias("n"), F.when(marker, F.slice(values, F.lit(2), n)).otherwise(values).alias("own"))
+
+    def judged(p: Column) -> Column:
+        fits = (p["n"] > 0) & (F.size(p["own"]) == p["n"]) & F.forall(p["own"], lambda v: F.coalesce(v.between(0, 1), F.lit(False)))
+        mean = F.aggregate(p["own"], F.lit(0.0), lambda a, v: a + v) / p["n"]
+        return F.when(fits, F.struct(F.array_join(p["residues"], "").alias("peptide"), mean.alias("score")))
+
+    return _once(_once(_once(text, parts), marked), judged)
 
 
 def predictions(spark: SparkSession, path: str, low: int = 7, high: int = 30) -> DataFrame:
@@ -81,10 +93,11 @@ def predictions(spark: SparkSession, path: str, low: int = 7, high: int = 30) ->
         raise ValueError(f"{path}: no known prediction columns among {', '.join(df.columns)}")
     sample = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", "")
     if name == "vector":
-        parsed = df.select(sample.alias("sample"), vector_prediction(F.col(seq), F.col(score)).alias("p")).where("p is not null").select("sample", "p.*")
+        parsed = df.select(sample.alias("sample"), vector_prediction(F.col(seq), F.col(score)).alias("p"))
     else:
-        parsed = df.select(sample.alias("sample"), F.col(seq).alias("peptide"), F.col(score).try_cast("double").alias("score"))
-    parsed = parsed.withColumn("peptide", F.regexp_replace("peptide", "[^A-Z]", ""))
+        parsed = df.select(sample.alias("sample"), F.struct(F.col(seq).alias("peptide"), F.col(score).try_cast("double").alias("score")).alias("p"))
+    own = F.transform(F.filter(F.array("p"), lambda p: p.isNotNull()), lambda p: F.struct(F.regexp_replace(p["peptide"], "[^A-Z]", "").alias("peptide"), p["score"].alias("score")))
+    parsed = parsed.select("sample", F.inline(own))  # what is filtered by is made once, not once for each condition
     finite = (F.col("score") > 0) & (F.col("score") < float("inf")) & ~F.isnan("score")
     return parsed.where(finite & F.length("peptide").between(low, high) & ~S.is_low_complexity("peptide"))
 

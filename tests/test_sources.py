@@ -80,3 +80,14 @@ def test_ordered_hits_evidence_and_statistics(spark, tmp_path):
     assert (row.q, row.n_peptides) == (0.5, 2)
     with pytest.raises(ValueError, match="several"):
         sinks.write_statistics(hits, str(tmp_path / "stats2"))
+
+
+def test_a_vector_is_read_once(spark, tmp_path):
+    """Each part of a prediction stands in the plan once, not once for each condition that uses it."""
+    from evidra.sources import readers
+
+    (tmp_path / "a.csv").write_text('pred_seq,pred_prob\nACDEFGHK,"[0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 1.0]"\nACDEFGHK,0 1 1 1 1 1 1 1 1\nACDEFGHK,0.5 0.5\n,\n')
+    got = readers.predictions(spark, str(tmp_path))
+    assert sorted((r.sample, r.peptide, r.score) for r in got.collect()) == [("a", "ACDEFGHK", 0.5625), ("a", "ACDEFGHK", 1.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast") <= 1 and plan.count("regexp_replace(pred_prob") <= 1 and plan.count("[^A-Z]") == 1
