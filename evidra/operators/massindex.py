@@ -34,7 +34,7 @@ WIDTH, LEAST_MASS, WATER, PROTON, PPM, EXTRA = 0.001, 280.0, 18.010565, 1.007276
 SHORTEST, LONGEST = 8, 50
 PIECE = 1024
 #: Pieces of a group, queries of a block, blocks of a task, meetings looked at at once.
-GROUP, BLOCK, BLOCKS, MEETINGS = 256, 4096, 32, 1 << 16
+GROUP, BLOCK, BLOCKS, MEETINGS = 1024, 4096, 32, 1 << 16
 _MASS = np.zeros(256, np.int64)
 for _residue, _mass in RESIDUE_MASS.items():
     _MASS[ord(_residue)] = round(_mass * UNIT)
