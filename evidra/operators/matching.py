@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from evidra.operators.lineage import cut
 
 #: Most bits of the bitmap of pattern keys: 8 MiB are broadcast at most, whatever the number of patterns.
 MOST_BITS = 1 << 26
-#: Characters looked at at once in a task.
-BLOCK = 1 << 20
+#: Characters looked at at once in a task; arrays of so many numbers stay in a core's cache.
+BLOCK = 1 << 17
 #: Patterns of up to so many characters are searched together; longer ones by powers of four, each with its own scan.
 SHORT = 64
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -41,23 +42,32 @@ def window_keys(codes: np.ndarray, n: int) -> np.ndarray:
     return whole.view(np.int64)
 
 
-def _blocks(texts: list[str], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, place and key of every window of n characters, some rows at a time."""
+def _some_rows(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """A column's texts some BLOCK bytes at a time, one at least, with the number of the first: no batch is a list."""
+    ends, first, before = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0, 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, before + BLOCK, side="right")))
+        yield first, [t or "" for t in column.slice(first, last - first).to_pylist()]
+        first, before = last, ends[last - 1]
+
+
+def _blocks(texts: list[str], n: int, passes: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, place and key of every window of n characters whose key passes, BLOCK windows at a time, of a long row too."""
     first = 0
     while first < len(texts):
         last, total = first, 0
         while last < len(texts) and (last == first or total + len(texts[last]) <= BLOCK):
             total += len(texts[last])
             last += 1
-        codes = np.frombuffer("".join(texts[first:last]).encode("utf-32-le", "surrogatepass"), "<u4")
-        sizes = np.array([len(t) for t in texts[first:last]])
-        begins = np.cumsum(sizes) - sizes
-        if len(codes) >= n:
-            keys = window_keys(codes, n)
-            inside = np.repeat(begins + sizes - n, sizes)[: len(keys)] >= np.arange(len(keys))
-            at = np.flatnonzero(inside)
-            row = np.repeat(np.arange(len(sizes)), sizes)[at]
-            yield row + first, at - begins[row], keys[at]
+        joined, sizes = "".join(texts[first:last]), np.array([len(t) for t in texts[first:last]])
+        ends = np.cumsum(sizes)
+        for part in range(0, total - n + 1, BLOCK):
+            keys = window_keys(np.frombuffer(joined[part : part + BLOCK + n - 1].encode("utf-32-le", "surrogatepass"), "<u4"), n)
+            at = np.arange(len(keys)) if passes is None else np.flatnonzero(passes(keys))
+            row = np.searchsorted(ends, at + part, side="right")
+            inside = at + part + n <= ends[row]
+            at, row = at[inside], row[inside]
+            yield row + first, at + part - (ends - sizes)[row], keys[at]
         first = last
 
 
@@ -88,15 +98,17 @@ def _candidates(sequences: DataFrame, sequence: str, keyed: DataFrame, n: int, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
+
+        def passes(key: np.ndarray) -> np.ndarray:
+            return (bitmap[(key >> 6) & (len(bitmap) - 1)].view(np.uint64) >> (key & 63).view(np.uint64)) & np.uint64(1)
+
         for batch in batches:
-            texts = [t or "" for t in batch.column(sequence).to_pylist()]
-            for row, place, key in _blocks(texts, n):
-                words = bitmap[(key >> 6) & (len(bitmap) - 1)].view(np.uint64)
-                hit = np.flatnonzero((words >> (key & 63).view(np.uint64)) & np.uint64(1))
-                for part in range(0, len(hit), 50_000):
-                    own = hit[part : part + 50_000]
-                    shown = [texts[r][p : p + longest] for r, p in zip(row[own].tolist(), place[own].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[own])) for c in rest), pa.array(key[own]), pa.array(place[own], pa.int32()), pa.array(shown, pa.string())], names=[*rest, "__key", "__at", "__text"])
+            for first, texts in _some_rows(batch.column(sequence)):
+                for row, place, key in _blocks(texts, n, passes):
+                    for part in range(0, len(row), 50_000):
+                        own = slice(part, part + 50_000)
+                        shown = [texts[r][p : p + longest] for r, p in zip(row[own].tolist(), place[own].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[own] + first)) for c in rest), pa.array(key[own]), pa.array(place[own], pa.int32()), pa.array(shown, pa.string())], names=[*rest, "__key", "__at", "__text"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in sequences.schema if f.name != sequence)
     return sequences.select(*rest, sequence).mapInArrow(run, f"{kinds}__key bigint, __at int, __text string")

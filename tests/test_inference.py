@@ -3,7 +3,10 @@
 import math
 import random
 import statistics
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from evidra.operators import inference, matching, quality, study
@@ -101,3 +104,19 @@ def test_windows_are_keyed_within_rows(n, monkeypatch):
             got[r, p] = k
     want = {(r, p): t[p : p + n] for r, t in enumerate(texts) for p in range(len(t) - n + 1)}
     assert set(got) == set(want) and len({(got[k], want[k]) for k in got}) == len(set(got.values())) == len(set(want.values()))
+
+
+def test_windows_of_large_batches_take_little_memory():
+    """A batch of many texts and one long text: what a task holds besides them is bounded by BLOCK."""
+    rng = random.Random(5)
+    long = "".join(rng.choices("ABCDEFGH", k=3_000_000))
+    column = pa.array([long, None, ""] + [long[k : k + 3000] for k in range(1000)])
+    wanted = set(matching.window_keys(np.frombuffer(long[1_500_000:1_500_012].encode("utf-32-le"), "<u4"), 12).tolist())
+    found = []
+    tracemalloc.start()
+    for first, texts in matching._some_rows(column):
+        for row, place, _ in matching._blocks(texts, 12, lambda key: np.isin(key, list(wanted))):
+            found += zip((row + first).tolist(), place.tolist(), strict=True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 1_500_000)] and most < 30e6, most
