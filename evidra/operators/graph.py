@@ -356,28 +356,30 @@ def razor_greedy(edges: DataFrame, block: int = 100_000, rounds: int = 10_000) -
     assigned to it before are at least those decided so far and at most these and the undecided ones before; where the
     best candidate's least number beats the greatest number of all others (equal numbers: the lesser name), the choice
     stands, whatever the undecided ones do. The first undecided peptide always can be decided, and a protein in the lead
-    decides for twice as many each round. No component is gathered in a task.
+    decides for twice as many each round. No component is gathered in a task. Rounds hold rows of proteins that an
+    undecided peptide may choose; what is decided is not written again.
     """
-    ranked = degrees(edges).join(protein_counts(edges), "protein").withColumn("rank", F.struct("n_unique", "n_total"))
-    level = ranked.groupBy("peptide").agg(F.max("rank").alias("top"), F.max("degree").alias("degree"))
-    tied = cut(ranked.drop("degree").join(level, "peptide").where("rank = top").select("peptide", "protein", "degree"))
-    order = cut(in_order(tied.select("peptide", "degree").distinct(), [F.desc("degree"), "peptide"], "seq").select("peptide", "seq"))
-    tied = tied.join(order, "peptide").select("peptide", "protein", "seq")
-    single = tied.groupBy("peptide").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("peptide")
-    decided = cut(tied.join(single, "peptide", "left_semi"))
-    left = cut(tied.join(single, "peptide", "left_anti"))
+    own, by = cut(degrees(edges)), Window.partitionBy("peptide")
+    counts = own.groupBy("protein").agg(F.count_if(F.col("degree") == 1).alias("n_unique"), F.count(F.lit(1)).alias("n_total"))
+    ranked = own.join(counts, "protein").withColumn("rank", F.struct("n_unique", "n_total")).withColumn("top", F.max("rank").over(by))
+    tied = cut(ranked.where("rank = top").withColumn("n", F.count(F.lit(1)).over(by)).select("peptide", "protein", "degree", "n"))
+    decided = [tied.where("n = 1").select("peptide", "protein")]
+    # rows of proteins that an undecided peptide may choose; all others are out of the rounds
+    held = cut(tied.join(tied.where("n > 1").select("protein").distinct(), "protein", "left_semi"))
+    order = in_order(held.select("peptide", "degree").distinct(), [F.desc("degree"), "peptide"], "seq").select("peptide", "seq")
+    state = cut(held.join(order, "peptide").select("peptide", "protein", "seq", (F.col("n") == 1).cast("int").alias("taken")))
     for _ in range(rounds):
-        if left.isEmpty():
-            return decided.select("peptide", "protein")
-        events = decided.withColumn("taken", F.lit(1)).unionByName(left.withColumn("taken", F.lit(0)))
-        bounds = cut(_before(events.join(left.select("protein").distinct(), "protein", "left_semi"), block).where("taken = 0"))
-        best = bounds.groupBy("peptide").agg(F.min_by(F.struct("protein", "done"), F.struct(-F.col("done"), "protein")).alias("b"))
-        most = F.col("done") + F.col("open")
-        beaten = (F.col("protein") == F.col("b.protein")) | (most < F.col("b.done")) | ((most == F.col("b.done")) & (F.col("protein") > F.col("b.protein")))
-        won = bounds.join(best, "peptide").groupBy("peptide", "seq").agg(F.bool_and(beaten).alias("sure"), F.first("b.protein").alias("protein")).where("sure")
-        won = cut(won.select("peptide", "protein", "seq"))
-        decided = cut(decided.unionByName(won))
-        left = cut(left.join(won.select("peptide"), "peptide", "left_anti"))
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, decided)
+        bounds = _before(state, block).where("taken = 0").withColumn("best", F.min(F.struct((-F.col("done")).alias("done"), "protein")).over(by))
+        least, most = -F.col("best.done"), F.col("done") + F.col("open")
+        beaten = (F.col("protein") == F.col("best.protein")) | (most < least) | ((most == least) & (F.col("protein") > F.col("best.protein")))
+        won = bounds.groupBy("peptide").agg(F.bool_and(beaten).alias("sure"), F.first("best.protein").alias("protein")).where("sure")
+        won = cut(won.select("peptide", "protein"))
+        decided.append(won)
+        now = state.join(won.withColumnRenamed("protein", "winner"), "peptide", "left").where("winner is null or winner = protein")
+        now = now.select("peptide", "protein", "seq", F.when(F.col("winner").isNotNull(), 1).otherwise(F.col("taken")).alias("taken"))
+        state = cut(now.join(now.where("taken = 0").select("protein").distinct(), "protein", "left_semi"))
     raise RuntimeError("choices did not settle")
 
 

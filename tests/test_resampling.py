@@ -162,3 +162,19 @@ def test_greedy_razor_on_one_component(spark, block):
         assigned[want[p]] += 1
     got = graph.razor_greedy(spark.createDataFrame(sorted(pairs), "peptide int, protein string"), block=block)
     assert {r.peptide: r.protein for r in got.collect()} == want and len(set(unique.values())) < 12
+
+
+def test_greedy_rounds_leave_decided_rows_alone(spark, monkeypatch):
+    """Rounds write rows of proteins that are still open only, not all that is decided."""
+    pairs = [(k, r) for k in range(8) for r in ("A", "B")] + [(100 + k, f"C{k % 50}") for k in range(2000)]
+    written, cut = [], graph.cut
+
+    def counted(df):
+        got = cut(df)
+        written.append(got.count())
+        return got
+
+    monkeypatch.setattr(graph, "cut", counted)
+    got = {r.peptide: r.protein for r in graph.razor_greedy(spark.createDataFrame(pairs, "peptide int, protein string")).collect()}
+    assert got == {p: r for p, r in pairs if p >= 8} | dict.fromkeys(range(8), "A")
+    assert sum(written) < 3 * len(pairs), written
