@@ -1,4 +1,4 @@
-"""Cutting lineage by tables in the shared folder."""
+"""Cutting lineage by tables in the shared folder, and dealing rows out to tasks of bounded size."""
 
 from __future__ import annotations
 
@@ -15,3 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/evidra/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parts(df: DataFrame, size: int = 1_000_000) -> int:
+    """Tasks of some `size` rows each that `df` is dealt out to; the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // size))

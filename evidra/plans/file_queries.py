@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import sequence as S
 from evidra.operators import lake
+from evidra.operators.lineage import parts
 from evidra.plans import evidence_queries
 from evidra.plans.evidence_queries import PATTERNS, SEQ, places_sql, sequences, table
 from evidra.session import shared_dir
@@ -61,15 +62,12 @@ def letters():
 
 @query("predictions_read", f"SELECT 'run' || l_linenumber AS sample, {LETTERS} AS peptide, round(l_discount, 2) AS score, count(*) AS n FROM lineitem WHERE l_discount > 0 GROUP BY ALL")
 def predictions_read(spark, sf):
-    path = place(spark, "predictions")
+    """The sample is the folder of a run; rows are dealt out, as there are few runs."""
+    path, n = place(spark, "predictions"), parts(table(spark, sf, "lineitem"))
     own = table(spark, sf, "lineitem").select(letters().alias("sequence"), F.col("l_discount").alias("score"), F.concat(F.lit("run"), F.col("l_linenumber").cast("string")).alias("run"))
-    own.repartition("run").write.option("header", True).partitionBy("run").csv(path)
-    got = readers.predictions(spark, path, 8, 30)
-    named = F.regexp_extract(F.col("_metadata.file_path"), r"run=(\w+)", 1)
-    # the file's name is the sample by default; here its folder is
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path).select(named.alias("sample"), F.col("sequence").alias("peptide"), F.col("score").cast("double").alias("score"))
-    kept = got.select("peptide", "score").distinct()
-    return df.join(kept, ["peptide", "score"], "left_semi").groupBy("sample", "peptide", F.round("score", 2).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    own.repartition(n, "run", "sequence").write.option("header", True).partitionBy("run").csv(path)
+    got = readers.predictions(spark, path, 8, 30, r"run=(\w+)").select("sample", "peptide", F.round("score", 2).alias("score"))
+    return got.repartition(n, "sample", "peptide", "score").groupBy("sample", "peptide", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("vectors_read", f"SELECT {LETTERS} AS peptide, 0.5 AS score, count(*) AS n FROM lineitem GROUP BY ALL")

@@ -80,9 +80,10 @@ def vector_prediction(sequence: Column, probabilities: Column) -> Column:
     return _once(_once(_once(text, parts), marked), judged)
 
 
-def predictions(spark: SparkSession, path: str, low: int = 7, high: int = 30) -> DataFrame:
+def predictions(spark: SparkSession, path: str, low: int = 7, high: int = 30, folder: str | None = None) -> DataFrame:
     """sample, peptide, score of prediction tables below a path; the dialect is told by the header.
 
+    The sample is the file's name, or with `folder`, what that pattern's first group finds in the file's path.
     Only upper-case letters count; eligible are finite scores above 0, lengths from `low` to `high`, no low complexity.
     """
     df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
@@ -91,7 +92,8 @@ def predictions(spark: SparkSession, path: str, low: int = 7, high: int = 30) ->
             break
     else:
         raise ValueError(f"{path}: no known prediction columns among {', '.join(df.columns)}")
-    sample = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.csv$", "")
+    file = F.col("_metadata.file_path")
+    sample = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.csv$", "") if folder is None else F.regexp_extract(file, folder, 1)
     if name == "vector":
         parsed = df.select(sample.alias("sample"), vector_prediction(F.col(seq), F.col(score)).alias("p"))
     else:

@@ -91,3 +91,12 @@ def test_a_vector_is_read_once(spark, tmp_path):
     assert sorted((r.sample, r.peptide, r.score) for r in got.collect()) == [("a", "ACDEFGHK", 0.5625), ("a", "ACDEFGHK", 1.0)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("try_cast") <= 1 and plan.count("regexp_replace(pred_prob") <= 1 and plan.count("[^A-Z]") == 1
+
+
+def test_predictions_by_folder_are_read_once(spark, tmp_path):
+    """The sample is the folder where that is asked for, so no second reading has to find it."""
+    path = f"file://{tmp_path}/runs"
+    rows = [("run1", "PEPTIDEK", 0.5), ("run1", "PEPTIDEK", 0.5), ("run2", "PEPTIDEK", 0.5), ("run2", "SHORT", 0.5), ("run2", "MAGICSTER", 0.0)]
+    spark.createDataFrame(rows, "run string, sequence string, score double").write.option("header", True).partitionBy("run").csv(path)
+    got = readers.predictions(spark, path, 8, 30, r"run=(\w+)")
+    assert sorted(map(tuple, got.collect())) == [("run1", "PEPTIDEK", 0.5)] * 2 + [("run2", "PEPTIDEK", 0.5)]
