@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import sequence as S
-from evidra.operators import compare, control, graph, lake, matching, network, quality, ranking, rollup, study
+from evidra.operators import compare, control, graph, lake, lineage, matching, network, quality, ranking, rollup, samples, study
 
 
 def values(spark, items, expression, kind="string"):
@@ -243,3 +243,19 @@ def test_windows_in_one_pass(spark):
     assert [r.w for r in made.collect()] == [["ABC", "DEF", "G"], ["AB\n", "D"], ["\U0001d11eza", "b"], [], []]
     kept = quality.filtered(df.withColumnRenamed("s", "sequence"), quality.Filters(entropy=0.5))
     assert written(kept).count("LOG2") <= 2 and kept.count() == 5
+
+
+def test_gene_quantities_in_tasks_of_bounded_size(spark, monkeypatch):
+    """The number of tasks follows the rows; a frequent gene and nulls are summed as by a plain grouping."""
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(2)}", rng.choice([None, *range(90)]), rng.choice([None, "G", "G", "G", f"g{rng.randrange(40)}"]), rng.choice([None, 1.0, 2.0, 7.0])) for _ in range(400)]
+    best, want = {}, {}
+    for s, p, g, v in rows:
+        best[s, p, g] = max((x for x in (v, best.get((s, p, g))) if x is not None), default=None)
+    for (s, _, g), v in best.items():
+        n, total = want.get((s, g), (0, None))
+        want[s, g] = n + 1, total if v is None else v + (total or 0)
+    monkeypatch.setattr(samples, "parts", lambda df: lineage.parts(df, 50))
+    got = samples.gene_quantities(spark.createDataFrame(rows, "s string, p int, g string, v double"), "s", "p", "g", "v")
+    assert {(r.s, r.g): (r.n_peptides, r.quantity) for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() == 8
