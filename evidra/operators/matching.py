@@ -20,6 +20,8 @@ MOST_BITS = 1 << 26
 BLOCK = 1 << 17
 #: Patterns of up to so many characters are searched together; longer ones by powers of four, each with its own scan.
 SHORT = 64
+#: Sequences of more characters go to the workers in parts of so many.
+PART = 1 << 22
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -83,6 +85,21 @@ def _keyed(patterns: DataFrame, n: int) -> DataFrame:
     return patterns.select("__p").mapInArrow(run, "__p string, __key bigint")
 
 
+def _parts(sequences: DataFrame, sequence: str, longest: int) -> tuple[DataFrame, int]:
+    """The other columns, __from and __part, and the step: longer sequences in a part from every step on, null in none.
+
+    A part goes on for `longest` - 1 characters after its step, so that it holds whole what begins in the step.
+    """
+    step, text, rest = max(PART, longest), F.col(sequence), [c for c in sequences.columns if c != sequence]
+
+    def part(begin: Column, own: Column) -> Column:
+        return F.struct(begin.cast("int").alias("__from"), own.alias("__part"))
+
+    several = F.transform(F.sequence(F.lit(0), F.length(text) - 1, F.lit(step)), lambda k: part(k, F.substring(text, k + 1, F.lit(step + longest - 1))))
+    made = F.when(F.length(text) <= step, F.array(part(F.lit(0), text))).when(F.length(text) > step, several)
+    return sequences.select(*rest, F.inline(made)), step
+
+
 def _candidates(sequences: DataFrame, sequence: str, keyed: DataFrame, n: int, longest: int) -> DataFrame:
     """The other columns, __key, __at and __text (up to `longest` characters) of places whose key may be a pattern's."""
     spark, bits = sequences.sparkSession, 1 << 12
@@ -94,7 +111,8 @@ def _candidates(sequences: DataFrame, sequence: str, keyed: DataFrame, n: int, l
     bitmap = np.zeros(bits >> 6, np.int64)
     bitmap[rows["w"].to_numpy()] = rows["b"].to_numpy()
     shared = spark.sparkContext.broadcast(bitmap)
-    rest = [c for c in sequences.columns if c != sequence]
+    rest, some = [c for c in sequences.columns if c != sequence], 50_000
+    parts, step = _parts(sequences, sequence, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
@@ -103,15 +121,18 @@ def _candidates(sequences: DataFrame, sequence: str, keyed: DataFrame, n: int, l
             return (bitmap[(key >> 6) & (len(bitmap) - 1)].view(np.uint64) >> (key & 63).view(np.uint64)) & np.uint64(1)
 
         for batch in batches:
-            for first, texts in _some_rows(batch.column(sequence)):
+            begins = batch.column("__from").to_numpy()
+            for first, texts in _some_rows(batch.column("__part")):
                 for row, place, key in _blocks(texts, n, passes):
-                    for part in range(0, len(row), 50_000):
-                        own = slice(part, part + 50_000)
+                    inside = place < step
+                    row, place, key = row[inside], place[inside], key[inside]
+                    for part in range(0, len(row), some):
+                        own = slice(part, part + some)
                         shown = [texts[r][p : p + longest] for r, p in zip(row[own].tolist(), place[own].tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[own] + first)) for c in rest), pa.array(key[own]), pa.array(place[own], pa.int32()), pa.array(shown, pa.string())], names=[*rest, "__key", "__at", "__text"])
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[own] + first)) for c in rest), pa.array(key[own]), pa.array(place[own] + begins[row[own] + first], pa.int32()), pa.array(shown, pa.string())], names=[*rest, "__key", "__at", "__text"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in sequences.schema if f.name != sequence)
-    return sequences.select(*rest, sequence).mapInArrow(run, f"{kinds}__key bigint, __at int, __text string")
+    return parts.mapInArrow(run, f"{kinds}__key bigint, __at int, __text string")
 
 
 def substring_join(patterns: DataFrame, sequences: DataFrame, pattern: str = "peptide", sequence: str = "sequence", seed: int = 9) -> DataFrame:
@@ -121,7 +142,8 @@ def substring_join(patterns: DataFrame, sequences: DataFrame, pattern: str = "pe
     anything becomes a row; what passes meets the patterns in a join by key and is verified letter by letter. The
     bitmap's size is fixed: with more patterns it lets more places through to the join and loses none. Places carry no
     more characters than the longest pattern of their class has, so one long pattern costs a scan of its own only. Null
-    patterns and sequences match nothing. Adds `position`, from 0.
+    patterns and sequences match nothing. Long sequences are searched in parts of PART characters, so a worker holds an
+    Arrow batch and a part, whatever a sequence's length. Adds `position`, from 0.
     """
     own = cut(patterns.select(F.col(pattern).alias("__p")).where(F.length("__p") >= seed).distinct())
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.length("__p") / SHORT) / 2)).cast("int")

@@ -120,3 +120,20 @@ def test_windows_of_large_batches_take_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == [(0, 1_500_000)] and most < 30e6, most
+
+
+@pytest.mark.parametrize("part", [30, 64, 1000])
+def test_long_sequences_reach_workers_in_parts(spark, monkeypatch, part):
+    """No row that a worker gets is a whole long text; each place is found once, across parts and beyond ASCII too."""
+    monkeypatch.setattr(matching, "PART", part)
+    rng = random.Random(part)
+    texts = ["".join(rng.choices("ABé\U0001f9ea", k=k)) for k in (0, 5, 29, 30, 31, 63, 64, 65, 128, 1000, 2500)] + [None, "AB" * 300]
+    patterns = {t[p : p + n] for t in texts if t for n in (6, 9, 40, 300) for p in rng.sample(range(len(t)), min(4, len(t))) if p + n <= len(t)}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    sent, step = matching._parts(df, "t", 40)
+    assert step == max(part, 40) and {r.id: r.n for r in sent.groupBy("id").agg({"__part": "count"}).toDF("id", "n").collect()} == {k: max(1, -(-len(t) // step)) for k, t in enumerate(texts) if t is not None}
+    assert all(len(r["__part"]) <= step + 39 and texts[r.id].startswith(r["__part"], r["__from"]) for r in sent.collect())
+    got = matching.substring_join(spark.createDataFrame([(p,) for p in sorted(patterns)], "peptide string"), df, sequence="t", seed=6)
+    found = [(r.id, r.peptide, r.position) for r in got.collect()]
+    want = {(k, q, p) for k, t in enumerate(texts) if t for q in patterns for p in range(len(t)) if t.startswith(q, p)}
+    assert len(found) == len(set(found)) and set(found) == want
