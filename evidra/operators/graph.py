@@ -13,9 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from evidra.functions.sequence import fnv1a64
-from evidra.operators.lineage import cut
+from evidra.operators.lineage import cut, parts
 from evidra.operators.ranking import best_per_key
 from evidra.session import shared_dir
 
@@ -276,44 +277,245 @@ def linked(edges: DataFrame, size: int = 1_000_000) -> DataFrame:
     return local.join(root, "label", "left").select("peptide", "protein", F.coalesce("root", "label").alias("component"))
 
 
+def _choose(gain: np.ndarray, row: np.ndarray, member: np.ndarray, least: int, bound: int, most: int = 4_096) -> tuple[np.ndarray, np.ndarray]:
+    """Places and gains of what the greedy cover selects of a window before it comes to a gain of `least` at place `bound`.
+
+    gain: of the window's proteins in order of their names. row, member: in order of `row`, the peptides that several of
+    them hold, and by which. Each step selects all that are best on each of their peptides; where a step over more than
+    `most` of these rows a protein would select few, a heap goes on one by one.
+    """
+    n, gain, out = len(gain), gain.astype(np.int64), []
+    place = np.arange(n)
+    while True:
+        key = gain * (n + 1) - place
+        open_ = (gain > least) | ((gain == least) & (place < bound)) if least > 0 else gain > 0
+        kept = open_[member]
+        row, member = row[kept], member[kept]
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        lengths = np.diff(np.append(starts, len(row)))
+        won = open_.copy()
+        if len(row):
+            won[member[np.repeat(np.maximum.reduceat(key[member], starts), lengths) != key[member]]] = False
+        found = np.flatnonzero(won)
+        if not len(found):
+            break
+        if len(found) * most < len(row):
+            return _choose_one_by_one(gain, open_, row, member, least, bound, out)
+        out.append((found, gain[found]))
+        gain[found] = 0
+        if len(row):
+            covered = np.repeat(np.logical_or.reduceat(won[member], starts), lengths)
+            lost = np.bincount(member[covered], minlength=n)
+            lost[found] = 0
+            gain -= lost
+            row, member = row[~covered], member[~covered]
+    return tuple(np.concatenate([np.empty(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
+
+
+def _choose_one_by_one(gain: np.ndarray, open_: np.ndarray, row: np.ndarray, member: np.ndarray, least: int, bound: int, out: list) -> tuple[np.ndarray, np.ndarray]:
+    """The rest of `_choose` by a lazy heap."""
+    order = np.argsort(member, kind="stable")
+    ends = np.searchsorted(member[order], np.arange(len(gain) + 1))
+    row = np.unique(row, return_inverse=True)[1][order] if len(row) else row
+    left, alone, places, gains = np.ones(len(row), bool), gain - np.diff(ends), [], []
+    heap = [(-int(gain[p]), int(p)) for p in np.flatnonzero(open_)]
+    heapq.heapify(heap)
+    while heap:
+        known, p = heap[0]
+        own = row[ends[p] : ends[p + 1]]
+        now = int(alone[p]) + int(np.count_nonzero(left[own]))
+        if now == -known:
+            heapq.heappop(heap)
+            places.append(p)
+            gains.append(now)
+            left[own] = False
+        elif now > 0 and (-now, p) < (-least, bound):
+            heapq.heapreplace(heap, (-now, p))
+        else:
+            heapq.heappop(heap)
+    return tuple(np.concatenate([*(o[k] for o in out), np.array(found, np.int64)]) for k, found in enumerate((places, gains)))
+
+
+def _flags(ids: DataFrame, size: int) -> np.ndarray:
+    """One bit for each number under `size`: whether it is an `id`."""
+    made = np.zeros(size, bool)
+    made[ids.select("id").toArrow()["id"].to_numpy()] = True
+    return np.packbits(made)
+
+
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, starts and lengths of the first column, lists that are not empty."""
+    lengths = np.diff(batch.column(0).offsets.to_numpy())
+    return batch.column(0).flatten().to_numpy(), np.append(0, np.cumsum(lengths)[:-1]), lengths
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """peptide, id; protein, id; a number over all ids, which are in order of the proteins. Without the second, ids are the proteins."""
+    if isinstance(edges.schema["protein"].dataType, IntegralType):
+        least, most = edges.agg(F.min("protein"), F.max("protein")).first()
+        if 0 <= least and most < 1 << 24:
+            return edges.select("peptide", F.col("protein").cast("int").alias("id")), None, most + 1
+    names = cut(in_order(edges.select("protein").distinct(), ["protein"], "id").select("protein", F.col("id").cast("int").alias("id")))
+    return edges.join(names, "protein").select("peptide", "id"), names, names.count()
+
+
+def _by_peptide(own: DataFrame, tasks: int, size: int) -> DataFrame:
+    """ids: the distinct ids under `size` of each peptide, as one row. own: peptide, id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (found := list(batches)):
+            return
+        table = pa.Table.from_batches(found)
+        peptide = table.column("peptide").combine_chunks().dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+        key = np.unique(peptide * size + table.column("id").to_numpy())
+        starts = np.append(np.flatnonzero(np.diff(key // size, prepend=-1)), len(key))
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(key % size, pa.int32()))
+        yield from pa.table({"ids": lists}).to_batches(65_536)
+
+    return own.repartition(tasks, "peptide").mapInArrow(run, "ids array<int>")
+
+
 def set_cover(edges: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """protein, gain, selection_rank of the greedy cover: most uncovered peptides first, ties to smaller proteins.
 
-    Of more than `limit` edges, connected ones are covered on their own, as no choice changes a gain elsewhere: tasks
-    select one by one in components of at most `limit` edges, small ones some at a time. Larger components get smaller
-    in rounds, in which Spark selects every protein that is best by (gain, name) among all that share an uncovered
-    peptide with it: no other choice can change its gain, so the sequential algorithm selects it with that gain too.
-    Gains never rise from one choice to the next, so gain and name give the rank. Results are the same for any limit.
+    At most `limit` edges are covered one by one in a task. Of more, a round takes a window, the first proteins by gain
+    and name, and those peptides only that several of them hold: one task selects of it until a protein outside could
+    come first, as gains never rise. Then all tasks take the edges of covered peptides off the gains. Windows are such
+    that a task gets some 4 * `limit` edges at most. A bit for each protein goes out to the tasks; edges are shuffled
+    once, by peptide. Gain and name give the rank. Results are the same for any limit. Rows without a peptide or a
+    protein are no edges.
     """
-    protein = edges.schema["protein"].dataType.simpleString()
-    left, chosen = cut(edges.select("peptide", "protein").distinct()), []
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(greedy_cover(zip(pdf.peptide, pdf.protein, strict=True)), columns=["protein", "gain"])
-
-    def one_by_one(rows: DataFrame, key: str) -> DataFrame:
-        return cut(rows.groupBy(key).applyInPandas(run, f"protein {protein}, gain bigint"))  # `limit` rows at most
-
-    total = left.count()
-    if total > limit:
-        known = cut(linked(left))
-        sizes = cut(known.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-        # components of less than a hundredth of the limit share bins of a tenth of it on average
-        bins = -(-10 * total // max(limit, 10))
-        dealt = F.when(F.col("n") * 100 > limit, F.concat(F.lit("one "), F.col("component").cast("string"))).otherwise(F.concat(F.lit("some "), F.pmod(F.xxhash64("component"), F.lit(bins)).cast("string")))
-        bounded = known.join(sizes.where(F.col("n") <= limit).select("component", dealt.alias("bin")), "component")
-        chosen.append(one_by_one(bounded, "bin"))
-        left = cut(known.join(sizes.where(F.col("n") > limit).select("component"), "component", "left_semi").select("peptide", "protein"))
-    while left.count() > limit:
-        gains = left.groupBy("protein").agg(F.count(F.lit(1)).alias("gain"))
-        ranked = left.join(gains, "protein")
-        best = ranked.groupBy("peptide").agg(F.min_by(F.struct("protein", "gain"), F.struct(-F.col("gain"), "protein")).alias("b")).select("peptide", "b.*")
-        won = best.groupBy("protein", "gain").agg(F.count(F.lit(1)).alias("n")).where("n = gain").select("protein", "gain")
-        won = cut(won)
+    edges = edges.select("peptide", "protein").where("peptide is not null and protein is not null")
+    kind, total = edges.schema["protein"].dataType, edges.count()
+    if total <= limit:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(greedy_cover(zip(pdf.peptide, pdf.protein, strict=True)), columns=["protein", "gain"])
+
+        one = edges.distinct().groupBy(F.lit(0).alias("one"))
+        return _ranked(cut(one.applyInPandas(run, f"protein {kind.simpleString()}, gain bigint")))  # `limit` rows at most
+    own, names, size = _numbered(edges)
+    rows = cut(_by_peptide(own, parts(edges, 500_000), size))
+    gains = cut(_covered(rows, None, None, size).withColumnRenamed("n", "gain"))
+    near = rows.agg(F.sum(F.size("ids") * F.size("ids")) / F.sum(F.size("ids")) - 1).first()[0]  # others on the peptide of an edge
+    gone, most, written, share, chosen = np.zeros(-(-size // 8), np.uint8), max(4 * limit, 32), total, 1.0, []
+    while levels := sorted(((r.gain, r.n) for r in gains.groupBy("gain").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):  # one row for each gain
+        total = sum(g * n for g, n in levels)
+        if 2 * total < written:
+            rows, written = cut(_uncovered(rows, gone, size)), total
+        wanted = max(most, share * (most * total / max(near, 1.0)) ** 0.5)
+        least, bound = _window(gains, levels, wanted, size)
+        window = gains.where((F.col("gain") > least) | ((F.col("gain") == least) & (F.col("id") < bound)))
+        shared = cut(_shared(rows, gone, _flags(window, size), size))
+        if wanted > most and (shared.agg(F.sum(F.size("ids"))).first()[0] or 0) > most:
+            share *= most / wanted if share * 2 * most < wanted else 0.5
+            continue
+        won = cut(_selected(window, shared, least, bound))
         chosen.append(won)
-        left = cut(left.join(left.join(won, "protein", "left_semi").select("peptide").distinct(), "peptide", "left_anti"))
-    chosen.append(one_by_one(left.withColumn("one", F.lit(0)), "one"))
-    salt = cut(reduce(DataFrame.unionByName, chosen).withColumn("bucket", -F.col("gain")))
+        new = _flags(won, size)
+        gains = cut(gains.join(_covered(rows, gone, new, size), "id", "left").select("id", (F.col("gain") - F.coalesce("n", F.lit(0))).alias("gain")).where("gain > 0"))
+        gone |= new
+    found = reduce(DataFrame.unionByName, chosen)
+    return _ranked(cut(found.select(F.col("id").cast(kind).alias("protein"), "gain") if names is None else found.join(names, "id").select("protein", "gain")))
+
+
+def _window(gains: DataFrame, levels: list, wanted: float, size: int) -> tuple[int, int]:
+    """The gain and the id that come after the first proteins by gain and id, of some `wanted` edges."""
+    for gain, n in levels:
+        if gain * n > wanted:
+            step = max(1, size // 1024)
+            sizes = gains.where(F.col("gain") == gain).groupBy(F.expr(f"id div {step}").alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # 1,025 rows at most
+            ends = np.cumsum([r.n for r in sizes]) * gain
+            last = int(np.searchsorted(ends, wanted, "right")) - 1
+            if last >= 0 or (gain, n) == levels[0]:
+                return gain, (sizes[max(last, 0)].part + 1) * step
+            return gain, 0
+        wanted -= gain * n
+    return 0, 0
+
+
+def _shared(rows: DataFrame, gone: np.ndarray, window: np.ndarray, size: int) -> DataFrame:
+    """ids: what uncovered peptides hold of the window, if two or more."""
+    sent = rows.sparkSession.sparkContext.broadcast((gone, window))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, inside = (np.unpackbits(v, count=size).astype(bool) for v in sent.value)
+        for batch in batches:
+            if batch.num_rows:
+                values, starts, lengths = _lists(batch)
+                held = inside[values] & ~np.repeat(np.logical_or.reduceat(old[values], starts), lengths)
+                n = np.add.reduceat(held, starts, dtype=np.int32)
+                kept = values[held & np.repeat(n > 1, lengths)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[n > 1])), pa.int32()), pa.array(kept))], names=["ids"])
+
+    return rows.mapInArrow(run, "ids array<int>")
+
+
+def _uncovered(rows: DataFrame, gone: np.ndarray, size: int) -> DataFrame:
+    """The peptides without a selected protein."""
+    sent = rows.sparkSession.sparkContext.broadcast(gone)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old = np.unpackbits(sent.value, count=size).astype(bool)
+        for batch in batches:
+            if batch.num_rows:
+                values, starts, _ = _lists(batch)
+                yield batch.filter(pa.array(~np.logical_or.reduceat(old[values], starts)))
+
+    return rows.mapInArrow(run, "ids array<int>")
+
+
+def _covered(rows: DataFrame, gone: np.ndarray | None, new: np.ndarray | None, size: int) -> DataFrame:
+    """id, n: its peptides that `new` covers and `gone` did not; without them all its peptides."""
+    sent = rows.sparkSession.sparkContext.broadcast((gone, new))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, now = (v if v is None else np.unpackbits(v, count=size).astype(bool) for v in sent.value)
+        found = []
+        for batch in batches:
+            if batch.num_rows:
+                values, starts, lengths = _lists(batch)
+                if now is not None:
+                    hit = np.logical_or.reduceat(now[values], starts) & ~np.logical_or.reduceat(old[values], starts)
+                    values = values[np.repeat(hit, lengths)]
+                found.append(values)
+        if found:
+            ids, n = np.unique(np.concatenate(found), return_counts=True)
+            yield from pa.table({"id": pa.array(ids, pa.int32()), "n": pa.array(n, pa.int64())}).to_batches(65_536)
+
+    return rows.mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _selected(window: DataFrame, shared: DataFrame, least: int, bound: int) -> DataFrame:
+    """id, gain of what the greedy cover selects before it comes to a gain of `least` at `bound`, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, gains, members, sizes = [], [], [], []
+        for batch in batches:
+            if batch.num_rows:
+                values, _, lengths = _lists(batch)
+                gain = batch.column(1).to_numpy()
+                own = np.repeat(gain > 0, lengths)
+                ids.append(values[own])
+                gains.append(gain[gain > 0])
+                members.append(values[~own])
+                sizes.append(lengths[gain == 0])
+        if not ids:
+            return
+        ids, gains, members, sizes = (np.concatenate(v) for v in (ids, gains, members, sizes))
+        order = np.argsort(ids)
+        ids, gains = ids[order], gains[order]
+        member = np.searchsorted(ids, members).astype(np.int32)
+        places, found = _choose(gains, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), member, least, int(np.searchsorted(ids, bound)))
+        yield from pa.table({"id": pa.array(ids[places], pa.int32()), "gain": pa.array(found, pa.int64())}).to_batches(65_536)
+
+    both = window.select(F.array("id").alias("ids"), "gain").unionByName(shared.select("ids", F.lit(0).cast("bigint").alias("gain")))
+    return both.coalesce(1).mapInArrow(run, "id int, gain bigint")  # some 4 * `limit` edges
+
+
+def _ranked(chosen: DataFrame) -> DataFrame:
+    """Adds selection_rank, by gain and name. chosen: protein, gain."""
+    salt = chosen.withColumn("bucket", -F.col("gain"))
     sizes = salt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each gain
     rank = F.col("base") + F.row_number().over(Window.partitionBy("bucket").orderBy("protein"))

@@ -30,8 +30,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def matches(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("peptide"), F.col("l_partkey").alias("protein"))
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("peptide"), F.col("l_partkey").alias("protein")).distinct()
+    return matches(spark, sf).distinct()
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,12 +297,12 @@ def expectation(spark, sf):
 
 @query("set_cover")
 def set_cover(spark, sf):
-    return graph.set_cover(edges(spark, sf))
+    return graph.set_cover(matches(spark, sf))
 
 
 @query("study_dictionary")
 def study_dictionary(spark, sf):
-    own = edges(spark, sf)
+    own = matches(spark, sf)
     return graph.dictionary(own, graph.set_cover(own))
 
 

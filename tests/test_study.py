@@ -4,6 +4,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +264,48 @@ def test_cover_of_components(spark):
     assert len(made) == len(edges) and all(len(v) == 1 for v in roots.values()) and len(set().union(*roots.values())) == len(roots)
 
 
+def test_cover_of_a_chain_takes_few_rounds(spark, monkeypatch):
+    """Each protein waits for the one before it; a window settles many of them, so that rounds are few."""
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, f=graph.cut: cuts.append(1) or f(df))
+    edges = [(i + k, i) for i in range(160) for k in (0, 1)]
+    got = graph.set_cover(spark.createDataFrame(edges, "peptide int, protein int"), 10).orderBy("selection_rank").collect()
+    assert [(r.protein, r.gain) for r in got] == greedy(edges) and len(cuts) < 60
+
+
+def test_cover_by_windows_of_any_names(spark):
+    """Several windows, parts of a level among them; names that are no small numbers, repeated rows, rows without a key."""
+    rng = random.Random(8)
+    pairs = [(f"e{rng.randrange(70)}", rng.randrange(-30, 30)) for _ in range(240)]
+    for name in (lambda x: x, lambda x: f"é{x}"):
+        edges = [(e, name(p)) for e, p in pairs]
+        kind = "int" if name(1) == 1 else "string"
+        df = spark.createDataFrame([*edges, *edges[:40], ("e1", None), (None, name(3))], f"peptide string, protein {kind}")
+        assert [(r.protein, r.gain) for r in graph.set_cover(df, 8).orderBy("selection_rank").collect()] == greedy(edges)
+    assert graph.set_cover(df.where("protein is null"), 0).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1 << 40])
+def test_choices_of_a_window(most):
+    """All steps at once and the heap select what the whole greedy cover selects before it leaves the window."""
+    rng = random.Random(5)
+    for _ in range(40):
+        edges = sorted({(rng.randrange(30), rng.randrange(20)) for _ in range(rng.randrange(1, 120))})
+        gains = collections.Counter(p for _, p in edges)
+        order = sorted(gains, key=lambda p: (-gains[p], p))
+        size = rng.randint(1, len(order))
+        window, after = sorted(order[:size]), order[size] if size < len(order) else None
+        least, bound = (gains[after], sum(p < after for p in window)) if after is not None else (0, 0)
+        held = [(e, [window.index(p) for x, p in edges if x == e and p in window]) for e in sorted({e for e, _ in edges})]
+        shared = [(e, p) for e, ps in held if len(ps) > 1 for p in ps]
+        row, member = (np.array([x[k] for x in shared], np.int32) for k in (0, 1))
+        places, found = graph._choose(np.array([gains[p] for p in window]), row, member, least, bound, most)
+        got = sorted(zip((-found).tolist(), [window[k] for k in places], strict=True))
+        want = [(-g, p) for p, g in greedy(edges)]
+        assert got == want[: len(got)]
+        assert len(got) == len(want) or after is not None and want[len(got)] >= (-least, after)
+
+
 def test_rounds_move_no_edges(spark):
     """Edges are dealt out over blocks once; a round shuffles abundances and partial sums only."""
     edges = spark.createDataFrame([(i, i * 7 % 10) for i in range(40)], "peptide int, protein int")
