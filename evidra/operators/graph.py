@@ -381,7 +381,7 @@ def set_cover(edges: DataFrame, limit: int = 1_000_000) -> DataFrame:
     At most `limit` edges are covered one by one in a task. Of more, a round takes a window, the first proteins by gain
     and name, and those peptides only that several of them hold: one task selects of it until a protein outside could
     come first, as gains never rise. Then all tasks take the edges of covered peptides off the gains. Windows are such
-    that a task gets some 4 * `limit` edges at most. A bit for each protein goes out to the tasks; edges are shuffled
+    that a task gets some 8 * `limit` edges at most. A bit for each protein goes out to the tasks; edges are shuffled
     once, by peptide. Gain and name give the rank. Results are the same for any limit. Rows without a peptide or a
     protein are no edges.
     """
@@ -398,7 +398,7 @@ def set_cover(edges: DataFrame, limit: int = 1_000_000) -> DataFrame:
     rows = cut(_by_peptide(own, parts(edges, 500_000), size))
     gains = cut(_covered(rows, None, None, size).withColumnRenamed("n", "gain"))
     near = rows.agg(F.sum(F.size("ids") * F.size("ids")) / F.sum(F.size("ids")) - 1).first()[0]  # others on the peptide of an edge
-    gone, most, written, share, chosen = np.zeros(-(-size // 8), np.uint8), max(4 * limit, 32), total, 1.0, []
+    gone, most, written, share, chosen = np.zeros(-(-size // 8), np.uint8), max(8 * limit, 32), total, 1.0, []
     while levels := sorted(((r.gain, r.n) for r in gains.groupBy("gain").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):  # one row for each gain
         total = sum(g * n for g, n in levels)
         if 2 * total < written:
@@ -505,12 +505,14 @@ def _selected(window: DataFrame, shared: DataFrame, least: int, bound: int) -> D
         ids, gains, members, sizes = (np.concatenate(v) for v in (ids, gains, members, sizes))
         order = np.argsort(ids)
         ids, gains = ids[order], gains[order]
-        member = np.searchsorted(ids, members).astype(np.int32)
+        place = np.zeros(ids[-1] + 1, np.int32)
+        place[ids] = np.arange(len(ids))
+        member = place[members]
         places, found = _choose(gains, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), member, least, int(np.searchsorted(ids, bound)))
         yield from pa.table({"id": pa.array(ids[places], pa.int32()), "gain": pa.array(found, pa.int64())}).to_batches(65_536)
 
     both = window.select(F.array("id").alias("ids"), "gain").unionByName(shared.select("ids", F.lit(0).cast("bigint").alias("gain")))
-    return both.coalesce(1).mapInArrow(run, "id int, gain bigint")  # some 4 * `limit` edges
+    return both.coalesce(1).mapInArrow(run, "id int, gain bigint")  # some 8 * `limit` edges
 
 
 def _ranked(chosen: DataFrame) -> DataFrame:

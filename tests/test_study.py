@@ -273,6 +273,19 @@ def test_cover_of_a_chain_takes_few_rounds(spark, monkeypatch):
     assert [(r.protein, r.gain) for r in got] == greedy(edges) and len(cuts) < 60
 
 
+def test_dictionary_of_a_chain_takes_few_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, f=graph.cut: cuts.append(1) or f(df))
+    edges = [(f"e{i + k}", f"p{i:03d}") for i in range(120) for k in (0, 1)]
+    df = spark.createDataFrame(edges, "peptide string, protein string")
+    owner = {}
+    for name, _ in greedy(edges):
+        for x, y in edges:
+            if y == name:
+                owner.setdefault(x, name)
+    assert {r.peptide: r.protein for r in graph.dictionary(df, graph.set_cover(df, 10)).collect()} == owner and len(cuts) < 60
+
+
 def test_cover_by_windows_of_any_names(spark):
     """Several windows, parts of a level among them; names that are no small numbers, repeated rows, rows without a key."""
     rng = random.Random(8)
